@@ -100,7 +100,8 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
         design = Design().main(*design)
     spark = df.sparkSession
     terms = ([(INTERCEPT, F.lit(1.0))] if intercept and not absorb else []) + design.terms
-    full = Design(list(terms))
+    full = Design(list(terms), set(design.nullable))
+    ok = full.complete()
     if cells:
         yc, wc = F.col("y_sum") / F.col("n"), F.col("n").cast("double")
         ssc = F.greatest(F.col("y_sumsq") - F.col("y_sum") * F.col("y_sum") / F.col("n"), F.lit(0.0))
@@ -108,15 +109,13 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
         yc = F.col(y).cast("double")
         wc = F.col(weight).cast("double") if weight else F.lit(1.0)
         ssc = F.lit(0.0)
-    keep = [yc.alias("_y"), wc.alias("_w"), ssc.alias("_ss")]
+    keep = [yc.alias("_y"), F.when(ok, wc).otherwise(F.lit(0.0)).alias("_w"),
+            F.when(ok, ssc).otherwise(F.lit(0.0)).alias("_ss"), ok.cast("int").alias("_ok")]
     if cluster:
         keep.append(F.col(cluster).alias("_cl"))
     if absorb:
         keep.append(F.col(absorb).alias("_fe"))
-    base, xs = full.attach(df.filter(F.col("n") > 0) if cells else df, keep)
-    if not absorb:
-        base = base.drop("_fe")
-    base = base.dropna(subset=["_y", *xs])
+    base, xs = full.attach(df.filter(F.col("n") > 0 if cells else F.col(y).isNotNull()), keep)
 
     origin = np.zeros(len(xs) + 1)
     if absorb:
@@ -137,7 +136,7 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
 
     fitted = sum((F.lit(float(v)) * F.col(c) for v, c in zip(b, used)), F.lit(0.0))
     res = base.withColumn("_e", F.col("_y") - fitted)
-    facts = res.agg(F.sum("_w" if cells else F.lit(1.0)).alias("n"), F.sum("_ss").alias("ss"),
+    facts = res.agg(F.sum("_w" if cells else "_ok").alias("n"), F.sum("_ss").alias("ss"),
                     F.sum(F.col("_w") * F.col("_e") * F.col("_e")).alias("rss")).first()
     n, rss = float(facts["n"]), float(facts["rss"] + facts["ss"])
 
@@ -186,7 +185,7 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
             dofs = satterthwaite(grams, bread, shift)
     return Fit(spark, names, b, v, np.array(dofs if dofs is not None else [float(dof)] * len(b)),
                [terms[i][0] for i in range(k) if i not in kept], n, rss, rank, vcov,
-               Design([terms[i] for i in kept]), n_clusters, bread, grams, shift)
+               Design([terms[i] for i in kept], full.nullable), n_clusters, bread, grams, shift)
 
 
 def _nested(df: DataFrame, fe: str, cluster: str) -> bool:
