@@ -17,6 +17,11 @@ ITS = PanelSpec(unit="unit", time="t", y="y", cluster="cluster", cohort="cohort"
                 times=tuple(range(24)), cohorts=(9, 14))
 TWO_PERIOD = PanelSpec(unit="unit", time="period", y="y", dose="dose", times=(0, 1))
 
+# Money is scaled to values near 1. Primes rather than powers of ten: amounts in cents divided by a power
+# of ten often lie exactly between two rounded values, where engines that sum in another order differ.
+ORDER_UNIT = 97531.0
+LINE_UNIT = 997.0
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +31,7 @@ def yearly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "orders")
             .filter(between_dates("o_orderdate", "1995-01-01", "2001-01-01"))
             .select(F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("year"),
-                    (F.col("o_totalprice") / F.lit(1e5)).alias("amount")))
+                    (F.col("o_totalprice") / F.lit(ORDER_UNIT)).alias("amount")))
 
 
 def staggered_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def always_on(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.col("l_suppkey").alias("unit"),
                      ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1).alias("t"),
                      F.col("l_quantity").alias("q"), (F.col("l_discount") * F.lit(100.0)).alias("c"),
-                     (F.col("l_extendedprice") / F.lit(1000.0)).alias("p")))
+                     (F.col("l_extendedprice") / F.lit(LINE_UNIT)).alias("p")))
     return balanced_panel(units, lines, "unit", "t", ALWAYS_ON.times,
                           {"dose": F.avg, "control": F.avg, "y": F.avg},
                           {"dose": F.col("q"), "control": F.col("c"), "y": F.col("p")}, fill=None)
