@@ -290,7 +290,7 @@ def wald(fit: Fit, names: Sequence[str]) -> DataFrame:
     stat = float(b @ np.linalg.pinv(v, hermitian=True) @ b)
     dof = float(fit.df[0])
     return fit.spark.createDataFrame(
-        [(int(pos), stat, stat / pos, dof, chi2_p(stat, pos), f_p(stat / pos, pos, dof))],
+        [(int(pos), stat, stat / int(pos), dof, chi2_p(stat, int(pos)), f_p(stat / int(pos), int(pos), dof))],
         "n_restrictions int, chi2 double, f double, df2 double, p_chi2 double, p_f double")
 
 

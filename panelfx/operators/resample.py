@@ -56,7 +56,7 @@ def permutation_draws(df: DataFrame, sp: PanelSpec, reps: int, seed: int,
         return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
     share = rows.groupBy("rep").agg(
-        F.sum("w").alias("W"),
+        F.sum("w").alias("total_w"),
         F.array(*[F.sum(F.col("w") * F.col("d")[i]) / F.sum("w") for i in range(k)]).alias("dt"),
         F.sum(F.col("w") * dot(F.col("y"), F.col("d"))).alias("num"))
     both = rows.join(share, "rep")
@@ -65,10 +65,10 @@ def permutation_draws(df: DataFrame, sp: PanelSpec, reps: int, seed: int,
     # residual treatment of a cluster: its path minus its mean minus the period means plus the grand mean
     dev = F.zip_with("d", "dt", lambda a, b: a - b)
     dev = F.transform(dev, lambda v: v - (mean_d - grand))
-    scored = both.select("rep", "W", "w", "num", dev.alias("dv"), "y").select(
-        "rep", "W", "num", (F.col("w") * dot(F.col("dv"), F.col("dv"))).alias("sdd"),
+    scored = both.select("rep", "total_w", "w", "num", dev.alias("dv"), "y").select(
+        "rep", "total_w", "num", (F.col("w") * dot(F.col("dv"), F.col("dv"))).alias("sdd"),
         (F.col("w") * dot(F.col("dv"), F.col("y"))).alias("sdy"))
-    n = F.first("W") * k
+    n = F.first("total_w") * k
     rank = k + 1
     g = float(n_clusters)
     # sum over clusters of (sdy - b sdd)^2, expanded so that one aggregate is enough
