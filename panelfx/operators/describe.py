@@ -61,7 +61,7 @@ def histogram(df: DataFrame, column: str, bins: int = 60) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequence[float],
-                    accuracy: int = 100_000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per (group, q).
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here a mergeable
@@ -71,9 +71,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
     than the sketch error at the size of the group, and the whole range when the group is tiny.
     """
     by = list(by)
-    keys = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(1))
-    base = base.select(*keys, col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    keys = by
+    base = df.select(*keys, col(value).alias("_v")).filter(F.col("_v").isNotNull())
     probs = sorted(probs)
     ladder = [2.0 / accuracy, 100.0 / accuracy, 0.01, 0.1]
 
@@ -90,17 +89,30 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
             out = F.when(F.lit(ladder[j]) >= need, a).otherwise(out)
         return out
 
-    brackets = sketch.select(*keys, "_n", F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("q"), bound(i, False).alias("lo"),
-                 bound(i, True).alias("hi")) for i, p in enumerate(probs)]).alias("_b"))
+    idx = range(len(probs))
+    brackets = sketch.select(*keys, "_n", *[bound(i, high).alias(f"_{'hi' if high else 'lo'}{i}")
+                                            for i in idx for high in (False, True)])
     v = F.col("_v")
-    inside = F.exists("_b", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
-    passed = F.aggregate("_b", F.lit(0), lambda acc, b: acc + (v > b["hi"]).cast("int"))
-    counts = (base.join(brackets.select(*keys, "_b"), keys)
+    inside, passed = F.lit(False), F.lit(0)
+    for i in idx:
+        inside = inside | v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        passed = passed + (v > F.col(f"_hi{i}")).cast("int")
+
+    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Join on the group; without groups the one-row table is a scalar subquery."""
+        if by:
+            return left.join(right, keys)
+        one = right.select(F.struct(*right.columns).alias("s")).scalar()
+        return left.withColumn("_s", one).select(*left.columns, "_s.*")
+
+    counts = (attach(base, brackets.drop("_n"))
               .select(*keys, F.when(inside, v).alias("_k"), F.when(~inside, passed).alias("_passed"))
               .groupBy(*keys, "_k", "_passed").agg(F.count(F.lit(1)).alias("_c"))
               .withColumnRenamed("_k", "_v"))
-    each = (counts.join(brackets.select(*keys, "_n", F.explode("_b").alias("b")), keys)
+    each = (attach(counts, brackets)
+            .withColumn("b", F.explode(F.array(*[
+                F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("q"), F.col(f"_lo{i}").alias("lo"),
+                         F.col(f"_hi{i}").alias("hi")) for i, p in enumerate(probs)])))
             .withColumn("_in", F.when(v.between(F.col("b.lo"), F.col("b.hi")), v))
             .withColumn("_below", F.when(F.col("_v").isNull(), F.col("_passed") <= F.col("b.i"))
                         .otherwise(v < F.col("b.lo")))

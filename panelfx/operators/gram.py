@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many columns the products are plain SQL sums; beyond it the generated code gets too large
-# and each task makes its partial matrix with one matrix product per Arrow batch.
-SQL_COLUMNS = 14
+# Up to this many columns the products are plain SQL sums; beyond it the generated method outgrows what the
+# JVM compiles, and each task makes its partial matrix with one matrix product per Arrow batch instead.
+SQL_COLUMNS = 8
 
 
 def _upper(k: int) -> list[tuple[int, int]]:

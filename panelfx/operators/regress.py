@@ -14,7 +14,7 @@ from ..functions.tails import chi2_p, f_p, normal_p, t_p, t_quantile
 from ..plans.stage import stage
 from .absorb import center_by_window
 from .design import Design
-from .gram import SQL_COLUMNS, gram, grouped_gram, independent, sum_partials, unpack
+from .gram import gram, grouped_gram, independent, sum_partials, unpack
 
 INTERCEPT = "(Intercept)"
 ESTIMATE_SCHEMA = ("term string, estimate double, std_error double, statistic double, p_value double, "
@@ -121,10 +121,13 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
     if absorb:
         base = center_by_window(base, [*xs, "_y"], "_fe", "_w")
     elif intercept:
-        # Measuring every column from one of its own values keeps large offsets out of the sums.
-        row = base.select(*xs, "_y").first()
-        origin = np.array([0.0, *list(row)[1:]])
-        base = base.withColumns({c: F.col(c) - F.lit(float(o)) for c, o in zip([*xs, "_y"], origin) if o})
+        # Measuring columns that are not 0/1 from one of their own values keeps large offsets out of the sums.
+        numeric = [c for c, (n, _) in zip(xs, full.terms) if n in full.nullable]
+        if numeric:
+            row = base.select(*numeric, "_y").first()
+            at = dict(zip([*numeric, "_y"], row or ()))
+            origin = np.array([float(at.get(c, 0.0)) for c in [*xs, "_y"]])
+            base = base.withColumns({c: F.col(c) - F.lit(float(o)) for c, o in at.items() if o})
 
     m = gram(base, [*xs, "_y"], "_w")
     k = len(xs)
@@ -136,15 +139,23 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
 
     fitted = sum((F.lit(float(v)) * F.col(c) for v, c in zip(b, used)), F.lit(0.0))
     res = base.withColumn("_e", F.col("_y") - fitted)
-    facts = res.agg(F.sum("_w" if cells else "_ok").alias("n"), F.sum("_ss").alias("ss"),
-                    F.sum(F.col("_w") * F.col("_e") * F.col("_e")).alias("rss")).first()
-    n, rss = float(facts["n"]), float(facts["rss"] + facts["ss"])
-
     rank = len(used)
     nested = bool(absorb and cluster and _nested(df, absorb, cluster))
     if absorb:
         rank += 1 if nested else df.select(absorb).distinct().count()
+    n_col = F.col("_w") if cells else F.col("_ok").cast("double")
+    rss_col = F.col("_w") * F.col("_e") * F.col("_e") + F.col("_ss")
     n_clusters, grams, dofs = None, None, None
+    if vcov == "CR1":
+        # one row per cluster: score, rows, residual sum of squares
+        scores = res.groupBy("_cl").agg(
+            *[F.sum(F.col("_w") * F.col("_e") * F.col(c)).alias(c) for c in used],
+            F.lit(1.0).alias("_one"), F.sum(n_col).alias("_n"), F.sum(rss_col).alias("_rss"))
+        g = gram(scores, [*used, "_one", "_n", "_rss"])
+        meat, n_clusters, n, rss = g[:-3, :-3], int(round(g[-3, -3])), float(g[-3, -2]), float(g[-3, -1])
+    else:
+        facts = res.agg(F.sum(n_col).alias("n"), F.sum(rss_col).alias("rss")).first()
+        n, rss = float(facts["n"]), float(facts["rss"])
     if vcov == "iid":
         v = bread * rss / (n - rank)
         dof = n - rank
@@ -157,9 +168,6 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
         v = bread @ meat @ bread * n / (n - rank)
         dof = n - rank
     elif vcov == "CR1":
-        scores = res.groupBy("_cl").agg(*[
-            F.sum(F.col("_w") * F.col("_e") * F.col(c)).alias(c) for c in used])
-        meat, n_clusters = _score_gram(scores, used)
         v = bread @ meat @ bread * (n_clusters / (n_clusters - 1)) * ((n - 1) / (n - rank))
         dof = n_clusters - 1
     elif vcov == "CR2":
@@ -196,13 +204,6 @@ def _nested(df: DataFrame, fe: str, cluster: str) -> bool:
             .filter(F.col("a") != F.col("b")).limit(1).count() == 0)
 
 
-def _score_gram(scores: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
-    if len(columns) < SQL_COLUMNS:
-        g = gram(scores.withColumn("_one", F.lit(1.0)), [*columns, "_one"])
-        return g[:-1, :-1], int(g[-1, -1])
-    return gram(scores, list(columns)), scores.count()
-
-
 def _adjust(s: np.ndarray, low: np.ndarray) -> np.ndarray:
     """W of one cluster such that the adjusted score is s + S W s, from k x k matrices only."""
     lam, vec = np.linalg.eigh(low.T @ s @ low)
