@@ -25,23 +25,27 @@ def center_by_window(df: DataFrame, columns: Sequence[str], key: str, weight: st
     return out.drop(*means)
 
 
-def center_by_join(df: DataFrame, columns: Sequence[str], key: str, weight: str | None = None) -> DataFrame:
-    """The same for keys of any size: the means are aggregated first and joined back."""
-    means = df.groupBy(F.col(key).alias("_k")).agg(*[_mean(c, weight).alias(f"_m_{c}") for c in columns])
-    out = df.join(means, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return out.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(
-        "_k", *[f"_m_{c}" for c in columns])
+def center_by_map(df: DataFrame, columns: Sequence[str], key: str, weight: str | None = None) -> DataFrame:
+    """The same for a short key such as the period, whose groups are far too large for a window.
+
+    The means become one map, read through a scalar subquery: the rows are neither shuffled nor joined,
+    and both branches share the exchange below them. The map has one entry per distinct key.
+    """
+    means = df.groupBy(F.col(key).alias("_k")).agg(*[_mean(c, weight).alias(c) for c in columns])
+    table = means.filter(F.col("_k").isNotNull()).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("_k"), F.struct(*columns)))).alias("m"))
+    out = df.withColumn("_mean", F.try_element_at(table.scalar(), F.col(key)))
+    return out.withColumns({c: F.col(c) - F.col("_mean")[c] for c in columns}).drop("_mean")
 
 
 def absorb_balanced(df: DataFrame, columns: Sequence[str], unit: str, time: str,
-                    weight: str | None = None, bounded_unit: bool = True) -> DataFrame:
+                    weight: str | None = None) -> DataFrame:
     """Two-way residuals of a balanced panel: x - mean by unit - mean by period + mean.
 
     Centering by the two keys in turn gives exactly this when every unit has every period (or, with
-    weights, when the weight of a unit is the same in all periods).
+    weights, when the weight of a unit is the same in all periods). ``time`` is the short dimension.
     """
-    first = center_by_window if bounded_unit else center_by_join
-    return center_by_join(first(df, columns, unit, weight), columns, time, weight)
+    return center_by_map(center_by_window(df, columns, unit, weight), columns, time, weight)
 
 
 def time_effects(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: Sequence[int],
@@ -78,24 +82,42 @@ def absorb_unbalanced(df: DataFrame, columns: Sequence[str], unit: str, time: st
 
 
 def absorb_iterative(df: DataFrame, columns: Sequence[str], keys: Sequence[str], tol: float = 1e-10,
-                     max_iter: int = 500, stage_every: int = 4) -> DataFrame:
-    """Residuals for any number of long fixed effects, by centering on each key in turn.
+                     max_iter: int = 500, check_every: int = 4) -> DataFrame:
+    """Residuals for any number of long fixed effects, by updating the effects of each key in turn.
 
-    The stop rule looks at the largest group mean that is left, relative to the spread of the column. The
-    table is written out every few rounds, so the plan stays short and a lost executor costs few rounds.
+    The rows are written once and never rewritten. An update is one aggregate over the rows joined with
+    the current effects of the other keys; the new effects are written out, so every plan is short, the
+    size of each effect table is known when the join is planned, and a lost executor costs a re-read.
+    The stop rule is the largest change of an effect relative to the spread of its column.
     """
-    scale = df.agg(*[F.stddev_pop(c) for c in columns]).first()
+    rows = stage(df, "rows")
+    scale = rows.agg(*[F.stddev_pop(c) for c in columns]).first()
     limit = [tol * (s or 1.0) for s in scale]
-    out = df
+    effects: dict[str, DataFrame] = {}
+
+    def net_of(keys_used: Sequence[str]) -> DataFrame:
+        out = rows
+        for key in keys_used:
+            i = keys.index(key)
+            out = out.join(effects[key], F.col(key).eqNullSafe(F.col(f"_k{i}")), "left")
+            out = out.withColumns({c: F.col(c) - F.col(f"_e{i}_{c}") for c in columns}).drop(
+                f"_k{i}", *[f"_e{i}_{c}" for c in columns])
+        return out
+
     for it in range(1, max_iter + 1):
-        for key in keys:
-            out = center_by_join(out, columns, key)
-        if it % stage_every == 0:
-            out = stage(out, "absorb")
-            left = (out.groupBy(keys[0]).agg(*[F.avg(c).alias(c) for c in columns])
-                    .agg(*[F.max(F.abs(c)) for c in columns]).first())
-            if all(v <= lim for v, lim in zip(left, limit)):
-                return out
+        before = effects.get(keys[-1])
+        for i, key in enumerate(keys):
+            others = [k for k in keys if k != key and k in effects]
+            effects[key] = stage(net_of(others).groupBy(F.col(key).alias(f"_k{i}")).agg(
+                *[F.avg(c).alias(f"_e{i}_{c}") for c in columns]), "effects")
+        if it % check_every == 0:
+            i = len(keys) - 1
+            was = before.withColumnsRenamed({f"_e{i}_{c}": f"_was_{c}" for c in columns}).withColumnRenamed(
+                f"_k{i}", "_was")
+            moved = effects[keys[-1]].join(was, F.col(f"_k{i}").eqNullSafe(F.col("_was"))).agg(
+                *[F.max(F.abs(F.col(f"_e{i}_{c}") - F.col(f"_was_{c}"))) for c in columns]).first()
+            if all(v <= lim for v, lim in zip(moved, limit)):
+                return net_of(keys)
     raise RuntimeError(f"fixed effects did not converge in {max_iter} rounds")
 
 

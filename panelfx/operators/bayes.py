@@ -111,10 +111,10 @@ def summarise_draws(df: DataFrame, columns: Sequence[str], pattern: str = r"(\d+
     draws; cohort and period are read from the parameter name."""
     long = stage(to_long(df, [], columns, "param", "value").filter(F.col("value").isNotNull()), "draws")
     q = group_quantiles(long, ["param"], "value", [0.025, 0.5, 0.975])
-    wide = q.groupBy("param").agg(
+    wide = stage(q.groupBy("param").agg(
         F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("q") == 0.025, F.col("value"))).alias("low"),
-        F.max(F.when(F.col("q") == 0.975, F.col("value"))).alias("high"))
+        F.max(F.when(F.col("q") == 0.975, F.col("value"))).alias("high")), "centers")
     dev = long.join(wide.select("param", "median"), "param").select(
         "param", F.abs(F.col("value") - F.col("median")).alias("dev"))
     mad = group_quantiles(dev, ["param"], "dev", [0.5]).select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DoseFn, col
+from ..plans.stage import stage
 from ..spec import PanelSpec
 from .panel import to_long
 
@@ -67,7 +68,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
     The built-in exact percentile keeps every distinct value of a group in one task. Here a mergeable
     sketch of bounded size gives, for each q, a bracket that must hold the two order statistics wanted.
     A second pass counts the rows under the bracket and the distinct values inside it; only those few
-    values are sorted. The bracket is chosen from a ladder of widths: the narrowest one that is wider
+    values are sorted. ``df`` is read twice. The bracket is chosen from a ladder of widths: the narrowest one that is wider
     than the sketch error at the size of the group, and the whole range when the group is tiny.
     """
     by = list(by)
@@ -92,6 +93,9 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
     idx = range(len(probs))
     brackets = sketch.select(*keys, "_n", *[bound(i, high).alias(f"_{'hi' if high else 'lo'}{i}")
                                             for i in idx for high in (False, True)])
+    if by:
+        # written out so that its size is known: small, it is broadcast and the rows are not shuffled
+        brackets = stage(brackets, "brackets")
     v = F.col("_v")
     inside, passed = F.lit(False), F.lit(0)
     for i in idx:
@@ -105,14 +109,15 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
         one = right.select(F.struct(*right.columns).alias("s")).scalar()
         return left.withColumn("_s", one).select(*left.columns, "_s.*")
 
-    counts = (attach(base, brackets.drop("_n"))
-              .select(*keys, F.when(inside, v).alias("_k"), F.when(~inside, passed).alias("_passed"))
-              .groupBy(*keys, "_k", "_passed").agg(F.count(F.lit(1)).alias("_c"))
+    carried = ["_n", *[f"_{e}{i}" for i in idx for e in ("lo", "hi")]]
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("q"), F.col(f"_lo{i}").alias("lo"),
+                               F.col(f"_hi{i}").alias("hi")) for i, p in enumerate(probs)])
+    counts = (attach(base, brackets)
+              .select(*keys, *carried, F.when(inside, v).alias("_k"), F.when(~inside, passed).alias("_passed"))
+              .groupBy(*keys, "_k", "_passed").agg(
+                  F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried])
               .withColumnRenamed("_k", "_v"))
-    each = (attach(counts, brackets)
-            .withColumn("b", F.explode(F.array(*[
-                F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("q"), F.col(f"_lo{i}").alias("lo"),
-                         F.col(f"_hi{i}").alias("hi")) for i, p in enumerate(probs)])))
+    each = (counts.withColumn("b", F.explode(spans))
             .withColumn("_in", F.when(v.between(F.col("b.lo"), F.col("b.hi")), v))
             .withColumn("_below", F.when(F.col("_v").isNull(), F.col("_passed") <= F.col("b.i"))
                         .otherwise(v < F.col("b.lo")))

@@ -106,7 +106,7 @@ def differences(df: DataFrame, sp: PanelSpec, extra: dict[str, str] | None = Non
 
 def thresholds(diffs: DataFrame, time: str, qs: Sequence[float]) -> DataFrame:
     """Per period and q, the size of change at or under which a unit counts as a stayer."""
-    return group_quantiles(diffs, [time], F.abs(F.col("d_dose")), qs).withColumnRenamed("value", "eps")
+    return stage(group_quantiles(diffs, [time], F.abs(F.col("d_dose")), qs).withColumnRenamed("value", "eps"), "eps")
 
 
 def quasi_stayers(diffs: DataFrame, time: str, q: float) -> DataFrame:
@@ -118,8 +118,8 @@ def stayer_counterfactual(diffs: DataFrame, time: str, q: float) -> DataFrame:
     """Switchers with the change they would have had on the stayers' line, and the excess ``ce``."""
     marked = quasi_stayers(diffs, time, q)
     x, y = F.col("dose_lag"), F.col("d_y")
-    line = marked.filter("is_qs").groupBy(time).agg(
-        F.regr_intercept(y, x).alias("cf_intercept"), F.regr_slope(y, x).alias("cf_slope"))
+    line = stage(marked.filter("is_qs").groupBy(time).agg(
+        F.regr_intercept(y, x).alias("cf_intercept"), F.regr_slope(y, x).alias("cf_slope")), "line")
     return (marked.filter(~F.col("is_qs")).join(line, time)
             .withColumn("cf", F.col("cf_intercept") + F.col("cf_slope") * x)
             .withColumn("ce", y - F.col("cf")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tails import t_quantile
 from ..plans.stage import stage
 from ..spec import PanelSpec
-from .absorb import center_by_join, center_by_window
+from .absorb import absorb_balanced
 from .describe import collapse
 from .panel import permute_cohorts, slots_column
 
@@ -38,7 +38,7 @@ def permutation_draws(df: DataFrame, sp: PanelSpec, reps: int, seed: int,
     n_clusters = sum(sizes.values())
     flat = cells.groupBy(sp.cluster, sp.time).agg(F.sum("n").alias("w"), F.sum("y_sum").alias("s"))
     y = flat.select(sp.cluster, sp.time, F.col("w").cast("double").alias("w"), (F.col("s") / F.col("w")).alias("y"))
-    y = center_by_join(center_by_window(y, ["y"], sp.cluster, "w"), ["y"], sp.time, "w")
+    y = absorb_balanced(y, ["y"], sp.cluster, sp.time, "w")
     wide = stage(y.groupBy(sp.cluster).agg(
         F.max("w").alias("w"),
         F.array(*[F.sum(F.when(F.col(sp.time) == F.lit(t), F.col("y"))) for t in times]).alias("y")), "wide")

@@ -24,7 +24,7 @@ def panel_cells(df: DataFrame, sp: PanelSpec, extra: Sequence[str] = (), label:
     all estimators below work on its result."""
     keys = [sp.cluster, sp.cohort, sp.time, *extra]
     out = stage(collapse(df, keys, sp.y), label)
-    return out.withColumn(sp.treat or "treat", flag(F.col(sp.time) >= F.col(sp.cohort)))
+    return out.withColumn(sp.treat, flag(F.col(sp.time) >= F.col(sp.cohort)))
 
 
 # --------------------------------------------------------------------------- two-way fixed effects
@@ -263,7 +263,7 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
 
 def etwfe_design(sp: PanelSpec, fe: str = "cluster", time_from: int | None = None) -> Design:
     """Regressors of the extended two-way model; cluster effects are absorbed and not listed."""
-    times, flag_col = list(sp.times), sp.treat or "treat"
+    times, flag_col = list(sp.times), sp.treat
     periods = [t for t in times if t >= time_from] if time_from is not None else times[1:]
     if fe == "crossed":
         cohort, time = Design().factor(sp.cohort, sp.cohorts), Design().factor(sp.time, times, ref=times[0])

@@ -13,7 +13,7 @@ from ..sources import panel_store as st
 from . import fixtures as fx
 from .registry import query
 from .sqltext import FX1, FX2, FX3, FX3D, FX4, FX5
-from .stage import checkpoint_root
+from .stage import checkpoint_root, stage
 
 SP = fx.STAGGERED
 
@@ -380,7 +380,7 @@ def a7(spark, sf):
 --result
 SELECT t, CAST(0.2 AS DOUBLE) AS q, quantile_cont(abs(d_dose), 0.2) AS value FROM fx3d GROUP BY t""", "q value")
 def a8(spark, sf):
-    d = pn.first_diff(fx.always_on(spark, sf), "unit", "t", {"dose": "d_dose"})
+    d = stage(pn.first_diff(fx.always_on(spark, sf), "unit", "t", {"dose": "d_dose"}), "diffs")
     return ds.group_quantile(d, ["t"], F.abs("d_dose"), 0.2)
 
 

@@ -22,7 +22,7 @@ class PanelSpec:
     y: str
     cluster: str | None = None
     cohort: str | None = None
-    treat: str | None = None
+    treat: str = "treat"
     dose: str | None = None
     weight: str | None = None
     times: tuple[int, ...] | None = None
