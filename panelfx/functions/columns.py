@@ -47,9 +47,14 @@ def digest(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(p).cast("string") for p in parts]))
 
 
-def coin(seed, *parts) -> Column:
-    """+1 or -1 with equal chance, from the first hex digit of the digest."""
-    return F.when(F.substring(digest(seed, *parts), 1, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
+COINS_PER_DIGEST = 32
+
+
+def coin_text(seed, reps: int, key: str) -> Column:
+    """Hex text with one digit per replicate; a digit below 8 is heads. One digest serves 32 replicates:
+    replicate r (from 1) uses digit (r - 1) mod 32 of the digest of block (r - 1) div 32."""
+    blocks = (reps + COINS_PER_DIGEST - 1) // COINS_PER_DIGEST
+    return F.concat(*[digest(seed, F.lit(b), key) for b in range(blocks)])
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str, prefix: int = 2) -> DataFrame:

@@ -52,19 +52,23 @@ def _partial_gram(columns: list[str], weight: str | None):
     return run
 
 
-def sum_partials(df: DataFrame, fn) -> np.ndarray:
-    """Run ``fn(batches) -> vector`` in every task and add the vectors up by position.
+def partial_sums(df: DataFrame, fn) -> DataFrame:
+    """Run ``fn(batches) -> vector`` in every task and add the vectors up by position: rows (i, x).
 
-    One vector leaves each task; the sum by position is an ordinary aggregate, so the driver receives
-    one vector however many tasks there are.
+    One vector leaves each task and the sum by position is an ordinary aggregate.
     """
     def partial(batches):
         v = fn(batches)
         if v is not None:
             yield pa.RecordBatch.from_pydict({"v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-    rows = (df.mapInArrow(partial, "v array<double>").select(F.posexplode("v").alias("i", "x"))
-            .groupBy("i").agg(F.sum("x").alias("x")).collect())
+    return (df.mapInArrow(partial, "v array<double>").select(F.posexplode("v").alias("i", "x"))
+            .groupBy("i").agg(F.sum("x").alias("x")))
+
+
+def sum_partials(df: DataFrame, fn) -> np.ndarray:
+    """The same vector on the driver, for results of the size of a model."""
+    rows = partial_sums(df, fn).collect()
     out = np.zeros(len(rows))
     for r in rows:
         out[r["i"]] = r["x"]

@@ -29,15 +29,19 @@ class FirstStage:
     effects: DataFrame
 
 
-def first_stage(df: DataFrame, sp: PanelSpec, group: str | None = None) -> FirstStage:
+def first_stage(df: DataFrame, sp: PanelSpec, group: str | None = None, cells: bool = False) -> FirstStage:
     """Two-way effects of the untreated rows. ``group`` is the cluster (default), the cohort or the unit.
 
-    Rows are reduced to (group, period) cells. The group effects are centered out, so the only system to
+    Rows (or with ``cells`` the sums made by ``collapse``) are reduced to (group, period) cells. The group effects are centered out, so the only system to
     solve has one unknown per period; the group effects are an aggregate and stay in Spark.
     """
     group = group or sp.cluster
     free = df.filter(F.coalesce(F.col(sp.time) < F.col(sp.cohort), F.lit(True)))
-    cells = stage(collapse(free, [group, sp.time], sp.y), "untreated").withColumns({
+    if cells:
+        sums = free.groupBy(group, sp.time).agg(*[F.sum(c).alias(c) for c in ("n", "y_sum", "y_sumsq")])
+    else:
+        sums = collapse(free, [group, sp.time], sp.y)
+    cells = stage(sums, "untreated").withColumns({
         "_y": F.col("y_sum") / F.col("n"), "_w": F.col("n").cast("double")})
     seen = {r[0] for r in cells.select(sp.time).distinct().collect()}
     periods = [t for t in sp.times if t in seen]
@@ -92,8 +96,26 @@ def impute_y0(df: DataFrame, sp: PanelSpec, group: str | None = None) -> DataFra
         "event": F.col(sp.time) - F.col(sp.cohort)})
 
 
+def impute_cells(cells: DataFrame, sp: PanelSpec, group: str | None = None) -> DataFrame:
+    """The same on (cluster, cohort, period) sums: the prediction is constant in a cell, so all averages
+    of ``y_it`` follow without another pass over the rows."""
+    return add_predictions(cells, first_stage(cells, sp, group, cells=True)).withColumns({
+        "treat": flag(F.col(sp.time) >= F.col(sp.cohort)),
+        "event": F.col(sp.time) - F.col(sp.cohort)})
+
+
+def net_cells(imputed: DataFrame) -> DataFrame:
+    """Sums of ``y_it`` and of its square per row of an imputed table, whether its rows are cells or not."""
+    if "y_sumsq" not in imputed.columns:
+        y = F.col("y_it")
+        return imputed.withColumns({"n": F.lit(1), "y_sum": y, "y_sumsq": y * y})
+    s, q, n, p = (F.col(c) for c in ("y_sum", "y_sumsq", "n", "pred"))
+    return imputed.withColumns({"y_sum": s - n * p, "y_sumsq": q - 2 * p * s + n * p * p})
+
+
 def treat_averages(imputed: DataFrame) -> DataFrame:
-    return imputed.groupBy("treat").agg(F.avg("y_it").alias("mean_y_it"), F.count("y_it").alias("n"))
+    return net_cells(imputed).filter(F.col("y_sum").isNotNull()).groupBy("treat").agg(
+        (F.sum("y_sum") / F.sum("n")).alias("mean_y_it"), F.sum("n").cast("long").alias("n"))
 
 
 def imputation_att(imputed: DataFrame, by: str | None = None, weight: Column | None = None) -> DataFrame:
@@ -101,16 +123,16 @@ def imputation_att(imputed: DataFrame, by: str | None = None, weight: Column | N
 
     ``se_second_stage`` is the heteroskedasticity-robust error of the second regression alone; it does
     not carry the uncertainty of the first stage. ``weight`` weights the rows, for example by
-    1 / pred_var.
+    1 / pred_var; for cells it must be constant in a cell.
     """
-    rows = imputed.filter((F.col("treat") == 1) & F.col("y_it").isNotNull())
+    rows = net_cells(imputed).filter((F.col("treat") == 1) & F.col("y_sum").isNotNull())
     w = F.lit(1.0) if weight is None else weight
     key = F.col(by) if by else F.lit("all")
-    y = F.col("y_it")
-    sums = rows.select(key.alias("key"), w.alias("w"), y.alias("y")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("swy"),
-        F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * F.col("w") * F.col("y")).alias("swwy"),
-        F.sum(F.col("w") * F.col("w") * F.col("y") * F.col("y")).alias("swwyy"))
+    w2 = F.col("w") * F.col("w")
+    sums = rows.select(key.alias("key"), w.alias("w"), "n", "y_sum", "y_sumsq").groupBy("key").agg(
+        F.sum("n").cast("long").alias("n"), F.sum(F.col("w") * F.col("n")).alias("sw"),
+        F.sum(F.col("w") * F.col("y_sum")).alias("swy"), F.sum(w2 * F.col("n")).alias("sww"),
+        F.sum(w2 * F.col("y_sum")).alias("swwy"), F.sum(w2 * F.col("y_sumsq")).alias("swwyy"))
     size = sums.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
     b = F.col("swy") / F.col("sw")
     rss = F.col("swwyy") - 2 * b * F.col("swwy") + b * b * F.col("sww")

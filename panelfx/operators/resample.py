@@ -11,8 +11,7 @@ from ..functions.tails import t_quantile
 from ..plans.stage import stage
 from ..spec import PanelSpec
 from .absorb import absorb_balanced
-from .describe import collapse
-from .panel import permute_cohorts, slots_column
+from .panel import permute_cohorts
 
 
 def cohort_sizes(cells: DataFrame, sp: PanelSpec) -> dict[int | None, int]:
@@ -22,18 +21,17 @@ def cohort_sizes(cells: DataFrame, sp: PanelSpec) -> dict[int | None, int]:
     return {g: got[g] for g in sorted(got, key=lambda g: (g is None, g or 0))}
 
 
-def permutation_draws(df: DataFrame, sp: PanelSpec, reps: int, seed: int,
+def permutation_draws(cells: DataFrame, sp: PanelSpec, reps: int, seed: int,
                       sizes: Mapping[int | None, int] | None = None) -> DataFrame:
     """Re-draw which clusters belong to which cohort ``reps`` times and re-estimate the static two-way
     effect each time: one row per draw with estimate, clustered error and rejection flag.
 
-    The rows are reduced to (cluster, period) cells once. The outcome, centered by cluster and period,
+    ``cells`` are (cluster, cohort, period) sums of the rows. The outcome, centered by cluster and period,
     does not depend on the draw, so a draw only needs sums over clusters of the centered outcome after
     the drawn period. What is repeated is one short row per cluster.
     """
     times = list(sp.times)
     k = len(times)
-    cells = stage(collapse(df, [sp.cluster, sp.cohort, sp.time], sp.y), "perm")
     sizes = sizes or cohort_sizes(cells, sp)
     n_clusters = sum(sizes.values())
     flat = cells.groupBy(sp.cluster, sp.time).agg(F.sum("n").alias("w"), F.sum("y_sum").alias("s"))
@@ -93,6 +91,3 @@ def permutation_test(draws: DataFrame, observed: DataFrame) -> DataFrame:
         F.first(obs).alias("observed"),
         ((F.sum((F.abs("estimate") >= F.abs(obs)).cast("int")) + 1) / (F.count("estimate") + 1)).alias("p_value"),
         F.avg(F.col("sig").cast("double")).alias("rejection_share"), F.count("estimate").alias("n_reps"))
-
-
-__all__ = ["cohort_sizes", "permutation_draws", "permutation_test", "slots_column"]

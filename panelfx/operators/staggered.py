@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import coin, flag, indicator, safe_log
+from ..functions.columns import coin_text, flag, safe_log
 from ..plans.stage import stage
 from ..spec import PanelSpec
 from .absorb import absorb_balanced
 from .describe import collapse
 from .design import Design, post_cells, pre_cells
+from .gram import partial_sums
 from .regress import Fit, ols
 
 # --------------------------------------------------------------------------- cells
@@ -100,7 +103,11 @@ def att_gt(df: DataFrame, sp: PanelSpec, control: str = "notyettreated") -> Data
     Controls are units not treated by either period. On a balanced panel the mean change is the change
     of the mean, so the sums by cohort and period are enough and no unit is joined with another.
     """
-    p = profile(df, sp, [sp.cohort])
+    return att_from_profile(profile(df, sp, [sp.cohort]), sp, control)
+
+
+def att_from_profile(p: DataFrame, sp: PanelSpec, control: str = "notyettreated") -> DataFrame:
+    """The same from a profile that has one row per cohort."""
     grid = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in att_grid(sp)])
     rows = p.withColumn("c", F.explode(grid))
     delta = F.element_at("s", F.col("c.ti") + 1) - F.element_at("s", F.col("c.bi") + 1)
@@ -206,17 +213,20 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
     """Estimates with influence-function standard errors and, with ``boot`` > 0, multiplier-bootstrap ones.
 
     ``cluster`` = the unit column gives the unclustered version. The influence of a cluster on every
-    estimand is an array made from its own row of sums, so nothing is joined; draws repeat cluster rows,
-    never panel rows, and are added up inside each task before the shuffle.
+    estimand is an array made from its own row of sums, so nothing is joined. Draws repeat cluster rows,
+    never panel rows: each task multiplies a sign matrix with its influence rows and sends on one vector.
     """
     cluster = cluster or sp.cluster
-    grid = [r.asDict() | {"n": r["n_treated"]} for r in att_gt(df, sp, control).orderBy("g", "t").collect()]
+    p = stage(profile(df, sp, [F.col(cluster).alias("cl"), F.col(sp.cohort).alias("g0")]), "profile")
+    by_cohort = p.groupBy(F.col("g0").alias(sp.cohort)).agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(len(sp.times))]).alias("s"))
+    grid = [r.asDict() | {"n": r["n_treated"]}
+            for r in att_from_profile(by_cohort, sp, control).orderBy("g", "t").collect()]
     wanted = _estimands(grid, kind)
     groups = sorted({c["g"] for c in grid})
     n_all = float(grid[0]["n_all"])
     sizes = {c["g"]: float(c["n_treated"]) for c in grid}
 
-    p = stage(profile(df, sp, [F.col(cluster).alias("cl"), F.col(sp.cohort).alias("g0")]), "profile")
     cells = F.array(*[F.struct(
         *[F.lit(c[k]).alias(k) for k in ("g", "ti", "bi", "cut")],
         F.lit(c["mean_treated"]).alias("mt"), F.lit(c["mean_control"]).alias("mc"),
@@ -250,14 +260,29 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
         [(i, e["label"], float(e["value"])) for i, e in enumerate(wanted)], "i int, term string, estimate double")
     out = names.join(analytic, "i", "left")
     if boot:
-        draws = (rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(boot))))
-                 .withColumn("sign", coin(seed, "rep", "cl"))
-                 .select("rep", "sign", F.posexplode("e").alias("i", "v"))
-                 .groupBy("rep", "i").agg((F.sum(F.col("sign") * F.col("v")) / F.lit(n_all)).alias("d")))
-        out = out.join(draws.groupBy("i").agg(F.stddev_samp("d").alias("se_boot")), "i", "left")
+        k = len(wanted)
+        sums = partial_sums(rows.select(coin_text(seed, boot, "cl").alias("h"), "e"), _signed_sums(boot, k))
+        spread = (sums.groupBy((F.col("i") % F.lit(k)).alias("i"))
+                  .agg((F.stddev_samp("x") / F.lit(n_all)).alias("se_boot")))
+        out = out.join(spread, "i", "left")
     return out.drop("i")
 
 
+def _signed_sums(boot: int, k: int, chunk: int = 2048):
+    """Per task: for every replicate the sum of the influence rows with that replicate's signs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for b in batches:
+            text = np.frombuffer("".join(b.column("h").to_pylist()).encode(), np.uint8).reshape(b.num_rows, -1)
+            e = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+            for lo in range(0, b.num_rows, chunk):
+                signs = np.where(text[lo:lo + chunk, :boot] < ord("8"), 1.0, -1.0)
+                part = signs.T @ e[lo:lo + chunk]
+                total = part if total is None else total + part
+        return None if total is None else total.ravel()
+    return run
+
+
 # --------------------------------------------------------------------------- saturated regressions
 
 

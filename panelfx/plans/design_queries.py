@@ -18,6 +18,7 @@ from . import fixtures as fx
 from .panel_queries import DOSE_FNS
 from .registry import query
 from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, demeaned, least_squares, with_list
+from .stage import stage
 
 SP, IT = fx.STAGGERED, fx.ITS
 EST = "estimate std_error"
@@ -216,7 +217,7 @@ _SHIFT = "fx4n AS (SELECT * REPLACE (y + CASE WHEN cohort = 14 AND t < 7 THEN CA
 SELECT a.term, a.estimate AS before_estimate, a.std_error AS before_std_error, b.estimate AS after_estimate, b.std_error AS after_std_error
 FROM lsa_est a JOIN lsb_est b ON b.term = a.term""", "before_estimate before_std_error after_estimate after_std_error")
 def i10(spark, sf):
-    df = fx.its_panel(spark, sf)
+    df = stage(fx.its_panel(spark, sf), "panel")
     after = pn.perturb_trend(df, "y", (F.col("cohort") == 14) & (F.col("t") < 7), F.lit(0.5) * (F.col("t") - 7))
     fits = [(n, its.its_fit(its.its_cells(d, IT), IT, cohort="full", vcov="CR1"))
             for n, d in (("before", df), ("after", after))]
@@ -383,7 +384,7 @@ b AS (SELECT sum(d * y) / sum(d * d) AS twfe FROM w)
 --result
 SELECT estimate, twfe, abs(estimate - 1.5) / abs(twfe - 1.5) AS bias_ratio FROM mean_q, b""", "estimate twfe bias_ratio")
 def t13(spark, sf):
-    df = fx.always_on(spark, sf)
+    df = stage(fx.always_on(spark, sf), "panel")
     twfe = do.always_on_twfe(df, fx.ALWAYS_ON).select("estimate")
     est = do.aoss(do.differences(df, fx.ALWAYS_ON), "t", [0.2]).select("estimate").withColumn("twfe", twfe.scalar())
     return est.withColumn("bias_ratio", do.bias_ratio(F.col("estimate"), F.col("twfe"), 1.5))

@@ -11,7 +11,6 @@ from ..operators import post as po
 from ..operators import regress as rg
 from ..operators import resample as rs
 from ..operators import staggered as sg
-from ..operators.describe import collapse
 from ..operators.design import Design
 from . import fixtures as fx
 from .registry import query
@@ -371,11 +370,16 @@ def d17(spark, sf):
     return im.impute_y0(fx.staggered(spark, sf), SP).select("unit", "year", "treat", "event", "pred", "y_it")
 
 
+def _imputed_cells(spark, sf):
+    """One pass over the rows: both stages work on the same cells."""
+    return im.impute_cells(sg.panel_cells(fx.staggered(spark, sf), SP), SP)
+
+
 @query("d18_imputation_by_treat", f"""{_fs}
 --result
 SELECT treat, avg(y_it) AS mean_y_it, count(*) AS n FROM imp GROUP BY treat""", "mean_y_it")
 def d18(spark, sf):
-    return im.treat_averages(im.impute_y0(fx.staggered(spark, sf), SP))
+    return im.treat_averages(_imputed_cells(spark, sf))
 
 
 def _imp_sql(key: str) -> str:
@@ -389,22 +393,22 @@ SELECT key, estimate, sqrt(rss * CAST(sz.n AS DOUBLE) / (sz.n - sz.k)) / rs.n AS
 
 @query("d19_imputation_simple", _imp_sql("'all'"), "estimate se_second_stage")
 def d19s(spark, sf):
-    return im.imputation_att(im.impute_y0(fx.staggered(spark, sf), SP))
+    return im.imputation_att(_imputed_cells(spark, sf))
 
 
 @query("d19_imputation_cohort", _imp_sql("cohort"), "estimate se_second_stage")
 def d19c(spark, sf):
-    return im.imputation_att(im.impute_y0(fx.staggered(spark, sf), SP), "cohort")
+    return im.imputation_att(_imputed_cells(spark, sf), "cohort")
 
 
 @query("d19_imputation_calendar", _imp_sql("year"), "estimate se_second_stage")
 def d19t(spark, sf):
-    return im.imputation_att(im.impute_y0(fx.staggered(spark, sf), SP), "year")
+    return im.imputation_att(_imputed_cells(spark, sf), "year")
 
 
 @query("d19_imputation_dynamic", _imp_sql("event"), "estimate se_second_stage")
 def d19e(spark, sf):
-    return im.imputation_att(im.impute_y0(fx.staggered(spark, sf), SP), "event")
+    return im.imputation_att(_imputed_cells(spark, sf), "event")
 
 
 @query("d20_imputation_weighted", f"""{_fs}, shares AS (
@@ -418,7 +422,7 @@ tw AS (SELECT imp.cohort AS key, y_it, 1.0 / pv AS w FROM imp JOIN vr ON vr.clus
 --result
 SELECT key, sum(w * y_it) / sum(w) AS estimate, count(*) AS n FROM tw GROUP BY key""", "estimate")
 def d20(spark, sf):
-    df = im.impute_y0(fx.staggered(spark, sf), SP)
+    df = _imputed_cells(spark, sf)
     return im.imputation_att(df, "cohort", F.lit(1.0) / F.col("pred_var")).select("key", "estimate", "n")
 
 
@@ -446,7 +450,7 @@ pr AS (SELECT pb.rep, b AS estimate, sqrt(sum(s * s) * count(*) / (count(*) - 1.
 --result
 SELECT rep, estimate, se FROM pr""", "estimate se")
 def d21(spark, sf):
-    return rs.permutation_draws(fx.staggered(spark, sf), SP, 200, 5).select("rep", "estimate", "se")
+    return rs.permutation_draws(sg.panel_cells(fx.staggered(spark, sf), SP), SP, 200, 5).select("rep", "estimate", "se")
 
 
 # 2.0638985616280205 is the 0.975 quantile of the t law with 24 degrees of freedom (25 clusters)
@@ -459,9 +463,8 @@ SELECT observed, (count(*) FILTER (WHERE abs(estimate) >= abs(observed)) + 1) /
   avg(CASE WHEN abs(estimate / se) >= 2.0638985616280205 THEN 1 ELSE 0 END) AS rejection_share, count(*) AS n_reps
 FROM pr, o GROUP BY observed""", "observed p_value rejection_share")
 def d21t(spark, sf):
-    df = fx.staggered(spark, sf)
-    cells = sg.panel_cells(df, SP)
-    return rs.permutation_test(rs.permutation_draws(df, SP, 200, 5), sg.twfe_slope(cells, "treat", "cluster", "year"))
+    cells = sg.panel_cells(fx.staggered(spark, sf), SP)
+    return rs.permutation_test(rs.permutation_draws(cells, SP, 200, 5), sg.twfe_slope(cells, "treat", "cluster", "year"))
 
 
 @query("v11_rejection_share", f"""{_PERM.replace("avg(y) AS y FROM fx1 GROUP BY 1, 2),", "avg(y0) AS y FROM fx1 GROUP BY 1, 2),", 1)}
@@ -470,7 +473,7 @@ SELECT avg(CASE WHEN abs(estimate / se) >= 2.0638985616280205 THEN 1 ELSE 0 END)
   avg(estimate) AS mean_estimate, stddev_samp(estimate) AS sd_estimate FROM pr""", "rejection_share mean_estimate sd_estimate")
 def v11(spark, sf):
     df = fx.staggered(spark, sf).withColumn("y", F.col("y0"))
-    return po.rejection_share(rs.permutation_draws(df, SP, 200, 5))
+    return po.rejection_share(rs.permutation_draws(sg.panel_cells(df, SP), SP, 200, 5))
 
 
 # --------------------------------------------------------------------------- inference
@@ -526,7 +529,7 @@ psi AS (
   FROM lng l JOIN attgt ON attgt.g = l.g AND attgt.t = l.t GROUP BY 1, 2, 3),
 nn AS (SELECT count(DISTINCT unit) AS n FROM fx1),
 se AS (SELECT g, t, sqrt(sum(psi * psi)) / max(n) AS se FROM psi, nn GROUP BY 1, 2),
-bt AS (SELECT rep, g, t, sum(CASE WHEN substr(md5(concat_ws('|', '3', rep, cl)), 1, 1) < '8' THEN psi ELSE -psi END) / max(n) AS d
+bt AS (SELECT rep, g, t, sum(CASE WHEN substr(md5(concat_ws('|', '3', (rep - 1) // 32, cl)), CAST((rep - 1) % 32 + 1 AS BIGINT), 1) < '8' THEN psi ELSE -psi END) / max(n) AS d
   FROM psi, nn, (SELECT unnest(range(1, 51)) AS rep) GROUP BY 1, 2, 3),
 sb AS (SELECT g, t, stddev_samp(d) AS se_boot FROM bt GROUP BY 1, 2)
 --result
@@ -606,7 +609,7 @@ q AS (SELECT rep, sum((CASE WHEN i IN (0, 4800) THEN 1 WHEN i % 2 = 1 THEN 4 ELS
 --result
 SELECT rep, p AS p_value, CASE WHEN p <= 0.05 THEN 1 ELSE 0 END AS sig FROM q""", "p_value")
 def v10(spark, sf):
-    draws = rs.permutation_draws(fx.staggered(spark, sf), SP, 200, 5)
+    draws = rs.permutation_draws(sg.panel_cells(fx.staggered(spark, sf), SP), SP, 200, 5)
     p = po.normal_p_value(F.col("estimate") / F.col("se"))
     return draws.select("rep", p.alias("p_value")).withColumn("sig", po.significant("p_value"))
 
@@ -722,7 +725,6 @@ def f6(spark, sf):
 --result
 SELECT 'pred event=' || event AS term, avg(y_it) AS estimate FROM imp WHERE treat = 1 GROUP BY event""", "estimate")
 def f7(spark, sf):
-    imputed = stage(im.impute_y0(fx.staggered(spark, sf), SP), "imputed")
-    cells = collapse(imputed.filter("treat = 1"), ["event"], "y_it")
+    cells = im.net_cells(_imputed_cells(spark, sf)).filter("treat = 1")
     fit = rg.ols(cells, None, Design().factor("event", range(0, 4)), intercept=False, cells=True, vcov="HC1")
     return po.group_predictions(fit, cells, ["event"], "n").select("term", "estimate")

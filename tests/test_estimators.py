@@ -59,6 +59,15 @@ def test_saturated_and_imputation_estimates_agree(staggered, cells):
             assert means[fe][g, t] == pytest.approx(want, rel=1e-9), fe
 
 
+def test_imputation_on_cells_equals_rows(staggered, cells):
+    rows, sums = im.impute_y0(staggered, SP), im.impute_cells(cells, SP)
+    for by in (None, "cohort", "event"):
+        for weight in (None, F.lit(1.0) / F.col("pred_var")):
+            a = im.imputation_att(rows, by, weight).orderBy("key").toPandas()
+            b = im.imputation_att(sums, by, weight).orderBy("key").toPandas()
+            np.testing.assert_allclose(a.drop(columns="key").astype(float), b.drop(columns="key").astype(float), rtol=1e-8)
+
+
 def test_untreated_imputation_residuals_average_to_zero(staggered):
     d = im.impute_y0(staggered, SP).filter("treat = 0")
     for key in ("year", "cluster", "cohort"):
@@ -253,7 +262,7 @@ def test_stayer_slope_brute_force(spark):
 
 def test_permutation_draw_equals_direct_fit(staggered):
     """One draw, re-estimated the long way on rows with the drawn cohorts."""
-    draws = resample.permutation_draws(staggered, SP, 3, 8)
+    draws = resample.permutation_draws(sg.panel_cells(staggered, SP), SP, 3, 8)
     row = draws.filter("rep = 2").first()
     from panelfx.operators.panel import permute_cohorts
     ids = staggered.select("cluster").distinct().withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
