@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import indicator
 
 
-def number(v) -> str:
-    return str(v)
-
-
 @dataclass
 class Design:
     """Built up call by call; each call appends terms and returns the design.
@@ -45,7 +41,7 @@ class Design:
     def factor(self, column: str, levels: Sequence, ref=None) -> "Design":
         for v in levels:
             if v != ref:
-                self.terms.append((f"{column}::{number(v)}", indicator(column, v).cast("double")))
+                self.terms.append((f"{column}::{v}", indicator(column, v).cast("double")))
         return self
 
     def interact(self, left: "Design", right: "Design") -> "Design":

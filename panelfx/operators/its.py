@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from ..plans.stage import stage
 from ..spec import PanelSpec
 from .describe import collapse
 from .design import Design
-from .regress import Fit, contrast_table, ols, tidy
+from .regress import INTERCEPT, Fit, contrast_table, ols
 
 
 def its_cells(df: DataFrame, sp: PanelSpec) -> DataFrame:
@@ -97,30 +96,19 @@ def trend_fit(cells: DataFrame, sp: PanelSpec, cohort: str = "none", vcov: str =
     return ols(cells, None, d, cells=True, cluster=sp.cluster, vcov=vcov)
 
 
-def _parts(fit: Fit, sp: PanelSpec, g: int, values: Mapping[str, float]) -> dict[str, float]:
-    """Regressor values of a cohort as weights on the terms present in the fit."""
-    out = {}
-    for term in fit.terms:
-        w = 1.0
-        for piece in term.split(":" if "::" not in term else "\0"):
-            w *= _piece(piece, sp, g, values)
-        if w:
-            out[term] = w
-    return out
-
-
-def _piece(term: str, sp: PanelSpec, g: int, values: Mapping[str, float]) -> float:
-    total = 1.0
-    rest = term
-    head = f"{sp.cohort}::"
-    if rest.startswith(head):
-        level, _, rest = rest[len(head):].partition(":")
-        total *= float(str(g) == level)
-        if not rest:
-            return total
-    if rest == "(Intercept)":
-        return total
-    return total * float(values.get(rest, 0.0))
+def _value(term: str, sp: PanelSpec, g: int, values: Mapping[str, float]) -> float:
+    """Value of a model term for a cohort: cohort indicator times regressor, either may be absent."""
+    indicator, head = 1.0, f"{sp.cohort}::"
+    if term.startswith(head):
+        level, _, term = term[len(head):].partition(":")
+        indicator = float(level == str(g))
+    if term in ("", INTERCEPT):
+        return indicator
+    return indicator * float(values.get(term, 0.0))
+
+
+def _row(fit: Fit, sp: PanelSpec, g: int, values: Mapping[str, float]) -> np.ndarray:
+    return np.array([_value(t, sp, g, values) for t in fit.terms])
 
 
 def its_effect(fit: Fit, sp: PanelSpec, at: int, weights: Mapping[int, float] | None = None) -> DataFrame:
@@ -131,8 +119,8 @@ def its_effect(fit: Fit, sp: PanelSpec, at: int, weights: Mapping[int, float] |
     for g in sp.cohorts:
         x0 = float(at - sp.times[0])
         base = {"year0": x0, "yearc": float(at - g)}
-        lo = fit.weights(_parts(fit, sp, g, base))
-        hi = fit.weights(_parts(fit, sp, g, {**base, "treat": 1.0, "since": float(at - g)}))
+        lo = _row(fit, sp, g, base)
+        hi = _row(fit, sp, g, {**base, "treat": 1.0, "since": float(at - g)})
         for name, r in (("untreated", lo), ("treated", hi), ("effect", hi - lo)):
             labels.append(f"{name} {g}")
             rows.append(r)
@@ -150,9 +138,8 @@ def its_slopes(fit: Fit, sp: PanelSpec) -> DataFrame:
     labels, rows = [], []
     for name in ("treat", "since"):
         for g in sp.cohorts:
-            lo = fit.weights(_parts(fit, sp, g, {}))
             labels.append(f"{name} {g}")
-            rows.append(fit.weights(_parts(fit, sp, g, {name: 1.0})) - lo)
+            rows.append(_row(fit, sp, g, {name: 1.0}) - _row(fit, sp, g, {}))
     return contrast_table(fit, labels, np.array(rows))
 
 
@@ -161,16 +148,3 @@ def cohort_shares(df: DataFrame, sp: PanelSpec, of: str | None = None) -> dict[i
     ids = df.select(of or sp.cluster, sp.cohort).distinct().groupBy(sp.cohort).count().collect()
     total = sum(r["count"] for r in ids)
     return {r[0]: r["count"] / total for r in ids}
-
-
-def side_by_side(fits: Sequence[tuple[str, Fit]]) -> DataFrame:
-    """Terms by model, as one long table."""
-    out = None
-    for name, f in fits:
-        part = tidy(f).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def shifted(sp: PanelSpec, y: str) -> PanelSpec:
-    return replace(sp, y=y)

@@ -213,8 +213,8 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
     """Estimates with influence-function standard errors and, with ``boot`` > 0, multiplier-bootstrap ones.
 
     ``cluster`` = the unit column gives the unclustered version. The influence of a cluster on every
-    estimand is an array made from its own row of sums, so nothing is joined. Draws repeat cluster rows,
-    never panel rows: each task multiplies a sign matrix with its influence rows and sends on one vector.
+    estimand follows from its own row of sums, so nothing is joined. Draws repeat cluster rows, never
+    panel rows: each task multiplies a sign matrix with its influence rows and sends on one vector.
     """
     cluster = cluster or sp.cluster
     p = stage(profile(df, sp, [F.col(cluster).alias("cl"), F.col(sp.cohort).alias("g0")]), "profile")
@@ -227,58 +227,78 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
     n_all = float(grid[0]["n_all"])
     sizes = {c["g"]: float(c["n_treated"]) for c in grid}
 
-    cells = F.array(*[F.struct(
-        *[F.lit(c[k]).alias(k) for k in ("g", "ti", "bi", "cut")],
-        F.lit(c["mean_treated"]).alias("mt"), F.lit(c["mean_control"]).alias("mc"),
-        F.lit(n_all / c["n_treated"]).alias("wt"), F.lit(n_all / c["n_control"]).alias("wc")) for c in grid])
-    g0, n, s = F.col("g0"), F.col("n"), F.col("s")
-
-    def influence(c: Column) -> Column:
-        delta = F.element_at(s, c["ti"] + 1) - F.element_at(s, c["bi"] + 1)
-        return (F.when(g0 == c["g"], c["wt"] * (delta - n * c["mt"]))
-                .when(_is_control(g0, c["g"], c["cut"], control), -c["wc"] * (delta - n * c["mc"]))
-                .otherwise(F.lit(0.0)))
-
-    dev = F.array(*[n * (flag(g0 == F.lit(g)) - F.lit(sizes[g] / n_all)) for g in groups])
-    targets = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in e["w"]]).alias("w"),
-                                 F.array(*[F.lit(float(x)) for x in e["c"]]).alias("c")) for e in wanted])
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-    rows = (p.withColumn("psi", F.transform(cells, influence)).withColumn("dev", dev)
-            .select("cl", F.transform(targets, lambda e: dot(F.col("psi"), e["w"]) + dot(F.col("dev"), e["c"]))
-                    .alias("e")))
-    if cluster != sp.unit:
-        # a cluster may hold several cohorts
-        flat = rows.select("cl", F.posexplode("e").alias("i", "v")).groupBy("cl", "i").agg(F.sum("v").alias("v"))
-        rows = flat.groupBy("cl").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_l")).select(
-            "cl", F.transform("_l", lambda x: x["v"]).alias("e"))
-    analytic = (rows.select(F.posexplode("e").alias("i", "v")).groupBy("i")
-                .agg((F.sqrt(F.sum(F.col("v") * F.col("v"))) / F.lit(n_all)).alias("se")))
+    influence = _influence(grid, wanted, groups, control)
+    signs = coin_text(seed, boot, "cl") if boot else F.lit("")
+    sums = _signed_sums(boot, len(wanted))
+    if cluster == sp.unit:
+        # one row per cluster already: influence and sums in the same task
+        rows = p.select("g0", "n", "s", signs.alias("h"))
+        totals = partial_sums(rows, lambda batches: sums(influence(batches)))
+    else:
+        # a cluster may hold several cohorts, so its rows are added up first
+        rows = p.select("g0", "n", "s", F.col("cl").cast("string").alias("h")).mapInArrow(
+            influence, "h string, e array<double>")
+        flat = rows.select("h", F.posexplode("e").alias("i", "v")).groupBy("h", "i").agg(F.sum("v").alias("v"))
+        per = flat.groupBy(F.col("h").alias("cl")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"))
+        totals = partial_sums(per.select(signs.alias("h"), F.col("e.v").alias("e")), sums)
+    k = len(wanted)
+    term = (F.col("i") % F.lit(k)).alias("i")
+    # the first k totals are sums of squares, then come k per replicate
+    square = F.sum(F.when(F.col("i") < k, F.col("x")))
+    spread = F.stddev_samp(F.when(F.col("i") >= k, F.col("x"))) / F.lit(n_all)
+    errors = totals.groupBy(term).agg((F.sqrt(square) / F.lit(n_all)).alias("se"),
+                                      *([spread.alias("se_boot")] if boot else []))
     names = df.sparkSession.createDataFrame(
         [(i, e["label"], float(e["value"])) for i, e in enumerate(wanted)], "i int, term string, estimate double")
-    out = names.join(analytic, "i", "left")
-    if boot:
-        k = len(wanted)
-        sums = partial_sums(rows.select(coin_text(seed, boot, "cl").alias("h"), "e"), _signed_sums(boot, k))
-        spread = (sums.groupBy((F.col("i") % F.lit(k)).alias("i"))
-                  .agg((F.stddev_samp("x") / F.lit(n_all)).alias("se_boot")))
-        out = out.join(spread, "i", "left")
-    return out.drop("i")
+    return names.join(errors, "i", "left").drop("i")
+
+
+def _influence(grid: list[dict], wanted: list[dict], groups: list[int], control: str):
+    """Per batch of profile rows, the influence of each row on every estimand; ``h`` is passed on."""
+    n_all = float(grid[0]["n_all"])
+    sizes = {c["g"]: float(c["n_treated"]) for c in grid}
+    w = np.array([e["w"] for e in wanted]).T
+    c_share = np.array([e["c"] for e in wanted]).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g0 = b.column("g0").cast(pa.float64()).to_numpy(zero_copy_only=False)  # NULL becomes NaN
+            n = b.column("n").to_numpy(zero_copy_only=False).astype(float)
+            s = b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            never = np.isnan(g0)
+            psi = np.zeros((b.num_rows, len(grid)))
+            for j, c in enumerate(grid):
+                delta = s[:, c["ti"]] - s[:, c["bi"]]
+                own = g0 == c["g"]
+                ctl = never if control == "nevertreated" else never | ((g0 > c["cut"]) & ~own)
+                psi[own, j] = (n_all / c["n_treated"] * (delta - n * c["mean_treated"]))[own]
+                psi[ctl, j] = (-n_all / c["n_control"] * (delta - n * c["mean_control"]))[ctl]
+            dev = np.column_stack([n * ((g0 == g) - sizes[g] / n_all) for g in groups])
+            e = psi @ w + dev @ c_share
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * e.shape[1])
+            yield pa.RecordBatch.from_pydict({
+                "h": b.column("h"), "e": pa.ListArray.from_arrays(offsets, pa.array(e.ravel()))})
+    return run
 
 
 def _signed_sums(boot: int, k: int, chunk: int = 2048):
-    """Per task: for every replicate the sum of the influence rows with that replicate's signs."""
+    """Per task: the sums of squares of the influence rows, then for every replicate their sum with that
+    replicate's signs."""
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
         for b in batches:
-            text = np.frombuffer("".join(b.column("h").to_pylist()).encode(), np.uint8).reshape(b.num_rows, -1)
             e = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+            text = np.frombuffer("".join(b.column("h").to_pylist()).encode(), np.uint8)
+            text = text.reshape(b.num_rows, -1) if boot else None
             for lo in range(0, b.num_rows, chunk):
-                signs = np.where(text[lo:lo + chunk, :boot] < ord("8"), 1.0, -1.0)
-                part = signs.T @ e[lo:lo + chunk]
-                total = part if total is None else total + part
+                part = e[lo:lo + chunk]
+                rows = [(part * part).sum(axis=0)[None, :]]
+                if boot:
+                    rows.append(np.where(text[lo:lo + chunk, :boot] < ord("8"), 1.0, -1.0).T @ part)
+                got = np.vstack(rows)
+                total = got if total is None else total + got
         return None if total is None else total.ravel()
     return run
 

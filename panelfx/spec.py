@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# More distinct periods than this means that the time column is not a period.
+MAX_LEVELS = 10_000
+
+
+def _levels(df: DataFrame, column: str) -> tuple[int, ...]:
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} values; it must hold periods")
+    return tuple(sorted(r[0] for r in rows))
+
+
 @dataclass(frozen=True)
 class PanelSpec:
     """Names the columns of a long panel, one row per (unit, time).
@@ -30,19 +41,11 @@ class PanelSpec:
 
     def with_levels(self, df: DataFrame) -> "PanelSpec":
         """Fill in ``times`` and ``cohorts`` from the data where they are not given."""
-        need = []
+        out = self
         if self.times is None:
-            need.append(F.collect_set(self.time).alias("times"))
+            out = replace(out, times=_levels(df, self.time))
         if self.cohorts is None and self.cohort is not None:
-            need.append(F.collect_set(self.cohort).alias("cohorts"))
-        if not need:
-            return self
-        row = df.agg(*need).first().asDict()
-        out = self
-        if "times" in row:
-            out = replace(out, times=tuple(sorted(row["times"])))
-        if "cohorts" in row:
-            out = replace(out, cohorts=tuple(sorted(row["cohorts"])))
+            out = replace(out, cohorts=_levels(df, self.cohort))
         return out
 
     def profile(self, df: DataFrame) -> DataFrame:

@@ -99,6 +99,9 @@ def test_no_private_folder_on_a_cluster():
         def getConf(self):
             return Conf()
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         conf, sparkContext = Conf(), Context()
 
