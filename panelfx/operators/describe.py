@@ -75,7 +75,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
     keys = by
     base = df.select(*keys, col(value).alias("_v")).filter(F.col("_v").isNotNull())
     probs = sorted(probs)
-    ladder = [2.0 / accuracy, 100.0 / accuracy, 0.01, 0.1]
+    ladder = [2.0 / accuracy, 20.0 / accuracy, 200.0 / accuracy, 0.1]
 
     sketch = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),

@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (DoseFn, block_of, col, digest, flag, hash_rank, indicator,
-                                 is_treated, lit_array, safe_log)
+from ..functions.columns import (DoseFn, block_of, digest, hash_rank, indicator, is_treated,
+                                 lit_array, safe_log)
 from ..spec import PanelSpec
 
 # Beyond this many (period, measure) pairs the conditional sums of one aggregate get too wide.

@@ -117,6 +117,22 @@ def i4(spark, sf):
     return _terms(_full_fit(spark, sf))
 
 
+@query("i3_its_level_overlap", f"""{with_list(FX4, _ls4(["yearc", "treat", "since", "cohort_14"], ["yearc", "treat", "since", "cohort::14"], where="yearc BETWEEN -9 AND 5"), recursive=True)}
+--result
+SELECT * FROM ls_est""", EST)
+def i3o(spark, sf):
+    cells = pn.overlap_window(its.its_cells(fx.its_panel(spark, sf), IT), -9, 5, "yearc")
+    return _terms(its.its_fit(cells, IT, "yearc", "level", vcov="CR1"))
+
+
+@query("i4_its_interacted_overlap", f"""{with_list(FX4, _ls4([x.replace("year0", "yearc") for x in _FULL_X], [n.replace("year0", "yearc") for n in _FULL_N], where="yearc BETWEEN -9 AND 5"), recursive=True)}
+--result
+SELECT * FROM ls_est""", EST)
+def i4o(spark, sf):
+    cells = pn.overlap_window(its.its_cells(fx.its_panel(spark, sf), IT), -9, 5, "yearc")
+    return _terms(its.its_fit(cells, IT, "yearc", "full", vcov="CR1"))
+
+
 @query("i4_its_interacted_cr2")
 def i4c(spark, sf):
     return rg.tidy(_full_fit(spark, sf, "CR2"))
@@ -252,6 +268,13 @@ def t1(spark, sf):
     return do.dose_twfe(fx.two_period(spark, sf), fx.TWO_PERIOD)
 
 
+@query("r2_dose_line", f"""WITH {FX2}
+--result
+SELECT regr_intercept(delta_y, dose) AS intercept, regr_slope(delta_y, dose) AS slope FROM fx2w""", "intercept slope")
+def r2d(spark, sf):
+    return do.dose_line(fx.two_period(spark, sf), fx.TWO_PERIOD)
+
+
 @query("t2_mean_true_effect", f"""WITH {FX2}
 --result
 SELECT avg(20 * exp(-dose / 4)) AS att FROM fx2w""", "att")

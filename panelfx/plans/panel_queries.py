@@ -342,6 +342,14 @@ def a3(spark, sf):
     return ds.grand_means(fx.staggered(spark, sf), SP)
 
 
+@query("a3_event_grand_means", f"""WITH {FX4}
+--result
+SELECT CAST(cohort AS INTEGER) AS cohort, CAST(yearc AS INTEGER) AS yearc, avg(y) AS mean_y, count(*) AS n, CAST(grouping(cohort) AS INTEGER) AS is_total
+FROM fx4 WHERE yearc BETWEEN -9 AND 5 GROUP BY GROUPING SETS ((cohort, yearc), (yearc))""", "mean_y")
+def a3e(spark, sf):
+    return ds.grand_means(pn.overlap_window(fx.its_panel(spark, sf), -9, 5, "yearc"), fx.ITS, "yearc")
+
+
 @query("a4_treat_means", f"""WITH {FX1}
 --result
 SELECT year, treat, avg(y) AS mean_y, count(*) AS n FROM fx1 GROUP BY 1, 2""", "mean_y")
@@ -349,6 +357,13 @@ def a4(spark, sf):
     return ds.treat_means(fx.staggered(spark, sf), "y", "treat", "year")
 
 
+@query("a4_treat_means_overall", f"""WITH {FX1}
+--result
+SELECT treat, avg(y) AS mean_y, count(*) AS n FROM fx1 GROUP BY 1""", "mean_y")
+def a4o(spark, sf):
+    return ds.treat_means(fx.staggered(spark, sf), "y", "treat")
+
+
 @query("a5_true_effect_means", f"""WITH {FX4}
 --result
 SELECT CAST(cohort AS INTEGER) AS cohort, avg(tau) AS mean_effect, count(*) AS n FROM fx4 WHERE treat = 1 GROUP BY 1""", "mean_effect")

@@ -46,10 +46,6 @@ def outcome_cells(df: DataFrame, unit: str, time: str, aggs: dict[str, Column])
     return df.groupBy(unit, time).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def calendar_year(ts: str) -> Column:
-    return F.year(F.col(ts))
-
-
 def between_dates(ts: str, lo: str, hi: str) -> Column:
     """Half-open date range on the raw column, which the parquet reader can use to skip row groups."""
     kind = "timestamp_ntz"

@@ -322,3 +322,52 @@ def test_pretrend_of_a_parallel_panel_is_not_rejected(spark):
     assert rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")]).first().p_f > 0.01
     eff = {r.term: r.estimate for r in sg.att_inference(df, sp, "simple").collect()}
     assert eff["simple"] == pytest.approx(2.0, abs=0.3)
+
+
+def test_average_predictions_and_slopes_brute_force(staggered, cells):
+    from panelfx.operators import post
+    fit = sg.etwfe(cells, SP, "cohort")
+    treated = cells.filter("treat = 1")
+    pred = {r.term: r for r in post.avg_predictions(fit, treated, "treat", weight="n").collect()}
+    slope = post.slopes(fit, treated, "treat", weight="n").first()
+    assert slope.estimate == pytest.approx(pred["treat=1"].estimate - pred["treat=0"].estimate, rel=1e-9)
+    rows = rg.predict(fit, staggered.filter("treat = 1")).agg(F.avg("pred").alias("m")).first().m
+    assert pred["treat=1"].estimate == pytest.approx(rows, rel=1e-9)
+    # the saturated model reproduces the treated mean
+    assert rows == pytest.approx(staggered.filter("treat = 1").agg(F.avg("y")).first()[0], rel=1e-9)
+
+
+def test_grids(spark):
+    from panelfx.operators.describe import dose_grid
+    from panelfx.operators.post import value_grid
+    g = value_grid(spark, year0=[19], treat=[0, 1], since=[0, 10])
+    assert sorted(tuple(r) for r in g.collect()) == [(19, 0, 0), (19, 0, 10), (19, 1, 0), (19, 1, 10)]
+    c = dose_grid(spark, 1.0, 25.0, 200, {"half": lambda d: d / 2}).orderBy("d").toPandas()
+    assert len(c) == 200 and c.d.iloc[0] == 1.0 and c.d.iloc[-1] == pytest.approx(25.0)
+    np.testing.assert_allclose(c.tau, c.d / 2)
+
+
+def test_bootstrap_spread_approaches_the_analytic_error(staggered):
+    rows = sg.att_inference(staggered, SP, "simple", cluster="unit", boot=1000).collect()
+    assert rows[0].se_boot == pytest.approx(rows[0].se, rel=0.12)
+
+
+def test_clusters_with_several_cohorts(spark, staggered):
+    """Influence sums by cluster when cohorts are mixed inside clusters."""
+    df = staggered.withColumn("cluster", (F.col("unit") % 7).cast("int"))
+    got = {r.term: r.se for r in sg.att_inference(df, SP, "gt").collect()}
+    p = df.toPandas()
+    w = p.pivot(index="unit", columns="year", values="y")
+    g, cl, n = p.groupby("unit").cohort.first(), p.groupby("unit").cluster.first(), w.shape[0]
+    for c, t in [(1997, 1998), (1999, 1997)]:
+        b = c - 1 if t >= c else t - 1
+        d = w[t] - w[b]
+        own, ctl = g == c, g.isna() | ((g > max(t, b)) & (g != c))
+        psi = own * n / own.sum() * (d - d[own].mean()) - ctl * n / ctl.sum() * (d - d[ctl].mean())
+        assert got[f"ATT({c},{t})"] == pytest.approx(np.sqrt((psi.groupby(cl).sum() ** 2).sum()) / n, rel=1e-9)
+
+
+def test_entry_runs(spark):
+    from __spark_entry__ import entry
+    df = entry(spark)
+    assert df.columns == ["kind", "key", "att"] and df.count() == 8
