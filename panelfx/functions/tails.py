@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 
 def normal_p(z: float) -> float:
@@ -83,6 +84,7 @@ def chi2_p(x: float, k: float) -> float:
     return head * h
 
 
+@lru_cache(maxsize=1024)
 def t_quantile(p: float, df: float) -> float:
     """Inverse of the t law by bisection on the two-sided tail."""
     if p == 0.5:

@@ -48,7 +48,7 @@ def ridge_posterior(cells: DataFrame, design: Design, prior_sd: float, intercept
 
 
 def random_intercept(cells: DataFrame, cluster: str, design: Design, prior_sd: float = 100.0,
-                     intercept_sd: float | None = None, passes: int = 6, grid: int = 24) -> DataFrame:
+                     intercept_sd: float | None = None, passes: int = 10, grid: int = 24) -> DataFrame:
     """Linear model with a normal intercept per cluster: restricted maximum likelihood for the two variances,
     then the normal posterior of the coefficients given them.
 

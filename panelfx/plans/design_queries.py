@@ -17,7 +17,7 @@ from . import effect_queries as eq
 from . import fixtures as fx
 from .panel_queries import DOSE_FNS
 from .registry import query
-from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, demeaned, least_squares, with_list
+from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, bias_reduced, demeaned, least_squares, with_list
 from .stage import stage
 
 SP, IT = fx.STAGGERED, fx.ITS
@@ -133,9 +133,12 @@ def i4o(spark, sf):
     return _terms(its.its_fit(cells, IT, "yearc", "full", vcov="CR1"))
 
 
-@query("i4_its_interacted_cr2")
+@query("i4_its_interacted_cr2", f"""{with_list(FX4, _ls4(_FULL_X, _FULL_N, "iid"), bias_reduced(), recursive=True)}
+--result
+SELECT list_extract(['(Intercept)', {", ".join(f"'{n}'" for n in _FULL_N)}], b.i) AS term, b.b AS estimate, std_error, df
+FROM ls_b b JOIN cr2 ON cr2.i = b.i""", "estimate std_error df")
 def i4c(spark, sf):
-    return rg.tidy(_full_fit(spark, sf, "CR2"))
+    return eq.reduced_table(spark, _full_fit(spark, sf, "CR2"))
 
 
 @query("i5_its_level_change", f"""{with_list(FX4, _ls4(["year0", "treat", "cohort_14"], ["year0", "treat", "cohort::14"]), recursive=True)}

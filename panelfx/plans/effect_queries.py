@@ -12,9 +12,11 @@ from ..operators import regress as rg
 from ..operators import resample as rs
 from ..operators import staggered as sg
 from ..operators.design import Design
+from ..operators.its import its_cells, its_fit
 from . import fixtures as fx
 from .registry import query
-from .sqltext import FX1, FX1_GRID, FX2, FX3, FX3W, FX4, FX5, demeaned, least_squares, with_list
+from .sqltext import (FX1, FX1_GRID, FX2, FX3, FX3W, FX4, FX5, bias_reduced, demeaned, least_squares,
+                      with_list)
 from .stage import stage
 
 SP = fx.STAGGERED
@@ -503,16 +505,21 @@ def v3(spark, sf):
     return _its_level(spark, sf, "CR1")
 
 
-@query("v4_vcov_cr2")
+@query("v4_vcov_cr2", f"""{with_list(FX4, _plain(_IX, _ITS_N, "iid", "fx4"), bias_reduced(), recursive=True)}
+--result
+SELECT list_extract(['(Intercept)', 'year0', 'treat', 'since', 'cohort::14'], b.i) AS term, b.b AS estimate, std_error, df
+FROM ls_b b JOIN cr2 ON cr2.i = b.i""", "estimate std_error df")
 def v4(spark, sf):
-    from ..operators.its import its_cells, its_fit
-    fit = its_fit(its_cells(fx.its_panel(spark, sf), fx.ITS), fx.ITS, "year0", "level")
+    return reduced_table(spark, its_fit(its_cells(fx.its_panel(spark, sf), fx.ITS), fx.ITS, "year0", "level"))
+
+
+def reduced_table(spark, fit):
+    """Estimates with bias-reduced errors and their degrees of freedom."""
     dof = spark.createDataFrame([(t, float(d)) for t, d in zip(fit.terms, fit.df)], "term string, df double")
-    return rg.tidy(fit).join(dof, "term").select("term", "estimate", "std_error", "df", "p_value", "conf_low", "conf_high")
+    return rg.tidy(fit).join(dof, "term").select("term", "estimate", "std_error", "df")
 
 
 def _its_level(spark, sf, vcov):
-    from ..operators.its import its_cells, its_fit
     return _term_table(its_fit(its_cells(fx.its_panel(spark, sf), fx.ITS), fx.ITS, "year0", "level", vcov=vcov))
 
 
@@ -697,10 +704,15 @@ def f4(spark, sf):
     return rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")]).select("n_restrictions", "chi2", "f")
 
 
-@query("f4_wald_p_values")
+# tail areas in closed form: chi-square with 4, F with 4 and an even number of degrees of freedom
+@query("f4_wald_p_values", f"""{_PRE}, {_WALD_ELIM.strip()},
+wt AS (SELECT sum(b.b * w.v) AS x FROM w_g w JOIN ls_b b ON b.i = w.i + 1 WHERE w.p = 4 AND w.j = 5),
+fz AS (SELECT x, CAST(24 AS DOUBLE) / (24 + x) AS z FROM wt)
+--result
+SELECT exp(-x / 2) * (1 + x / 2) AS p_chi2, pow(z, 12) * (1 + 12 * (1 - z)) AS p_f FROM fz""", "p_chi2 p_f")
 def f4p(spark, sf):
     fit = sg.pretrend_cells(sg.panel_cells(fx.staggered(spark, sf), SP), SP)
-    return rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")])
+    return rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")]).select("p_chi2", "p_f")
 
 
 _D10 = with_list(FX1, _plain([*CELL_SQL, *_cx, *_ty], [*CELL_NAMES, *_cn, *_tn], "CR1"), recursive=True)

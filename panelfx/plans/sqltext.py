@@ -167,6 +167,36 @@ def least_squares(rows: str, xs: Sequence[str], names: Sequence[str], vcov: str
     return out
 
 
+def bias_reduced(terms: int = 240) -> str:
+    """Table ``cr2`` (i, std_error, df) on top of ``least_squares``: the inverse square root of I - H of a
+    cluster is expanded in powers of M S, with S the cluster's cross products and M the inverse of the total."""
+    return f"""
+cs AS MATERIALIZED (SELECT a.cl, a.j AS i, b.j AS l, sum(a.x * b.x) AS v FROM ls_x a JOIN ls_x b ON a.rn = b.rn GROUP BY 1, 2, 3),
+ms AS MATERIALIZED (SELECT cs.cl, m.i, cs.l, sum(m.v * cs.v) AS v FROM ls_inv m JOIN cs ON cs.i = m.j GROUP BY 1, 2, 3),
+sc AS (SELECT x.cl, x.j AS i, sum(x.x * e.e) AS v FROM ls_x x JOIN ls_e e ON e.rn = x.rn GROUP BY 1, 2),
+sm AS (SELECT cs.cl, m.j AS c, cs.i, sum(cs.v * m.v) AS v FROM cs JOIN ls_inv m ON m.i = cs.l GROUP BY 1, 2, 3),
+arg AS (SELECT cl, 0 AS c, i, v FROM sc UNION ALL SELECT cl, c, i, v FROM sm),
+pw(n, cl, c, i, v) AS (
+  SELECT 0, arg.cl, arg.c, m.i, sum(m.v * arg.v) FROM arg JOIN ls_inv m ON m.j = arg.i GROUP BY arg.cl, arg.c, m.i
+  UNION ALL
+  SELECT p.n + 1, p.cl, p.c, ms.i, sum(ms.v * p.v) FROM pw p JOIN ms ON ms.cl = p.cl AND ms.l = p.i
+  WHERE p.n < {terms} GROUP BY p.n + 1, p.cl, p.c, ms.i),
+wx AS (
+  SELECT cl, c, i, sum(v * exp(lgamma(2 * n + 3) - 2 * lgamma(n + 2) - (n + 1) * ln(CAST(4 AS DOUBLE)))) AS v FROM pw GROUP BY 1, 2, 3),
+ad AS (SELECT sc.cl, sc.i, max(sc.v) + sum(cs.v * wx.v) AS v FROM sc JOIN cs ON cs.cl = sc.cl AND cs.i = sc.i
+  JOIN wx ON wx.cl = sc.cl AND wx.c = 0 AND wx.i = cs.l GROUP BY 1, 2),
+qq AS (SELECT wx.cl, wx.c, wx.i, wx.v + m.v AS v FROM wx JOIN ls_inv m ON m.i = wx.i AND m.j = wx.c),
+uu AS (SELECT cs.cl, qq.c, cs.i, sum(cs.v * qq.v) AS v FROM cs JOIN qq ON qq.cl = cs.cl AND qq.i = cs.l GROUP BY 1, 2, 3),
+dd AS (SELECT qq.cl, qq.c, sum(qq.v * uu.v) AS v FROM qq JOIN uu ON uu.cl = qq.cl AND uu.c = qq.c AND uu.i = qq.i GROUP BY 1, 2),
+mu AS (SELECT uu.cl, uu.c, m.i, sum(m.v * uu.v) AS v FROM uu JOIN ls_inv m ON m.j = uu.i GROUP BY 1, 2, 3),
+om AS (SELECT a.c, a.cl AS ca, b.cl AS cb, -sum(a.v * b.v) + CASE WHEN a.cl = b.cl THEN max(dd.v) ELSE 0 END AS v
+  FROM uu a JOIN mu b ON b.c = a.c AND b.i = a.i JOIN dd ON dd.cl = a.cl AND dd.c = a.c GROUP BY 1, 2, 3),
+dfs AS (SELECT c AS i, sum(CASE WHEN ca = cb THEN v ELSE 0 END) * sum(CASE WHEN ca = cb THEN v ELSE 0 END) / sum(v * v) AS df FROM om GROUP BY c),
+am AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM ad a JOIN ad b ON b.cl = a.cl GROUP BY 1, 2),
+vs AS (SELECT l.i, sqrt(sum(l.v * am.v * r.v)) AS std_error FROM ls_inv l JOIN am ON am.i = l.j JOIN ls_inv r ON r.i = am.j AND r.j = l.i GROUP BY l.i),
+cr2 AS (SELECT vs.i, std_error, df FROM vs JOIN dfs ON dfs.i = vs.i)"""
+
+
 def with_list(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts)
 
