@@ -90,8 +90,11 @@ def always_on_twfe(df: DataFrame, sp: PanelSpec, controls: Sequence[str] = ()) -
 
 
 def always_on_fit(df: DataFrame, sp: PanelSpec, controls: Sequence[str] = (), vcov: str = "CR1") -> Fit:
+    """The same with standard errors and any number of controls."""
     d = Design().main(sp.dose, *controls).factor(sp.time, sp.times, ref=sp.times[0])
-    return ols(df, sp.y, d, absorb=sp.unit, cluster=sp.cluster or sp.unit, vcov=vcov)
+    cluster = sp.cluster or sp.unit
+    rows = stage(df.select(*dict.fromkeys([sp.unit, sp.time, sp.y, sp.dose, *controls, cluster])), "panel")
+    return ols(rows, sp.y, d, absorb=sp.unit, cluster=cluster, vcov=vcov)
 
 
 # --------------------------------------------------------------------------- quasi-stayers

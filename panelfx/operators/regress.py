@@ -93,6 +93,8 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
     ``cells`` says that the rows are cells made by ``collapse`` (columns n, y_sum, y_sumsq); coefficients
     and all covariances are then those of the underlying rows. ``absorb`` names one fixed effect to
     remove by centering; its groups must be small (units or cells: at most one row per period).
+    The rows are read two or three times, so a panel that is costly to make should be staged or
+    materialised first.
     ``vcov`` is iid, HC1, CR1 or CR2.
     """
     if not isinstance(design, Design):

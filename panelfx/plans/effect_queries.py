@@ -76,7 +76,7 @@ X3, N3 = ["dose", "control"], ["dose", "control"]
 --result
 SELECT * FROM ls_est""", EST)
 def r1(spark, sf):
-    return _term_table(rg.ols(fx.always_on(spark, sf), "y", ["dose", "control"]))
+    return _term_table(rg.ols(stage(fx.always_on(spark, sf), "panel"), "y", ["dose", "control"]))
 
 
 @query("r2_line_fit", f"""WITH {FX3}
@@ -162,7 +162,7 @@ def r6(spark, sf):
 --result
 SELECT term, estimate, std_error, false AS dropped FROM ls_est UNION ALL SELECT 'sum', NULL, NULL, true""", EST)
 def r7(spark, sf):
-    df = fx.always_on(spark, sf).withColumn("sum", F.col("dose") + 2 * F.col("control") + 3)
+    df = stage(fx.always_on(spark, sf), "panel").withColumn("sum", F.col("dose") + 2 * F.col("control") + 3)
     return rg.tidy(rg.ols(df, "y", ["dose", "control", "sum"])).select("term", "estimate", "std_error", "dropped")
 
 
@@ -171,7 +171,7 @@ def r7(spark, sf):
 --result
 SELECT 'dose' AS term, sum(y1 * (dose - mx) * (delta_y - my)) / sum(y1 * (dose - mx) * (dose - mx)) AS estimate FROM fx2w, w""", "estimate")
 def r8(spark, sf):
-    wide = pn.two_period_delta(fx.two_period(spark, sf), "unit", "period", "y", ["dose"])
+    wide = stage(pn.two_period_delta(fx.two_period(spark, sf), "unit", "period", "y", ["dose"]), "delta")
     return rg.tidy(rg.ols(wide, "delta_y", ["dose"], weight="y1"), ["dose"]).select("term", "estimate")
 
 
