@@ -17,6 +17,9 @@ def duck(sf_dir):
 def test_query(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan
     if name not in SQL:
         assert rows
         return
