@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import coin_text, flag, safe_log
@@ -84,11 +84,22 @@ def att_grid(sp: PanelSpec) -> list[dict]:
 
 def profile(df: DataFrame, sp: PanelSpec, by: Sequence[str]) -> DataFrame:
     """One row per group with its number of units and its outcome sum in every period, from one
-    aggregate with partial sums before the shuffle."""
-    y = F.col(sp.y)
-    sums = [F.sum(F.when(F.col(sp.time) == F.lit(t), y)) for t in sp.times]
-    n = F.count(F.when(F.col(sp.time) == F.lit(sp.times[0]), y))
-    return df.groupBy(*by).agg(n.alias("n"), F.array(*sums).alias("s"))
+    aggregate with partial sums before the shuffle. A mean change is the change of the mean only if the
+    same units have an outcome in every period; a group whose counts differ stops the query."""
+    at = [F.when(F.col(sp.time) == F.lit(t), F.col(sp.y)) for t in sp.times]
+    counted = df.groupBy(*by).agg(F.array(*[F.count(y) for y in at]).alias("_c"),
+                                  F.array(*[F.sum(y) for y in at]).alias("s"))
+    keep = [c for c in counted.columns if c not in ("_c", "s")]
+    n = F.col("_c")[0]
+    stop = F.raise_error(F.lit(f"{sp.y} is missing for some units in some periods; see complete_units"))
+    return counted.select(*keep, n.alias("n"), F.when(
+        F.array_min("_c") == F.array_max("_c"), F.col("s")).otherwise(stop.cast("array<double>")).alias("s"))
+
+
+def complete_units(df: DataFrame, sp: PanelSpec) -> DataFrame:
+    """Only the units that have an outcome in every period."""
+    seen = F.count(F.col(sp.y)).over(Window.partitionBy(sp.unit))
+    return df.withColumn("_seen", seen).filter(F.col("_seen") == len(sp.times)).drop("_seen")
 
 
 def _is_control(cohort: Column, g: Column, cut: Column, control: str) -> Column:
@@ -349,5 +360,7 @@ def pretrend_linear(df: DataFrame, sp: PanelSpec, log: bool = False, vcov: str =
 
 
 def logged(df: DataFrame, sp: PanelSpec) -> tuple[DataFrame, PanelSpec]:
-    """The panel with the logarithm of the outcome as outcome."""
-    return df.withColumn(f"log_{sp.y}", safe_log(sp.y)), replace(sp, y=f"log_{sp.y}")
+    """The panel with the logarithm of the outcome as outcome, without units whose outcome is not positive
+    in some period."""
+    logs = replace(sp, y=f"log_{sp.y}")
+    return complete_units(df.withColumn(logs.y, safe_log(sp.y)), logs), logs

@@ -230,8 +230,9 @@ def d3n(spark, sf):
     return sg.att_table(sg.att_gt(fx.staggered(spark, sf), SP, control="nevertreated"))
 
 
-# On a logarithm some units have no value in some years; only units observed in all years are compared.
-_LOGGED = ("fx1_all AS (SELECT * FROM fx1), fxl AS (SELECT unit, cluster, cohort, year, ln(y + 1) AS y FROM fx1_all), ")
+# On a logarithm some units have no value in some years; only units with a value in all years are compared.
+_LOGGED = ("fxl AS (SELECT unit, cluster, cohort, year, ln(y) AS y FROM fx1 "
+           "WHERE unit IN (SELECT unit FROM fx1 GROUP BY unit HAVING min(y) > 0)), ")
 _ATT_LOG = _ATT.replace("prof AS (", _LOGGED + "prof AS (").replace(
     "ct AS (SELECT cohort, year AS yr, sum(y) AS s, count(*) AS n FROM fx1 GROUP BY 1, 2)",
     "ct AS (SELECT cohort, year AS yr, sum(y) AS s, count(*) AS n FROM fxl GROUP BY 1, 2)")
@@ -241,8 +242,7 @@ _ATT_LOG = _ATT.replace("prof AS (", _LOGGED + "prof AS (").replace(
 --result
 SELECT g, t, event, post, att, n_treated, n_control FROM attgt""", "att")
 def d4(spark, sf):
-    # outcomes can be zero here, so the logarithm is taken of 1 + y
-    df, sp = sg.logged(fx.staggered(spark, sf).withColumn("y", F.col("y") + 1), SP)
+    df, sp = sg.logged(fx.staggered(spark, sf), SP)
     return sg.att_table(sg.att_gt(df, sp))
 
 

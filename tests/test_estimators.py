@@ -352,6 +352,15 @@ def test_bootstrap_spread_approaches_the_analytic_error(staggered):
     assert rows[0].se_boot == pytest.approx(rows[0].se, rel=0.12)
 
 
+def test_missing_outcomes_stop_or_drop_units(staggered):
+    holes = staggered.withColumn("y", F.when((F.col("unit") % 10 != 3) | (F.col("year") != 1998), F.col("y")))
+    with pytest.raises(Exception, match="complete_units"):
+        att(holes)
+    whole = att(staggered.filter("unit % 10 <> 3"))
+    got = att(sg.complete_units(holes, SP))
+    assert all(got[k] == pytest.approx(whole[k], rel=1e-12) for k in whole)
+
+
 def test_clusters_with_several_cohorts(spark, staggered):
     """Influence sums by cluster when cohorts are mixed inside clusters."""
     df = staggered.withColumn("cluster", (F.col("unit") % 7).cast("int"))
