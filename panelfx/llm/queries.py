@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import decontaminate, simhash, toxicity
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 5, 0)))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op2_decontaminate"] = """
+WITH words AS (
+  SELECT id, kind, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (
+    SELECT doc_id AS id, 'd' AS kind, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+    UNION ALL SELECT item_id, 'i', text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+items AS (
+  SELECT DISTINCT id AS item_id, least(5, len(w)) AS k,
+         unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+                               i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS shingle
+  FROM words WHERE kind = 'i' AND len(w) > 0),
+widths AS (SELECT DISTINCT k FROM items),
+docs AS (
+  SELECT DISTINCT id AS doc_id, k,
+         unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS shingle
+  FROM words, widths WHERE kind = 'd'),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM docs JOIN items USING (k, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-12
+"""
