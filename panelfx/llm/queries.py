@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, simhash, toxicity
+from . import bpe, decontaminate, simhash, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SQL["op2_decontaminate"] = """
+SQL["op2_decontaminate"] = r"""
 WITH words AS (
   SELECT id, kind, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (
     SELECT doc_id AS id, 'd' AS kind, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -60,3 +60,14 @@ SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS conta
 FROM docs JOIN items USING (k, shingle) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-12
 """
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
