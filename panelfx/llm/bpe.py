@@ -271,3 +271,22 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     return per_row(src, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+
+
+def recode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and the text decoded from them, of every whole text; nulls as in ``encode``."""
+    packed = load(path)
+    src = keyed(docs, doc_id, text).toDF("doc_id", "text")
+
+    def make():
+        tok = Tokenizer(zlib.decompress(packed))
+
+        def row(r: dict) -> tuple:
+            state, ids, parts = tok.decoder(), [], []
+            for block in tok.encode(r["text"]):
+                ids += block
+                parts.append(state.feed(block))
+            return r["doc_id"], len(ids), ids, "".join(parts) + state.finish()
+        return row
+
+    return per_row(src, make, "doc_id long, n_tokens long, ids array<int>, text string")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 from .common import held_out
+from .components import reliable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,12 +49,12 @@ WITH words AS (
 items AS (
   SELECT DISTINCT id AS item_id, least(5, len(w)) AS k,
          unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
-                               i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS shingle
+                               lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS shingle
   FROM words WHERE kind = 'i' AND len(w) > 0),
 widths AS (SELECT DISTINCT k FROM items),
 docs AS (
   SELECT DISTINCT id AS doc_id, k,
-         unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS shingle
+         unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS shingle
   FROM words, widths WHERE kind = 'd'),
 sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
@@ -71,3 +72,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query
 def op4_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op10_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = reliable(pii.scan(docs).drop("text"))
+    spans = pii.found(scanned, pii.fit(scanned))
+    counts = [F.size(F.filter("base", _of_kind(n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+                        pii.written(F.col("spans")).alias("spans"))
+
+
+def _of_kind(n: int):
+    return lambda x: x["kind"] == n

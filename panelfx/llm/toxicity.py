@@ -10,8 +10,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keyed, per_row
 
@@ -167,3 +168,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         return row
 
     return per_row(src, make, "doc_id long, score double, predicted int")
+
+
+def score_column(text: Column, model: Model) -> Column:
+    """The score of a text column, for filtering a table without a join."""
+    made: list = []
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(model.scorer())
+        return pd.Series([made[0](t) for t in texts], dtype=float)
+
+    return of(text)
