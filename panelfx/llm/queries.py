@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import bpe, decontaminate, langid, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -86,3 +86,52 @@ def op10_pii(spark, sf_dir):
 
 def _of_kind(n: int):
     return lambda x: x["kind"] == n
+
+
+PLACES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+@query
+def op5_urls(spark, sf_dir):
+    rules = [urlfilter.Rule(verdict, place=place) for place, verdict in PLACES] + urlfilter.PATTERNS
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def _url_sql() -> str:
+    places = ", ".join(f"('{place}', '{place.split('/', 1)[0]}', '/{place.split('/', 1)[1]}', '{verdict}')" for place, verdict in PLACES)
+    patterns = ", ".join("('{}', '{}', '{}')".format(r.pattern, "^" + r.regex().replace(r"\Z", r"\z"), r.verdict) for r in urlfilter.PATTERNS)
+    return rf"""
+WITH places(rule, rule_host, rule_path, verdict) AS (VALUES {places}),
+patterns(pattern, expression, verdict) AS (VALUES {patterns}),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, row_number() OVER () AS row_no, r, regexp_extract(r, '^[^/?#]*') AS h,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+urls AS (
+  SELECT page_id, row_no, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
+         r[length(h) + 1:] AS tail FROM parts),
+placed AS (
+  SELECT row_no, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM urls, places
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row_no),
+fitting AS (SELECT row_no, pattern, verdict FROM urls, patterns
+  WHERE (host <> '' OR path <> '') AND regexp_matches(host || tail, expression)),
+named AS (
+  SELECT row_no, bool_or(verdict = 'allow') AS allowed,
+         min((-length(pattern), pattern)) FILTER (verdict = 'allow') AS a, min((-length(pattern), pattern)) AS b
+  FROM fitting GROUP BY row_no)
+SELECT page_id, host, path, placed.rule AS rule,
+       CASE WHEN placed.rule IS NULL THEN CASE WHEN allowed THEN a[2] ELSE b[2] END END AS pattern,
+       CASE WHEN placed.rule IS NOT NULL THEN placed.verdict WHEN allowed OR allowed IS NULL THEN 'allow' ELSE 'block' END AS verdict
+FROM urls LEFT JOIN placed USING (row_no) LEFT JOIN named USING (row_no)
+"""
+
+
+SQL["op5_urls"] = _url_sql()
+
+
+@query
+def op6_langid(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    guessed = langid.identify(docs, langid.profiles(docs.where(~held)))
+    return guessed.select("doc_id", held.alias("held_out"), "lang_pred", "score")
