@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, pii, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, langid, lm, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -135,3 +135,10 @@ def op6_langid(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     guessed = langid.identify(docs, langid.profiles(docs.where(~held)))
     return guessed.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_lm(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)
+    scored = lm.score(docs, lm.fit(docs.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
