@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -13,6 +13,11 @@ def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.select(F.col(key), *(F.col(c) for c in columns))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def per_row(df: DataFrame, make: Callable[[], Callable[[dict], tuple]], schema: str, step: int = 64) -> DataFrame:
     """Map every row to one row with Python. ``make`` runs once in each task and returns the row function.
 

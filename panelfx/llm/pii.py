@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import let
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "value", "gazetteer", "context", "edge")
 _EDGE = "\x01"
@@ -57,15 +59,10 @@ AGAINST = (r"(?i)\b(?:version|isbn|issn|order|invoice|price|sku|serial|release|s
            r"\b[^.\n]*$")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(lengths: Column, start: Column) -> Column:
     """Where each of some lengths begins."""
     step = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-    return _let(F.aggregate(lengths, F.array(start), step), lambda sums: F.slice(sums, F.lit(1), F.size(lengths)))
+    return let(F.aggregate(lengths, F.array(start), step), lambda sums: F.slice(sums, F.lit(1), F.size(lengths)))
 
 
 def _starts(lengths: Column) -> Column:
@@ -79,13 +76,13 @@ def _starts(lengths: Column) -> Column:
         return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), _running(totals, zero).alias("s")),
                                      lambda z: _running(z["x"], z["s"])))
 
-    return _let(cut, sums)
+    return let(cut, sums)
 
 
 def _spans(text: Column, pattern: str, number: int, strict: bool, hint: str) -> Column:
     """Array of (start, kind, end, strict, value, before, after) of a pattern's matches; offsets are code points."""
     def located(parts: Column) -> Column:
-        starts = _let(F.transform(parts, F.char_length), _starts)
+        starts = let(F.transform(parts, F.char_length), _starts)
         odd = F.filter(F.arrays_zip(parts.alias("v"), starts.alias("s")), lambda x, i: i % 2 == 1)
         return F.transform(odd, lambda x: F.struct(
             x["s"].alias("start"), F.lit(number).alias("kind"), (x["s"] + F.char_length(x["v"])).alias("end"),
@@ -95,7 +92,7 @@ def _spans(text: Column, pattern: str, number: int, strict: bool, hint: str) ->
 
     marked = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{_EDGE}$1{_EDGE}")), _EDGE, -1)
     # a text without what the kind cannot do without is neither marked nor split
-    return F.when(text.rlike(hint), _let(marked, located)).otherwise(F.filter(F.array(_nothing()), lambda x: F.lit(False)))
+    return F.when(text.rlike(hint), let(marked, located)).otherwise(F.filter(F.array(_nothing()), lambda x: F.lit(False)))
 
 
 def _nothing() -> Column:
@@ -138,7 +135,7 @@ def _candidates(text: Column) -> tuple[Column, Column]:
     base, more = [], []
     for n, kind in enumerate(KINDS):
         spans = _spans(text, STRICT[kind], n, True, hints[kind])
-        base.append(_let(spans, lambda s: F.filter(s, _valid_of(kind))))
+        base.append(let(spans, lambda s: F.filter(s, _valid_of(kind))))
         more.append(_spans(text, LOOSE[kind], n, False, loose_hints[kind]))
     return F.array_sort(F.concat(*base)), F.array_sort(F.concat(*more))
 
@@ -202,7 +199,7 @@ class Model:
                     z = F.when(x["kind"] == n, of).otherwise(z)
             return z
 
-        return _let(votes(x), score) >= 0
+        return let(votes(x), score) >= 0
 
 
 def _patterns(scanned: DataFrame) -> list:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, lm, pii, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -142,3 +142,40 @@ def op9_lm(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)
     scored = lm.score(docs, lm.fit(docs.where(~held)))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op1_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    templates = ", ".join("({}, '{}', [{}])".format(i, t.licence, ", ".join(f"'{b}'" for b in licences._bigrams(t.text)))
+                          for i, t in enumerate(licences.TEMPLATES))
+    return rf"""
+WITH templates(id, licence, grams) AS (VALUES {templates}),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+units AS (
+  SELECT row_no, doc_id, 'line' AS unit, unnest(range(len(l))) AS part, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM docs)
+  UNION ALL
+  SELECT * FROM (SELECT row_no, doc_id, 'paragraph' AS unit, unnest(range(len(l))) AS part, unnest(l) AS text
+                 FROM (SELECT *, regexp_split_to_array(text, '
+[ 	]*
+') AS l FROM docs)) WHERE contains(text, chr(10))
+  UNION ALL
+  SELECT row_no, doc_id, 'text', 0, text FROM docs WHERE regexp_matches(text, '
+[ 	]*
+')),
+bagged AS (
+  SELECT row_no, doc_id, unit, part,
+         list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM units)),
+scored AS (
+  SELECT row_no, doc_id, unit, part, licence, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice
+  FROM bagged, templates WHERE len(b) > 0)
+SELECT doc_id, unit, part::INTEGER AS part, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice
+FROM scored WHERE dice >= {licences.DICE} - 1e-12 GROUP BY row_no, doc_id, unit, part
+"""
+
+
+SQL["op1_licences"] = _licence_sql()
