@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
+from . import ann, bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -160,11 +160,13 @@ units AS (
   UNION ALL
   SELECT * FROM (SELECT row_no, doc_id, 'paragraph' AS unit, unnest(range(len(l))) AS part, unnest(l) AS text
                  FROM (SELECT *, regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ') AS l FROM docs)) WHERE contains(text, chr(10))
   UNION ALL
   SELECT row_no, doc_id, 'text', 0, text FROM docs WHERE regexp_matches(text, '
-[ 	]*
+[ 	
+]*
 ')),
 bagged AS (
   SELECT row_no, doc_id, unit, part,
@@ -179,3 +181,8 @@ FROM scored WHERE dice >= {licences.DICE} - 1e-12 GROUP BY row_no, doc_id, unit,
 
 
 SQL["op1_licences"] = _licence_sql()
+
+
+@query
+def op8_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
