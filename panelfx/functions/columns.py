@@ -57,13 +57,18 @@ def coin_text(seed, reps: int, key: str) -> Column:
     return F.concat(*[digest(seed, F.lit(b), key) for b in range(blocks)])
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str, prefix: int = 2) -> DataFrame:
+def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str, prefix: int | None = None,
+              per_range: int = 100_000) -> DataFrame:
     """Rank from 1 in the order of a hex digest column, within ``by`` (may be empty).
 
-    Digests are spread evenly, so the first hex digits cut the order into 16**prefix ranges of equal size.
-    Rows are ranked inside a range and shifted by the count of the ranges before it; no task sorts a
+    Digests are spread evenly, so the first hex digits cut the order into 16**prefix ranges of equal size;
+    without ``prefix`` it is chosen so that a range of the whole table has about ``per_range`` rows. Rows are ranked inside a range and shifted by the count of the ranges before it; no task sorts a
     whole group.
     """
+    if prefix is None:
+        n, prefix = df.count(), 1
+        while n > per_range * 16 ** prefix:
+            prefix += 1
     b = df.withColumn("_rng", F.substring(order, 1, prefix))
     sizes = b.groupBy(*by, "_rng").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,7 +84,7 @@ def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str, prefix: in
     inside = F.row_number().over(Window.partitionBy(*by, "_rng").orderBy(order))
     return (b.withColumn("_rn", inside)
             .join(offsets.drop("_n"), [*by, "_rng"])
-            .withColumn(out, (F.col("_rn") + F.col("_off")).cast("int"))
+            .withColumn(out, F.col("_rn") + F.col("_off"))
             .drop("_rn", "_off", "_rng"))
 
 

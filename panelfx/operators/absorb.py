@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import stage
+from ..plans.stage import drop_stage, stage
 from .gram import gram
 
 
@@ -25,16 +25,24 @@ def center_by_window(df: DataFrame, columns: Sequence[str], key: str, weight: st
     return out.drop(*means)
 
 
-def center_by_map(df: DataFrame, columns: Sequence[str], key: str, weight: str | None = None) -> DataFrame:
+def center_by_map(df: DataFrame, columns: Sequence[str], key: str, weight: str | None = None,
+                  complete: tuple[Column, Column] | None = None) -> DataFrame:
     """The same for a short key such as the period, whose groups are far too large for a window.
 
     The means become one map, read through a scalar subquery: the rows are neither shuffled nor joined,
     and both branches share the exchange below them. The map has one entry per distinct key.
+    ``complete``: the values a row's unit has, and whether its weights agree; the query stops unless the
+    first equals the number of keys and the second holds.
     """
     means = df.groupBy(F.col(key).alias("_k")).agg(*[_mean(c, weight).alias(c) for c in columns])
     table = means.filter(F.col("_k").isNotNull()).agg(F.map_from_entries(F.collect_list(
         F.struct(F.col("_k"), F.struct(*columns)))).alias("m"))
-    out = df.withColumn("_mean", F.try_element_at(table.scalar(), F.col(key)))
+    mean = F.try_element_at(F.col("_table"), F.col(key))
+    if complete is not None:
+        stop = F.raise_error(F.lit("the panel is not balanced; use absorb_unbalanced or ols with absorb"))
+        mean = F.when((complete[0] == F.size("_table")) & complete[1], mean).otherwise(stop.cast("struct<" + ",".join(
+            f"{c}:double" for c in columns) + ">"))
+    out = df.withColumn("_table", table.scalar()).withColumn("_mean", mean).drop("_table")
     return out.withColumns({c: F.col(c) - F.col("_mean")[c] for c in columns}).drop("_mean")
 
 
@@ -42,10 +50,15 @@ def absorb_balanced(df: DataFrame, columns: Sequence[str], unit: str, time: str,
                     weight: str | None = None) -> DataFrame:
     """Two-way residuals of a balanced panel: x - mean by unit - mean by period + mean.
 
-    Centering by the two keys in turn gives exactly this when every unit has every period (or, with
-    weights, when the weight of a unit is the same in all periods). ``time`` is the short dimension.
+    Centering by the two keys in turn gives exactly this when every unit has every period and, with
+    weights, when the weight of a unit is the same in all periods. A panel where a unit has fewer values
+    than there are periods, or weights that vary, stops the query. ``time`` is the short dimension.
     """
-    return center_by_map(center_by_window(df, columns, unit, weight), columns, time, weight)
+    w = Window.partitionBy(unit)
+    seen = F.least(*[F.count(c).over(w) for c in columns], F.count(F.lit(1)).over(w))
+    even = (F.max(weight).over(w) - F.min(weight).over(w) <= F.abs(F.max(weight).over(w)) * 1e-9) if weight else F.lit(True)
+    inner = center_by_window(df.withColumns({"_seen": seen, "_even": even}), columns, unit, weight)
+    return center_by_map(inner, columns, time, weight, complete=(F.col("_seen"), F.col("_even"))).drop("_seen", "_even")
 
 
 def time_effects(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: Sequence[int],
@@ -57,7 +70,9 @@ def time_effects(df: DataFrame, columns: Sequence[str], unit: str, time: str, ti
     """
     levels = list(times)[1:]
     names = [f"_d{i}" for i in range(len(levels))]
-    wide = df.select(unit, *columns, *([weight] if weight else []),
+    needed = [*columns, *([weight] if weight else [])]
+    known = df.dropna(subset=needed).filter(F.col(time).isin([*times]))
+    wide = known.select(unit, *needed,
                      *[F.when(F.col(time) == F.lit(t), 1.0).otherwise(0.0).alias(n)
                        for t, n in zip(levels, names)])
     centered = center_by_window(wide, [*columns, *names], unit, weight)
@@ -75,7 +90,9 @@ def lookup(column: str, keys: Sequence[int], values: Sequence[float]) -> Column:
 
 def absorb_unbalanced(df: DataFrame, columns: Sequence[str], unit: str, time: str,
                       times: Sequence[int]) -> DataFrame:
-    """Two-way residuals when cells are missing; ``time`` is the short dimension."""
+    """Two-way residuals when cells are missing; ``time`` is the short dimension. Rows with a NULL in one of
+    ``columns`` or a period not in ``times`` are left out."""
+    df = df.dropna(subset=list(columns)).filter(F.col(time).isin([*times]))
     lam = time_effects(df, columns, unit, time, times)
     out = df.withColumns({c: F.col(c) - lookup(time, times, lam[:, i]) for i, c in enumerate(columns)})
     return center_by_window(out, columns, unit)
@@ -108,8 +125,11 @@ def absorb_iterative(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
         before = effects.get(keys[-1])
         for i, key in enumerate(keys):
             others = [k for k in keys if k != key and k in effects]
+            old = effects.get(key)
             effects[key] = stage(net_of(others).groupBy(F.col(key).alias(f"_k{i}")).agg(
                 *[F.avg(c).alias(f"_e{i}_{c}") for c in columns]), "effects")
+            if old is not None and old is not before:
+                drop_stage(old)
         if it % check_every == 0:
             i = len(keys) - 1
             was = before.withColumnsRenamed({f"_e{i}_{c}": f"_was_{c}" for c in columns}).withColumnRenamed(
@@ -118,6 +138,8 @@ def absorb_iterative(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
                 *[F.max(F.abs(F.col(f"_e{i}_{c}") - F.col(f"_was_{c}"))) for c in columns]).first()
             if all(v <= lim for v, lim in zip(moved, limit)):
                 return net_of(keys)
+        if before is not None:
+            drop_stage(before)
     raise RuntimeError(f"fixed effects did not converge in {max_iter} rounds")
 
 

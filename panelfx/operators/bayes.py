@@ -48,13 +48,16 @@ def ridge_posterior(cells: DataFrame, design: Design, prior_sd: float, intercept
 
 
 def random_intercept(cells: DataFrame, cluster: str, design: Design, prior_sd: float = 100.0,
-                     intercept_sd: float | None = None, passes: int = 10, grid: int = 24) -> DataFrame:
+                     intercept_sd: float | None = None, tol: float = 1e-10, max_passes: int = 200,
+                     grid: int = 24) -> DataFrame:
     """Linear model with a normal intercept per cluster: restricted maximum likelihood for the two variances,
     then the normal posterior of the coefficients given them.
 
     Clusters are reduced to one matrix each, kept in Spark. The likelihood depends on the data through the
     variance ratio only; each pass evaluates a whole grid of ratios with one aggregate over the cluster
-    rows and the next grid closes in on the best one.
+    rows. The next grid goes on upwards while the largest ratio is the best one, and closes in on the best
+    one otherwise, until neighbours differ by ``tol``; a search that does not end in ``max_passes`` raises.
+    The standard deviations have no standard error.
     """
     full, base, xs = _system(cells, design, cluster)
     total = gram(base, xs, "_w")
@@ -91,18 +94,23 @@ def random_intercept(cells: DataFrame, cluster: str, design: Design, prior_sd: f
         return res
 
     ratios = np.concatenate([[0.0], np.logspace(-7, 2, grid - 1)])
-    for _ in range(passes):
+    for _ in range(max_passes):
         res = evaluate(ratios)
         best = int(np.argmin([r[0] for r in res]))
-        lo, hi = ratios[max(best - 1, 0)], ratios[min(best + 1, len(ratios) - 1)]
+        if best == len(ratios) - 1:
+            ratios = ratios[-2] * np.logspace(0, 4, grid)
+            continue
+        lo, hi = ratios[max(best - 1, 0)], ratios[best + 1]
         ratio, (_, sigma2, xx, xy) = ratios[best], res[best]
-        if hi - lo <= 1e-10 * max(hi, 1e-12):
+        if hi - lo <= tol * max(hi, 1e-12):
             break
         ratios = np.unique(np.concatenate([np.linspace(lo, hi, grid), [ratio]]))
+    else:
+        raise RuntimeError(f"the variance ratio did not converge in {max_passes} passes")
     cov = np.linalg.inv(xx / sigma2 + _prior(names, prior_sd, intercept_sd or prior_sd))
     mean = cov @ (xy / sigma2)
     rows = [(t, float(b), float(np.sqrt(v))) for t, b, v in zip(names, mean, np.diag(cov))]
-    rows += [("sd_cluster", float(np.sqrt(ratio * sigma2)), 0.0), ("sigma", float(np.sqrt(sigma2)), 0.0)]
+    rows += [("sd_cluster", float(np.sqrt(ratio * sigma2)), None), ("sigma", float(np.sqrt(sigma2)), None)]
     return normal_table(cells.sparkSession, rows)
 
 

@@ -103,9 +103,11 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
         passed = passed + (v > F.col(f"_hi{i}")).cast("int")
 
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Join on the group; without groups the one-row table is a scalar subquery."""
+        """Join on the group, NULL being one; without groups the one-row table is a scalar subquery."""
         if by:
-            return left.join(right, keys)
+            there = right.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
+            same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+            return left.join(there, same).drop(*[f"_g{i}" for i in range(len(keys))])
         one = right.select(F.struct(*right.columns).alias("s")).scalar()
         return left.withColumn("_s", one).select(*left.columns, "_s.*")
 

@@ -50,7 +50,7 @@ def first_stage(df: DataFrame, sp: PanelSpec, group: str | None = None, cells: b
                                              for t, n in zip(periods[1:], names)])
     m = gram(center_by_window(wide, ["_y", *names], group, "_w"), [*names, "_y"], "_w")
     k = len(names)
-    bread = np.linalg.pinv(m[:k, :k], hermitian=True)
+    bread = np.linalg.pinv(m[:k, :k], hermitian=True) if k else np.zeros((0, 0))
     lam = np.concatenate([[0.0], bread @ m[:k, k]])
     share = [F.sum(F.col("_w") * flag(F.col(sp.time) == F.lit(t))) / F.sum("_w") for t in periods[1:]]
     rest = F.col("_y") - lookup(sp.time, periods, lam)
@@ -61,7 +61,7 @@ def first_stage(df: DataFrame, sp: PanelSpec, group: str | None = None, cells: b
     ss = cells.agg(F.sum("y_sumsq").alias("a"), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("b"),
                    F.sum("n").alias("n")).first()
     within = m[k, k] - (bread @ m[:k, k]) @ m[:k, k]
-    rank = effects.count() + np.linalg.matrix_rank(m[:k, :k], hermitian=True)
+    rank = effects.count() + (np.linalg.matrix_rank(m[:k, :k], hermitian=True) if k else 0)
     sigma2 = float((ss["a"] - ss["b"]) + within) / (ss["n"] - rank)
     return FirstStage(sp, group, periods, lam, bread, sigma2, effects)
 
@@ -74,14 +74,18 @@ def add_predictions(df: DataFrame, fs: FirstStage) -> DataFrame:
     out = df.join(eff, F.col(fs.group).eqNullSafe(F.col("_g")), "left")
     pred = F.col("_alpha") + lookup(sp.time, fs.periods, fs.lam)
     k = len(fs.periods) - 1
-    # variance of alpha + lambda_t: 1/n0 plus a quadratic form in (period indicator - period shares)
-    dev = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: flag(
-        F.col(sp.time) == F.element_at(F.array(*[F.lit(t) for t in fs.periods[1:]]), i)).cast("double")
-        - F.element_at("_share", i))
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in fs.bread])
-    mv = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, F.col("_dev"), lambda a, b: a * b), F.lit(0.0),
-                                                 lambda acc, x: acc + x))
-    quad = F.aggregate(F.zip_with(mv, F.col("_dev"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    if k:
+        # variance of alpha + lambda_t: 1/n0 plus a quadratic form in (period indicator - period shares)
+        dev = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: flag(
+            F.col(sp.time) == F.element_at(F.array(*[F.lit(t) for t in fs.periods[1:]]), i)).cast("double")
+            - F.element_at("_share", i))
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in fs.bread])
+        mv = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, F.col("_dev"), lambda a, b: a * b), F.lit(0.0),
+                                                     lambda acc, x: acc + x))
+        quad = F.aggregate(F.zip_with(mv, F.col("_dev"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    else:
+        # one period: the prediction is the group's mean
+        dev, quad = F.array().cast("array<double>"), F.lit(0.0)
     out = out.withColumn("pred", pred).withColumn("_dev", dev)
     return (out.withColumn("pred_var", F.when(F.col("pred").isNotNull(),
                                               F.lit(fs.sigma2) * (F.lit(1.0) / F.col("_n0") + quad)))

@@ -11,9 +11,6 @@ from ..functions.columns import (DoseFn, block_of, digest, hash_rank, indicator,
                                  lit_array, safe_log)
 from ..spec import PanelSpec
 
-# Beyond this many (period, measure) pairs the conditional sums of one aggregate get too wide.
-WIDE_LIMIT = 16
-
 
 def skeleton(units: DataFrame, **axes: Sequence) -> DataFrame:
     """Full product of the unit rows with one or more short axes, e.g. ``time=range(2011, 2021)``.
@@ -50,27 +47,17 @@ def balanced_panel(units: DataFrame, facts: DataFrame, unit: str, time: str, tim
     The facts are reduced to one row per unit first (with partial aggregation before the shuffle), joined
     to the units on the unit key and only then spread over the periods. The join moves one row per unit
     rather than one per cell, and the result stays partitioned by unit for the windows that follow.
+    A cell without facts is NULL for every measure, counts included, before ``fill``.
     """
     times = list(times)
     names = list(measures)
-    if len(times) * len(names) <= WIDE_LIMIT:
-        wide = facts.groupBy(unit).agg(*[
-            measures[m](F.when(F.col(time) == F.lit(t), inputs[m])).alias(f"{m}__{i}")
-            for m in names for i, t in enumerate(times)])
-        rows = units.join(wide, unit, "left").select(
-            *units.columns,
-            F.explode(F.array(*[
-                F.struct(F.lit(t).alias(time), *[F.col(f"{m}__{i}").alias(m) for m in names])
-                for i, t in enumerate(times)])).alias("_c"))
-        out = rows.select(*units.columns, "_c.*")
-    else:
-        cells = (facts.filter(F.col(time).isin(times)).groupBy(unit, time)
-                 .agg(*[measures[m](inputs[m]).alias(m) for m in names]))
-        # at most one entry per period, so the list of one unit is short
-        per_unit = cells.groupBy(unit).agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col(time), F.struct(*names)))).alias("_m"))
-        rows = units.join(per_unit, unit, "left").withColumn(time, F.explode(lit_array(times)))
-        out = rows.select(*units.columns, time, *[F.col("_m")[F.col(time)][m].alias(m) for m in names])
+    cells = (facts.filter(F.col(time).isin(times)).groupBy(unit, time)
+             .agg(*[measures[m](inputs[m]).alias(m) for m in names]))
+    # at most one entry per period, so the list of one unit is short
+    per_unit = cells.groupBy(unit).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col(time), F.struct(*names)))).alias("_m"))
+    rows = units.join(per_unit, unit, "left").withColumn(time, F.explode(lit_array(times)))
+    out = rows.select(*units.columns, time, *[F.col("_m")[F.col(time)][m].alias(m) for m in names])
     if fill is not None:
         for m in names:
             out = out.withColumn(m, F.coalesce(F.col(m), F.lit(fill)))

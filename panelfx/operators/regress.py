@@ -95,7 +95,7 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
     remove by centering; its groups must be small (units or cells: at most one row per period).
     The rows are read two or three times, so a panel that is costly to make should be staged or
     materialised first.
-    ``vcov`` is iid, HC1, CR1 or CR2.
+    ``vcov`` is iid, HC1, CR1 or CR2. Rows whose outcome, weight or a regressor is NULL are left out.
     """
     if not isinstance(design, Design):
         design = Design().main(*design)
@@ -116,7 +116,10 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
         keep.append(F.col(cluster).alias("_cl"))
     if absorb:
         keep.append(F.col(absorb).alias("_fe"))
-    base, xs = full.attach(df.filter(F.col("n") > 0 if cells else F.col(y).isNotNull()), keep)
+    usable = F.col("n") > 0 if cells else F.col(y).isNotNull()
+    if weight and not cells:
+        usable = usable & F.col(weight).isNotNull()
+    base, xs = full.attach(df.filter(usable), keep)
 
     origin = np.zeros(len(xs) + 1)
     if absorb:
@@ -290,9 +293,11 @@ def wald(fit: Fit, names: Sequence[str]) -> DataFrame:
     b, v = fit.coef[idx], fit.cov[np.ix_(idx, idx)]
     pos = np.linalg.matrix_rank(v, hermitian=True)
     stat = float(b @ np.linalg.pinv(v, hermitian=True) @ b)
-    dof = float(fit.df[0])
+    # bias-reduced errors have degrees of freedom by contrast, and none that serve the joint test
+    dof = None if fit.vcov == "CR2" else float(fit.df[0])
     return fit.spark.createDataFrame(
-        [(int(pos), stat, stat / int(pos), dof, chi2_p(stat, int(pos)), f_p(stat / int(pos), int(pos), dof))],
+        [(int(pos), stat, stat / int(pos), dof, chi2_p(stat, int(pos)),
+          None if dof is None else f_p(stat / int(pos), int(pos), dof))],
         "n_restrictions int, chi2 double, f double, df2 double, p_chi2 double, p_f double")
 
 
@@ -306,8 +311,9 @@ def predict(fit: Fit, df: DataFrame, out: str = "pred") -> DataFrame:
     return df.withColumns({out: value, f"{out}_se": F.sqrt(F.greatest(var, F.lit(0.0)))})
 
 
-def normal_table(spark: SparkSession, rows: Sequence[tuple[str, float, float]]) -> DataFrame:
-    """Estimate table from (term, estimate, standard error) with normal intervals."""
+def normal_table(spark: SparkSession, rows: Sequence[tuple[str, float, float | None]]) -> DataFrame:
+    """Estimate table from (term, estimate, standard error or None) with normal intervals."""
     return _estimates(spark, [
-        (t, e, s, e / s if s else None, normal_p(e / s) if s else None, e - 1.96 * s, e + 1.96 * s, False)
+        (t, e, s, e / s if s else None, normal_p(e / s) if s else None,
+         None if s is None else e - 1.96 * s, None if s is None else e + 1.96 * s, False)
         for t, e, s in rows])

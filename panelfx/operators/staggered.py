@@ -24,9 +24,10 @@ from .regress import Fit, ols
 
 def panel_cells(df: DataFrame, sp: PanelSpec, extra: Sequence[str] = (), label: str = "cells") -> DataFrame:
     """Counts and sums by (cluster, cohort, period), written once. This is the only pass over the rows;
-    all estimators below work on its result."""
+    all estimators below work on its result. Rows of periods that the panel does not list are left out."""
     keys = [sp.cluster, sp.cohort, sp.time, *extra]
-    out = stage(collapse(df, keys, sp.y), label)
+    listed = df.filter(F.col(sp.time).isin([*sp.times])) if sp.times else df
+    out = stage(collapse(listed, keys, sp.y), label)
     return out.withColumn(sp.treat, flag(F.col(sp.time) >= F.col(sp.cohort)))
 
 

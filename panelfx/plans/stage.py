@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: dict[str, str] = {}
-
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder of its own; on a cluster a
-    machine-local folder would be lost with its executor, so a missing setting is an error there.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; without that setting, a folder of
+    the session's warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+        "spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOT:
-        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="panelfx-stage-")
-    return _LOCAL_ROOT[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -39,3 +26,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/panelfx/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,14 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# More distinct periods than this means that the time column is not a period.
-MAX_LEVELS = 10_000
-
-
-def _levels(df: DataFrame, column: str) -> tuple[int, ...]:
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} values; it must hold periods")
+def _levels(df: DataFrame, column: str, most: int) -> tuple[int, ...]:
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values; raise max_levels if it does hold periods")
     return tuple(sorted(r[0] for r in rows))
 
 
@@ -39,13 +35,14 @@ class PanelSpec:
     times: tuple[int, ...] | None = None
     cohorts: tuple[int, ...] | None = None
 
-    def with_levels(self, df: DataFrame) -> "PanelSpec":
-        """Fill in ``times`` and ``cohorts`` from the data where they are not given."""
+    def with_levels(self, df: DataFrame, max_levels: int = 10_000) -> "PanelSpec":
+        """Fill in ``times`` and ``cohorts`` from the data where they are not given. They are collected, so a
+        column with more than ``max_levels`` values is taken for one that does not hold periods."""
         out = self
         if self.times is None:
-            out = replace(out, times=_levels(df, self.time))
+            out = replace(out, times=_levels(df, self.time, max_levels))
         if self.cohorts is None and self.cohort is not None:
-            out = replace(out, cohorts=_levels(df, self.cohort))
+            out = replace(out, cohorts=_levels(df, self.cohort, max_levels))
         return out
 
     def profile(self, df: DataFrame) -> DataFrame:

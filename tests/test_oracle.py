@@ -3,9 +3,10 @@
 import pytest
 from check import compare, connect
 
-from __spark_entry__ import oracle_sql, queries
+from panelfx.plans.catalog import REGISTRY
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES = {name: e.run for name, e in REGISTRY.items()}
+SQL = {name: e.sql for name, e in REGISTRY.items() if e.sql is not None}
 
 
 @pytest.fixture(scope="module")
