@@ -11,13 +11,16 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    shared = tmp_path_factory.mktemp("shared")
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g")
-               .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", f"file://{shared}/checkpoints")
+               .config("spark.sql.warehouse.dir", f"file://{shared}/warehouse").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
