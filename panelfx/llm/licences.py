@@ -8,6 +8,7 @@ DataFrame functions.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -120,8 +121,7 @@ def _units(docs: DataFrame, smallest: int, largest: int) -> DataFrame:
 
 def bounds(n: int, dice: float) -> tuple[int, int]:
     """Least and greatest number of bigrams of a unit that can reach ``dice`` with a template of ``n``."""
-    least = -(-n * dice // (2 - dice))
-    return max(1, int(least)), int(n * (2 - dice) / dice + 1e-9)
+    return max(1, math.ceil(n * dice / (2 - dice) - 1e-9)), math.floor(n * (2 - dice) / dice + 1e-9)
 
 
 def scan(docs: DataFrame, templates: Iterable[Template] = TEMPLATES, dice: float = DICE, doc_id: str = "doc_id",
