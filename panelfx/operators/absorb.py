@@ -143,6 +143,17 @@ def absorb_iterative(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
     raise RuntimeError(f"fixed effects did not converge in {max_iter} rounds")
 
 
+def absorb_exact(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: Sequence[int]) -> DataFrame:
+    """Two-way residuals of the rows without a NULL in ``columns``. One aggregate tells whether every unit has
+    the same periods; if not, the period effects come from normal equations."""
+    known = df.dropna(subset=list(columns)).filter(F.col(time).isin([*times]))
+    sizes = known.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.max("n")).first()
+    periods = known.select(time).distinct().count()
+    if sizes[0] == sizes[1] == periods:
+        return absorb_balanced(known, columns, unit, time)
+    return absorb_unbalanced(known, columns, unit, time, times)
+
+
 def absorb(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: Sequence[int] | None = None,
            method: str = "balanced", **options) -> DataFrame:
     if method == "balanced":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DoseFn, flag
 from ..plans.stage import stage
 from ..spec import PanelSpec
-from .absorb import absorb_balanced
+from .absorb import absorb_exact
 from .describe import group_quantiles
 from .design import Design
 from .panel import first_diff, two_period_delta
@@ -73,7 +73,8 @@ def always_on_twfe(df: DataFrame, sp: PanelSpec, controls: Sequence[str] = ()) -
     """Slope of the outcome on the dose with unit and period effects, and with at most one control.
     The normal equations after centering are solved as column expressions."""
     cols = [sp.y, sp.dose, *controls]
-    r = absorb_balanced(df.select(sp.unit, sp.time, *cols), cols, sp.unit, sp.time)
+    sp = sp.with_levels(df)
+    r = absorb_exact(df.select(sp.unit, sp.time, *cols), cols, sp.unit, sp.time, sp.times)
 
     def s(a: str, b: str) -> Column:
         return F.sum(F.col(a) * F.col(b))
@@ -215,3 +216,31 @@ def average_derivative(df: DataFrame, sp: PanelSpec, degree: int = 3) -> DataFra
     slope = sum((F.lit(float(p * fit.coef[fit.index(f"d^{p}")])) * F.pow(F.col(sp.dose), F.lit(float(p - 1)))
                  for p in range(1, degree + 1) if f"d^{p}" in fit.terms), F.lit(0.0))
     return wide.agg(F.avg(slope).alias("acrt"), F.count("delta_y").alias("n"))
+
+
+def wald_ratio(df: DataFrame, y: str, dose: str, instrument: str) -> DataFrame:
+    """Outcome contrast over dose contrast between the two values (0 and 1) of an instrument. Rows with a
+    NULL in one of the three are left out."""
+    known = F.col(y).isNotNull() & F.col(dose).isNotNull()
+
+    def gap(c: str) -> Column:
+        return F.avg(F.when(known & (F.col(instrument) == 1), F.col(c))) - F.avg(F.when(known & (F.col(instrument) == 0), F.col(c)))
+
+    return df.agg((gap(y) / gap(dose)).alias("ratio"), gap(dose).alias("first_stage"),
+                  F.count(F.when(known & F.col(instrument).isin(0, 1), F.lit(1))).alias("n"))
+
+
+def discontinuity(df: DataFrame, y: str, running: str, cutoff: float, bandwidth: float | None = None) -> DataFrame:
+    """Jump of the outcome at a cutoff, from a line on each side, within ``bandwidth`` of it if given."""
+    x = F.col(running) - F.lit(float(cutoff))
+    if bandwidth is not None:
+        df = df.filter(F.abs(x) <= bandwidth)
+    known = df.filter(F.col(y).isNotNull() & F.col(running).isNotNull())
+
+    def side(fn, on: Column) -> Column:
+        return fn(F.when(on, F.col(y)), F.when(on, x))
+
+    low, high = x < 0, x >= 0
+    return known.agg((side(F.regr_intercept, high) - side(F.regr_intercept, low)).alias("jump"),
+                     side(F.regr_slope, low).alias("slope_below"), side(F.regr_slope, high).alias("slope_above"),
+                     F.count(F.when(low, F.lit(1))).alias("n_below"), F.count(F.when(high, F.lit(1))).alias("n_above"))

@@ -265,6 +265,13 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
     return names.join(errors, "i", "left").drop("i")
 
 
+def att_intervals(table: DataFrame, se: str = "se") -> DataFrame:
+    """The table of ``att_inference`` in the shape of a tidy fit (term, estimate, std_error and a normal
+    interval), so that it can be stacked and compared with one."""
+    e, s = F.col("estimate"), F.col(se)
+    return table.select("term", "estimate", s.alias("std_error"), (e - 1.96 * s).alias("conf_low"), (e + 1.96 * s).alias("conf_high"))
+
+
 def _influence(grid: list[dict], wanted: list[dict], groups: list[int], control: str):
     """Per batch of profile rows, the influence of each row on every estimand; ``h`` is passed on."""
     n_all = float(grid[0]["n_all"])

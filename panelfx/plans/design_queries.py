@@ -12,7 +12,7 @@ from ..operators import panel as pn
 from ..operators import post as po
 from ..operators import regress as rg
 from ..operators import staggered as sg
-from ..operators.absorb import absorb_balanced
+from ..operators.absorb import absorb_exact
 from . import effect_queries as eq
 from . import fixtures as fx
 from .panel_queries import DOSE_FNS
@@ -326,12 +326,12 @@ def t7(spark, sf):
     return do.always_on_twfe(fx.always_on(spark, sf), fx.ALWAYS_ON)
 
 
-_Q = [f"CASE WHEN t = {t} THEN 1 ELSE 0 END" for t in range(1, 24)]
+_Q = [f"CASE WHEN t = {t} THEN 1 ELSE 0 END" for t in range(1, 28)]
 
 
 @query("t7_always_on_fit", f"""{with_list(FX3, least_squares(demeaned("(SELECT * FROM fx3 WHERE y IS NOT NULL) AS q",
     [("y", "y"), ("x0", "dose")] + [(f"x{i + 1}", q) for i, q in enumerate(_Q)], "unit", "cluster AS cl"),
-    [f"x{i}" for i in range(24)], ["dose"] + [f"t::{t}" for t in range(1, 24)], "CR1", 25), recursive=True)}
+    [f"x{i}" for i in range(28)], ["dose"] + [f"t::{t}" for t in range(1, 28)], "CR1", 29), recursive=True)}
 --result
 SELECT * FROM ls_est WHERE term = 'dose'""", EST)
 def t7f(spark, sf):
@@ -424,7 +424,7 @@ UNION ALL SELECT 'within', var_samp(control) / (var_samp(control) + var_samp(dos
 def t14(spark, sf):
     df = fx.always_on(spark, sf).withColumn("u", F.col("dose") - F.col("control"))
     changes = pn.first_diff(df, "unit", "t", {"control": "dc", "u": "du"})
-    within = absorb_balanced(df.select("unit", "t", "control", "u"), ["control", "u"], "unit", "t")
+    within = absorb_exact(df.select("unit", "t", "control", "u"), ["control", "u"], "unit", "t", fx.QUARTERS)
     return cp.stack([
         do.confounded_share(changes, "dc", "du").select(F.lit("changes").alias("form"), "share"),
         do.confounded_share(within, "control", "u").select(F.lit("within").alias("form"), "share")])
@@ -460,6 +460,27 @@ def n3(spark, sf):
     return do.average_derivative(fx.two_period(spark, sf), fx.TWO_PERIOD, 3)
 
 
+@query("n5_wald_ratio", f"""WITH {FX2}, z AS (SELECT fx2w.*, c_nationkey % 2 AS z FROM fx2w JOIN customer ON c_custkey = unit)
+--result
+SELECT (avg(delta_y) FILTER (WHERE z = 1) - avg(delta_y) FILTER (WHERE z = 0)) / (avg(dose) FILTER (WHERE z = 1) - avg(dose) FILTER (WHERE z = 0)) AS ratio,
+  avg(dose) FILTER (WHERE z = 1) - avg(dose) FILTER (WHERE z = 0) AS first_stage, count(*) AS n FROM z""", "ratio first_stage")
+def n5(spark, sf):
+    wide = pn.two_period_delta(fx.two_period(spark, sf), "unit", "period", "y", ["dose", "cluster"])
+    return do.wald_ratio(wide.withColumn("z", F.col("cluster") % 2), "delta_y", "dose", "z")
+
+
+@query("n6_discontinuity", """WITH s AS (SELECT c_custkey, c_acctbal / CAST(1000 AS DOUBLE) AS x, sum(o_totalprice / CAST(97531 AS DOUBLE)) AS y
+  FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
+--result
+SELECT regr_intercept(y, x - 5) FILTER (WHERE x >= 5) - regr_intercept(y, x - 5) FILTER (WHERE x < 5) AS jump,
+  regr_slope(y, x - 5) FILTER (WHERE x < 5) AS slope_below, regr_slope(y, x - 5) FILTER (WHERE x >= 5) AS slope_above,
+  count(*) FILTER (WHERE x < 5) AS n_below, count(*) FILTER (WHERE x >= 5) AS n_above FROM s""", "jump slope_below slope_above")
+def n6(spark, sf):
+    y = fx.yearly_orders(spark, sf).groupBy("unit").agg(F.sum("amount").alias("y"))
+    x = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), (F.col("c_acctbal") / 1000.0).alias("x"))
+    return do.discontinuity(x.join(y, "unit"), "y", "x", 5.0)
+
+
 @query("n4_stayer_placebo", f"""{_aoss_sql([0.2], "dyl").replace("fx3d AS (SELECT * FROM fx3_lag WHERE t - tp = 1)",
     "fx3_lag2 AS (SELECT *, lag(d_y) OVER (PARTITION BY unit ORDER BY t) AS dyl FROM fx3_lag), fx3d AS (SELECT * FROM fx3_lag2 WHERE t - tp = 1 AND t >= 2)")}
 --result
@@ -533,12 +554,18 @@ def b3(spark, sf):
 
 # --------------------------------------------------------------------------- comparison tables
 
+def _t24(x: str) -> str:
+    """SQL of the two-sided tail of the t law with 24 degrees of freedom, a finite sum for an even number."""
+    return f"""1 - abs({x}) / sqrt(24 + {x} * {x}) * list_sum(list_transform(range(12), lambda j:
+  exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(CAST(4 AS DOUBLE))) * pow(24 / (24 + {x} * {x}), j)))"""
+
+
 @query("c1_tidy", f"""{eq._D9}
 --result
-SELECT term, estimate, std_error, estimate / std_error AS statistic, estimate - 2.0638985616280205 * std_error AS conf_low,
-  estimate + 2.0638985616280205 * std_error AS conf_high, false AS dropped FROM ls_est""", "estimate std_error statistic conf_low conf_high")
+SELECT term, estimate, std_error, estimate / std_error AS statistic, {_t24("(estimate / std_error)")} AS p_value, estimate - 2.0638985616280205 * std_error AS conf_low,
+  estimate + 2.0638985616280205 * std_error AS conf_high, false AS dropped FROM ls_est""", "estimate std_error statistic p_value conf_low conf_high")
 def c1(spark, sf):
-    return rg.tidy(sg.etwfe(sg.panel_cells(fx.staggered(spark, sf), SP), SP, "cluster")).drop("p_value")
+    return rg.tidy(sg.etwfe(sg.panel_cells(fx.staggered(spark, sf), SP), SP, "cluster"))
 
 
 _C2 = with_list(FX1, eq._absorbed(["treat", *eq._ty], ["treat", *eq._tn], tag="a"),
@@ -554,6 +581,25 @@ def c2(spark, sf):
     return cp.compare_models([("twfe", rg.tidy(sg.twfe(cells, SP))), ("etwfe", rg.tidy(sg.etwfe(cells, SP)))])
 
 
+# The same SQL tables serve both comparisons: the average of the group-time effects next to the two-way slope.
+_C2S = f"""{eq._agg_sql("post = 1", "'treat'").split("--result")[0]}""" + """, cs AS (
+  SELECT ai.term, max(agg) AS estimate, sqrt(sum(v * v)) / max(n_all) AS std_error FROM ai JOIN tot ON tot.term = ai.term GROUP BY ai.term)"""
+
+
+def _next_to_cs(body: str) -> str:
+    return "WITH RECURSIVE " + _C2S.removeprefix("WITH RECURSIVE ").removeprefix("WITH ") + ",\n" + body
+
+
+@query("c2_compare_twfe_cs", _next_to_cs(eq._absorbed(["treat", *eq._ty], ["treat", *eq._tn], tag="a")) + """
+--result
+SELECT a.term, a.estimate AS twfe_estimate, a.std_error AS twfe_std_error, cs.estimate AS cs_estimate, cs.std_error AS cs_std_error
+FROM lsa_est a LEFT JOIN cs ON cs.term = a.term""", "twfe_estimate twfe_std_error cs_estimate cs_std_error")
+def c2s(spark, sf):
+    df = fx.staggered(spark, sf)
+    cs = sg.att_intervals(sg.att_inference(df, SP, "simple")).withColumn("term", F.lit("treat"))
+    return cp.compare_models([("twfe", rg.tidy(sg.twfe(sg.panel_cells(df, SP), SP))), ("cs", cs)])
+
+
 _EVENT = eq._ATT + ", dyn AS (SELECT event, sum(n_treated * att) / sum(n_treated) AS estimate FROM attgt GROUP BY event)"
 
 

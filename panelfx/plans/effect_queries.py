@@ -22,7 +22,7 @@ from .stage import stage
 SP = fx.STAGGERED
 EST = "estimate std_error"
 YEARS = list(SP.times)
-CELLS = [(1997, 1997), (1997, 1998), (1997, 1999), (1997, 2000), (1999, 1999), (1999, 2000)]
+CELLS = [(g, t) for g in SP.cohorts for t in SP.times if t >= g]
 CELL_NAMES = [f"treat:cohort::{g}:year::{t}" for g, t in CELLS]
 CELL_SQL = [f"CASE WHEN treat = 1 AND cohort = {g} AND year = {t} THEN 1 ELSE 0 END" for g, t in CELLS]
 
@@ -122,7 +122,8 @@ adj AS (SELECT unit, fx5.t, y - l AS r FROM fx5 JOIN lam ON lam.t = fx5.t)""", r
 SELECT unit, t, r - avg(r) OVER (PARTITION BY unit) AS y FROM adj""", "y")
 def r4u(spark, sf):
     df = stage(fx.daily_users(spark, sf).select("unit", "t", "y"), "users")
-    return ab.absorb(df, ["y"], "unit", "t", range(1, 31), method="unbalanced")
+    times = [r["t"] for r in df.select("t").distinct().orderBy("t").collect()]
+    return ab.absorb(df, ["y"], "unit", "t", times, method="unbalanced")
 
 
 @query("r4_absorb_iterative", f"""{_fx5}
@@ -137,12 +138,12 @@ def r4i(spark, sf):
 SELECT unit, t, y, dose, control FROM fx3w""", "y dose control")
 def r5(spark, sf):
     df = fx.always_on(spark, sf).select("unit", "t", "y", "dose", "control")
-    return ab.absorb_balanced(df, ["y", "dose", "control"], "unit", "t")
+    return ab.absorb_exact(df, ["y", "dose", "control"], "unit", "t", fx.QUARTERS)
 
 
 # Untreated two-way fit with cluster effects: period effects from centered rows, then cluster means.
 _d17_years, _d17_names = _years(1996)
-_fs = with_list(FX1, least_squares(_within(_d17_years, "treat = 0"), _xs(5), [str(t) for t in YEARS[1:]]), """
+_fs = with_list(FX1, least_squares(_within(_d17_years, "treat = 0"), _xs(len(YEARS) - 1), [str(t) for t in YEARS[1:]]), """
 lam AS (SELECT CAST(term AS INTEGER) AS year, estimate AS l FROM ls_est UNION ALL SELECT 1995, 0.0),
 alpha AS (SELECT cluster, avg(y - l) AS a FROM fx1 JOIN lam ON lam.year = fx1.year WHERE treat = 0 GROUP BY cluster),
 imp AS (
@@ -197,7 +198,7 @@ def d1c(spark, sf):
     return sg.twfe_slope(cells, "treat", "cluster", "year")
 
 
-_rel = [e for e in range(-4, 4) if e != -1]
+_rel = [e for e in sg.relative_times(SP) if e != -1]
 _rx = [_case(f"year - cohort = {e}") for e in _rel] + _ty
 _rn = [f"rel::{e}" for e in _rel] + _tn
 
@@ -415,8 +416,8 @@ def d19e(spark, sf):
 
 @query("d20_imputation_weighted", f"""{_fs}, shares AS (
   SELECT cluster, count(*) AS n0, {", ".join(f"avg({_case(f'year = {t}')}) AS s{t}" for t in YEARS[1:])} FROM fx1 WHERE treat = 0 GROUP BY cluster),
-res AS (SELECT sum(y_it * y_it) / (count(*) - count(DISTINCT cluster) - 5) AS s2 FROM imp WHERE treat = 0),
-dv AS (SELECT DISTINCT imp.cluster, imp.year, s.n0, unnest([1, 2, 3, 4, 5]) AS i,
+res AS (SELECT sum(y_it * y_it) / (count(*) - count(DISTINCT cluster) - {len(YEARS) - 1}) AS s2 FROM imp WHERE treat = 0),
+dv AS (SELECT DISTINCT imp.cluster, imp.year, s.n0, unnest({list(range(1, len(YEARS)))}) AS i,
   unnest([{", ".join(f"{_case(f'imp.year = {t}')} - s{t}" for t in YEARS[1:])}]) AS d FROM imp JOIN shares s ON s.cluster = imp.cluster),
 vr AS (SELECT a.cluster, a.year, (SELECT s2 FROM res) * (1.0 / a.n0 + sum(a.d * m.v * b.d)) AS pv
   FROM dv a JOIN dv b ON b.cluster = a.cluster AND b.year = a.year JOIN ls_inv m ON m.i = a.i AND m.j = b.i GROUP BY a.cluster, a.year, a.n0),
@@ -444,7 +445,7 @@ pw AS (SELECT rep, cluster, year, w,
     + sum(w * d) OVER (PARTITION BY rep) / sum(w) OVER (PARTITION BY rep) AS d FROM px),
 pb AS (SELECT rep, sum(w * d * y) / sum(w * d * d) AS b, sum(w * d * d) AS dd, sum(w) AS n FROM pw GROUP BY rep),
 ps AS (SELECT pw.rep, cluster, sum(w * d * (y - b * d)) AS s FROM pw JOIN pb ON pb.rep = pw.rep GROUP BY 1, 2),
-pr AS (SELECT pb.rep, b AS estimate, sqrt(sum(s * s) * count(*) / (count(*) - 1.0) * (max(n) - 1) / (max(n) - 7)) / max(dd) AS se
+pr AS (SELECT pb.rep, b AS estimate, sqrt(sum(s * s) * count(*) / (count(*) - 1.0) * (max(n) - 1) / (max(n) - {len(YEARS) + 1})) / max(dd) AS se
   FROM ps JOIN pb ON pb.rep = ps.rep GROUP BY pb.rep, b)"""
 
 
@@ -557,8 +558,13 @@ def v6(spark, sf):
 _AGG_INFLUENCE = _influence_sql("cluster").split(",\nse AS (")[0]
 
 
-def _agg_sql(members: str, label: str) -> str:
-    """Clustered errors of share-weighted averages, with the term for estimated shares."""
+def _agg_sql(members: str, label: str, over: str = "") -> str:
+    """Clustered errors of share-weighted averages, with the term for estimated shares; ``over`` says which
+    of them make up the overall average."""
+    overall = f"""
+UNION ALL
+SELECT 'overall', (SELECT avg(agg) FROM tot WHERE {over}), sqrt(sum(v * v)) / (SELECT max(n_all) FROM tot)
+FROM (SELECT cl, avg(v) AS v FROM ai WHERE {over} GROUP BY cl)""" if over else ""
     return f"""{_AGG_INFLUENCE}, mem AS (SELECT {label} AS term, g, t, att, n_treated, n_all FROM attgt WHERE {members}),
 tot AS (SELECT term, sum(n_treated) AS p, sum(n_treated * att) / sum(n_treated) AS agg, max(n_all) AS n_all FROM mem GROUP BY term),
 cg AS (SELECT cluster AS cl, cohort, count(DISTINCT unit) AS n FROM fx1 GROUP BY 1, 2),
@@ -568,7 +574,7 @@ ai AS (SELECT mem.term, cn.cl, sum(n_treated / CAST(tot.p AS DOUBLE) * psi.psi
   FROM mem JOIN tot ON tot.term = mem.term CROSS JOIN cn LEFT JOIN cg ON cg.cl = cn.cl AND cg.cohort = mem.g
     JOIN psi ON psi.cl = cn.cl AND psi.g = mem.g AND psi.t = mem.t GROUP BY 1, 2)
 --result
-SELECT ai.term, max(agg) AS estimate, sqrt(sum(v * v)) / max(n_all) AS se FROM ai JOIN tot ON tot.term = ai.term GROUP BY ai.term"""
+SELECT ai.term, max(agg) AS estimate, sqrt(sum(v * v)) / max(n_all) AS se FROM ai JOIN tot ON tot.term = ai.term GROUP BY ai.term{overall}"""
 
 
 @query("v5_agg_simple_se", _agg_sql("post = 1", "'simple'"), "estimate se")
@@ -576,14 +582,40 @@ def v5s(spark, sf):
     return sg.att_inference(fx.staggered(spark, sf), SP, "simple")
 
 
-@query("v5_agg_calendar_se", _agg_sql("post = 1", "'time ' || t"), "estimate se")
+@query("v5_agg_calendar_se", _agg_sql("post = 1", "'time ' || t", "true"), "estimate se")
 def v5c(spark, sf):
-    return sg.att_inference(fx.staggered(spark, sf), SP, "calendar").filter("term <> 'overall'")
+    return sg.att_inference(fx.staggered(spark, sf), SP, "calendar")
 
 
-@query("v5_agg_dynamic_se", _agg_sql("true", "'event ' || event"), "estimate se")
+@query("v5_agg_dynamic_se", _agg_sql("true", "'event ' || event", "term NOT LIKE 'event -%'"), "estimate se")
 def v5d(spark, sf):
-    return sg.att_inference(fx.staggered(spark, sf), SP, "dynamic").filter("term <> 'overall'")
+    return sg.att_inference(fx.staggered(spark, sf), SP, "dynamic")
+
+
+@query("v5_agg_group_se", f"""{_AGG_INFLUENCE}, mem AS (SELECT g, t, att, n_treated, n_all FROM attgt WHERE post = 1),
+gr AS (SELECT g, avg(att) AS agg, max(n_treated) AS p, max(n_all) AS n_all FROM mem GROUP BY g),
+ov AS (SELECT sum(p * agg) / sum(p) AS agg, CAST(sum(p) AS DOUBLE) AS p, max(n_all) AS n_all FROM gr),
+gi AS (SELECT mem.g, psi.cl, avg(psi.psi) AS v FROM mem JOIN psi ON psi.g = mem.g AND psi.t = mem.t GROUP BY 1, 2),
+cg AS (SELECT cluster AS cl, cohort, count(DISTINCT unit) AS n FROM fx1 GROUP BY 1, 2),
+cn AS (SELECT cluster AS cl, count(DISTINCT unit) AS n FROM fx1 GROUP BY 1),
+oi AS (SELECT gi.cl, sum(gr.p / ov.p * gi.v + (gr.agg - ov.agg) * ov.n_all / ov.p * (coalesce(cg.n, 0) - cn.n * gr.p / CAST(ov.n_all AS DOUBLE))) AS v
+  FROM gi JOIN gr ON gr.g = gi.g JOIN cn ON cn.cl = gi.cl LEFT JOIN cg ON cg.cl = gi.cl AND cg.cohort = gi.g CROSS JOIN ov GROUP BY gi.cl)
+--result
+SELECT 'group ' || gi.g AS term, max(agg) AS estimate, sqrt(sum(v * v)) / max(n_all) AS se FROM gi JOIN gr ON gr.g = gi.g GROUP BY gi.g
+UNION ALL SELECT 'overall', (SELECT agg FROM ov), sqrt(sum(v * v)) / (SELECT n_all FROM ov) FROM oi""", "estimate se")
+def v5g(spark, sf):
+    return sg.att_inference(fx.staggered(spark, sf), SP, "group")
+
+
+_INTERVALS = _influence_sql("cluster").split(",\nbt AS (")[0] + """
+--result
+SELECT 'ATT(' || a.g || ',' || a.t || ')' AS term, a.att AS estimate, se AS std_error, a.att - 1.96 * se AS conf_low, a.att + 1.96 * se AS conf_high
+FROM attgt a JOIN se ON se.g = a.g AND se.t = a.t"""
+
+
+@query("v5_gt_intervals", _INTERVALS, "estimate std_error conf_low conf_high")
+def v5i(spark, sf):
+    return sg.att_intervals(sg.att_inference(fx.staggered(spark, sf), SP, "gt"))
 
 
 @query("v7_ci_normal", f"""{_D9}
@@ -626,7 +658,7 @@ def v10(spark, sf):
 def _slope_sql(key: str, label: str, where: str = "treat = 1") -> str:
     return f"""{_D9}, wt AS (SELECT {key} AS k, cohort, year, count(*) AS n FROM fx1 WHERE {where} GROUP BY 1, 2, 3),
 cf AS (SELECT wt.k, e.i, wt.n / CAST(sum(wt.n) OVER (PARTITION BY wt.k) AS DOUBLE) AS w, b.b FROM wt
-  JOIN (SELECT unnest(range(1, 7)) AS i, unnest([{", ".join(f"'{n}'" for n in CELL_NAMES)}]) AS nm) e
+  JOIN (SELECT unnest(range(1, {len(CELLS) + 1})) AS i, unnest([{", ".join(f"'{n}'" for n in CELL_NAMES)}]) AS nm) e
     ON e.nm = 'treat:cohort::' || wt.cohort || ':year::' || wt.year JOIN ls_b b ON b.i = e.i),
 sl AS (SELECT k, sum(w * b) AS estimate FROM cf GROUP BY k),
 vv AS (SELECT a.k, sqrt(sum(a.w * v.v * c.w)) AS std_error FROM cf a JOIN cf c ON c.k = a.k JOIN ls_full v ON v.i = a.i AND v.j = c.i GROUP BY a.k)

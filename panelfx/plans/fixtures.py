@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import balanced_panel, inject_effect
-from ..sources.panel_store import between_dates
 from ..spec import PanelSpec
 
+# All periods that occur in the given tables; a row of any other period stops the query.
+YEARS = tuple(range(1995, 2002))
+QUARTERS = tuple(range(28))
 STAGGERED = PanelSpec(unit="unit", time="year", y="y", cluster="cluster", cohort="cohort", treat="treat",
-                      times=tuple(range(1995, 2001)), cohorts=(1997, 1999))
+                      times=YEARS, cohorts=(1997, 1999))
 STAGGERED_MU = {1997: 2.0, 1999: 1.0}
-ALWAYS_ON = PanelSpec(unit="unit", time="t", y="y", cluster="cluster", dose="dose", times=tuple(range(24)))
+ALWAYS_ON = PanelSpec(unit="unit", time="t", y="y", cluster="cluster", dose="dose", times=QUARTERS)
 ITS = PanelSpec(unit="unit", time="t", y="y", cluster="cluster", cohort="cohort", treat="treat",
-                times=tuple(range(24)), cohorts=(9, 14))
+                times=QUARTERS, cohorts=(9, 14))
 TWO_PERIOD = PanelSpec(unit="unit", time="period", y="y", dose="dose", times=(0, 1))
 
 # Money is scaled to values near 1. Primes rather than powers of ten: amounts in cents divided by a power
 # of ten often lie exactly between two rounded values, where engines that sum in another order differ.
+FIRST_DAY = "2024-01-01"
 ORDER_UNIT = 97531.0
 LINE_UNIT = 997.0
 
@@ -27,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _listed(period: Column, periods: Sequence[int]) -> Column:
+    stop = F.raise_error(F.concat(F.lit("no such period in the panel: "), period.cast("string")))
+    return F.when(period.isNull() | period.between(periods[0], periods[-1]), period).otherwise(stop.cast("int"))
+
+
 def yearly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "orders")
-            .filter(between_dates("o_orderdate", "1995-01-01", "2001-01-01"))
-            .select(F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("year"),
+            .select(F.col("o_custkey").alias("unit"), _listed(F.year("o_orderdate"), YEARS).alias("year"),
                     (F.col("o_totalprice") / F.lit(ORDER_UNIT)).alias("amount")))
 
 
@@ -50,7 +59,7 @@ def staggered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with orders in 1995-1997 (period 0) and 1998-2000 (period 1); the dose is the balance."""
+    """Customers with orders up to 1997 (period 0) and from 1998 on (period 1); the dose is the balance."""
     dose = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("cluster"),
         (F.greatest("c_acctbal", F.lit(0.0)) / F.lit(1000.0)).alias("dose"))
@@ -64,9 +73,8 @@ def always_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("unit"), F.col("s_nationkey").alias("cluster"))
     lines = (table(spark, sf_dir, "lineitem")
-             .filter(between_dates("l_shipdate", "1995-01-01", "2001-01-01"))
              .select(F.col("l_suppkey").alias("unit"),
-                     ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1).alias("t"),
+                     _listed((F.year("l_shipdate") - YEARS[0]) * 4 + F.quarter("l_shipdate") - 1, QUARTERS).alias("t"),
                      F.col("l_quantity").alias("q"), (F.col("l_discount") * F.lit(100.0)).alias("c"),
                      (F.col("l_extendedprice") / F.lit(LINE_UNIT)).alias("p")))
     return balanced_panel(units, lines, "unit", "t", ALWAYS_ON.times,
@@ -91,7 +99,7 @@ def its_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by day of the month; days without events are absent (an unbalanced panel)."""
+    """Users by day, numbered from 1; days without events are absent (an unbalanced panel)."""
     return (table(spark, sf_dir, "events")
-            .groupBy(F.col("user_id").alias("unit"), F.dayofmonth("ts").alias("t"))
+            .groupBy(F.col("user_id").alias("unit"), (F.datediff("ts", F.lit(FIRST_DAY)) + 1).alias("t"))
             .agg(F.sum("value").alias("y"), F.count(F.lit(1)).cast("double").alias("x")))

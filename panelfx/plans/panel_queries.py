@@ -77,7 +77,7 @@ def s5(spark, sf):
 @query("p1_skeleton", """
 --result
 SELECT c_custkey AS unit, CAST(year AS INTEGER) AS year, CAST(wave AS INTEGER) AS wave
-FROM customer CROSS JOIN (SELECT unnest(range(1995, 2001)) AS year) CROSS JOIN (SELECT unnest(range(1, 3)) AS wave)""")
+FROM customer CROSS JOIN (SELECT unnest(range(1995, 2002)) AS year) CROSS JOIN (SELECT unnest(range(1, 3)) AS wave)""")
 def p1(spark, sf):
     return pn.skeleton(_customers(spark, sf).select("unit"), year=SP.times, wave=[1, 2])
 
@@ -202,7 +202,7 @@ def p14(spark, sf):
 @query("p15_dummies", f"""WITH {FX1}
 --result
 SELECT unit, year, cohort, CASE WHEN cohort = 1997 THEN 1 ELSE 0 END AS cohort_1997, CASE WHEN cohort = 1999 THEN 1 ELSE 0 END AS cohort_1999,
- {", ".join(f"CASE WHEN year = {t} THEN 1 ELSE 0 END AS y{t}" for t in range(1995, 2001))} FROM fx1""")
+ {", ".join(f"CASE WHEN year = {t} THEN 1 ELSE 0 END AS y{t}" for t in range(1995, 2002))} FROM fx1""")
 def p15(spark, sf):
     df = pn.dummies(fx.staggered_base(spark, sf), "cohort", SP.cohorts)
     return pn.dummies(df, "year", SP.times, "y").drop("y0", "cluster")

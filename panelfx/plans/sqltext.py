@@ -7,8 +7,8 @@ from collections.abc import Sequence
 FX1 = """
 fx1_out AS (
   SELECT o_custkey AS unit, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice / CAST(97531 AS DOUBLE)) AS y0
-  FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2),
-fx1_years AS (SELECT CAST(unnest(range(1995, 2001)) AS INTEGER) AS year),
+  FROM orders GROUP BY 1, 2),
+fx1_years AS (SELECT CAST(unnest(range(1995, 2002)) AS INTEGER) AS year),
 fx1_base AS (
   SELECT c.c_custkey AS unit, c.c_nationkey AS cluster,
          CAST(CASE c.c_nationkey % 3 WHEN 0 THEN 1997 WHEN 1 THEN 1999 END AS INTEGER) AS cohort,
@@ -25,7 +25,7 @@ FX2 = """
 fx2_y AS (
   SELECT o_custkey AS unit, CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 0 END AS period,
          sum(o_totalprice / CAST(97531 AS DOUBLE)) AS y
-  FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2),
+  FROM orders GROUP BY 1, 2),
 fx2 AS (
   SELECT y.unit, y.period, y.y, c.c_nationkey AS cluster, greatest(c.c_acctbal, 0) / CAST(1000 AS DOUBLE) AS dose
   FROM fx2_y y JOIN customer c ON c.c_custkey = y.unit),
@@ -40,8 +40,8 @@ fx3_cells AS (
          CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS t,
          avg(l_quantity) AS dose, avg(l_discount * CAST(100 AS DOUBLE)) AS control,
          avg(l_extendedprice / CAST(997 AS DOUBLE)) AS y
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2),
-fx3_t AS (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS t),
+  FROM lineitem GROUP BY 1, 2),
+fx3_t AS (SELECT CAST(unnest(range(0, 28)) AS INTEGER) AS t),
 fx3 AS (
   SELECT s.s_suppkey AS unit, s.s_nationkey AS cluster, t.t, c.dose, c.control, c.y
   FROM supplier s CROSS JOIN fx3_t t LEFT JOIN fx3_cells c ON c.unit = s.s_suppkey AND c.t = t.t)"""
@@ -75,17 +75,17 @@ fx4 AS (
 
 FX5 = """
 fx5 AS (
-  SELECT user_id AS unit, CAST(day(ts) AS INTEGER) AS t, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x
+  SELECT user_id AS unit, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) + 1 AS INTEGER) AS t, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x
   FROM events GROUP BY 1, 2)"""
 
 FX1_GRID = """
 prof AS (
-  SELECT cohort, count(DISTINCT unit) AS n, unnest(range(1995, 2001)) AS yr FROM fx1 GROUP BY cohort),
+  SELECT cohort, count(DISTINCT unit) AS n, unnest(range(1995, 2002)) AS yr FROM fx1 GROUP BY cohort),
 ct AS (SELECT cohort, year AS yr, sum(y) AS s, count(*) AS n FROM fx1 GROUP BY 1, 2),
 grid AS (
   SELECT g, t, CASE WHEN t >= g THEN g - 1 ELSE t - 1 END AS b, CASE WHEN t >= g THEN 1 ELSE 0 END AS post,
          greatest(t, CASE WHEN t >= g THEN g - 1 ELSE t - 1 END) AS cut
-  FROM (SELECT unnest([1997, 1999]) AS g) CROSS JOIN (SELECT unnest(range(1996, 2001)) AS t)),
+  FROM (SELECT unnest([1997, 1999]) AS g) CROSS JOIN (SELECT unnest(range(1996, 2002)) AS t)),
 gd AS (
   SELECT grid.*, a.cohort, a.n, a.s - o.s AS delta,
     CASE WHEN a.cohort = g THEN 1 WHEN a.cohort IS NULL OR (a.cohort > cut AND a.cohort <> g) THEN 2 ELSE 0 END AS role
