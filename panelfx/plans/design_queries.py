@@ -21,6 +21,7 @@ from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, bias_reduced, demeaned, lea
 from .stage import stage
 
 SP, IT = fx.STAGGERED, fx.ITS
+END = IT.times[-1]
 EST = "estimate std_error"
 QS = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40]
 
@@ -40,8 +41,8 @@ _LINES = f"""WITH {FX4}, ln AS (
     regr_slope(y, t) FILTER (WHERE t >= cohort) AS b1, regr_intercept(y, t) FILTER (WHERE t >= cohort) AS a1, count(*) AS n
   FROM fx4 GROUP BY cohort),
 seg AS (SELECT CAST(cohort AS INTEGER) AS cohort, a0 AS intercept, b0 AS slope, a1 + b1 * cohort - a0 - b0 * cohort AS treat, b1 - b0 AS since, n FROM ln),
-eff AS (SELECT cohort, intercept + slope * 23 AS untreated, intercept + slope * 23 + treat + since * (23 - cohort) AS treated,
-    treat + since * (23 - cohort) AS effect, n FROM seg)"""
+eff AS (SELECT cohort, intercept + slope * {END} AS untreated, intercept + slope * {END} + treat + since * ({END} - cohort) AS treated,
+    treat + since * ({END} - cohort) AS effect, n FROM seg)"""
 
 
 @query("i1_its_lines", f"""{_LINES}
@@ -173,7 +174,7 @@ def i6f(spark, sf):
 --result
 SELECT * FROM eff""", "untreated treated effect")
 def i7(spark, sf):
-    return its.its_line_effects(fx.its_panel(spark, sf), IT, 23)
+    return its.its_line_effects(fx.its_panel(spark, sf), IT, END)
 
 
 def _contrast_sql(rows: list[tuple[str, list[float]]]) -> str:
@@ -190,8 +191,8 @@ ON s.term = e.term"""
 
 
 # order of the coefficients: intercept, cohort 14, year0, treat, since and the three products
-_UN9, _TR9 = [1, 0, 23, 0, 0, 0, 0, 0], [1, 0, 23, 1, 14, 0, 0, 0]
-_UN14, _TR14 = [1, 1, 23, 0, 0, 23, 0, 0], [1, 1, 23, 1, 9, 23, 1, 9]
+_UN9, _TR9 = [1, 0, END, 0, 0, 0, 0, 0], [1, 0, END, 1, END - 9, 0, 0, 0]
+_UN14, _TR14 = [1, 1, END, 0, 0, END, 0, 0], [1, 1, END, 1, END - 14, END, 1, END - 14]
 _DIFF9, _DIFF14 = [a - b for a, b in zip(_TR9, _UN9)], [a - b for a, b in zip(_TR14, _UN14)]
 
 
@@ -199,14 +200,14 @@ _DIFF9, _DIFF14 = [a - b for a, b in zip(_TR9, _UN9)], [a - b for a, b in zip(_T
     ("untreated 9", _UN9), ("treated 9", _TR9), ("effect 9", _DIFF9),
     ("untreated 14", _UN14), ("treated 14", _TR14), ("effect 14", _DIFF14)]), EST)
 def i7m(spark, sf):
-    return its.its_effect(_full_fit(spark, sf), IT, 23).select("term", "estimate", "std_error")
+    return its.its_effect(_full_fit(spark, sf), IT, END).select("term", "estimate", "std_error")
 
 
 @query("i8_its_weighted", f"""{_LINES}
 --result
 SELECT sum(n * effect) / sum(n) AS effect FROM eff""", "effect")
 def i8(spark, sf):
-    return its.its_weighted_effect(its.its_line_effects(fx.its_panel(spark, sf), IT, 23))
+    return its.its_weighted_effect(its.its_line_effects(fx.its_panel(spark, sf), IT, END))
 
 
 def _avg(a, b):
@@ -216,7 +217,7 @@ def _avg(a, b):
 @query("i8_its_weighted_model", _contrast_sql([
     ("untreated all", _avg(_UN9, _UN14)), ("treated all", _avg(_TR9, _TR14)), ("effect all", _avg(_DIFF9, _DIFF14))]), EST)
 def i8m(spark, sf):
-    out = its.its_effect(_full_fit(spark, sf), IT, 23, weights={9: 1 / 3, 14: 2 / 3})
+    out = its.its_effect(_full_fit(spark, sf), IT, END, weights={9: 1 / 3, 14: 2 / 3})
     return out.filter(F.col("term").endswith("all")).select("term", "estimate", "std_error")
 
 

@@ -753,7 +753,7 @@ _F6X = ["1", *CELL_SQL, *_cx, *_ty]
 
 @query("f6_avg_predictions", f"""{_D10}, tr AS (SELECT *  FROM fx1 WHERE treat = 1),
 md AS (SELECT unnest(range(1, {len(_F6X) + 1})) AS i, unnest([{", ".join(f"avg({x})" for x in _F6X)}]) AS hi FROM tr),
-ml AS (SELECT i, hi, CASE WHEN i BETWEEN 2 AND 7 THEN 0.0 ELSE hi END AS lo FROM md)
+ml AS (SELECT i, hi, CASE WHEN i BETWEEN 2 AND {len(CELLS) + 1} THEN 0.0 ELSE hi END AS lo FROM md)
 --result
 SELECT 'treat=1' AS term, sum(hi * b) AS estimate, (SELECT sqrt(sum(a.hi * v.v * c.hi)) FROM ml a JOIN ls_full v ON v.i = a.i JOIN ml c ON c.i = v.j) AS std_error
 FROM ml JOIN ls_b b ON b.i = ml.i
@@ -770,5 +770,5 @@ def f6(spark, sf):
 SELECT 'pred event=' || event AS term, avg(y_it) AS estimate FROM imp WHERE treat = 1 GROUP BY event""", "estimate")
 def f7(spark, sf):
     cells = im.net_cells(_imputed_cells(spark, sf)).filter("treat = 1")
-    fit = rg.ols(cells, None, Design().factor("event", range(0, 4)), intercept=False, cells=True, vcov="HC1")
+    fit = rg.ols(cells, None, Design().factor("event", range(0, 5)), intercept=False, cells=True, vcov="HC1")
     return po.group_predictions(fit, cells, ["event"], "n").select("term", "estimate")
