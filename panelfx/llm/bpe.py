@@ -25,7 +25,9 @@ _BITS = 20
 _MASK = (1 << _BITS) - 1
 _NONE = 1 << 62
 _PIECE = 1 << 16
+#: Entries of each cache, and the longest stretch that enters one.
 _KNOWN = 1 << 18
+_SHORT = 64
 
 
 def byte_letters() -> list[str]:
@@ -120,7 +122,10 @@ class Tokenizer:
         self._words = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self._cuts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self._controls = regex.compile("[\x1c-\x1f]")
+        self._gap = regex.compile(r"[ \t\n]")
         self._known: dict[str, tuple[int, ...]] = {}
+        self._chunks: dict[str, tuple[int, ...]] = {}
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         end = self.end
@@ -136,6 +141,8 @@ class Tokenizer:
         if len(ids) > 2 * self.transducer.ahead:
             return self.transducer.stream(ids)
         known = tuple(self.transducer.merge(ids))
+        if len(word) > _SHORT:
+            return known
         if len(self._known) >= _KNOWN:
             self._known.clear()
         self._known[word] = known
@@ -145,23 +152,42 @@ class Tokenizer:
         """Parts of bounded size that begin with white space, where neither words nor normal forms are cut."""
         at = 0
         while len(text) - at > _PIECE:
-            gap = regex.compile(r"[ \t\n]").search(text, at + _PIECE)
+            gap = self._gap.search(text, at + _PIECE)
             if gap is None:
                 break
             yield text[at:gap.start()]
             at = gap.start()
         yield text[at:]
 
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a short stretch without white space; words and stretches that come again are looked up."""
+        ids: list[int] = []
+        for word in self._words.findall(chunk):
+            ids.extend(self._known.get(word) or self._word(word))
+        if len(self._chunks) >= _KNOWN:
+            self._chunks.clear()
+        self._chunks[chunk] = out = tuple(ids)
+        return out
+
     def _plain(self, text: str) -> Iterator[list[int]]:
-        known = self._known
+        chunks = self._chunks
         for piece in self._pieces(text):
             if not unicodedata.is_normalized("NFC", piece):
                 piece = unicodedata.normalize("NFC", piece)
             # lower case letter by letter: the final sigma is no special case
             piece = piece.replace("Σ", "σ").lower()
             out: list[int] = []
-            for word in self._words.findall(piece):
-                out.extend(known.get(word) or self._word(word))
+            # split() also cuts at four control characters that are no white space here
+            for chunk in [piece] if self._controls.search(piece) else piece.split():
+                if len(chunk) <= _SHORT:
+                    got = chunks.get(chunk)
+                    out.extend(self._chunk(chunk) if got is None else got)
+                    continue
+                for m in self._words.finditer(chunk):
+                    out.extend(self._known.get(m.group()) or self._word(m.group()))
+                    if len(out) > _PIECE:
+                        yield out
+                        out = []
             yield out
 
     def encode(self, text: str | None) -> Iterator[list[int]]:
