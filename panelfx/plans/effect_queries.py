@@ -135,7 +135,7 @@ def r4i(spark, sf):
 
 @query("r5_within_resid", f"""WITH {FX3W}
 --result
-SELECT unit, t, y, dose, control FROM fx3w""", "y dose control")
+SELECT unit, t, y, dose, control FROM fx3w WHERE y IS NOT NULL""", "y dose control")
 def r5(spark, sf):
     df = fx.always_on(spark, sf).select("unit", "t", "y", "dose", "control")
     return ab.absorb_exact(df, ["y", "dose", "control"], "unit", "t", fx.QUARTERS)
