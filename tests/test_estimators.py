@@ -30,7 +30,7 @@ def test_att_gt_brute_force(staggered):
     w = p.pivot(index="unit", columns="year", values="y")
     g = p.groupby("unit").cohort.first()
     got = att(staggered)
-    assert len(got) == 10
+    assert len(got) == 12
     for (c, t), value in got.items():
         b = c - 1 if t >= c else t - 1
         d = w[t] - w[b]
@@ -379,4 +379,4 @@ def test_clusters_with_several_cohorts(spark, staggered):
 def test_entry_runs(spark):
     from __spark_entry__ import entry
     df = entry(spark)
-    assert df.columns == ["kind", "key", "att"] and df.count() == 8
+    assert df.columns == ["kind", "key", "att"] and df.count() == 9
