@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelfx.llm import ann, bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
+from panelfx.llm import ann, bpe, decontaminate, jaccard, langid, licences, lm, pii, simhash, toxicity, urlfilter
 from panelfx.llm.components import components
 from panelfx.llm.queries import tokenizer_path
 
@@ -99,6 +99,46 @@ def test_near_copies_odd(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def plain_similar(rows, least=0.8):
+    sets = {}
+    for i, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    pairs = []
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9 > 0):
+                pairs.append((a, b))
+    return plain_components(list(sets), pairs)
+
+
+def test_similar_texts(spark, texts):
+    rng = random.Random(5)
+    rows = list(texts)
+    for c in range(6):
+        words = [f"w{c}x{rng.randrange(900)}" for _ in range(200)]
+        for k in range(8):
+            edit = list(words)
+            for at in rng.sample(range(200), 1 + k % 4):
+                edit[at] = f"new{rng.random()}"
+            rows.append((10_000 + 10 * c + k, " ".join(edit)))
+    # a chain of which only neighbours are similar, and texts that share a passage and no more
+    line = [f"c{k}" for k in range(160)]
+    rows += [(20_000 + k, " ".join(line[6 * k:6 * k + 100])) for k in range(10)]
+    rows += [(21_000 + k, " ".join(line[:40] + [f"t{k}y{j}" for j in range(30)])) for k in range(20)]
+    rows += [(22_000, None), (22_001, ""), (22_002, "One two"), (22_003, "one  TWO"), (22_004, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(df).collect()}
+    assert got == plain_similar(rows)
+    assert got[20_009] == 20_000 and got[21_001] == 21_001 and got[22_003] == 22_002 and got[22_004] == 22_004
+
+
+def test_similar_texts_odd(spark):
+    assert jaccard.near_copies(empty(spark)).count() == 0
+    got = jaccard.near_copies(odd(spark)).collect()
+    assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (900, 901, 902)} == {900}
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

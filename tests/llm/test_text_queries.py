@@ -61,6 +61,18 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert {(r["doc_id"], r["n_tokens"], r["text"]) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
 
 
+def test_pipeline_similar_texts_go(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    words = [f"w{k}" for k in range(100)]
+    rows = []
+    for i, changed in enumerate(([], [20, 60], [30, 31, 32, 33], [5, 25, 45, 65, 85])):
+        text = " ".join(f"n{i}" if k in changed else w for k, w in enumerate(words))
+        rows.append((i + 1, text, "en", "s", len(text)))
+    # shingles shared with the first text: 86 of 106, 88 of 104, 71 of 121
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 def test_pipeline_odd_rows(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "same words in a row here", "en", "s", 24), (3, "same words in a row here", "en", "s", 24),
