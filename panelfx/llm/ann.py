@@ -109,7 +109,10 @@ def _keyed(vectors: DataFrame, curves: Curves, which: list[int], dim: int) -> Da
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    """The ``k`` best ids, each by its best row."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
 def _windows(ordered: DataFrame, every: int, k: int, window: int, dim: int) -> DataFrame:
@@ -223,7 +226,12 @@ def _compared(met: DataFrame, k: int, dim: int) -> DataFrame:
                 score = _cosine(q[i], x[j])
                 better = (score > bar[i]) | (score == bar[i]) & (ids[j] < last[i])
                 i, j, score = i[better], j[better], score[better]
-                # the nearest k of the block for each query
+                # the best row of each id, then the nearest k ids of the block for each query
+                order = np.lexsort((-score, ids[j], i))
+                i, j, score = i[order], j[order], score[order]
+                new = np.ones(len(i), bool)
+                new[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+                i, j, score = i[new], j[new], score[new]
                 order = np.lexsort((ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 keep = np.arange(len(i)) - np.searchsorted(i, i) < k

@@ -376,6 +376,20 @@ def test_nearest(spark, sf_dir):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one id, equal or not, take one place: in a window, in a block, and where an id has a third of the rows."""
+    rng = np.random.default_rng(6)
+    base = [(i, rng.normal(size=8)) for i in range(150)]
+    rows = [(i, (v + rng.normal(0, 1e-3, 8) * (i % 2)).tolist()) for i, v in base for _ in range(12)]
+    rows += [(1001, (base[50][1] + rng.normal(0, 1e-2, 8)).tolist()) for _ in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(df, window=40).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    want = {q: [i for _, i in near] for q, near in plain_nearest(rows).items()}
+    assert set(want) == {0, 50, 100} and {q: [n[k + 1] for k in range(len(n))] for q, n in got.items()} == want
+
+
 def test_hilbert_visits_neighbours():
     side = 8
     points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
