@@ -73,6 +73,23 @@ def test_pipeline_similar_texts_go(spark, sf_dir):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
 
 
+def test_pipeline_by_row(spark, sf_dir):
+    """Rows of one id, and rows without an id, are judged by their own text."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    copy, other, more = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, copy), (2, copy), (2, other), (2, other), (None, copy), (None, more), (None, more)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_copies"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, more), (1, copy), (2, other)]
+    rows = [(None, f"before {item} after"), (None, other), (3, f"x {item}"), (3, copy)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    kept = stages["decontamination"](spark, docs, sf_dir)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, other), (3, copy)]
+
+
 def test_pipeline_odd_rows(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "same words in a row here", "en", "s", 24), (3, "same words in a row here", "en", "s", 24),
