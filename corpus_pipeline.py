@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfx.llm import bpe, decontaminate, jaccard, pii, toxicity
+from panelfx.llm import bpe, decontaminate, pii, simhash, toxicity
 from panelfx.llm.components import reliable
 from panelfx.llm.queries import table, tokenizer_path
 from panelfx.plans.stage import stage
@@ -33,11 +33,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id; rows without an id come last.
 
-    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them. Rows
-    with equal ids are texts of their own: those that are no copies all stay.
+    Near copies are texts whose fingerprints (SimHash over four words) links of four bits or fewer lead to. Rows with
+    equal ids are texts of their own: those that are no copies all stay.
     """
     numbered = _numbered(docs)
-    found = jaccard.near_copies(numbered, _ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+    found = simhash.near_duplicates(numbered, _ROW, width=4, distance=4).select(F.col("doc_id").alias(_ROW), "component_id")
     found = reliable(found.join(numbered.select(_ROW, "doc_id"), _ROW))
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)).alias("first"), F.count("*").alias("n"))
     again = found.join(first.where("n > 1"), "component_id").where(F.col(_ROW) != F.col(f"first.{_ROW}"))
