@@ -1,15 +1,14 @@
 """The registered text queries: SQL where there is some, the pipeline, and what the contract says about the results."""
 
-import collections
-
 import pytest
 from check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from panelfx.llm import decontaminate, pii, simhash
+from panelfx.llm import decontaminate, pii
 from panelfx.llm.queries import QUERIES, SQL
+from test_text_operators import plain_components, plain_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def duck(sf_dir):
 
 def test_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)} and set(QUERIES) | {"pipeline"} <= set(queries()) and set(SQL) <= set(oracle_sql())
+    assert names == {f"op{n}" for n in range(1, 14)} and set(QUERIES) | {"pipeline"} <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -44,10 +43,9 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         was = {r["doc_id"] for r in before.select("doc_id").collect()}
         assert ids <= was
         if name == "near_copies":
-            groups = collections.defaultdict(set)
-            for r in simhash.near_duplicates(before).collect():
-                groups[r["component_id"]].add(r["doc_id"])
-            assert ids == set(groups) and all(k == min(g) for k, g in groups.items())
+            fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before.collect()}
+            pairs = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
+            assert pairs and ids == set(plain_components(list(fps), pairs).values())
         if name == "decontamination":
             leaky = decontaminate.contaminated(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
             assert was - ids == {r["doc_id"] for r in leaky.collect()}
@@ -61,18 +59,6 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert {(r["doc_id"], r["n_tokens"], r["text"]) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
 
 
-def test_pipeline_similar_texts_go(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    words = [f"w{k}" for k in range(100)]
-    rows = []
-    for i, changed in enumerate(([], [20, 60], [30, 31, 32, 33], [5, 25, 45, 65, 85])):
-        text = " ".join(f"n{i}" if k in changed else w for k, w in enumerate(words))
-        rows.append((i + 1, text, "en", "s", len(text)))
-    # shingles shared with the first text: 86 of 106, 88 of 104, 71 of 121
-    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, spark.createDataFrame(rows, schema), sf_dir)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
-
-
 def test_pipeline_by_row(spark, sf_dir):
     """Rows of one id, and rows without an id, are judged by their own text."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
