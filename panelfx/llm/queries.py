@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
+from . import align, ann, bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -186,3 +186,8 @@ SQL["op1_licences"] = _licence_sql()
 @query
 def op8_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_align(spark, sf_dir):
+    return align.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
