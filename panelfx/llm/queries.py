@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, ann, bpe, decontaminate, langid, licences, lm, pii, simhash, toxicity, urlfilter
+from . import align, ann, bpe, centroids, decontaminate, langid, licences, lm, overlap, pii, simhash, toxicity, urlfilter
 from .common import held_out
 from .components import reliable
 
@@ -191,3 +191,47 @@ def op8_ann(spark, sf_dir):
 @query
 def op11_align(spark, sf_dir):
     return align.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_centroids(spark, sf_dir):
+    found = centroids.described(centroids.cluster(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (SELECT row_no, min((d, c)) AS best FROM (
+  SELECT row_no, c, CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS BIGINT) AS d
+  FROM v, c{r}) GROUP BY row_no)""")
+        if r < rounds:
+            steps.append(f"""
+parts{r} AS (
+  SELECT best[2] AS c, i, CAST(sum(x[i]) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n
+  FROM near{r} JOIN v USING (row_no), (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(new.m, c{r}.m) AS m FROM c{r}
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM parts{r} GROUP BY c) AS new USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS c, x AS m FROM v
+  QUALIFY c < {k}),{",".join(steps)},
+summed AS (SELECT best[2] AS c, CAST(sum(best[1]) AS BIGINT) AS cluster_inertia FROM near{rounds} GROUP BY 1),
+total AS (SELECT CAST(sum(cluster_inertia) AS BIGINT) AS inertia FROM summed)
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, cluster_inertia, inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM near{rounds} JOIN v USING (row_no) JOIN c{rounds} ON c{rounds}.c = best[2] JOIN summed ON summed.c = best[2], total
+"""
+
+
+SQL["op13_centroids"] = _centroid_sql()
+
+
+@query
+def op12_jaccard(spark, sf_dir):
+    return overlap.near_copies(table(spark, sf_dir, "documents"))

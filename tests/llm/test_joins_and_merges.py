@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelfx.llm import align
+from panelfx.llm import align, centroids
 from panelfx.llm.queries import tokenizer_path
 from test_text_operators import ODD, empty, odd
 
@@ -122,3 +123,72 @@ def test_alignment_odd(spark):
 def test_linked_pairs_are_bounded(texts):
     both = align.Pair(*align.load(tokenizer_path(A), tokenizer_path(B)))
     assert len(np.unique(both.align([t for _, t in texts]).pairs())) < both.bound() < 1_000_000
+
+
+# --------------------------------------------------------------------------- centroid clustering
+
+
+def plain_clusters(rows, k=16, rounds=3, dims=64, scale=64):
+    """Integers of any size, one distance after the other."""
+    kept = [(i, [math.floor(scale * float(np.float32(c))) for c in v]) for i, v in rows
+            if v is not None and len(v) == dims and all(c is not None and math.isfinite(c) for c in v)]
+    digest = lambda i: hashlib.sha256(f"1:{i}".encode()).hexdigest()
+    order = sorted(kept, key=lambda r: (r[0] is None, "" if r[0] is None else digest(r[0]), r[1]))
+    means = [x for _, x in order[:k]]
+
+    def nearest(x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, m)), c) for c, m in enumerate(means))
+
+    for _ in range(rounds):
+        own = [nearest(x)[1] for _, x in kept]
+        for c in range(len(means)):
+            members = [x for (_, x), o in zip(kept, own) if o == c]
+            if members:
+                means[c] = [sum(col) // len(members) for col in zip(*members)]
+    got = [(i, *nearest(x)) for i, x in kept]
+    per = collections.Counter()
+    for _, d, c in got:
+        per[c] += d
+    return collections.Counter((i, c, d, per[c], sum(per.values()), ",".join(map(str, means[c]))) for i, d, c in got)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("x", "cluster", "near", "n", "v")})
+
+
+def test_centroids(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(9, 64)) * 3
+    rows = [(i, (centers[i % 9] + rng.normal(size=64) * 0.3).tolist()) for i in range(400)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)]                        # a very common vector
+    rows += [(3, rows[3][1]), (3, rows[4][1]), (None, rows[5][1])]             # repeated rows, one id twice, no id
+    rows += [(2000, None), (2001, []), (2002, [1.0] * 63), (2003, [None] + [0.0] * 63), (2004, [float("nan")] * 64), (2005, [float("inf")] + [0.0] * 63)]
+    rows += [(2006, [0.0] * 64), (2007, [-0.001] * 64), (2008, [1000.0] * 64)]
+    df = vectors(spark, rows).repartition(5)
+    found = centroids.cluster(df)
+    got = collections.Counter(tuple(r) for r in centroids.described(found).collect())
+    assert got == plain_clusters(rows)
+    assert sum(found.measured) < 0.5 * found.possible                           # the pivots spare most distances of grouped vectors
+
+
+def test_centroids_ties_and_few_vectors(spark):
+    same = [(i, [0.5] * 64) for i in range(40)]
+    found = centroids.described(centroids.cluster(vectors(spark, same)))
+    assert {(r["cluster"], r["distance"], r["inertia"]) for r in found.collect()} == {(0, 0, 0)}   # ties go to the smaller number
+    few = [(i, [float(i)] * 64) for i in range(5)]
+    assert collections.Counter(tuple(r) for r in centroids.described(centroids.cluster(vectors(spark, few))).collect()) == plain_clusters(few)
+    assert centroids.described(centroids.cluster(vectors(spark, few[:0]))).count() == 0
+    for large in (1e30, -1e30):
+        with pytest.raises(Exception, match="64 bits"):
+            centroids.cluster(vectors(spark, [(1, [large] * 64)]))
+
+
+def test_bounds_leave_out_no_centroid():
+    rng = np.random.default_rng(6)
+    for spread_by in (1, 40, 3000):
+        x = rng.integers(-spread_by, spread_by + 1, (500, 8))
+        means = rng.integers(-spread_by, spread_by + 1, (12, 8))
+        pivots = centroids.spread(x[:50], 5)
+        c, d, n = centroids.assign(x, centroids.to_pivots(x, pivots), means, pivots)
+        every = ((x[:, None] - means[None]) ** 2).sum(2)
+        assert (c == every.argmin(1)).all() and (d == every.min(1)).all() and 500 <= n <= 6000
