@@ -125,14 +125,16 @@ def _searched(index: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
         own = Index(sets, percent)
         nodes, roots = left.column("node").to_pylist(), left.column("root").to_pylist()
         a, b = [], []
-        for node, root, s in zip(right.column("node").to_pylist(), right.column("root").to_pylist(), right.column("set") if sets else []):
+        for node, root, s in zip(right.column("q_node").to_pylist(), right.column("q_root").to_pylist(), right.column("q_set") if sets else []):
             for doc in own.search(s.values.to_numpy()):
                 if roots[doc] != root:
                     a.append(node)
                     b.append(nodes[doc])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return index.groupBy("cell").cogroup(queries.groupBy("cell")).applyInArrow(one, "a long, b long")
+    # names of their own: both sides read the same table of sets
+    asked = queries.select("cell", *(F.col(c).alias("q_" + c) for c in ("node", "root", "set"))).toDF("q_cell", "q_node", "q_root", "q_set")
+    return index.groupBy("cell").cogroup(asked.groupBy("q_cell")).applyInArrow(one, "a long, b long")
 
 
 # --------------------------------------------------------------------------- sets

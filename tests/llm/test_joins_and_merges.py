@@ -3,14 +3,16 @@
 import collections
 import hashlib
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelfx.llm import align, centroids
+from panelfx.llm import align, centroids, overlap
 from panelfx.llm.queries import tokenizer_path
-from test_text_operators import ODD, empty, odd
+from test_text_operators import ODD, empty, odd, plain_components
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -192,3 +194,109 @@ def test_bounds_leave_out_no_centroid():
         c, d, n = centroids.assign(x, centroids.to_pivots(x, pivots), means, pivots)
         every = ((x[:, None] - means[None]) ** 2).sum(2)
         assert (c == every.argmin(1)).all() and (d == every.min(1)).all() and 500 <= n <= 6000
+
+
+# --------------------------------------------------------------------------- Jaccard join
+
+
+def plain_sets(rows, width=5):
+    out = []
+    for _, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+        out.append({tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    return out
+
+
+def plain_join(rows):
+    """(doc_id, n_shingles, component_id) of rows with an id, by comparing all pairs."""
+    rows = [r for r in rows if r[0] is not None]
+    sets = plain_sets(rows)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows))
+             if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = plain_components(range(len(rows)), pairs)
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        first[root[k]] = min(first.get(root[k], i), i)
+    return collections.Counter((i, len(sets[k]), first[root[k]]) for k, (i, _) in enumerate(rows))
+
+
+def family(rng, start, n, size, changes, prefix):
+    words = [f"{prefix}x{rng.randrange(900)}" for _ in range(size)]
+    out = []
+    for k in range(n):
+        edit = list(words)
+        for at in rng.sample(range(size), changes(k)):
+            edit[at] = f"new{rng.random()}"
+        out.append((start + k, " ".join(edit)))
+    return out
+
+
+def jaccard_rows(texts):
+    rng = random.Random(5)
+    rows = list(texts)
+    for c in range(6):
+        rows += family(rng, 10_000 + 100 * c, 8, 200, lambda k: 1 + k % 4, f"w{c}")
+    rows += family(rng, 11_000, 60, 120, lambda k: 3 + k % 6, "v")                      # around the threshold: many components
+    line = [f"c{k}" for k in range(160)]
+    rows += [(20_000 + k, " ".join(line[6 * k:6 * k + 100])) for k in range(10)]        # a chain of which only neighbours are similar
+    rows += [(21_000 + k, " ".join(line[:40] + [f"t{k}y{j}" for j in range(30)])) for k in range(20)]
+    rows += [(23_000 + k, " ".join(line[:40] + [f"z{j}" for j in range(k)])) for k in range(14)]
+    rows += [(22_000, None), (22_001, ""), (22_002, "One two"), (22_003, "one  TWO"), (22_004, "one two three"), (22_005, " \t")]
+    rows += [(10_000, "another text under a known id here"), (22_003, "one two"), (None, "one two")]
+    return rows
+
+
+@pytest.mark.parametrize("cell", [1 << 18, 300])
+def test_jaccard_join(spark, texts, monkeypatch, cell):
+    monkeypatch.setattr(overlap, "CELL", cell)
+    rows = jaccard_rows(texts)
+    got = collections.Counter(tuple(r) for r in overlap.near_copies(odd(spark, rows).repartition(5)).collect())
+    want = plain_join(rows)
+    assert got == want
+    assert (20_009, 96, 20_000) in want and (22_003, 1, 22_002) in want and (22_001, 0, 22_001) in want
+
+
+def test_jaccard_odd(spark):
+    assert overlap.near_copies(empty(spark)).count() == 0
+    got = collections.Counter(tuple(r) for r in overlap.near_copies(odd(spark)).collect())
+    assert got == plain_join(ODD)
+
+
+def test_search_against_all_pairs():
+    rng = random.Random(8)
+    sets = []
+    for base in range(6):
+        whole = rng.sample(range(10_000), 60)
+        for k in range(25):
+            own = set(rng.sample(whole, rng.randrange(1, 61))) | set(rng.sample(range(10_000), rng.choice([0, 0, 3, 10])))
+            sets.append(np.array(sorted(own), np.int64))
+    index = overlap.Index(sets)
+    for s in sets:
+        want = [j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))]
+        assert sorted(index.search(s)) == want
+    assert overlap.Index([]).search(sets[0]) == []
+
+
+def test_merge_skip():
+    rng = random.Random(9)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randrange(0, 12))) for _ in range(rng.randrange(1, 9))]
+        count = collections.Counter(x for own in lists for x in own)
+        for least in range(1, len(lists) + 1):
+            assert list(overlap.merge_skip(lists, least)) == sorted((x, c) for x, c in count.items() if c >= least)
+
+
+def test_prefixes_share_enough():
+    """Sets at the threshold: their prefixes share as many shingles as the search asks for."""
+    rng = random.Random(10)
+    for n in [*range(1, 60), 200, 777]:
+        for m in {n, -(-80 * n // 100), min(n * 100 // 80, n + 9)}:
+            both = -(-80 * (n + m) // 180)
+            if both > min(n, m):
+                continue
+            for _ in range(4):
+                numbers = rng.sample(range(10 ** 6), n + m - both)
+                x, y = sorted(numbers[:n]), sorted(numbers[n - both:])
+                assert len(x) == n and len(y) == m
+                shared = set(x[:overlap.prefix(n)]) & set(y[:overlap.prefix(m)])
+                assert all(len(shared) >= 1 + -(-80 * k // 100) // 16 for k in (n, m))
