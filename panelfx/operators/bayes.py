@@ -9,19 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
+from . import mixed
 from .describe import group_quantiles
 from .design import Design
-from .gram import gram, independent, product_sums, sum_partials, unpack
+from .gram import gram, independent
 from .panel import to_long
 from .regress import INTERCEPT, normal_table
 
 
-def _system(cells: DataFrame, design: Design, by: str | None = None):
+def _system(cells: DataFrame, design: Design):
     full = Design([(INTERCEPT, F.lit(1.0)), *design.terms], set(design.nullable))
     keep = [(F.col("y_sum") / F.col("n")).alias("_y"), F.col("n").cast("double").alias("_w"),
             (F.col("y_sumsq") - F.col("y_sum") * F.col("y_sum") / F.col("n")).alias("_ss")]
-    if by:
-        keep.append(F.col(by).alias("_cl"))
     base, xs = full.attach(cells.filter(F.col("n") > 0), keep)
     return full, base, xs
 
@@ -48,70 +47,21 @@ def ridge_posterior(cells: DataFrame, design: Design, prior_sd: float, intercept
 
 
 def random_intercept(cells: DataFrame, cluster: str, design: Design, prior_sd: float = 100.0,
-                     intercept_sd: float | None = None, tol: float = 1e-10, max_passes: int = 200,
-                     grid: int = 24) -> DataFrame:
+                     intercept_sd: float | None = None) -> DataFrame:
     """Linear model with a normal intercept per cluster: restricted maximum likelihood for the two variances,
-    then the normal posterior of the coefficients given them.
-
-    Clusters are reduced to one matrix each, kept in Spark. The likelihood depends on the data through the
-    variance ratio only; each pass evaluates a whole grid of ratios with one aggregate over the cluster
-    rows. The next grid goes on upwards while the largest ratio is the best one, and closes in on the best
-    one otherwise, until neighbours differ by ``tol``; a search that does not end in ``max_passes`` raises.
-    The standard deviations have no standard error.
-    """
-    full, base, xs = _system(cells, design, cluster)
-    total = gram(base, xs, "_w")
-    kept = independent(total)
-    names = [full.names[i] for i in kept]
-    cols = [xs[i] for i in kept]
-    k = len(cols)
-    per = stage(base.groupBy("_cl").agg(F.array(*product_sums([*cols, "_y"], "_w")).alias("g")), "ri")
-    n, ss = base.agg(F.sum("_w"), F.sum("_ss")).first()
-
-    def evaluate(ratios: np.ndarray) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
-        def run(batches):
-            out = np.zeros((len(ratios), (k + 1) ** 2 + 1))
-            for b in batches:
-                for flat in b.column("g").to_pylist():
-                    g = unpack(flat, k + 1)
-                    s, nc = g[0], g[0, 0]
-                    for i, r in enumerate(ratios):
-                        shrink = r / (1.0 + r * nc)
-                        out[i, :-1] += (g - shrink * np.outer(s, s)).ravel()
-                        out[i, -1] += np.log1p(r * nc)
-            return out.ravel()
-
-        v = sum_partials(per.select("g"), run).reshape(len(ratios), -1)
-        res = []
-        for row in v:
-            g = row[:-1].reshape(k + 1, k + 1)
-            xx, xy = g[:k, :k], g[:k, k]
-            beta = np.linalg.solve(xx, xy)
-            rss = g[k, k] - beta @ xy + ss
-            sigma2 = rss / (n - k)
-            crit = (n - k) * np.log(sigma2) + row[-1] + np.linalg.slogdet(xx)[1]
-            res.append((crit, sigma2, xx, xy))
-        return res
-
-    ratios = np.concatenate([[0.0], np.logspace(-7, 2, grid - 1)])
-    for _ in range(max_passes):
-        res = evaluate(ratios)
-        best = int(np.argmin([r[0] for r in res]))
-        if best == len(ratios) - 1:
-            ratios = ratios[-2] * np.logspace(0, 4, grid)
-            continue
-        lo, hi = ratios[max(best - 1, 0)], ratios[best + 1]
-        ratio, (_, sigma2, xx, xy) = ratios[best], res[best]
-        if hi - lo <= tol * max(hi, 1e-12):
-            break
-        ratios = np.unique(np.concatenate([np.linspace(lo, hi, grid), [ratio]]))
-    else:
-        raise RuntimeError(f"the variance ratio did not converge in {max_passes} passes")
-    cov = np.linalg.inv(xx / sigma2 + _prior(names, prior_sd, intercept_sd or prior_sd))
-    mean = cov @ (xy / sigma2)
-    rows = [(t, float(b), float(np.sqrt(v))) for t, b, v in zip(names, mean, np.diag(cov))]
-    rows += [("sd_cluster", float(np.sqrt(ratio * sigma2)), None), ("sigma", float(np.sqrt(sigma2)), None)]
-    return normal_table(cells.sparkSession, rows)
+    then the normal posterior of the coefficients given them. The standard deviations have no standard error."""
+    r = mixed.reduce_rows(cells, cluster, design)
+    sigma, tau, _, _ = mixed.fit_restricted(r)
+    precision = np.diag(_prior(r.names, prior_sd, intercept_sd or prior_sd))
+    _, mean, cov = mixed.conditional(r, [(sigma, tau)], precision)
+    rows = [(t, float(b), float(np.sqrt(v))) for t, b, v in zip(r.names, mean[0], np.diag(cov[0]))]
+    return normal_table(cells.sparkSession, [*rows, ("sd_cluster", tau, None), ("sigma", sigma, None)])
+
+
+def random_intercept_posterior(cells: DataFrame, cluster: str, design: Design, priors: mixed.Priors = mixed.Priors()) -> DataFrame:
+    """The same model with priors on both deviations: the coefficients' posterior is a mixture over a grid of the two,
+    placed where the posterior has its mass."""
+    return mixed.posterior(mixed.reduce_rows(cells, cluster, design), priors).table(cells.sparkSession)
 
 
 def summarise_draws(df: DataFrame, columns: Sequence[str], pattern: str = r"(\d+)\D+(\d+)") -> DataFrame:

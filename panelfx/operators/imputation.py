@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import flag
 from ..plans.stage import stage
 from ..spec import PanelSpec
+from . import mixed
 from .absorb import center_by_window, lookup
 from .describe import collapse
+from .design import Design
 from .gram import gram
 
 
@@ -143,3 +145,15 @@ def imputation_att(imputed: DataFrame, by: str | None = None, weight: Column | N
     adj = size["n"] / (size["n"] - size["k"])
     return sums.select("key", b.alias("estimate"),
                        (F.sqrt(F.greatest(rss, F.lit(0.0)) * adj) / F.col("sw")).alias("se_second_stage"), "n")
+
+
+def measured_error(imputed: DataFrame, sp: PanelSpec, by_cohort: bool = False) -> mixed.Reduced:
+    """Second stage that carries the first one's error: ``y_it`` of all rows on the treatment (or on the treatment of each
+    cohort), with an intercept per cluster, and the prediction's variance as known part of each row's error variance.
+
+    Rows without a prediction are left out. The result is what ``mixed`` fits: restricted likelihood or posterior.
+    """
+    rows = net_cells(imputed).filter(F.col("y_sum").isNotNull() & F.col("pred_var").isNotNull())
+    own = Design().main("treat")
+    design = Design().interact(own, Design().factor(sp.cohort, sp.cohorts)) if by_cohort else own
+    return mixed.reduce_rows(rows, sp.cluster, design, intercept=False, error="pred_var")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import coin_text, flag, safe_log
@@ -220,13 +220,35 @@ def _estimands(grid: list[dict], kind: str) -> list[dict]:
     raise ValueError(kind)
 
 
-def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str = "notyettreated",
-                  cluster: str | None = None, boot: int = 0, seed: int = 1) -> DataFrame:
-    """Estimates with influence-function standard errors and, with ``boot`` > 0, multiplier-bootstrap ones.
+@dataclass
+class Replicates:
+    """Estimands with their labels and values (model-sized), and rows ``i``, ``x``: with k estimands, totals below k are the
+    sums of squared influences, total r k + j is the influence sum of estimand j with the signs of replicate r (from 1)."""
+
+    spark: SparkSession
+    wanted: list[dict]
+    n_all: float
+    totals: DataFrame
+
+    def names(self) -> DataFrame:
+        return self.spark.createDataFrame([(i, e["label"], float(e["value"])) for i, e in enumerate(self.wanted)],
+                                          "i int, term string, estimate double")
+
+    def draws(self) -> DataFrame:
+        """One row per replicate and estimand: its deviation from the estimate."""
+        k = F.lit(len(self.wanted))
+        return self.totals.filter(F.col("i") >= k).select(
+            F.floor(F.col("i") / k).cast("int").alias("rep"), (F.col("i") % k).cast("int").alias("i"),
+            (F.col("x") / F.lit(self.n_all)).alias("dev"))
 
-    ``cluster`` = the unit column gives the unclustered version. The influence of a cluster on every
-    estimand follows from its own row of sums, so nothing is joined. Draws repeat cluster rows, never
-    panel rows: each task multiplies a sign matrix with its influence rows and sends on one vector.
+
+def att_replicates(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str = "notyettreated",
+                   cluster: str | None = None, boot: int = 0, seed: int = 1) -> Replicates:
+    """Influence sums of every estimand, squared and under ``boot`` draws of signs by cluster.
+
+    The influence of a cluster on every estimand follows from its own row of sums, so nothing is joined. Draws
+    repeat cluster rows, never panel rows: each task multiplies a sign matrix with its influence rows and sends on
+    one vector.
     """
     cluster = cluster or sp.cluster
     p = stage(profile(df, sp, [F.col(cluster).alias("cl"), F.col(sp.cohort).alias("g0")]), "profile")
@@ -237,7 +259,6 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
     wanted = _estimands(grid, kind)
     groups = sorted({c["g"] for c in grid})
     n_all = float(grid[0]["n_all"])
-    sizes = {c["g"]: float(c["n_treated"]) for c in grid}
 
     influence = _influence(grid, wanted, groups, control)
     signs = coin_text(seed, boot, "cl") if boot else F.lit("")
@@ -253,16 +274,65 @@ def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str =
         flat = rows.select("h", F.posexplode("e").alias("i", "v")).groupBy("h", "i").agg(F.sum("v").alias("v"))
         per = flat.groupBy(F.col("h").alias("cl")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"))
         totals = partial_sums(per.select(signs.alias("h"), F.col("e.v").alias("e")), sums)
-    k = len(wanted)
+    return Replicates(df.sparkSession, wanted, n_all, totals)
+
+
+def att_inference(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str = "notyettreated",
+                  cluster: str | None = None, boot: int = 0, seed: int = 1) -> DataFrame:
+    """Estimates with influence-function standard errors and, with ``boot`` > 0, multiplier-bootstrap ones.
+
+    ``cluster`` = the unit column gives the unclustered version.
+    """
+    r = att_replicates(df, sp, kind, control, cluster, boot, seed)
+    k = len(r.wanted)
     term = (F.col("i") % F.lit(k)).alias("i")
-    # the first k totals are sums of squares, then come k per replicate
     square = F.sum(F.when(F.col("i") < k, F.col("x")))
-    spread = F.stddev_samp(F.when(F.col("i") >= k, F.col("x"))) / F.lit(n_all)
-    errors = totals.groupBy(term).agg((F.sqrt(square) / F.lit(n_all)).alias("se"),
-                                      *([spread.alias("se_boot")] if boot else []))
-    names = df.sparkSession.createDataFrame(
-        [(i, e["label"], float(e["value"])) for i, e in enumerate(wanted)], "i int, term string, estimate double")
-    return names.join(errors, "i", "left").drop("i")
+    spread = F.stddev_samp(F.when(F.col("i") >= k, F.col("x"))) / F.lit(r.n_all)
+    errors = r.totals.groupBy(term).agg((F.sqrt(square) / F.lit(r.n_all)).alias("se"),
+                                        *([spread.alias("se_boot")] if boot else []))
+    return r.names().join(errors, "i", "left").drop("i")
+
+
+#: Distance of the quartiles of the standard normal law.
+NORMAL_QUARTILES = 1.3489795003921634
+
+
+def simultaneous(draws: DataFrame, level: float = 0.95, alone: Column | None = None) -> DataFrame:
+    """Per ``term`` of bootstrap rows (rep, term, dev): ``se_boot``, the distance of its quartiles on the scale of the normal
+    law, and ``crit``, the level's quantile over replicates of the largest studentised deviation of any term.
+
+    A band of crit times se_boot around the estimates covers all of them together with the level's probability. Terms
+    without spread take no part in the maximum and have no band. Rows where ``alone`` holds are terms that get the
+    critical value of their own deviations only, such as an overall average beside its parts. Quantiles are order
+    statistics (the smallest value that reaches the share). Replicates stay rows: the maximum is an aggregate by
+    replicate, and what is sorted has one row per replicate.
+    """
+    group = F.when(alone, F.col("term")) if alone is not None else F.lit(None).cast("string")
+    rows = draws.withColumn("family", group)
+    quartile = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY dev)")
+    spread = rows.groupBy("family", "term").agg(((quartile(0.75) - quartile(0.25)) / F.lit(NORMAL_QUARTILES)).alias("se_boot"))
+    spread = stage(spread, "spread")
+    same = F.col("f").eqNullSafe(F.col("family")) & (F.col("t") == F.col("term"))
+    known = spread.filter(F.col("se_boot") > 0).select(F.col("family").alias("f"), F.col("term").alias("t"), "se_boot")
+    largest = rows.join(known, same).groupBy("family", "rep").agg(F.max(F.abs(F.col("dev") / F.col("se_boot"))).alias("m"))
+    crit = largest.groupBy(F.col("family").alias("f")).agg(F.expr(f"percentile_disc({level}) WITHIN GROUP (ORDER BY m)").alias("crit"))
+    return spread.join(crit, F.col("family").eqNullSafe(F.col("f")), "left").select(
+        "term", F.when(F.col("se_boot") > 0, F.col("se_boot")).alias("se_boot"), "crit")
+
+
+def att_bands(df: DataFrame, sp: PanelSpec, kind: str = "gt", control: str = "notyettreated", cluster: str | None = None,
+              boot: int = 999, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """term, estimate, se_boot, crit, conf_low, conf_high: bands that cover all terms at once (see ``simultaneous``).
+
+    The overall average of a dynamic, group or calendar table is no member of the family; its interval is its own.
+    """
+    r = att_replicates(df, sp, kind, control, cluster, boot, seed)
+    names = r.names()
+    draws = stage(r.draws().join(names.select("i", "term"), "i").select("rep", "term", "dev"), "draws")
+    bands = simultaneous(draws, level, F.col("term") == "overall")
+    half = F.col("crit") * F.col("se_boot")
+    return names.join(bands, "term", "left").select(
+        "term", "estimate", "se_boot", "crit", (F.col("estimate") - half).alias("conf_low"), (F.col("estimate") + half).alias("conf_high"))
 
 
 def att_intervals(table: DataFrame, se: str = "se") -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import bayes as by
 from ..operators import compare as cp
 from ..operators import dose as do
 from ..operators import its
+from ..operators import mixed as mx
 from ..operators import panel as pn
 from ..operators import post as po
 from ..operators import regress as rg
@@ -17,7 +18,7 @@ from . import effect_queries as eq
 from . import fixtures as fx
 from .panel_queries import DOSE_FNS
 from .registry import query
-from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, bias_reduced, demeaned, least_squares, with_list
+from .sqltext import FX1, FX2, FX3, FX3D, FX3W, FX4, bias_reduced, demeaned, least_squares, mixed_grid, with_list
 from .stage import stage
 
 SP, IT = fx.STAGGERED, fx.ITS
@@ -532,6 +533,33 @@ def b2(spark, sf):
         "term", "estimate", "std_error")
 
 
+# Deviations of the posterior's grid; the log density is given by row, as a sum over many rows has few digits left.
+_B2_SIGMAS, _B2_TAUS = [1.5, 2.0, 2.5, 3.0, 3.5], [0.0, 0.05, 0.1, 0.25, 0.5]
+_B2_NAMES = ["(Intercept)", *eq.CELL_NAMES, *eq._cn, *eq._tn]
+_B2 = with_list(FX1, mixed_grid(
+    "SELECT cluster AS cl, 0 AS v, y, 1 AS x0, " + ", ".join(f"{x} AS x{i + 1}" for i, x in enumerate([*eq.CELL_SQL, *eq._cx, *eq._ty])) + " FROM fx1",
+    eq._xs(len(_B2_NAMES)), _B2_SIGMAS, _B2_TAUS, [1 / 100.0, *[1 / 25.0] * (len(_B2_NAMES) - 1)]), recursive=True)
+
+
+def _b2_posterior(spark, sf):
+    r = mx.reduce_rows(sg.panel_cells(fx.staggered(spark, sf), SP), "cluster", sg.etwfe_design(SP, "cohort"))
+    return r, mx.posterior_on_grid(r, mx.Priors(sd=5.0, intercept_sd=10.0), _B2_SIGMAS, _B2_TAUS)
+
+
+@query("b2_deviation_posterior", f"""{_B2}
+--result
+SELECT sigma, tau AS sd_cluster, (v - tau - 2.0 * ln(1 + sigma * sigma / (2.5 * 2.5) / 3.0)) / (SELECT count(*) FROM fx1) AS log_density_by_row FROM mx_log""", "sigma sd_cluster log_density_by_row")
+def b2d(spark, sf):
+    r, p = _b2_posterior(spark, sf)
+    return spark.createDataFrame([(float(s), float(t), float(v) / r.n) for (s, t), v in zip(p.nodes, p.log)],
+                                 "sigma double, sd_cluster double, log_density_by_row double")
+
+
+@query("b2_posterior_on_grid", eq.mixture_sql(_B2, _B2_NAMES), EST)
+def b2g(spark, sf):
+    return _b2_posterior(spark, sf)[1].table(spark).select("term", "estimate", "std_error")
+
+
 _DRAWS = [(g, t) for g in SP.cohorts for t in SP.times if t >= g]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import absorb as ab
 from ..operators import imputation as im
+from ..operators import mixed as mx
 from ..operators import panel as pn
 from ..operators import post as po
 from ..operators import regress as rg
@@ -16,7 +19,7 @@ from ..operators.its import its_cells, its_fit
 from . import fixtures as fx
 from .registry import query
 from .sqltext import (FX1, FX1_GRID, FX2, FX3, FX3W, FX4, FX5, bias_reduced, demeaned, least_squares,
-                      with_list)
+                      mixed_grid, with_list)
 from .stage import stage
 
 SP = fx.STAGGERED
@@ -414,19 +417,74 @@ def d19e(spark, sf):
     return im.imputation_att(_imputed_cells(spark, sf), "event")
 
 
-@query("d20_imputation_weighted", f"""{_fs}, shares AS (
+# The same predictions with their variance, and the rows of the second stage with a known error.
+_PRED_VAR = f"""{_fs}, shares AS (
   SELECT cluster, count(*) AS n0, {", ".join(f"avg({_case(f'year = {t}')}) AS s{t}" for t in YEARS[1:])} FROM fx1 WHERE treat = 0 GROUP BY cluster),
 res AS (SELECT sum(y_it * y_it) / (count(*) - count(DISTINCT cluster) - {len(YEARS) - 1}) AS s2 FROM imp WHERE treat = 0),
 dv AS (SELECT DISTINCT imp.cluster, imp.year, s.n0, unnest({list(range(1, len(YEARS)))}) AS i,
   unnest([{", ".join(f"{_case(f'imp.year = {t}')} - s{t}" for t in YEARS[1:])}]) AS d FROM imp JOIN shares s ON s.cluster = imp.cluster),
-vr AS (SELECT a.cluster, a.year, (SELECT s2 FROM res) * (1.0 / a.n0 + sum(a.d * m.v * b.d)) AS pv
-  FROM dv a JOIN dv b ON b.cluster = a.cluster AND b.year = a.year JOIN ls_inv m ON m.i = a.i AND m.j = b.i GROUP BY a.cluster, a.year, a.n0),
-tw AS (SELECT imp.cohort AS key, y_it, 1.0 / pv AS w FROM imp JOIN vr ON vr.cluster = imp.cluster AND vr.year = imp.year WHERE treat = 1)
+vr AS MATERIALIZED (SELECT a.cluster, a.year, (SELECT s2 FROM res) * (1.0 / a.n0 + sum(a.d * m.v * b.d)) AS pv
+  FROM dv a JOIN dv b ON b.cluster = a.cluster AND b.year = a.year JOIN ls_inv m ON m.i = a.i AND m.j = b.i GROUP BY a.cluster, a.year, a.n0)"""
+_SIGMAS, _TAUS = [0.5 + 0.25 * i for i in range(15)], [0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]
+_COHORT_TREAT = [_case(f"treat = 1 AND cohort = {g}") for g in SP.cohorts]
+_COHORT_NAMES = [f"treat:cohort::{g}" for g in SP.cohorts]
+
+
+def _measured(xs: list[str], precision: list[float]) -> str:
+    rows = ("SELECT imp.cluster AS cl, pv AS v, y_it AS y, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(xs))
+            + " FROM imp JOIN vr ON vr.cluster = imp.cluster AND vr.year = imp.year")
+    return f"{_PRED_VAR},{mixed_grid(rows, _xs(len(xs)), _SIGMAS, _TAUS, precision)}"
+
+
+def _best_sql(xs: list[str], names: list[str]) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""{_measured(xs, [0.0] * len(xs))},
+top AS (SELECT node, sigma, tau FROM mx_log ORDER BY v DESC, sigma, tau LIMIT 1)
+--result
+SELECT list_extract([{listed}], b.i) AS term, b.b AS estimate, sqrt(b.var) AS std_error FROM mx_b b JOIN top ON top.node = b.node
+UNION ALL SELECT 'sd_cluster', tau, NULL FROM top UNION ALL SELECT 'sigma', sigma, NULL FROM top"""
+
+
+def mixture_sql(head: str, names: list[str]) -> str:
+    """Posterior means and deviations over the nodes of ``head``; priors on the deviations as in mixed.Priors."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""{head},
+lp AS (SELECT node, sigma, tau, v - tau - 2.0 * ln(1 + sigma * sigma / (2.5 * 2.5) / 3.0) AS lp FROM mx_log),
+ms AS (SELECT node, sigma, tau, exp(lp - max(lp) OVER ()) / sum(exp(lp - (SELECT max(lp) FROM lp))) OVER () AS w FROM lp)
 --result
-SELECT key, sum(w * y_it) / sum(w) AS estimate, count(*) AS n FROM tw GROUP BY key""", "estimate")
+SELECT term, sum(w * m) AS estimate, sqrt(greatest(sum(w * (var + m * m)) - sum(w * m) * sum(w * m), 0)) AS std_error FROM (
+  SELECT list_extract([{listed}], b.i) AS term, w, b.b AS m, b.var FROM mx_b b JOIN ms ON ms.node = b.node
+  UNION ALL SELECT 'sd_cluster', w, tau, 0 FROM ms UNION ALL SELECT 'sigma', w, sigma, 0 FROM ms) GROUP BY term"""
+
+
+@query("d20_imputation_weighted", f"""{_PRED_VAR},
+tw AS (SELECT imp.cohort AS key, y_it, 1.0 / pv AS w FROM imp JOIN vr ON vr.cluster = imp.cluster AND vr.year = imp.year WHERE treat = 1),
+gm AS (SELECT key, sum(w * y_it) / sum(w) AS estimate, sum(w) AS sw, count(*) AS n FROM tw GROUP BY key),
+sz AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k FROM gm)
+--result
+SELECT tw.key, max(estimate) AS estimate, sqrt(sum(w * w * (y_it - estimate) * (y_it - estimate)) * max(sz.n / (sz.n - sz.k))) / max(sw) AS se_second_stage,
+  max(gm.n) AS n FROM tw JOIN gm ON gm.key = tw.key, sz GROUP BY tw.key""", "estimate se_second_stage")
 def d20(spark, sf):
     df = _imputed_cells(spark, sf)
-    return im.imputation_att(df, "cohort", F.lit(1.0) / F.col("pred_var")).select("key", "estimate", "n")
+    return im.imputation_att(df, "cohort", F.lit(1.0) / F.col("pred_var"))
+
+
+@query("d20_measured_error", _best_sql(["treat"], ["treat"]), EST)
+def d20m(spark, sf):
+    r = im.measured_error(_imputed_cells(spark, sf), SP)
+    return mx.restricted_table(spark, r, mx.restricted_on_grid(r, _SIGMAS, _TAUS))
+
+
+@query("d20_measured_error_cohort", _best_sql(_COHORT_TREAT, _COHORT_NAMES), EST)
+def d20mc(spark, sf):
+    r = im.measured_error(_imputed_cells(spark, sf), SP, by_cohort=True)
+    return mx.restricted_table(spark, r, mx.restricted_on_grid(r, _SIGMAS, _TAUS))
+
+
+@query("d20_measured_error_posterior", mixture_sql(_measured(_COHORT_TREAT, [1 / 25.0] * 2), _COHORT_NAMES), EST)
+def d20mp(spark, sf):
+    r = im.measured_error(_imputed_cells(spark, sf), SP, by_cohort=True)
+    return mx.posterior_on_grid(r, mx.Priors(sd=5.0), _SIGMAS, _TAUS).table(spark).select("term", "estimate", "std_error")
 
 
 _PERM = f"""WITH {FX1}, cl AS (SELECT cluster, min(cohort) AS cohort FROM fx1 GROUP BY cluster),
@@ -618,6 +676,49 @@ def v5i(spark, sf):
     return sg.att_intervals(sg.att_inference(fx.staggered(spark, sf), SP, "gt"))
 
 
+# studentised maxima over all terms of a replicate; order statistics as in percentile_disc
+def _band_sql(head: str, reps: int, alone: str = "false") -> str:
+    """``head`` gives bt (rep, term, d) and es (term, estimate)."""
+    at = lambda p: f"max(d) FILTER (WHERE rn = {math.ceil(p * reps - 1e-9)})"
+    return f"""{head}, rk AS (SELECT term, d, row_number() OVER (PARTITION BY term ORDER BY d) AS rn FROM bt),
+sp AS (SELECT term, CASE WHEN {alone} THEN term ELSE '' END AS fam, ({at(0.75)} - {at(0.25)}) / 1.3489795003921634 AS se_boot FROM rk GROUP BY term),
+mx AS (SELECT fam, rep, max(abs(d / se_boot)) AS m FROM bt JOIN sp ON sp.term = bt.term WHERE se_boot > 0 GROUP BY 1, 2),
+cr AS (SELECT fam, m AS crit FROM (SELECT fam, m, row_number() OVER (PARTITION BY fam ORDER BY m) AS rn FROM mx) WHERE rn = {math.ceil(0.95 * reps - 1e-9)})
+--result
+SELECT es.term, estimate, se_boot, crit, estimate - crit * se_boot AS conf_low, estimate + crit * se_boot AS conf_high
+FROM es JOIN sp ON sp.term = es.term JOIN cr ON cr.fam = sp.fam"""
+
+
+def _signed(reps: int, seed: int, cl: str) -> str:
+    return (f"CASE WHEN substr(md5(concat_ws('|', '{seed}', (rep - 1) // 32, {cl})), CAST((rep - 1) % 32 + 1 AS BIGINT), 1) < '8' THEN 1 ELSE -1 END")
+
+
+_REPS = 199
+_GT_BANDS = _band_sql(f"""{_AGG_INFLUENCE},
+bt AS (SELECT rep, 'ATT(' || g || ',' || t || ')' AS term, sum({_signed(_REPS, 7, "cl")} * psi) / max(n) AS d
+  FROM psi, nn, (SELECT unnest(range(1, {_REPS + 1})) AS rep) GROUP BY 1, 2),
+es AS (SELECT 'ATT(' || g || ',' || t || ')' AS term, att AS estimate FROM attgt)""", _REPS)
+
+
+@query("v5_gt_bands", _GT_BANDS, "estimate se_boot crit conf_low conf_high")
+def v5gb(spark, sf):
+    return sg.att_bands(fx.staggered(spark, sf), SP, "gt", boot=_REPS, seed=7)
+
+
+_DYNAMIC = _agg_sql("true", "'event ' || event", "term NOT LIKE 'event -%'").split("\n--result")[0]
+_DYNAMIC_BANDS = _band_sql(f"""{_DYNAMIC},
+al AS (SELECT term, cl, v FROM ai UNION ALL SELECT 'overall', cl, avg(v) FROM ai WHERE term NOT LIKE 'event -%' GROUP BY cl),
+bt AS (SELECT rep, term, sum({_signed(_REPS, 7, "cl")} * v) / (SELECT max(n_all) FROM tot) AS d
+  FROM al, (SELECT unnest(range(1, {_REPS + 1})) AS rep) GROUP BY 1, 2),
+es AS (SELECT term, agg AS estimate FROM tot UNION ALL SELECT 'overall', avg(agg) FROM tot WHERE term NOT LIKE 'event -%')""",
+                           _REPS, "term = 'overall'")
+
+
+@query("v5_dynamic_bands", _DYNAMIC_BANDS, "estimate se_boot crit conf_low conf_high")
+def v5db(spark, sf):
+    return sg.att_bands(fx.staggered(spark, sf), SP, "dynamic", boot=_REPS, seed=7)
+
+
 @query("v7_ci_normal", f"""{_D9}
 --result
 SELECT term, estimate, std_error, estimate - 1.96 * std_error AS conf_low, estimate + 1.96 * std_error AS conf_high

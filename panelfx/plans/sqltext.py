@@ -205,3 +205,54 @@ def demeaned(source: str, columns: Sequence[str], key: str, keep: str) -> str:
     """Query that subtracts the mean within a key from each column."""
     return (f"SELECT {keep}, " + ", ".join(
         f"({c}) - avg({c}) OVER (PARTITION BY {key}) AS {n}" for n, c in columns) + f" FROM {source}")
+
+
+def mixed_grid(rows: str, xs: Sequence[str], sigmas: Sequence[float], taus: Sequence[float], precision: Sequence[float]) -> str:
+    """Tables ``mx_log`` (node, sigma, tau, v: log-likelihood without coefficients) and ``mx_b`` (node, i, b, var) of a linear
+    model with an intercept per cluster, for each pair of deviations.
+
+    ``rows`` has cl, v (known error variance), y and the regressors. Matrices are reduced by Gauss-Jordan steps in a
+    recursive query; the pivots give the log-determinant.
+    """
+    k = len(xs)
+    listed = ", ".join(f"CAST({x} AS DOUBLE)" for x in xs)
+    pairs = ", ".join(f"({n}, CAST({s} AS DOUBLE), CAST({t} AS DOUBLE))" for n, (s, t) in enumerate((s, t) for s in sigmas for t in taus))
+    prior = ", ".join(f"({i + 1}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(precision))
+    return f"""
+mx_c AS MATERIALIZED (SELECT cl, v, x, CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y * y) AS syy FROM (
+  SELECT cl, CAST(v AS DOUBLE) AS v, y, [CAST(1 AS DOUBLE), {listed}] AS x FROM ({rows}) AS src) GROUP BY cl, v, x),
+mx_l AS (SELECT cl, v, x AS own, n, sy, unnest(range(0, {k + 1})) AS i, unnest(x) AS x FROM mx_c),
+mx_p AS MATERIALIZED (
+  SELECT a.cl, a.v, a.i, b.i AS j, sum(a.n * a.x * b.x) AS g FROM mx_l a JOIN mx_l b ON a.cl = b.cl AND a.v = b.v AND a.own = b.own GROUP BY ALL
+  UNION ALL SELECT cl, v, i, {k + 1}, sum(x * sy) FROM mx_l GROUP BY ALL
+  UNION ALL SELECT cl, v, {k + 1}, i, sum(x * sy) FROM mx_l GROUP BY ALL
+  UNION ALL SELECT cl, v, {k + 1}, {k + 1}, sum(syy) FROM mx_c GROUP BY ALL),
+mx_n(node, sigma, tau) AS (VALUES {pairs}),
+mx_r(i, q) AS (VALUES {prior}),
+mx_k AS MATERIALIZED (SELECT node, cl, i, j, max(tau) AS tau, sum(g / (sigma * sigma + v)) AS g FROM mx_p, mx_n GROUP BY ALL),
+mx_s AS (SELECT node, cl, i, g FROM mx_k WHERE j = 0),
+mx_o AS (SELECT node, cl, tau * tau / (1 + tau * tau * g) AS h, ln(1 + tau * tau * g) AS d FROM mx_k WHERE i = 0 AND j = 0),
+mx_a AS MATERIALIZED (
+  SELECT k.node, k.i, k.j, sum(k.g - o.h * a.g * b.g) + max(CASE WHEN k.i = k.j THEN coalesce(r.q, 0) ELSE 0 END) AS v
+  FROM mx_k k JOIN mx_o o ON o.node = k.node AND o.cl = k.cl JOIN mx_s a ON a.node = k.node AND a.cl = k.cl AND a.i = k.i
+    JOIN mx_s b ON b.node = k.node AND b.cl = k.cl AND b.i = k.j LEFT JOIN mx_r r ON r.i = k.i
+  WHERE k.i > 0 AND k.j > 0 GROUP BY k.node, k.i, k.j),
+mx_d AS (SELECT node, sum(d) AS d FROM (SELECT node, d FROM mx_o UNION ALL
+  SELECT node, sum(n * ln(sigma * sigma + v)) FROM mx_c, mx_n GROUP BY node) GROUP BY node),
+mx_e AS (SELECT unnest(range(1, {k + 1})) AS i),
+mx_g(p, node, i, j, v) AS (
+  SELECT 0, node, i, j, v FROM (SELECT * FROM mx_a WHERE i <= {k} UNION ALL
+    SELECT node, a.i, b.i + {k + 1}, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END FROM mx_n, mx_e a, mx_e b)
+  UNION ALL
+  SELECT r.p + 1, r.node, r.i, r.j, CASE WHEN r.i = r.p + 1 THEN r.v / pv.v ELSE r.v - c.v * w.v / pv.v END
+  FROM mx_g r JOIN mx_g pv ON pv.node = r.node AND pv.i = r.p + 1 AND pv.j = r.p + 1
+    JOIN mx_g c ON c.node = r.node AND c.i = r.i AND c.j = r.p + 1 JOIN mx_g w ON w.node = r.node AND w.i = r.p + 1 AND w.j = r.j
+  WHERE r.p < {k}),
+mx_q AS MATERIALIZED (SELECT * FROM mx_g),
+mx_b AS (SELECT b.node, b.i, b.v AS b, d.v AS var FROM mx_q b JOIN mx_q d ON d.p = {k} AND d.node = b.node AND d.i = b.i AND d.j = b.i + {k + 1}
+  WHERE b.p = {k} AND b.j = {k + 1}),
+mx_log AS (
+  SELECT n.node, n.sigma, n.tau, -0.5 * (mx_d.d + pv.d + yy.v - fit.v) AS v FROM mx_n n JOIN mx_d ON mx_d.node = n.node
+  JOIN (SELECT node, sum(ln(v)) AS d FROM mx_q WHERE i = p + 1 AND j = p + 1 GROUP BY node) AS pv ON pv.node = n.node
+  JOIN (SELECT node, v FROM mx_a WHERE i = {k + 1} AND j = {k + 1}) AS yy ON yy.node = n.node
+  JOIN (SELECT b.node, sum(b.b * a.v) AS v FROM mx_b b JOIN mx_a a ON a.node = b.node AND a.i = b.i AND a.j = {k + 1} GROUP BY b.node) AS fit ON fit.node = n.node)"""
