@@ -105,17 +105,26 @@ class Pair:
         self._from = array("q", [0]), array("q", [0])
 
     def _learn(self, words: list[str]) -> None:
-        """Both encodings of words that are not in the table."""
+        """Both encodings of words that are not in the table; noted are words that a side does not spell."""
         spaced = [" " + w for w in words]
+        whole = "".join(spaced).encode()
+        size = np.fromiter((len(s) for s in spaced), np.int64, len(words)) if len(whole) == sum(map(len, spaced)) else np.array([len(s.encode()) for s in spaced])
+        start = np.cumsum(size) - size
+        bad = np.zeros(len(words), bool)
         first = [e.ids for e in self._a.encode_batch_fast(spaced, add_special_tokens=False)]
-        for w, s, a, b in zip(words, spaced, first, self._b.encode(words, num_threads=1)):
-            data = s.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-                self._odd.add(len(self._known))
-            self._known[w] = len(self._known)
-            for ids, ends, new in zip(self._ids, self._from, (a, b)):
-                ids.extend(new)
-                ends.append(len(ids))
+        second = self._b.encode(words, num_threads=1)
+        for side, (lists, table, sizes) in enumerate(((first, self.a_bytes, self.a_size), (second, self.b_bytes, self.b_size))):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
+            ends = np.append(0, np.cumsum(n))
+            spelled = np.diff(np.append(0, np.cumsum(sizes[ids]))[ends])
+            if (spelled != size).any() or b"".join(map(table.__getitem__, ids.tolist())) != whole:
+                bad |= [b"".join(map(table.__getitem__, x)) != whole[i:j] for x, i, j in zip(lists, start.tolist(), (start + size).tolist())]
+            self._from[side].frombytes((ends[1:] + self._from[side][-1]).tobytes())
+            self._ids[side].frombytes(ids.tobytes())
+        at = len(self._known)
+        self._known.update(zip(words, range(at, at + len(words))))
+        self._odd.update((at + np.flatnonzero(bad)).tolist())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B of all texts, and how many each text has. Texts without tokens by the rule have none.
@@ -126,7 +135,7 @@ class Pair:
             self._clear()
         parts = [self._CUT.split(t) if t else [] for t in texts]
         known = self._known
-        missing = list(dict.fromkeys(w for p in parts for w in p if w not in known))
+        missing = [w for w in set().union(*parts) if w not in known]
         if missing:
             self._learn(missing)
         n_words = np.fromiter(map(len, parts), np.int64, len(parts))

@@ -5,10 +5,13 @@ shingle has an inverted list of the documents that hold it, and wanted are docum
 DivideSkip sets the L longest lists aside, merges the short ones with a heap that skips what cannot reach T - L, and looks
 the candidates up in the long ones by binary search.
 
-The lists are not held in one place. Spark first finds documents that can have a partner: with shingles ordered by hash, a
-set's first n - ceil(0.8 n) + 1 + n/16 shingles share 1 + ceil(0.8 n)/16 with those of any partner. What is left is searched
-in cells of bounded size, in two rounds: every document against the smallest one it meets, which joins groups of copies at
-one comparison a member, and then documents that meet others outside their component against all of these.
+The lists are not held in one place. Spark first finds documents that can have a partner. With shingles ordered by hash, a
+set's first n - ceil(0.8 n) + 1 + n/16 shingles share 1 + ceil(0.8 n)/16 with those of any partner; and at least ceil(0.8 n)
+of all its shingles occur in other documents that remain. Of those that are left, the longest lists are set aside for
+every document alike, by ordering shingles from rare to frequent and keeping as many of the rarest. What meets on these
+short lists is searched in cells of bounded size, in two rounds: every document against the smallest one it meets, which
+joins groups of copies at one comparison a member, and then documents that meet others outside their component against
+all of these.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ CELL = 1 << 18
 _LONGER = 16
 #: Weight of a list's length when the number of long lists is chosen.
 _MU = 0.01
+#: Shingles of a bucket in which they are counted, and how many a task holds before it deals them to the buckets.
+_BUCKET, _HELD = 1 << 17, 1 << 22
+#: Most bits of the filter that tells whose texts to read again; beyond 16 bits an id it lets more pass, never fewer.
+_FILTER_BITS = 26
 
 
 # --------------------------------------------------------------------------- search
@@ -186,20 +193,122 @@ def _read(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, same binary, prefix array<long>")
 
 
+def _dealt(postings: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows (row, list of hashes) as blobs by bucket: the low half of each hash and its row. The bucket is the high half's.
+
+    A hash that comes again before a task deals out goes along once; its rows are then known to share it and go to the
+    bucket as counts. So a hash of any frequency reaches its bucket as often as tasks deal out, and no more.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column(1)
+            held.append((np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().view(np.uint64)))
+            size += len(held[-1][1])
+            if size >= _HELD:
+                yield from out(held)
+                held, size = [], 0
+        yield from out(held)
+
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        node, h = (np.concatenate(c) for c in zip(*held))
+        own, first, again, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        shared = times[again] > 1
+        counted, count = np.unique(node[shared], return_counts=True)
+        first.sort()
+        node, h, shared = node[first], h[first], shared[first]
+        bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        low = h.astype(np.uint32)[order]
+        node, shared, bucket = node[order], shared[order], bucket[order]
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = [(b, low[i:j].tobytes(), np.diff(node[i:j], prepend=0).tobytes(), np.packbits(shared[i:j]).tobytes(), b"", b"")
+                for b, i, j in zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)])]
+        # counts known here go to any bucket
+        step = -(-len(counted) // n_buckets) or 1
+        rows += [(b, b"", b"", b"", counted[i:i + step].tobytes(), count[i:i + step].tobytes()) for b, i in enumerate(range(0, len(counted), step))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))] if rows else
+                                         [pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 5)], names=["bucket", "low", "node", "shared", "counted", "count"])
+
+    return postings.mapInArrow(run, "bucket int, low binary, node binary, shared binary, counted binary, count binary")
+
+
+def _shared_counts(postings: DataFrame, total: int) -> DataFrame:
+    """node, c: how many of its hashes other rows have too, of rows (row, list of distinct hashes) with ``total`` hashes in all.
+
+    Hashes of a bucket are told apart by 32 bits, so a count can be too high by about one in 30,000, never too low.
+    """
+    n_buckets = 1 + total // _BUCKET
+
+    def one(group: pa.Table) -> pa.Table:
+        def joined(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+        low = joined("low", np.uint32)
+        node = [np.cumsum(np.frombuffer(x, np.int64)) for x in group.column("node").to_pylist()]
+        known = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(group.column("shared").to_pylist(), node)]
+        node, known = np.concatenate(node).astype(np.int64), np.concatenate(known).astype(bool)
+        _, again, times = np.unique(low, return_inverse=True, return_counts=True)
+        own, c = np.unique(node[(times[again] > 1) & ~known], return_counts=True)
+        return pa.table({"node": pa.array(np.concatenate([own, joined("counted", np.int64)]), pa.int64()),
+                         "c": pa.array(np.concatenate([c, joined("count", np.int64)]), pa.int64())})
+
+    parts = _dealt(postings, n_buckets).groupBy("bucket").applyInArrow(one, "node long, c long")
+    return parts.groupBy("node").agg(F.sum("c").alias("c"))
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits of the filter for every id."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    g = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.concatenate([h >> np.uint64(64 - bits), g >> np.uint64(64 - bits)]).astype(np.int64)
+
+
+def _filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bits of all ids (one long column): at most 2^26, whatever their number. Tasks send the parts that they have set."""
+    bits = min(_FILTER_BITS, max(16, int(16 * n).bit_length()))
+    width = min(1 << 16, (1 << bits) // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(1 << bits, bool)
+        for batch in batches:
+            field[_places(batch.column(0).to_numpy(), bits)] = True
+        parts = np.packbits(field).reshape(-1, width)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+    def both(group: pa.Table) -> pa.Table:
+        out = np.zeros(width, np.uint8)
+        for x in group.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    field = np.zeros(((1 << bits) // 8 // width, width), np.uint8)
+    for r in ids.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect():
+        field[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return field.ravel(), bits
+
+
 def _whole(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, set of the wanted nodes (node, n, doc_id, same), from their texts."""
+    """node, n, set of the wanted nodes (node, n, doc_id, same), from their texts. The other texts are not shuffled."""
+    packed, bits = _filter(wanted.select("doc_id"), wanted.count())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                sets = [shingles(t, width) for t in batch.column("text").slice(at, 128).to_pylist()]
+            hit = field[_places(batch.column("doc_id").to_numpy(), bits)].reshape(2, -1).all(0)
+            some = batch.filter(pa.array(hit))
+            for at in range(0, some.num_rows, 128):
+                sets = [shingles(t, width) for t in some.column("text").slice(at, 128).to_pylist()]
                 ends = np.append(0, np.cumsum([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(map(_name, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))],
                     names=["same", "set"])
 
-    texts = src.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(run, "same binary, set array<long>").join(wanted.select("same", "node", "n"), "same")
-    return sets.dropDuplicates(["node"]).select("node", "n", "set")
+    sets = src.select("doc_id", "text").mapInArrow(run, "same binary, set array<long>").join(wanted.select("same", "node", "n"), "same")
+    return sets.dropDuplicates(["same"]).select("node", "n", "set")
 
 
 # --------------------------------------------------------------------------- cells
@@ -241,8 +350,32 @@ def _round(index: DataFrame, queries: DataFrame, key: str, sets: DataFrame, perc
 # --------------------------------------------------------------------------- join
 
 
+def _total(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.size(column).cast("long")), F.lit(0)).alias("s")).first()["s"]
+
+
+def _short(sets: DataFrame, percent: int) -> DataFrame:
+    """hash, node, n: the short lists that each document keeps, of documents that can have a partner.
+
+    These have ceil(0.8 n) shingles or more that others have too, counted again among those that remain. Shingles are
+    ordered by how many of them have one; lists of a single document would come first, and need not be stored.
+    """
+    smallest = F.floor((F.col("n") * percent + 99) / 100)
+    for _ in range(2):
+        counts = _shared_counts(sets.select("node", "set"), _total(sets, "set"))
+        enough = counts.join(sets.select("node", "n"), "node").where(F.col("c") >= smallest).select("node")
+        sets = stage(sets.join(reliable(enough), "node", "left_semi"), "whole")
+    full = sets.select("node", "n", F.explode("set").alias("hash"))
+    often = stage(full.groupBy("hash").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    lists = full.join(often, "hash").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("lists"))
+    first = F.size("lists") - smallest + 1 + F.floor(F.col("n") / _LONGER)
+    lists = lists.where(F.size("lists") >= smallest).select("node", "n", F.explode(F.slice("lists", F.lit(1), first.cast("int"))).alias("l"))
+    return _met(lists.select(F.col("l.hash").alias("hash"), "node", "n"), percent)
+
+
 def _met(held: DataFrame, percent: int) -> DataFrame:
     """Of postings (hash, node, n) those that two nodes share, of nodes that share as many as a partner asks for."""
+    held = stage(held, "held")
     again = held.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     both = reliable(held.join(reliable(again), "hash", "left_semi"))
     some = both.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _least(F.col("n"), percent))
@@ -266,10 +399,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     read = stage(_read(src.withColumn("row", F.monotonically_increasing_id()), width, percent), "sets")
     classes = stage(read.where("n > 0").groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "classes")
     copies = reliable(read.join(classes, "same").where("row <> node").select("row"))
-    held = read.join(copies, "row", "left_anti").select(F.explode("prefix").alias("hash"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"))
-    met = _met(_met(held, percent), percent)
-    alive = reliable(met.select("node").distinct())
-    sets = stage(_whole(src, reliable(read.join(alive, F.col("row") == F.col("node")).select("node", "n", "doc_id", "same")), width), "whole")
+    own = read.join(copies, "row", "left_anti")
+    counts = _shared_counts(own.where("n > 0").select("row", "prefix"), _total(read, "prefix"))
+    some = counts.join(read.select(F.col("row").alias("node"), "n", "doc_id", "same"), "node").where(F.col("c") >= _least(F.col("n"), percent))
+    sets = stage(_whole(src, reliable(some.select("node", "n", "doc_id", "same")), width), "whole")
+    met = _short(sets, percent)
 
     # every document against the smallest ones it meets
     stars = reliable(met.groupBy("hash").agg(F.min("node").alias("star")))
