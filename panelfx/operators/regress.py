@@ -57,6 +57,10 @@ class Fit:
                 raise KeyError(term)
         return v
 
+    def joint_df(self, rows: np.ndarray) -> float:
+        """Degrees of freedom of the Wishart law that stands for the covariance of the contrasts under CR2."""
+        return hotelling(self.cluster_grams, self.bread, rows if self.shift is None else rows @ self.shift)
+
     def contrast_df(self, rows: np.ndarray) -> np.ndarray:
         if self.vcov == "CR2":
             back = rows if self.shift is None else rows @ self.shift
@@ -87,7 +91,7 @@ def tidy(fit: Fit, keep: Sequence[str] | None = None) -> DataFrame:
 
 def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept: bool = True,
         weight: str | None = None, cells: bool = False, absorb: str | None = None,
-        cluster: str | None = None, vcov: str = "iid") -> Fit:
+        cluster: str | None = None, vcov: str = "iid", max_levels: int = 200) -> Fit:
     """Least squares of ``y`` on the design.
 
     ``cells`` says that the rows are cells made by ``collapse`` (columns n, y_sum, y_sumsq); coefficients
@@ -96,9 +100,19 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
     The rows are read two or three times, so a panel that is costly to make should be staged or
     materialised first.
     ``vcov`` is iid, HC1, CR1 or CR2. Rows whose outcome, weight or a regressor is NULL are left out.
+
+    Under CR2 an absorbed effect whose groups lie each in one cluster needs no columns: its part of a cluster's hat matrix
+    is a projection that the centered regressors are not touched by, so the adjustment follows from their cross products
+    alone. Groups that lie in several clusters become 0/1 terms of the model (at most ``max_levels`` of them).
     """
     if not isinstance(design, Design):
         design = Design().main(*design)
+    if vcov == "CR2" and absorb and not _nested(df, absorb, cluster):
+        levels = sorted((r[0] for r in df.select(absorb).distinct().limit(max_levels + 1).collect()), key=lambda v: (v is None, v))
+        if len(levels) > max_levels:
+            raise ValueError(f"CR2 with more than {max_levels} groups of {absorb} that lie in several clusters")
+        design = Design([*design.terms], set(design.nullable)).factor(absorb, levels, ref=levels[0])
+        absorb = None
     spark = df.sparkSession
     terms = ([(INTERCEPT, F.lit(1.0))] if intercept and not absorb else []) + design.terms
     full = Design(list(terms), set(design.nullable))
@@ -175,8 +189,6 @@ def ols(df: DataFrame, y: str | None, design: Design | Sequence[str], intercept:
         v = bread @ meat @ bread * (n_clusters / (n_clusters - 1)) * ((n - 1) / (n - rank))
         dof = n_clusters - 1
     elif vcov == "CR2":
-        if absorb:
-            raise ValueError("CR2 needs the fixed effects as regressors")
         grams = stage(grouped_gram(res, "_cl", [*used, "_e"], "_w"), "clusters")
         meat, dofs = _cr2(grams, bread)
         n_clusters = grams.count()
@@ -275,6 +287,49 @@ def satterthwaite(grams: DataFrame, bread: np.ndarray, rows: np.ndarray) -> np.n
     return np.array(out)
 
 
+def hotelling(grams: DataFrame, bread: np.ndarray, rows: np.ndarray) -> float:
+    """Degrees of freedom of a joint test of the contrasts ``rows`` under bias-reduced errors.
+
+    The estimated covariance of the contrasts is a sum of products over clusters. Its expectation E under independent
+    errors comes from one walk over the clusters; a second walk, with the contrasts scaled by the inverse root of E,
+    collects what its total variance needs. The Wishart law with the same expectation and total variance has the
+    degrees of freedom returned here.
+    """
+    k, q = len(bread), len(rows)
+    walk = _each_cluster(k, np.linalg.cholesky(bread))
+
+    def products(right):
+        def per(batches):
+            for s, _, w in walk(batches):
+                v = (np.eye(k) + w @ s) @ right
+                u = s @ v
+                yield v.T @ u, u.T @ bread @ u, u
+        return per
+
+    def expectation(batches):
+        total = np.zeros((q, q))
+        for a, b, _ in products(bread @ rows.T)(batches):
+            total += a - b
+        return total.ravel()
+
+    value, vector = np.linalg.eigh(sum_partials(grams.select("g"), expectation).reshape(q, q))
+    scaled = (vector / np.sqrt(value)) @ vector.T @ rows
+
+    def spread(batches):
+        own, p = 0.0, np.zeros((q, q, k, k))
+        for a, b, u in products(bread @ scaled.T)(batches):
+            # over pairs (s, t): what the diagonal blocks add, for products of st with ts and of ss with tt
+            x, y = np.diag(a), np.diag(b)
+            own += (a * a - 2.0 * a * b).sum() + x.sum() ** 2 - 2.0 * x.sum() * y.sum()
+            p += np.einsum("is,jt->stij", u, u)
+        return np.concatenate([[own], p.ravel()])
+
+    v = sum_partials(grams.select("g"), spread)
+    mp = np.einsum("ij,stjk->stik", bread, v[1:].reshape(q, q, k, k))
+    cross = np.einsum("stij,stji->", mp, mp) + np.einsum("stij,tsji->", mp, mp)
+    return float(q * (q + 1) / (v[0] + cross))
+
+
 def lincom(fit: Fit, contrasts: Sequence[tuple[str, Mapping[str, float]]]) -> DataFrame:
     """Linear combinations of coefficients with standard errors and tests against zero."""
     rows = np.array([fit.weights(parts) for _, parts in contrasts])
@@ -288,16 +343,23 @@ def contrast_table(fit: Fit, labels: Sequence[str], rows: np.ndarray) -> DataFra
 
 
 def wald(fit: Fit, names: Sequence[str]) -> DataFrame:
-    """Joint test that the named coefficients are zero (dropped ones are left out)."""
+    """Joint test that the named coefficients are zero (dropped ones are left out).
+
+    Under CR2 the F statistic is the approximate Hotelling one: with eta degrees of freedom (``hotelling``) and q
+    restrictions, chi2 (eta - q + 1) / (eta q) on q and eta - q + 1. It has no law where eta is below q.
+    """
     idx = [fit.index(t) for t in names if t in fit.terms]
     b, v = fit.coef[idx], fit.cov[np.ix_(idx, idx)]
-    pos = np.linalg.matrix_rank(v, hermitian=True)
+    pos = int(np.linalg.matrix_rank(v, hermitian=True))
     stat = float(b @ np.linalg.pinv(v, hermitian=True) @ b)
-    # bias-reduced errors have degrees of freedom by contrast, and none that serve the joint test
-    dof = None if fit.vcov == "CR2" else float(fit.df[0])
+    f, dof = stat / pos, float(fit.df[0])
+    if fit.vcov == "CR2":
+        # a covariance of lower rank is tested in the directions that it has
+        turn = np.linalg.eigh(v)[1][:, -pos:].T if pos < len(idx) else np.eye(pos)
+        eta = fit.joint_df(turn @ np.eye(len(fit.terms))[idx])
+        f, dof = (stat * (eta - pos + 1) / (eta * pos), eta - pos + 1) if eta > pos - 1 else (None, None)
     return fit.spark.createDataFrame(
-        [(int(pos), stat, stat / int(pos), dof, chi2_p(stat, int(pos)),
-          None if dof is None else f_p(stat / int(pos), int(pos), dof))],
+        [(pos, stat, f, dof, chi2_p(stat, pos), None if dof is None else f_p(f, pos, dof))],
         "n_restrictions int, chi2 double, f double, df2 double, p_chi2 double, p_f double")
 
 

@@ -18,8 +18,8 @@ from ..operators.design import Design
 from ..operators.its import its_cells, its_fit
 from . import fixtures as fx
 from .registry import query
-from .sqltext import (FX1, FX1_GRID, FX2, FX3, FX3W, FX4, FX5, bias_reduced, demeaned, least_squares,
-                      mixed_grid, with_list)
+from .sqltext import (FX1, FX1_GRID, FX2, FX3, FX3W, FX4, FX5, bias_reduced, demeaned, joint_reduced,
+                      least_squares, mixed_grid, with_list)
 from .stage import stage
 
 SP = fx.STAGGERED
@@ -572,6 +572,17 @@ def v4(spark, sf):
     return reduced_table(spark, its_fit(its_cells(fx.its_panel(spark, sf), fx.ITS), fx.ITS, "year0", "level"))
 
 
+_V4_X, _V4_N = ["treat", *_years(1996)[0]], ["treat", *_years(1996)[1]]
+
+
+@query("v4_cr2_absorbed", f"""{with_list(FX1, _absorbed(_V4_X, _V4_N, "iid"), bias_reduced(), recursive=True)}
+--result
+SELECT list_extract([{", ".join(f"'{n}'" for n in _V4_N)}], b.i) AS term, b.b AS estimate, std_error, df FROM ls_b b JOIN cr2 ON cr2.i = b.i""",
+       "estimate std_error df")
+def v4a(spark, sf):
+    return reduced_table(spark, sg.twfe(sg.panel_cells(fx.staggered(spark, sf), SP), SP, vcov="CR2"))
+
+
 def reduced_table(spark, fit):
     """Estimates with bias-reduced errors and their degrees of freedom."""
     dof = spark.createDataFrame([(t, float(d)) for t, d in zip(fit.terms, fit.df)], "term string, df double")
@@ -848,6 +859,18 @@ def f4p(spark, sf):
     return rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")]).select("p_chi2", "p_f")
 
 
+# four restrictions: the F law's tail is a closed form for any second degrees of freedom
+@query("f4_wald_cr2", f"""{with_list(FX1, _plain(_PRE_X, _PRE_N, "iid", where="treat = 0"), bias_reduced(), joint_reduced(2, 5), recursive=True)},
+hf AS (SELECT chi2, eta - 3 AS df2, chi2 * (eta - 3) / (eta * 4) AS f FROM ht),
+hz AS (SELECT *, df2 / (df2 + 4 * f) AS z FROM hf)
+--result
+SELECT CAST(4 AS INTEGER) AS n_restrictions, chi2, f, df2, exp(-chi2 / 2) * (1 + chi2 / 2) AS p_chi2,
+  pow(z, df2 / 2) * (1 + df2 / 2 * (1 - z)) AS p_f FROM hz""", "chi2 f df2 p_chi2 p_f")
+def f4c(spark, sf):
+    fit = sg.pretrend_cells(sg.panel_cells(fx.staggered(spark, sf), SP), SP, vcov="CR2")
+    return rg.wald(fit, [t for t in fit.terms if t.startswith("evtreat")])
+
+
 _D10 = with_list(FX1, _plain([*CELL_SQL, *_cx, *_ty], [*CELL_NAMES, *_cn, *_tn], "CR1"), recursive=True)
 _F6X = ["1", *CELL_SQL, *_cx, *_ty]
 

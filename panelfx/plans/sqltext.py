@@ -256,3 +256,35 @@ mx_log AS (
   JOIN (SELECT node, sum(ln(v)) AS d FROM mx_q WHERE i = p + 1 AND j = p + 1 GROUP BY node) AS pv ON pv.node = n.node
   JOIN (SELECT node, v FROM mx_a WHERE i = {k + 1} AND j = {k + 1}) AS yy ON yy.node = n.node
   JOIN (SELECT b.node, sum(b.b * a.v) AS v FROM mx_b b JOIN mx_a a ON a.node = b.node AND a.i = b.i AND a.j = {k + 1} GROUP BY b.node) AS fit ON fit.node = n.node)"""
+
+
+def joint_reduced(first: int, last: int) -> str:
+    """Table ``ht`` (q, chi2, eta) on top of ``bias_reduced``: joint test of coefficients ``first`` to ``last`` and the
+    degrees of freedom of the Wishart law, from the covariances of all pairs of clusters."""
+    q = last - first + 1
+
+    def solve(name: str, source: str) -> str:
+        return f"""{name}(p, i, j, v) AS (SELECT 0, i, j, v FROM ({source})
+  UNION ALL SELECT r.p + 1, r.i, r.j, CASE WHEN r.i = r.p + 1 THEN r.v / pv.v ELSE r.v - c.v * w.v / pv.v END
+  FROM {name} r JOIN {name} pv ON pv.i = r.p + 1 AND pv.j = r.p + 1 JOIN {name} c ON c.i = r.i AND c.j = r.p + 1
+    JOIN {name} w ON w.i = r.p + 1 AND w.j = r.j WHERE r.p < {q})"""
+
+    inside = f"BETWEEN {first} AND {last}"
+    return f"""
+ht_a AS (SELECT qq.cl, qq.c AS s, uu.c AS t, sum(qq.v * uu.v) AS v FROM qq JOIN uu ON uu.cl = qq.cl AND uu.i = qq.i
+  WHERE qq.c {inside} AND uu.c {inside} GROUP BY 1, 2, 3),
+ht_o AS MATERIALIZED (SELECT uu.cl AS ca, mu.cl AS cb, uu.c AS s, mu.c AS t, coalesce(max(a.v), 0) - sum(uu.v * mu.v) AS v FROM uu JOIN mu ON mu.i = uu.i
+  LEFT JOIN ht_a a ON a.cl = uu.cl AND uu.cl = mu.cl AND a.s = uu.c AND a.t = mu.c WHERE uu.c {inside} AND mu.c {inside} GROUP BY 1, 2, 3, 4),
+ht_e AS (SELECT s - {first - 1} AS i, t - {first - 1} AS j, sum(v) AS v FROM ht_o WHERE ca = cb GROUP BY 1, 2),
+ht_n AS (SELECT unnest(range(1, {q + 1})) AS i),
+{solve("ht_g", f"SELECT * FROM ht_e UNION ALL SELECT a.i, b.i + {q}, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END FROM ht_n a, ht_n b")},
+ht_i AS MATERIALIZED (SELECT i + {first - 1} AS s, j - {q} + {first - 1} AS t, v FROM ht_g WHERE p = {q} AND j > {q}),
+ht_y AS MATERIALIZED (SELECT o.ca, o.cb, m.s, o.t, sum(m.v * o.v) AS v FROM ht_i m JOIN ht_o o ON o.s = m.t GROUP BY 1, 2, 3, 4),
+ht_t AS (SELECT sum(v) AS v FROM (
+  SELECT sum(a.v * b.v) AS v FROM ht_y a JOIN ht_y b ON b.ca = a.ca AND b.cb = a.cb AND b.s = a.t AND b.t = a.s
+  UNION ALL SELECT sum(d * d) FROM (SELECT sum(v) AS d FROM ht_y WHERE s = t GROUP BY ca, cb))),
+ht_c AS (SELECT l.i - {first - 1} AS i, r.j - {first - 1} AS j, sum(l.v * am.v * r.v) AS v FROM ls_inv l JOIN am ON am.i = l.j JOIN ls_inv r ON r.i = am.j
+  WHERE l.i {inside} AND r.j {inside} GROUP BY 1, 2),
+{solve("ht_w", f"SELECT * FROM ht_c UNION ALL SELECT i - {first - 1}, {q + 1}, b FROM ls_b WHERE i {inside}")},
+ht AS (SELECT {q} AS q, sum(b.b * w.v) AS chi2, {q * (q + 1)} / (SELECT v FROM ht_t) AS eta
+  FROM ht_w w JOIN ls_b b ON b.i = w.i + {first - 1} WHERE w.p = {q} AND w.j = {q + 1})"""

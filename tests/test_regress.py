@@ -158,3 +158,79 @@ def test_absorbing_equals_dummies(staggered):
     # same scores; the small-sample factor differs because absorbed nested effects are not counted
     ratio = (d.n - d.rank) / (a.n - a.rank)
     assert a.cov[0, 0] == pytest.approx(d.cov[d.index("treat"), d.index("treat")] * ratio, rel=1e-8)
+
+
+def dense_hotelling(x, cl, contrasts):
+    """Degrees of freedom from the full hat matrix: variances of all elements of the scaled covariance estimate."""
+    n, q = len(x), len(contrasts)
+    m = np.linalg.inv(x.T @ x)
+    ih = np.eye(n) - x @ m @ x.T
+    parts = []
+    for g in np.unique(cl):
+        i = np.flatnonzero(cl == g)
+        w, v = np.linalg.eigh(ih[np.ix_(i, i)])
+        root = (v * np.where(w > 1e-9, 1 / np.sqrt(np.where(w > 1e-9, w, 1)), 0)) @ v.T
+        parts.append(ih[:, i] @ root @ x[i] @ m @ contrasts.T)
+    value, vector = np.linalg.eigh(sum(p.T @ p for p in parts))
+    parts = [p @ ((vector / np.sqrt(value)) @ vector.T) for p in parts]
+    total = 0.0
+    for a in parts:
+        for b in parts:
+            o = a.T @ b
+            total += (o * o.T).sum() + np.outer(np.diag(o), np.diag(o)).sum()
+    return q * (q + 1) / total
+
+
+@pytest.fixture(scope="module")
+def few_clusters(spark):
+    rng = np.random.default_rng(12)
+    cl = np.repeat(np.arange(9), [6, 11, 8, 14, 7, 9, 12, 5, 10])
+    n = len(cl)
+    t = np.concatenate([np.arange(c) % 4 for c in np.bincount(cl)])
+    a, b = rng.normal(size=n) + 0.5 * cl, rng.normal(size=n) * (1 + cl % 3)
+    c = (cl % 2) * rng.normal(size=n)
+    y = 1 + a + cl + rng.normal(size=n) + 0.3 * t
+    rows = [(int(g), int(k), float(p), float(q), float(r), float(z)) for g, k, p, q, r, z in zip(cl, t, a, b, c, y)]
+    df = spark.createDataFrame(rows, "cl int, t int, a double, b double, c double, y double").repartition(4)
+    return df, cl, t, np.column_stack([a, b, c]), y
+
+
+def test_joint_test_under_bias_reduction(few_clusters):
+    df, cl, _, z, y = few_clusters
+    x = np.column_stack([np.ones(len(z)), z])
+    b, covs, dof = dense(x, y, cl)
+    fit = rg.ols(df, "y", ["a", "b", "c"], cluster="cl", vcov="CR2")
+    for names in (["a", "b", "c"], ["b", "c"], ["a"]):
+        idx = [1 + "abc".index(n) for n in names]
+        eta = dense_hotelling(x, cl, np.eye(4)[idx])
+        r = rg.wald(fit, names).first()
+        q, stat = len(idx), b[idx] @ np.linalg.solve(covs["CR2"][np.ix_(idx, idx)], b[idx])
+        assert r["chi2"] == pytest.approx(stat, rel=1e-7) and r["df2"] == pytest.approx(eta - q + 1, rel=1e-7)
+        assert r["f"] == pytest.approx(stat * (eta - q + 1) / (eta * q), rel=1e-7) and r["p_chi2"] < r["p_f"] <= 1
+    # one restriction: the square of the t test with its own degrees of freedom
+    one = rg.wald(fit, ["a"]).first()
+    assert one["df2"] == pytest.approx(dof(np.eye(4)[1]), rel=1e-7)
+    assert one["p_f"] == pytest.approx(t_p(np.sqrt(one["f"]), one["df2"]), rel=1e-7)
+
+
+@pytest.mark.parametrize("effect", ["cl", "half", "t"])
+def test_bias_reduction_with_absorbed_effects(few_clusters, effect):
+    """Absorbed effects give the numbers of the model with their dummies: nested in clusters, and crossing them."""
+    df, cl, t, z, y = few_clusters
+    df = df.withColumn("half", F.col("cl") * 2 + F.col("t") % 2)
+    own = {"cl": cl, "half": 2 * cl + t % 2, "t": t}[effect]
+    x = np.column_stack([(own == g).astype(float) for g in np.unique(own)] + [z])
+    b, covs, dof = dense(x, y, cl)
+    fit = rg.ols(df, "y", ["a", "b", "c"], absorb=effect, cluster="cl", vcov="CR2")
+    at, d = [fit.index(c) for c in "abc"], x.shape[1] - 3
+    np.testing.assert_allclose(fit.coef[at], b[d:], rtol=1e-8)
+    np.testing.assert_allclose(fit.cov[np.ix_(at, at)], covs["CR2"][d:, d:], rtol=1e-8, atol=1e-12)
+    np.testing.assert_allclose(fit.df[at], [dof(c) for c in np.eye(x.shape[1])[d:]], rtol=1e-7)
+    r = rg.wald(fit, ["b", "c"]).first()
+    eta = dense_hotelling(x, cl, np.eye(x.shape[1])[d + 1:])
+    assert r["df2"] == pytest.approx(eta - 1, rel=1e-6)
+
+
+def test_too_many_crossing_groups(few_clusters):
+    with pytest.raises(ValueError, match="more than 3 groups"):
+        rg.ols(few_clusters[0], "y", ["a"], absorb="t", cluster="cl", vcov="CR2", max_levels=3)
