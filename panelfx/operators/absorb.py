@@ -143,6 +143,111 @@ def absorb_iterative(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
     raise RuntimeError(f"fixed effects did not converge in {max_iter} rounds")
 
 
+# --------------------------------------------------------------------------- two long dimensions
+
+
+def key_links(df: DataFrame, columns: Sequence[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """One row per pair of levels that occurs: ``_a``, ``_b``, the weight ``_w`` and the weighted sums of the columns."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return stage(df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
+        F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s_{c}") for c in columns]), "links")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Join on a key whose NULL is a level of its own."""
+    return left.join(right.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def effect_components(links: DataFrame, max_rounds: int = 1000) -> tuple[int, int]:
+    """Number of connected components of the graph that links the levels of both keys, and the rank of the two effects
+    together: levels of both minus components. Effects are comparable inside a component only.
+
+    Labels start as the levels of one key and spread as minima over the pairs until none changes.
+    """
+    labels = stage(links.select("_b", F.struct("_b").alias("l")).distinct(), "labels")
+    for _ in range(max_rounds):
+        over = _joined(links.select("_a", "_b"), labels, "_b").groupBy("_a").agg(F.min("l").alias("l"))
+        spread = _joined(links.select("_a", "_b"), over, "_a").groupBy("_b").agg(F.min("l").alias("_new"))
+        both = stage(_joined(labels, spread, "_b"), "labels")
+        changed = both.filter(F.col("l") != F.col("_new")).limit(1).count()
+        drop_stage(labels)
+        labels = both.select("_b", F.col("_new").alias("l"))
+        if not changed:
+            n = labels.select("l").distinct().count()
+            levels = labels.count() + links.select("_a").distinct().count()
+            return n, levels - n
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def two_way_effects(links: DataFrame, columns: Sequence[str], tol: float = 1e-11, max_rounds: int = 200) -> tuple[DataFrame, DataFrame, int]:
+    """Effects of both keys (``_a`` and ``_b`` with one column each), and how many rounds they took.
+
+    The effects of the first key are eliminated, which leaves a system in those of the second. It is solved by conjugate
+    gradients, preconditioned with the weights of the levels: all columns go along, each with steps of its own. A round is
+    two aggregates over the pairs of levels, joined with one table of a key's size; what a round has replaced is removed.
+    A column is done when its gradient is ``tol`` of its own size. Where the graph of the levels is not connected the
+    effects are those that conjugate gradients reach from zero; the residuals are unique all the same.
+    """
+    s = {c: F.col(f"_s_{c}") for c in columns}
+    size = lambda key: links.groupBy(key).agg(F.sum("_w").alias("_n"), *[F.sum(v).alias(f"_s_{c}") for c, v in s.items()])
+    first = stage(size("_a"), "first")
+    mean = first.select("_a", *[(v / F.col("_n")).alias(f"_m_{c}") for c, v in s.items()])
+    explained = _joined(links.select("_a", "_b", "_w"), mean, "_a").groupBy("_b").agg(
+        *[F.sum(F.col("_w") * F.col(f"_m_{c}")).alias(f"_e_{c}") for c in columns])
+    start = _joined(size("_b"), explained, "_b").select("_b", "_n", *[
+        x for c in columns for x in (F.lit(0.0).alias(f"_x_{c}"), (F.col(f"_s_{c}") - F.col(f"_e_{c}")).alias(f"_r_{c}"),
+                                     ((F.col(f"_s_{c}") - F.col(f"_e_{c}")) / F.col("_n")).alias(f"_p_{c}"))])
+    state = stage(start, "state")
+    row = state.agg(*[F.sum(F.col(f"_r_{c}") * F.col(f"_r_{c}") / F.col("_n")).alias(c) for c in columns]).first()
+    scale = links.agg(*[F.sum(v * v / F.col("_w")).alias(c) for c, v in s.items()]).first()
+    rz = {c: row[c] or 0.0 for c in columns}
+    limit = {c: tol * tol * (scale[c] or 0.0) for c in columns}
+    rounds = 0
+    while any(rz[c] > limit[c] for c in columns):
+        if rounds == max_rounds:
+            raise RuntimeError(f"fixed effects did not converge in {max_rounds} rounds")
+        rounds += 1
+        toward = _joined(links.select("_a", "_b", "_w"), state.select("_b", *[f"_p_{c}" for c in columns]), "_b")
+        mean = stage(toward.groupBy("_a").agg(*[(F.sum(F.col("_w") * F.col(f"_p_{c}")) / F.sum("_w")).alias(f"_m_{c}") for c in columns]), "means")
+        back = _joined(links.select("_a", "_b", "_w"), mean, "_a").groupBy("_b").agg(
+            *[F.sum(F.col("_w") * F.col(f"_m_{c}")).alias(f"_q_{c}") for c in columns])
+        full = _joined(state, back, "_b").withColumns({f"_q_{c}": F.col("_n") * F.col(f"_p_{c}") - F.col(f"_q_{c}") for c in columns})
+        full = stage(full, "state")
+        bend = full.agg(*[F.sum(F.col(f"_p_{c}") * F.col(f"_q_{c}")).alias(c) for c in columns]).first()
+        step = {c: rz[c] / bend[c] if rz[c] > limit[c] and bend[c] > 0 else 0.0 for c in columns}
+        left = {c: F.col(f"_r_{c}") - F.lit(step[c]) * F.col(f"_q_{c}") for c in columns}
+        now = full.agg(*[F.sum(r * r / F.col("_n")).alias(c) for c, r in left.items()]).first()
+        # a column that has no direction left has come as far as it can
+        turn = {c: now[c] / rz[c] if step[c] else 0.0 for c in columns}
+        rz = {c: now[c] if step[c] else 0.0 for c in columns}
+        drop_stage(state)
+        drop_stage(mean)
+        state = full.select("_b", "_n", *[x for c in columns for x in (
+            (F.col(f"_x_{c}") + F.lit(step[c]) * F.col(f"_p_{c}")).alias(f"_x_{c}"), left[c].alias(f"_r_{c}"),
+            (left[c] / F.col("_n") + F.lit(turn[c]) * F.col(f"_p_{c}")).alias(f"_p_{c}"))])
+    second = stage(state.select("_b", *[F.col(f"_x_{c}").alias(c) for c in columns]), "second")
+    taken = _joined(links.select("_a", "_b", "_w"), second, "_b").groupBy("_a").agg(*[F.sum(F.col("_w") * F.col(c)).alias(f"_t_{c}") for c in columns])
+    own = _joined(first, taken, "_a").select("_a", *[((F.col(f"_s_{c}") - F.col(f"_t_{c}")) / F.col("_n")).alias(c) for c in columns])
+    return stage(own, "first"), second, rounds
+
+
+def absorb_gradient(df: DataFrame, columns: Sequence[str], a: str, b: str, weight: str | None = None, tol: float = 1e-11,
+                    max_rounds: int = 200) -> DataFrame:
+    """Residuals of two long fixed effects, neither of which fits the driver or a window (see ``two_way_effects``).
+
+    Rows with a NULL in one of the columns or in the weight are left out; a NULL key is a level. Rows of a pair of levels
+    are added up first, so the rounds read pairs and not rows.
+    """
+    rows = stage(df.dropna(subset=[*columns, *([weight] if weight else [])]), "rows")
+    own, other, _ = two_way_effects(key_links(rows, columns, a, b, weight), columns, tol, max_rounds)
+    out = rows
+    for key, name, table in ((a, "_a", own), (b, "_b", other)):
+        table = table.select(F.col(name).alias("_level"), *[F.col(c).alias(f"_fx_{c}") for c in columns])
+        out = out.join(table, F.col(key).eqNullSafe(F.col("_level")))
+        out = out.withColumns({c: F.col(c) - F.col(f"_fx_{c}") for c in columns}).drop("_level", *[f"_fx_{c}" for c in columns])
+    return out
+
+
 def absorb_exact(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: Sequence[int]) -> DataFrame:
     """Two-way residuals of the rows without a NULL in ``columns``. One aggregate tells whether every unit has
     the same periods; if not, the period effects come from normal equations."""
@@ -160,4 +265,6 @@ def absorb(df: DataFrame, columns: Sequence[str], unit: str, time: str, times: S
         return absorb_balanced(df, columns, unit, time, **options)
     if method == "unbalanced":
         return absorb_unbalanced(df, columns, unit, time, times)
+    if method == "gradient":
+        return absorb_gradient(df, columns, unit, time, **options)
     return absorb_iterative(df, columns, [unit, time], **options)

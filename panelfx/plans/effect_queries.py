@@ -136,6 +136,25 @@ def r4i(spark, sf):
     return ab.absorb(fx.daily_users(spark, sf).select("unit", "t", "y"), ["y"], "unit", "t", method="iterative")
 
 
+@query("r4_absorb_gradient", f"""{_fx5}
+--result
+SELECT unit, t, r - avg(r) OVER (PARTITION BY unit) AS y FROM adj""", "y")
+def r4g(spark, sf):
+    return ab.absorb(fx.daily_users(spark, sf).select("unit", "t", "y"), ["y"], "unit", "t", method="gradient")
+
+
+# days are linked where a user has both
+@query("r4_effect_components", f"""{with_list(FX5, """
+e AS (SELECT DISTINCT a.t, b.t AS u FROM fx5 a JOIN fx5 b ON a.unit = b.unit),
+reach(t, u) AS (SELECT t, u FROM e UNION SELECT reach.t, e.u FROM reach JOIN e ON e.t = reach.u),
+c AS (SELECT count(DISTINCT m) AS n FROM (SELECT t, min(u) AS m FROM reach GROUP BY t))""", recursive=True)}
+--result
+SELECT n AS components, (SELECT count(DISTINCT unit) + count(DISTINCT t) FROM fx5) - n AS rank FROM c""")
+def r4c(spark, sf):
+    links = ab.key_links(fx.daily_users(spark, sf), ["y"], "unit", "t")
+    return spark.createDataFrame([ab.effect_components(links)], "components long, rank long")
+
+
 @query("r5_within_resid", f"""WITH {FX3W}
 --result
 SELECT unit, t, y, dose, control FROM fx3w WHERE y IS NOT NULL""", "y dose control")
