@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DoseFn, col
-from ..plans.stage import stage
+from ..plans.stage import drop_stage, stage
 from ..spec import PanelSpec
 from .panel import to_long
 
@@ -62,13 +62,15 @@ def histogram(df: DataFrame, column: str, bins: int = 60) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequence[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, most: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per (group, q).
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here a mergeable
     sketch of bounded size gives, for each q, a bracket that must hold the two order statistics wanted.
-    A second pass counts the rows under the bracket and the distinct values inside it; only those few
-    values are sorted. ``df`` is read twice. The bracket is chosen from a ladder of widths: the narrowest one that is wider
+    A second pass counts the rows under the bracket and the distinct values inside it. While a bracket may hold more than
+    ``most`` distinct values, they are cut into 64 parts of about equal size and only the parts that hold the two order
+    statistics go on; then the few that are left are sorted, never more than ``most`` by group and q, however large the
+    group. ``df`` is read twice. The bracket is chosen from a ladder of widths: the narrowest one that is wider
     than the sketch error at the size of the group, and the whole range when the group is tiny.
     """
     by = list(by)
@@ -93,9 +95,11 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
     idx = range(len(probs))
     brackets = sketch.select(*keys, "_n", *[bound(i, high).alias(f"_{'hi' if high else 'lo'}{i}")
                                             for i in idx for high in (False, True)])
-    if by:
-        # written out so that its size is known: small, it is broadcast and the rows are not shuffled
-        brackets = stage(brackets, "brackets")
+    # written out so that its size is known: small, it is broadcast and the rows are not shuffled
+    brackets = stage(brackets, "brackets")
+    n = brackets.agg(F.max("_n")).first()[0] or 0
+    # distinct values in the widest bracket of a group of that size, by the sketch's error
+    held = n * min(1.0, 2 * next((m for m in ladder if m >= 1.0 / accuracy + 2.0 / max(n, 1)), 1.0) + 2.0 / accuracy)
     v = F.col("_v")
     inside, passed = F.lit(False), F.lit(0)
     for i in idx:
@@ -124,18 +128,59 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs
             .withColumn("_below", F.when(F.col("_v").isNull(), F.col("_passed") <= F.col("b.i"))
                         .otherwise(v < F.col("b.lo")))
             .filter(F.col("_in").isNotNull() | F.col("_below")))
-    w = (Window.partitionBy(*keys, "b.i").orderBy(F.col("_in").asc_nulls_first())
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    pos = F.col("b.q") * (F.col("_n") - 1).cast("double")
-    ranked = each.withColumn("_cum", F.sum("_c").over(w)).filter(F.col("_in").isNotNull())
-    picked = ranked.groupBy(*keys, F.col("b.i").alias("_i"), F.col("b.q").alias("q"), F.col("_n")).agg(
-        F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_in"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_in"))).alias("_hi"))
+    parts = each.select(*keys, F.col("b.i").alias("_i"), F.col("b.q").alias("q"), "_n", F.col("_in").alias("_v"), "_c")
+    if held > most:
+        parts = _narrowed(parts, keys, most)
+    own = Window.partitionBy(*keys, "_i")
+    w = own.orderBy(F.col("_v").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     pos = F.col("q") * (F.col("_n") - 1).cast("double")
+    ranked = parts.withColumn("_cum", F.sum("_c").over(w)).filter(F.col("_v").isNotNull())
+    picked = ranked.groupBy(*keys, "_i", "q", "_n").agg(
+        F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_v"))).alias("_hi"))
     return picked.select(
         *by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))).alias("value"))
 
 
+def _narrowed(parts: DataFrame, keys: Sequence[str], most: int, cuts: int = 64) -> DataFrame:
+    """``parts`` (keys, _i, q, _n, _v, _c: how often a value occurs; NULL counts what lies below) with at most ``most``
+    values by group and q, among them the order statistics wanted.
+
+    The values of a group are cut at their own approximate quantiles, so that a part has about one ``cuts``-th of them,
+    whatever their distribution. Counts by part are few and are added up in order; parts below the wanted ones become
+    one count, parts above them go.
+    """
+    group = [*keys, "_i"]
+    total = F.sum("_c").alias("_c")
+
+    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
+        there = right.withColumnsRenamed({k: f"_g{j}" for j, k in enumerate(group)})
+        same = [F.col(k).eqNullSafe(F.col(f"_g{j}")) for j, k in enumerate(group)]
+        return left.join(there, same).drop(*[f"_g{j}" for j in range(len(group))])
+
+    parts = stage(parts.groupBy(*group, "q", "_n", "_v").agg(total), "parts")
+    while True:
+        known = parts.filter(F.col("_v").isNotNull())
+        sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.percentile_approx(
+            "_v", [j / cuts for j in range(1, cuts)], 100 * cuts).alias("_cuts"))
+        sizes = stage(sizes, "sizes")
+        if (sizes.agg(F.max("m")).first()[0] or 0) <= most:
+            return parts
+        place = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda c: F.col("_v") > c)))
+        placed = attach(parts, sizes.drop("m")).withColumn("_at", place).drop("_cuts")
+        tally = placed.groupBy(*group, "q", "_n", "_at").agg(total)
+        upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        pos = F.col("q") * (F.col("_n") - 1).cast("double")
+        chosen = tally.withColumn("_cum", upto).groupBy(*group).agg(
+            F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_at"))).alias("_from"), F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_at"))).alias("_to"))
+        kept = attach(placed, stage(chosen, "chosen")).filter(F.col("_at") <= F.col("_to"))
+        narrower = kept.withColumn("_v", F.when(F.col("_at") >= F.col("_from"), F.col("_v")))
+        narrower = stage(narrower.groupBy(*group, "q", "_n", "_v").agg(total), "parts")
+        drop_stage(parts)
+        drop_stage(sizes)
+        parts = narrower
+
+
 def group_quantile(df: DataFrame, by: Sequence[str], value: str | Column, q: float) -> DataFrame:
     return group_quantiles(df, by, value, [q])
 
