@@ -71,10 +71,12 @@ def estimand_ratio(df: DataFrame, sp: PanelSpec, fn: DoseFn) -> DataFrame:
 
 def always_on_twfe(df: DataFrame, sp: PanelSpec, controls: Sequence[str] = ()) -> DataFrame:
     """Slope of the outcome on the dose with unit and period effects, and with at most one control.
-    The normal equations after centering are solved as column expressions."""
+    The panel is written once, since centering reads it several times. The normal equations after centering are solved as
+    column expressions."""
     cols = [sp.y, sp.dose, *controls]
-    sp = sp.with_levels(df)
-    r = absorb_exact(df.select(sp.unit, sp.time, *cols), cols, sp.unit, sp.time, sp.times)
+    rows = stage(df.select(sp.unit, sp.time, *cols), "panel")
+    sp = sp.with_levels(rows)
+    r = absorb_exact(rows, cols, sp.unit, sp.time, sp.times)
 
     def s(a: str, b: str) -> Column:
         return F.sum(F.col(a) * F.col(b))
