@@ -40,7 +40,7 @@ _LONGER = 16
 #: Weight of a list's length when the number of long lists is chosen.
 _MU = 0.01
 #: Shingles of a bucket in which they are counted, and how many a task holds before it deals them to the buckets.
-_BUCKET, _HELD = 1 << 17, 1 << 22
+_BUCKET, _HELD = 1 << 15, 1 << 20
 #: Most bits of the filter that tells whose texts to read again; beyond 16 bits an id it lets more pass, never fewer.
 _FILTER_BITS = 26
 
@@ -196,8 +196,8 @@ def _read(rows: DataFrame, width: int, percent: int) -> DataFrame:
 def _dealt(postings: DataFrame, n_buckets: int) -> DataFrame:
     """Rows (row, list of hashes) as blobs by bucket: the low half of each hash and its row. The bucket is the high half's.
 
-    A hash that comes again before a task deals out goes along once; its rows are then known to share it and go to the
-    bucket as counts. So a hash of any frequency reaches its bucket as often as tasks deal out, and no more.
+    A hash that comes again before a task deals out goes along once, marked as shared; its other rows go to any bucket as
+    counts. So a hash of any frequency reaches its bucket as often as tasks deal out, and no more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -216,7 +216,9 @@ def _dealt(postings: DataFrame, n_buckets: int) -> DataFrame:
         node, h = (np.concatenate(c) for c in zip(*held))
         own, first, again, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         shared = times[again] > 1
-        counted, count = np.unique(node[shared], return_counts=True)
+        rest = np.ones(len(h), bool)
+        rest[first] = False
+        counted, count = np.unique(node[rest], return_counts=True)
         first.sort()
         node, h, shared = node[first], h[first], shared[first]
         bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
@@ -226,7 +228,6 @@ def _dealt(postings: DataFrame, n_buckets: int) -> DataFrame:
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = [(b, low[i:j].tobytes(), np.diff(node[i:j], prepend=0).tobytes(), np.packbits(shared[i:j]).tobytes(), b"", b"")
                 for b, i, j in zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)])]
-        # counts known here go to any bucket
         step = -(-len(counted) // n_buckets) or 1
         rows += [(b, b"", b"", b"", counted[i:i + step].tobytes(), count[i:i + step].tobytes()) for b, i in enumerate(range(0, len(counted), step))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))] if rows else
@@ -251,7 +252,7 @@ def _shared_counts(postings: DataFrame, total: int) -> DataFrame:
         known = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(group.column("shared").to_pylist(), node)]
         node, known = np.concatenate(node).astype(np.int64), np.concatenate(known).astype(bool)
         _, again, times = np.unique(low, return_inverse=True, return_counts=True)
-        own, c = np.unique(node[(times[again] > 1) & ~known], return_counts=True)
+        own, c = np.unique(node[(times[again] > 1) | known], return_counts=True)
         return pa.table({"node": pa.array(np.concatenate([own, joined("counted", np.int64)]), pa.int64()),
                          "c": pa.array(np.concatenate([c, joined("count", np.int64)]), pa.int64())})
 
