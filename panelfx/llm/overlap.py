@@ -242,22 +242,35 @@ def _shared_counts(postings: DataFrame, total: int) -> DataFrame:
     Hashes of a bucket are told apart by 32 bits, so a count can be too high by about one in 30,000, never too low.
     """
     n_buckets = 1 + total // _BUCKET
+    n_ranges = 1 + n_buckets // 16
 
-    def one(group: pa.Table) -> pa.Table:
-        def joined(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+    def joined(group: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
-        low = joined("low", np.uint32)
+    def one(group: pa.Table) -> pa.Table:
+        low = joined(group, "low", np.uint32)
         node = [np.cumsum(np.frombuffer(x, np.int64)) for x in group.column("node").to_pylist()]
         known = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(group.column("shared").to_pylist(), node)]
         node, known = np.concatenate(node).astype(np.int64), np.concatenate(known).astype(bool)
         _, again, times = np.unique(low, return_inverse=True, return_counts=True)
         own, c = np.unique(node[(times[again] > 1) | known], return_counts=True)
-        return pa.table({"node": pa.array(np.concatenate([own, joined("counted", np.int64)]), pa.int64()),
-                         "c": pa.array(np.concatenate([c, joined("count", np.int64)]), pa.int64())})
-
-    parts = _dealt(postings, n_buckets).groupBy("bucket").applyInArrow(one, "node long, c long")
-    return parts.groupBy("node").agg(F.sum("c").alias("c"))
+        own, c = np.concatenate([own, joined(group, "counted", np.int64)]), np.concatenate([c, joined(group, "count", np.int64)])
+        # counts of a document meet where its number sends them, packed like the hashes
+        range_of = ((own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(range_of, kind="stable")
+        own, c, range_of = own[order], c[order], range_of[order]
+        at = np.flatnonzero(np.diff(range_of, prepend=-1))
+        ends = [*at[1:].tolist(), len(range_of)]
+        return pa.table({"range": pa.array(range_of[at], pa.int32()), "node": pa.array([own[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary()),
+                         "c": pa.array([c[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary())})
+
+    def two(group: pa.Table) -> pa.Table:
+        own, again = np.unique(joined(group, "node", np.int64), return_inverse=True)
+        c = np.bincount(again, weights=joined(group, "c", np.int64), minlength=len(own)).astype(np.int64)
+        return pa.table({"node": pa.array(own, pa.int64()), "c": pa.array(c, pa.int64())})
+
+    parts = _dealt(postings, n_buckets).groupBy("bucket").applyInArrow(one, "range int, node binary, c binary")
+    return parts.groupBy("range").applyInArrow(two, "node long, c long")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
