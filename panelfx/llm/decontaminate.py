@@ -118,8 +118,11 @@ def signatures(shingles: DataFrame, containment: float) -> DataFrame:
         "item_id", "n_item", F.explode(F.slice("all", F.lit(1), F.col("need"))).alias("hash"))
 
 
-def _hits(docs: DataFrame, widths: list[int], first: np.ndarray, every: np.ndarray) -> DataFrame:
-    """doc_id, shingle, hash, signed: shingles in the filter of all items, of texts with one in that of the signatures."""
+def _hits(docs: DataFrame, widths: list[int], first: np.ndarray, every: np.ndarray, alone: bool = True) -> DataFrame:
+    """doc_id, shingle, hash, signed: shingles in the filter of all items, of texts with one in that of the signatures.
+
+    With ``alone`` false texts need none of their own, since another row of their id has one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         mask = np.uint64((1 << FILTER_BITS) - 1)
@@ -146,9 +149,9 @@ def _hits(docs: DataFrame, widths: list[int], first: np.ndarray, every: np.ndarr
                     same = doc[:len(s)] == doc[w - 1:]
                     place = (s & mask).astype(np.int64)
                     near = same & bits[0][place]
-                    if not near.any():
+                    if alone and not near.any():
                         continue
-                    has = np.zeros(b - a, bool)
+                    has = np.full(b - a, not alone)
                     has[doc[:len(s)][near]] = True
                     at = np.nonzero(same & bits[1][place] & has[doc[:len(s)]])[0]
                     for i, x in zip(at.tolist(), _signed(s[at]).tolist()):
@@ -187,13 +190,20 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased; shingles are sets. An
     item of fewer words than ``width`` is one shingle of that many words. Null and empty texts match nothing, rows
-    with a null id take no part, rows with equal ids count as one text holding all their shingles.
+    with a null id take no part, rows with equal ids count as one text holding all their shingles: where one of them
+    holds a signature hash, the others are read again for the rest of the item.
     """
     shingles = reliable(items_table(items, item_id, item_text, width))
     signed = reliable(signatures(shingles, containment))
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
     src = keyed(docs, doc_id, text).toDF("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hits = reliable(_hits(src, widths, _positions(signed), _positions(shingles)))
+    first, every = _positions(signed), _positions(shingles)
+    own = reliable(_hits(src, widths, first, every))
+    several = src.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = reliable(own.where("signed").select("doc_id").distinct().join(several, "doc_id", "left_semi"))
+    hits = own
+    if not met.isEmpty():
+        hits = own.unionByName(reliable(_hits(src.join(met, "doc_id", "left_semi"), widths, first, every, alone=False)))
     candidates = hits.where("signed").select("doc_id", "hash").distinct().join(signed, "hash")
     candidates = candidates.select("doc_id", "item_id", "n_item").distinct()
     shared = hits.select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle"), "shingle")

@@ -155,28 +155,33 @@ def _licence_sql() -> str:
     return rf"""
 WITH templates(id, licence, grams) AS (VALUES {templates}),
 docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS (
+  SELECT *, regexp_split_to_array(text, '\n[ \t\r]*\n') AS p,
+         string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM docs),
+runs AS (
+  SELECT row_no, doc_id, 'paragraphs' AS unit, n AS span, p AS pieces FROM pieces, range(2, {licences.SPAN + 1}) AS r(n)
+  UNION ALL
+  SELECT row_no, doc_id, 'sentences', n, s FROM pieces, range(1, {licences.SPAN + 1}) AS r(n) WHERE len(s) > 1),
 units AS (
-  SELECT row_no, doc_id, 'line' AS unit, unnest(range(len(l))) AS part, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM docs)
+  SELECT row_no, doc_id, 'line' AS unit, unnest(range(len(l))) AS part, 1 AS span, unnest(l) AS text
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM docs)
+  UNION ALL
+  SELECT * FROM (SELECT row_no, doc_id, 'paragraph' AS unit, unnest(range(len(p))) AS part, 1 AS span, unnest(p) AS text
+                 FROM pieces) WHERE contains(text, chr(10))
   UNION ALL
-  SELECT * FROM (SELECT row_no, doc_id, 'paragraph' AS unit, unnest(range(len(l))) AS part, unnest(l) AS text
-                 FROM (SELECT *, regexp_split_to_array(text, '
-[ 	
-]*
-') AS l FROM docs)) WHERE contains(text, chr(10))
+  SELECT row_no, doc_id, 'text', 0, 1, text FROM docs WHERE regexp_matches(text, '\n[ \t\r]*\n')
   UNION ALL
-  SELECT row_no, doc_id, 'text', 0, text FROM docs WHERE regexp_matches(text, '
-[ 	
-]*
-')),
+  SELECT row_no, doc_id, unit, i - 1, span, array_to_string(pieces[i:i + span - 1], chr(10))
+  FROM (SELECT *, unnest(range(1, len(pieces) - span + 2)) AS i FROM runs)),
 bagged AS (
-  SELECT row_no, doc_id, unit, part,
+  SELECT row_no, doc_id, unit, part, span,
          list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM units)),
 scored AS (
-  SELECT row_no, doc_id, unit, part, licence, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice
-  FROM bagged, templates WHERE len(b) > 0)
-SELECT doc_id, unit, part::INTEGER AS part, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice
-FROM scored WHERE dice >= {licences.DICE} - 1e-12 GROUP BY row_no, doc_id, unit, part
+  SELECT row_no, doc_id, unit, part, span, licence, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice
+  FROM bagged, templates WHERE len(b) BETWEEN len(grams) / 2 AND 2 * len(grams))
+SELECT doc_id, unit, part::INTEGER AS part, span::INTEGER AS span, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice
+FROM scored WHERE dice >= {licences.DICE} - 1e-12 GROUP BY row_no, doc_id, unit, part, span
 """
 
 

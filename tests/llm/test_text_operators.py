@@ -143,6 +143,16 @@ def test_containment(spark, texts):
     assert decontaminate.contaminated(odd(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_an_item_split_over_rows_of_one_id(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(12))) for n in range(60)]
+    docs = []
+    for n, text in items:
+        w = text.split(" ")
+        docs += [(n, " ".join(w[:8])), (n, " ".join(w[4:]))]
+    got = decontaminate.contaminated(odd(spark, docs), odd(spark, items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_shared"]) for r in got) == [(n, n, 8) for n in range(60)]
+
+
 # --------------------------------------------------------------------------- byte pairs
 
 
@@ -476,10 +486,50 @@ def test_licences(spark):
     rows = [(1, "Text before.\nReleased under the MIT License.\nafter"), (2, "licensed  UNDER the apache license version 2.0"),
             (3, mit.replace("\n", " ")), (4, "Intro\n\n" + mit + "\n\nOutro"), (5, "nothing about it"), (6, "MIT")] + ODD
     got = {(r["doc_id"], r["unit"], r["licence"]) for r in licences.scan(odd(spark, rows)).collect()}
-    assert got == {(1, "line", "MIT"), (2, "line", "Apache-2.0"), (3, "line", "MIT"), (4, "paragraph", "MIT"), (4, "text", "MIT")}
+    assert got == {(1, "line", "MIT"), (1, "sentences", "MIT"), (2, "line", "Apache-2.0"), (3, "line", "MIT"), (4, "paragraph", "MIT"),
+                   (4, "paragraphs", "MIT"), (4, "sentences", "MIT"), (4, "text", "MIT")}
     assert licences.scan(empty(spark)).count() == 0 and licences.scan(odd(spark), []).count() == 0
 
 
+def test_licence_of_each_notice(spark):
+    """Every notice is named by its own licence and not by a neighbour's, alone and inside longer texts."""
+    fsf = "{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free " \
+          "Software Foundation{} either version {} of the License, or (at your option) any later version."
+    notices = {
+        "AGPL-3.0": fsf.format("This program", ":", "Affero General Public License", ",", "3"),
+        "LGPL-3.0": fsf.format("This library", ":", "Lesser General Public License", ",", "3"),
+        "GPL-2.0": fsf.format("This program", ";", "General Public License", ";", "2"),
+        "GPL-3.0": fsf.format("This program", ":", "General Public License", ",", "3"),
+        "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "BSD-3-Clause": licences._BSD3, "MPL-2.0": licences._MPL, "Apache-2.0": licences._APACHE}
+    prose = "The harbour was quiet that evening and nobody spoke about the weather. Boats came in one after another!"
+    names = sorted(notices)
+    rows = [(n, notices[k]) for n, k in enumerate(names)]
+    rows += [(100 + n, f"{prose} {notices[k]} {prose}") for n, k in enumerate(names)]
+    rows += [(200, prose + "\n\n" + licences._BSD2.replace(": R", ":\n\nR").replace(". R", ".\n\nR") + "\n\n" + prose)]
+    found = {}
+    for r in licences.scan(odd(spark, rows)).collect():
+        best = found.get(r["doc_id"], (0.0, ""))
+        found[r["doc_id"]] = max(best, (r["dice"], r["licence"]))
+    assert {k: found[n][1] for n, k in enumerate(names)} == {k: k for k in names}
+    assert {k: found[100 + n][1] for n, k in enumerate(names)} == {k: k for k in names}
+    assert found[200][1] == "BSD-2-Clause"
+
+
+def test_licence_key_words_lose_nothing():
+    grams = [licences._bigrams(t.text) for t in licences.TEMPLATES]
+    keys = set(licences.key_words(grams, 0.8))
+    for b in grams:
+        without = [g for g in b if not keys & set(g.split(" "))]
+        assert len(without) < licences.bounds(len(b), 0.8)[0]
+
+
+def test_licence_ties_and_repeats(spark):
+    same = [licences.Template("B", "one two three"), licences.Template("A", "one two three")]
+    rows = licences.scan(odd(spark, [(1, "one two three"), (1, "one two three")]), same).collect()
+    assert [(r["licence"], r["unit"], r["span"], r["dice"]) for r in rows] == [("A", "line", 1, 1.0)] * 2
+
+
 def test_licence_bounds_lose_nothing():
     for n in range(1, 60):
         least, most = licences.bounds(n, 0.8)
