@@ -16,6 +16,7 @@ all of these.
 
 from __future__ import annotations
 
+import gc
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.stage import stage
+from ..plans.stage import drop_stage, stage
 from .common import keyed
 from .components import components, reliable
 
@@ -354,11 +355,25 @@ def _sizes(members: DataFrame, key: str, sets: DataFrame, name: str) -> DataFram
     return members.select(key, "node").distinct().join(sets.select("node", "n"), "node").groupBy(key).agg(F.sum("n").alias(name))
 
 
+def _tidy(df: DataFrame) -> DataFrame:
+    """``df``, a written table, after Spark has been told to remove shuffle files that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, and a driver that only plans seldom has cause to.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def _round(index: DataFrame, queries: DataFrame, key: str, sets: DataFrame, percent: int) -> DataFrame:
     """Links between queries and index members (both: key, node, root) of equal key."""
     weights = _sizes(index, key, sets, "w").join(_sizes(queries, key, sets, "v"), key)
-    cells = stage(_cut(stage(weights, "weights"), key), "cells")
-    return stage(_searched(_side(index, cells, key, sets, False), _side(queries, cells, key, sets, True), percent), "links")
+    weights = stage(weights, "weights")
+    cells = stage(_cut(weights, key), "cells")
+    links = stage(_searched(_side(index, cells, key, sets, False), _side(queries, cells, key, sets, True), percent), "links")
+    for old in (weights, cells):
+        drop_stage(old)
+    return _tidy(links)
 
 
 # --------------------------------------------------------------------------- join
@@ -375,16 +390,21 @@ def _short(sets: DataFrame, percent: int) -> DataFrame:
     ordered by how many of them have one; lists of a single document would come first, and need not be stored.
     """
     smallest = F.floor((F.col("n") * percent + 99) / 100)
-    for _ in range(2):
+    for again in range(2):
         counts = _shared_counts(sets.select("node", "set"), _total(sets, "set"))
         enough = counts.join(sets.select("node", "n"), "node").where(F.col("c") >= smallest).select("node")
-        sets = stage(sets.join(reliable(enough), "node", "left_semi"), "whole")
+        before, sets = sets, _tidy(stage(sets.join(reliable(enough), "node", "left_semi"), "whole"))
+        if again:
+            drop_stage(before)
     full = sets.select("node", "n", F.explode("set").alias("hash"))
     often = stage(full.groupBy("hash").agg(F.count("*").alias("often")).where("often > 1"), "often")
     lists = full.join(often, "hash").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("lists"))
     first = F.size("lists") - smallest + 1 + F.floor(F.col("n") / _LONGER)
     lists = lists.where(F.size("lists") >= smallest).select("node", "n", F.explode(F.slice("lists", F.lit(1), first.cast("int"))).alias("l"))
-    return _met(lists.select(F.col("l.hash").alias("hash"), "node", "n"), percent)
+    met = _met(lists.select(F.col("l.hash").alias("hash"), "node", "n"), percent)
+    for old in (sets, often):
+        drop_stage(old)
+    return met
 
 
 def _met(held: DataFrame, percent: int) -> DataFrame:
@@ -393,11 +413,13 @@ def _met(held: DataFrame, percent: int) -> DataFrame:
     again = held.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     both = reliable(held.join(reliable(again), "hash", "left_semi"))
     some = both.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _least(F.col("n"), percent))
-    return stage(both.join(reliable(some.select("node")), "node", "left_semi"), "met")
+    met = stage(both.join(reliable(some.select("node")), "node", "left_semi"), "met")
+    drop_stage(held)
+    return _tidy(met)
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    return reliable(components(links))
+    return _tidy(reliable(components(links)))
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -416,7 +438,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     own = read.join(copies, "row", "left_anti")
     counts = _shared_counts(own.where("n > 0").select("row", "prefix"), _total(read, "prefix"))
     some = counts.join(read.select(F.col("row").alias("node"), "n", "doc_id", "same"), "node").where(F.col("c") >= _least(F.col("n"), percent))
-    sets = stage(_whole(src, reliable(some.select("node", "n", "doc_id", "same")), width), "whole")
+    sets = _tidy(stage(_whole(src, reliable(some.select("node", "n", "doc_id", "same")), width), "whole"))
     met = _short(sets, percent)
 
     # every document against the smallest ones it meets
@@ -430,7 +452,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     root = _roots(links)
     named = stage(met.join(root, "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("root")), "named")
     mixed = named.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hash")
-    named = _met(named.join(reliable(mixed), "hash", "left_semi"), percent)
+    every, named = named, _met(named.join(reliable(mixed), "hash", "left_semi"), percent)
+    drop_stage(every)
     star = reliable(named.groupBy("hash").agg(F.min("node").alias("star")))
     field = _roots(named.join(star, "hash").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct())
     members = stage(named.select("node", "root").distinct().join(field.withColumnRenamed("root", "field"), "node"), "members")
