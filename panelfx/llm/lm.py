@@ -1,16 +1,18 @@
-"""A hierarchical Pitman-Yor language model over words with contexts that share parents.
-
-Tokens are words and an end for every text. The dishes of the context restaurants are the most frequent words and one
-dish for all other words. A word is drawn in the restaurant of the word before it, if that is one of the most frequent;
-its parent is the restaurant of the ending (last two bytes) of the word before, which all words with that ending share
-and where a word without an own restaurant sends its successors; above is one restaurant for all. The dish of the other
-words leads to a restaurant with a table plan of its own over the rest of the vocabulary and one unknown word. So every
-context gives a distribution over the V training words and the unknown one, the outcomes of add-one smoothing.
-
-Seatings are sampled by Gibbs, a dish at a time: given the parent's probabilities, the tables of a dish are drawn by
-seating its customers anew, and tables are customers of the parent. The restaurants of one ending are sampled by one
-group, whose size the numbers of dishes and contexts bound, not the corpus. Probabilities are averaged over samples: a
-restaurant keeps the mean discounted share of each dish and the mean weight of its parent.
+"""A hierarchical Pitman-Yor language model over word pairs, kept in distributed tables.
+
+Tokens are words and an end for every text. The word before a token is its context; every context seen has a restaurant
+of its own, with a dish for every word seen after it, and all these restaurants share one parent, the restaurant of
+single words over a uniform base of the V training words and one unknown word. So every context gives a distribution
+over the outcomes of add-one smoothing, and what the model holds grows with the corpus: a row for every distinct pair.
+
+Seatings are sampled by Gibbs, a dish at a time: given the parent's probability and the other tables of its restaurant,
+the number of tables of a dish is drawn from its exact conditional (generalised Stirling numbers) up to ``EXACT``
+customers; beyond, seatings are continued customer by customer (in blocks of a 256th) and one is chosen by its weight.
+Pairs seen once have one table for certain, and only the others are sampled. Tables are customers of the parent.
+Probabilities are averaged over samples through the mean tables of dishes, contexts and words.
+
+A probability is the context's share of its parent, times the parent's probability, times a factor of the pair that is
+one for pairs never seen. So the score of a text is a sum over its words and pairs, whose terms come from a join.
 """
 
 from __future__ import annotations
@@ -21,98 +23,90 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.stage import drop_stage, stage
 from .components import reliable
 
-#: The model's own size, whatever the corpus: dishes, words with a restaurant of their own, and the entries (context,
-#: dish) it may have. A corpus with more entries gets half the dishes and contexts, until it fits.
-DISHES, CONTEXTS, CAPACITY = 4096, 256, 3_000_000
-#: Words whose counts every task holds, the most frequent ones of at most LONGEST bytes; all others are joined.
+#: Words whose numbers, and pairs whose terms, every task holds: the most frequent ones, words of at most LONGEST bytes.
+#: All others take the joins, with equal results.
 FREQUENT, LONGEST = 1 << 17, 32
 STRENGTH = 1.0
-BURN_IN, SAMPLES, ROUNDS = 2, 4, 3
+BURN_IN, SAMPLES = 1, 2
+#: Customers of a dish up to which its tables are drawn from tabulated probabilities.
+EXACT = 512
 _HELD = 400_000
-_DISH_BITS, _CONTEXT_BITS = 13, 10
+_BLOCK = 1 << 20
+#: Numbers of words that have no rank: this bit and 62 bits of XXH64.
+_RARE = 1 << 62
+_PAIR, _SUM = b" ", b"  "
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def ending(word: bytes) -> int:
-    """The class of a word as a context; the end of a text, which comes before the first word, is a class of its own."""
-    return int.from_bytes(word[-2:]) if word else 1 << 16
+def _stirling(most: int, discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: row n, column t, in how many weighted ways n customers fill t tables."""
+    s = np.full((most + 1, most + 1), -np.inf)
+    s[0, 0] = 0.0
+    t = np.arange(most + 1)
+    for n in range(most):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            stay = s[n] + np.log(np.maximum(n - discount * t, 0))
+        s[n + 1, 1:] = np.logaddexp(s[n, :-1], stay[1:])
+    return s
 
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers one after another.
-
-    ``fresh`` is the weight of a new table: (strength + discount x tables) x the parent's probability of the dish. From
-    the 32nd customer on they come in blocks of a sixteenth of those seated, with the odds at the start of the block.
-    """
-    tables = (customers > 0).astype(float)
-    live = np.nonzero(customers > 1)[0]
-    seated = 1
-    while len(live):
-        block = max(1, seated // 16 if seated >= 32 else 1)
-        size = np.minimum(block, customers[live] - seated)
-        chance = fresh[live] / (fresh[live] + seated - discount * tables[live])
-        tables[live] += rng.random(len(live)) < chance if block == 1 else rng.binomial(size, chance)
-        seated += block
-        live = live[customers[live] > seated]
-    return np.minimum(tables, customers)
-
-
-class Restaurants:
-    """The contexts of one ending: its own restaurant, and below it those of single words.
-
-    ``keys`` are context << _DISH_BITS | dish; context 0 is the ending itself, whose counts are its direct customers.
-    """
+class Seating:
+    """Draws numbers of tables for one discount."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+    def __init__(self, discount: float, rng: np.random.Generator) -> None:
         self.discount, self.rng = discount, rng
-        leaf = keys >> _DISH_BITS > 0
-        self.leaf, self.leaf_counts = keys[leaf], counts[leaf]
-        dish = (1 << _DISH_BITS) - 1
-        self.dish = np.unique(keys & dish)
-        self.direct = np.zeros(len(self.dish), np.int64)
-        self.direct[np.searchsorted(self.dish, keys[~leaf] & dish)] = counts[~leaf]
-        self.up = np.searchsorted(self.dish, self.leaf & dish)
-        self.context, self.owner = np.unique(self.leaf >> _DISH_BITS, return_inverse=True)
-        self.leaf_tables = np.ones(len(self.leaf))
-        self.tables = np.ones(len(self.dish))
-        self.sums: list = [0.0, 0.0, 0.0, 0.0]
-        self.samples = 0
-
-    def _customers(self) -> np.ndarray:
-        return self.direct + np.bincount(self.up, self.leaf_tables, len(self.dish)).astype(np.int64)
-
-    def _split(self) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-        """Shares and parent weight of the ending, shares and parent weights of the words."""
-        c = self._customers()
-        total = c.sum() + STRENGTH
-        size = len(self.context)
-        below = np.bincount(self.owner, self.leaf_counts, size) + STRENGTH
-        weight = (STRENGTH + self.discount * np.bincount(self.owner, self.leaf_tables, size)) / below
-        return ((c - self.discount * self.tables) / total, (STRENGTH + self.discount * self.tables.sum()) / total,
-                (self.leaf_counts - self.discount * self.leaf_tables) / below[self.owner], weight)
-
-    def sweep(self, above: np.ndarray, keep: bool) -> None:
-        """Seat every dish anew; ``above`` has the probability of each of ``dish`` in the restaurant for all."""
-        share, weight, _, _ = self._split()
-        p = (share + weight * above)[self.up]
-        fresh = (STRENGTH + self.discount * np.bincount(self.owner, self.leaf_tables, len(self.context)))[self.owner]
-        self.leaf_tables = seat(self.leaf_counts, fresh * p, self.discount, self.rng)
-        self.tables = seat(self._customers(), (STRENGTH + self.discount * self.tables.sum()) * above, self.discount, self.rng)
-        if keep:
-            self.samples += 1
-            self.sums = [a + b for a, b in zip(self.sums, self._split())]
-
-    def means(self) -> list[np.ndarray]:
-        return [np.asarray(x) / self.samples for x in self.sums]
+        self.sizes = (8, 64, EXACT)
+        self.log = _stirling(EXACT, discount)
+
+    def draw(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Tables of dishes, given the tables of other dishes in the restaurant and the parent's probability of the dish."""
+        out = np.minimum(customers, 1).astype(np.int64)
+        low = 1
+        for high in self.sizes:
+            for rows in _blocks(np.nonzero((customers > low) & (customers <= high))[0], (1 << 20) // high):
+                out[rows] = self._tabled(customers[rows], others[rows], p[rows], high)
+            low = high
+        for rows in _blocks(np.nonzero(customers > EXACT)[0], 128):
+            out[rows] = self._continued(customers[rows], others[rows], p[rows])
+        return out
+
+    def _tabled(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray, most: int) -> np.ndarray:
+        opened = np.log(STRENGTH + self.discount * (others[:, None] + np.arange(most))) + np.log(p)[:, None]
+        weight = self.log[customers, 1:most + 1] + np.cumsum(opened, 1)
+        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+        return 1 + (weight < self.rng.random((len(p), 1)) * weight[:, -1:]).sum(1)
+
+    def _continued(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray, tries: int = 16) -> np.ndarray:
+        many, others, p = (np.repeat(x, tries) for x in (customers, others, p))
+        tables = self._tabled(np.full(len(many), EXACT), others, p, EXACT).astype(float)
+        weight, seated = np.zeros(len(many)), EXACT
+        live = np.arange(len(many))
+        while len(live):
+            size = np.minimum(max(1, seated // 256), many[live] - seated)
+            new = (STRENGTH + self.discount * (others[live] + tables[live])) * p[live]
+            total = new + seated - self.discount * tables[live]
+            # the odds of a block are those at its start; the weight is what the draws leave out
+            weight[live] += size * np.log(total / seated)
+            tables[live] += self.rng.binomial(size, new / total)
+            seated += max(1, seated // 256)
+            live = live[many[live] > seated]
+        gumbel = weight - np.log(-np.log(self.rng.random(len(weight))))
+        best = gumbel.reshape(-1, tries).argmax(1)
+        return tables.reshape(-1, tries)[np.arange(len(customers)), best].astype(np.int64)
+
+
+def _blocks(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (rows[at:at + size] for at in range(0, len(rows), size))
 
 
 def word_counts(docs: DataFrame, text: Column) -> DataFrame:
@@ -140,47 +134,12 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-@dataclass(frozen=True)
-class Lexicon:
-    """Frequent words with their counts and dishes: number 0 is the dish of all other words."""
-    count: dict[bytes, int]
-    dish: dict[bytes, int]
-    contexts: int
-
-    def reader(self) -> "Reader":
-        return Reader(self)
-
-
-class Reader:
-    """Looks words up by number: their rank by frequency, or the last place, which stands for all other words."""
-
-    def __init__(self, lexicon: Lexicon) -> None:
-        words = list(lexicon.count)
-        self.number = {w: n for n, w in enumerate(words)}
-        self.other = len(words)
-        self.count = np.array([*lexicon.count.values(), 0], np.int64)
-        self.dish = np.fromiter((lexicon.dish.get(w, 0) for w in [*words, None]), np.int64, len(words) + 1)
-        self.ending = np.fromiter(map(ending, [*words, b""]), np.int64, len(words) + 1)
-        self.context = np.where((self.dish > 0) & (self.dish <= lexicon.contexts), self.dish, 0)
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of every word and of the end; packed ending and context of what stands before each."""
-        line = [*words, b""]
-        number = np.fromiter(map(self.number.get, line, repeat(self.other)), np.int64, len(line))
-        end = self.ending[number]
-        for k in np.nonzero(number == self.other)[0].tolist():
-            end[k] = ending(line[k])
-        before = end << _CONTEXT_BITS | self.context[number]
-        first = ending(b"") << _CONTEXT_BITS | self.context[self.number.get(b"", self.other)]
-        return number, np.append(first, before[:-1])
-
-
-def _floor(words: DataFrame, most: int) -> int | None:
-    """The least count so that at most ``most`` words reach it; sizes are added up by sixteenths of a doubling."""
+def _floor(sizes: DataFrame, most: int) -> int | None:
+    """The least ``c`` so that at most ``most`` rows reach it; sizes are added up by sixteenths of a doubling."""
     step = F.floor(F.log2("c") * 16)
-    sizes = words.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    steps = sizes.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
     floor, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["s"]):
+    for r in sorted(steps, key=lambda r: -r["s"]):
         total += r["n"]
         if total > most:
             break
@@ -188,249 +147,340 @@ def _floor(words: DataFrame, most: int) -> int | None:
     return floor
 
 
-def _lexicon(words: DataFrame, frequent: int, dishes: int, contexts: int) -> Lexicon:
-    """At most ``frequent`` words and numbers, the most frequent ones of at most LONGEST bytes."""
+def _lexicon(words: DataFrame, frequent: int) -> dict[bytes, int]:
+    """Counts of the most frequent words by rank, the end of texts first. These words have their rank as number."""
     short = words.where((F.octet_length("word") <= LONGEST) & (F.col("word") != F.lit(b"")))
     floor = _floor(short, frequent)
-    rows = [] if floor is None else [(r["word"], r["c"]) for r in short.where(F.col("c") >= floor).collect()]
-    rows = sorted(((bytes(w), c) for w, c in rows), key=lambda x: (-x[1], x[0]))
+    rows = [] if floor is None else [(bytes(r["word"]), r["c"]) for r in short.where(F.col("c") >= floor).collect()]
     end = [(b"", r["c"]) for r in words.where(F.col("word") == F.lit(b"")).collect()]
-    ranked = [*end, *rows]
-    return Lexicon(dict(ranked), {w: n for n, (w, _) in enumerate(ranked[:dishes], 1)}, contexts)
+    return dict([*end, *sorted(rows, key=lambda x: (-x[1], x[0]))])
+
+
+class Reader:
+    """Turns texts into numbers of words."""
+
+    def __init__(self, lexicon: dict[bytes, int]) -> None:
+        self.number = {w: n for n, w in enumerate(lexicon)}
+
+    def read(self, line: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Contexts and words of texts that are each closed by the empty word; places of the words without a rank."""
+        number = np.fromiter(map(self.number.get, line, repeat(_RARE)), np.int64, len(line))
+        rare = np.nonzero(number == _RARE)[0].tolist()
+        if rare:
+            number[rare] = [_RARE | xxhash.xxh64_intdigest(line[k], 42) & _RARE - 1 for k in rare]
+        first = self.number.get(b"", _RARE | xxhash.xxh64_intdigest(b"", 42) & _RARE - 1)
+        return np.append(first, number[:-1]), number, rare
+
+
+def rare_number(word: str) -> Column:
+    """The number of a word without a rank."""
+    return F.xxhash64(word).bitwiseAND(F.lit(_RARE - 1)).bitwiseOR(F.lit(_RARE))
 
 
-def _entries(docs: DataFrame, text: Column, lexicon: Lexicon) -> DataFrame:
-    """ending, key, n: how often a dish follows a context. Tasks add up in bounded arrays."""
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 mixed bits of a pair; pairs are told apart by them when texts are scored."""
+    x = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
+
+
+def _pairs(docs: DataFrame, text: Column, lexicon: dict[bytes, int]) -> DataFrame:
+    """u, w, n: how often a word follows a context. Tasks add up in bounded arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
+        reader = Reader(lexicon)
+        held: list[tuple] = []
         size = 0
 
-        def add() -> None:
-            nonlocal keys, counts, held, size
-            new, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            merged, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(merged)).astype(np.int64)
-            keys, held, size = merged, [], 0
-
         def out() -> pa.RecordBatch:
-            end = keys >> _CONTEXT_BITS + _DISH_BITS
-            rest = keys & (1 << _CONTEXT_BITS + _DISH_BITS) - 1
-            return pa.RecordBatch.from_arrays([pa.array(end), pa.array(rest), pa.array(counts)], names=["ending", "key", "n"])
+            u, w = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            first = np.nonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))[0]
+            return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(u))))],
+                                              names=["u", "w", "n"])
 
-        reader = lexicon.reader()
         for batch in batches:
             for t in batch.column("text"):
-                number, before = reader.read(_words(t.as_py()))
-                held.append(before << _DISH_BITS | reader.dish[number])
-                size += len(number)
-                if size > 4 * _HELD:
-                    add()
-                    if len(keys) > 4 * _HELD:
-                        yield out()
-                        keys, counts = keys[:0], counts[:0]
-        add()
-        yield out()
+                u, w, _ = reader.read([*_words(t.as_py()), b""])
+                held.append((u, w))
+                size += len(u)
+                if size > 8 * _HELD:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     src = docs.select(text.cast("binary").alias("text"))
-    return src.mapInArrow(run, "ending long, key long, n long").groupBy("ending", "key").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
-def _sampled(entries: DataFrame, above: np.ndarray, discount: float, seed: int) -> DataFrame:
-    """Sample the restaurants of every ending. Rows kind, key, value: 0 and 1 the shares and parent weight of endings,
-    2 and 3 those of words, 4 the tables sent to the restaurant for all."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        end = int(group["ending"].iloc[0])
-        rooms = Restaurants(group["key"].to_numpy(), group["n"].to_numpy(), discount, np.random.default_rng([seed, end]))
-        for i in range(BURN_IN + SAMPLES):
-            rooms.sweep(above[rooms.dish], i >= BURN_IN)
-        share, weight, leaf_share, leaf_weight = rooms.means()
-        parts = [(0, end << _DISH_BITS | rooms.dish, share), (1, np.array([end]), np.array([float(weight)])),
-                 (2, rooms.leaf, leaf_share), (3, rooms.context, leaf_weight), (4, rooms.dish, rooms.tables)]
-        return pd.concat([pd.DataFrame({"kind": k, "key": a, "value": v}) for k, a, v in parts])
-
-    return entries.groupBy("ending").applyInPandas(run, "kind int, key long, value double")
+def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
+    """id, t, m: tables of every word's restaurant as a context, and its customers in the restaurant of single words."""
+    zero = F.lit(0.0)
+    both = pairs.select(F.col("u").alias("id"), tables.alias("t"), zero.alias("m")).unionByName(
+        pairs.select(F.col("w").alias("id"), zero.alias("t"), tables.alias("m")))
+    return both.groupBy("id").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
 
 
 @dataclass(frozen=True)
-class Contexts:
-    """Averaged shares by sorted key and parent weights, by ending and by context word."""
-    top: np.ndarray
-    ending: tuple[np.ndarray, np.ndarray]
-    ending_weight: tuple[np.ndarray, np.ndarray]
-    word: tuple[np.ndarray, np.ndarray]
-    word_weight: tuple[np.ndarray, np.ndarray]
-
-    def probability(self, dish: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of each dish after the packed ending and context."""
-        end, context = before >> _CONTEXT_BITS, before & (1 << _CONTEXT_BITS) - 1
-        p = self.top[dish]
-        p = _find(self.ending, end << _DISH_BITS | dish, 0.0) + _find(self.ending_weight, end, 1.0) * p
-        own = context > 0
-        return np.where(own, _find(self.word, context << _DISH_BITS | dish, 0.0) + _find(self.word_weight, context, 1.0) * p, p)
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: float) -> np.ndarray:
-    keys, values = table
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-def _top(tables: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Averaged probabilities of the restaurant for all; one number a dish."""
-    counts = np.round(tables).astype(np.int64)
-    t = (counts > 0).astype(float)
-    total, mean = counts.sum() + STRENGTH, np.zeros(len(base))
-    for i in range(BURN_IN + SAMPLES):
-        t = seat(counts, (STRENGTH + discount * t.sum()) * base, discount, rng)
-        if i >= BURN_IN:
-            mean += (counts - discount * t + (STRENGTH + discount * t.sum()) * base) / total / SAMPLES
-    return mean
-
-
-@dataclass(frozen=True)
-class Rest:
-    """The words without a dish. ``mean_tables[i]`` and ``words[i]`` belong to words seen ``count[i]`` times."""
+class Parent:
+    """The restaurant of single words. ``tables[i]`` are the mean tables of a word with ``count[i]`` customers."""
     count: np.ndarray
-    mean_tables: np.ndarray
-    customers: int
+    tables: np.ndarray
+    customers: float
+    opened: float
     distinct: int
     discount: float
-    words: np.ndarray
-
-    def probability(self, c: np.ndarray) -> np.ndarray:
-        """Of a word seen ``c`` times, 0 for the unknown one."""
-        t = np.interp(c, self.count, self.mean_tables, left=0.0) if len(self.count) else np.zeros(len(c))
-        tables = self.tables()
-        total = STRENGTH + self.customers
-        return (c - self.discount * np.where(c > 0, t, 0)) / total + (STRENGTH + self.discount * tables) / total / (self.distinct + 1)
-
-    def tables(self) -> float:
-        return float((self.mean_tables * self.words).sum()) if len(self.count) else 0.0
-
-
-def _rest(sizes: list[tuple[int, int]], discount: float, rng: np.random.Generator) -> Rest:
-    """Sample the restaurant of the other words. Its base is uniform, so words with equal counts are seated alike: each
-    count is seated many times, and stands for all its words. ``sizes`` has the words of each count."""
-    sizes = sorted(sizes)
-    count = np.array([c for c, _ in sizes], np.int64)
-    words = np.array([n for _, n in sizes], np.int64)
-    distinct = int(words.sum())
-    mean = np.ones(len(count))
-    draws = 64
-    for _ in range(BURN_IN + SAMPLES):
-        fresh = (STRENGTH + discount * float((mean * words).sum())) / (distinct + 1)
-        seated = seat(np.repeat(count, draws), np.full(len(count) * draws, fresh), discount, rng)
-        mean = seated.reshape(-1, draws).mean(1)
-    return Rest(count, mean, int((count * words).sum()), distinct, discount, words)
+
+    def probability(self, m: np.ndarray) -> np.ndarray:
+        """Of a word with ``m`` customers, 0 for the unknown one."""
+        t = np.interp(m, self.count, self.tables, left=0.0) if len(self.count) else np.zeros(len(m))
+        base = (STRENGTH + self.discount * self.opened) / (self.distinct + 1)
+        return (m - self.discount * np.where(m > 0, t, 0) + base) / (STRENGTH + self.customers)
+
+
+def _parent(sizes: list[tuple[float, int]], distinct: int, seed: int) -> Parent:
+    """Sample the restaurant of single words. Its base is uniform, so words with equal customers are seated alike: each
+    number of customers is seated several times and stands for all its words. ``sizes`` has the words of each number."""
+    rng, draws = np.random.default_rng(seed), 16
+    m, words = (np.array(x, float) for x in zip(*sizes)) if sizes else (np.zeros(0), np.zeros(0))
+    at = np.unique(np.concatenate([np.floor(m), np.ceil(m)])).astype(np.int64)
+    ones, twos = (int(words[np.round(m) == k].sum()) for k in (1, 2))
+    discount = _discount(ones, twos)
+    mean, seats = np.minimum(at, 1).astype(float), Seating(discount, rng)
+    for _ in range(BURN_IN + SAMPLES if len(at) else 0):
+        opened = float((np.interp(m, at, mean) * words).sum())
+        others = np.maximum(opened - mean, 0)
+        drawn = seats.draw(np.repeat(at, draws), np.repeat(others, draws), np.full(len(at) * draws, 1 / (distinct + 1)))
+        mean = drawn.reshape(-1, draws).mean(1)
+    opened = float((np.interp(m, at, mean) * words).sum()) if len(at) else 0.0
+    return Parent(at, mean, float((m * words).sum()), opened, distinct, discount)
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Tables and parent's customers by word: arrays for the words with a rank, rows id, t, m for the others."""
+    t: np.ndarray
+    m: np.ndarray
+    rare: DataFrame
+    parent: Parent
+
+
+def _totals(sides: DataFrame, ranked: int, distinct: int, seed: int) -> Totals:
+    t, m = np.zeros(ranked), np.zeros(ranked)
+    # at most one row a ranked word
+    for r in sides.where(F.col("id") < _RARE).collect():
+        t[r["id"]], m[r["id"]] = r["t"], r["m"]
+    sizes = [(r["m"], r["n"]) for r in sides.where("m > 0").groupBy("m").agg(F.count("*").alias("n")).collect()]
+    return Totals(t, m, sides.where(F.col("id") >= _RARE), _parent(sorted(sizes), distinct, seed))
+
+
+def _attached(pairs: DataFrame, totals: Totals) -> DataFrame:
+    """``pairs`` with the context's tables tu and the word's customers mw, NULL where a word has a rank."""
+    null = F.lit(None).cast("double")
+    rare = (F.col("u") >= _RARE) | (F.col("w") >= _RARE)
+    rows = pairs.where(rare)
+    for word, value, name in (("u", "t", "tu"), ("w", "m", "mw")):
+        # words with a rank meet nothing, and each pair of them lies elsewhere
+        away = F.lit(-1) - F.xxhash64("u", "w").bitwiseAND(F.lit(_RARE - 1))
+        key = F.when(F.col(word) >= _RARE, F.col(word)).otherwise(away)
+        rows = rows.withColumn("at", key).join(
+            totals.rare.select(F.col("id").alias("at"), F.col(value).alias(name)), "at", "left").drop("at")
+    return pairs.where(~rare).withColumns({"tu": null, "mw": null}).unionByName(rows)
+
+
+def _filled(batch: pa.RecordBatch, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    u, w, n = (batch.column(c).to_numpy() for c in ("u", "w", "n"))
+    out = []
+    for word, name, ranked in ((u, "tu", totals[0]), (w, "mw", totals[1])):
+        value = batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+        has = word < _RARE
+        value[has] = ranked[word[has]]
+        out.append(value)
+    return u, w, n, *out
+
+
+def _sampled(state: DataFrame, totals: Totals, discount: float, keep: bool, seed: int) -> DataFrame:
+    """One Gibbs step for every pair of ``state`` (u, w, n, t, s); s adds up the tables of kept samples."""
+    ranked, parent = (totals.t, totals.m), totals.parent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seats = None
+        for batch in batches:
+            u, w, n, tu, mw = _filled(batch, ranked)
+            if not len(u):
+                continue
+            # draws follow the pairs, so that a lost task draws the same again
+            seats = seats or Seating(discount, np.random.default_rng([seed, int(pair_key(u[:1], w[:1])[0]) & _RARE - 1]))
+            t, s = batch.column("t").to_numpy(), batch.column("s").to_numpy()
+            drawn = seats.draw(n, np.maximum(tu - t, 0), parent.probability(mw))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, drawn, s + drawn if keep else s)],
+                                             names=["u", "w", "n", "t", "s"])
+
+    return _attached(state, totals).mapInArrow(run, "u long, w long, n long, t long, s long")
 
 
 @dataclass(frozen=True)
 class Model:
-    """``words`` has the counts of all training words; the rest is as large as the model and not as the corpus."""
+    """Counts of all training words, customers and mean tables (u, w, n, t) of all pairs, and the totals of words."""
     words: DataFrame
+    pairs: DataFrame
     tokens: int
     distinct: int
-    lexicon: Lexicon
-    contexts: Contexts
-    rest: Rest
+    lexicon: dict[bytes, int]
+    totals: Totals
+    discount: float
+    frequent: int
+
+    def weight(self, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """The share of its parent in a context."""
+        return (STRENGTH + self.discount * tables) / (STRENGTH + customers)
 
 
-def fit(docs: DataFrame, text: str = "text", dishes: int = DISHES, contexts: int = CONTEXTS, capacity: int = CAPACITY,
-        frequent: int = FREQUENT, seed: int = 7) -> Model:
+def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int = 7) -> Model:
     """Learn from every whole text; nulls count as empty. An empty table gives a model that knows no word."""
     content = F.coalesce(F.col(text), F.lit(""))
     counts = reliable(word_counts(docs, content).where("c > 0"))
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.expr("c = 1")).alias("a"),
-                       F.count_if(F.expr("c = 2")).alias("b")).first()
-    v = total["v"]
-    while True:
-        lexicon = _lexicon(counts, frequent, dishes, contexts)
-        entries = reliable(_entries(docs, content, lexicon))
-        if dishes <= 2 or entries.count() <= capacity:
-            break
-        dishes, contexts = dishes // 2, contexts // 2
-    seen = entries.agg(F.count_if(F.expr("n = 1")).alias("a"), F.count_if(F.expr("n = 2")).alias("b")).first()
-    discount, rng = _discount(seen["a"], seen["b"]), np.random.default_rng(seed)
-    named = len(lexicon.dish)
-    base = np.full(named + 1, 1 / (v + 1))
-    base[0] = (v + 1 - named) / (v + 1)
-    dish = F.col("key").bitwiseAND(F.lit((1 << _DISH_BITS) - 1))
-    tables = np.zeros(named + 1)
-    # to begin with, every ending sends one table for each of its dishes
-    for r in entries.select("ending", dish.alias("dish")).distinct().groupBy("dish").count().collect():
-        tables[r["dish"]] = r["count"]
-    for turn in range(ROUNDS):
-        top = _top(tables, base, discount, rng)
-        sampled = reliable(_sampled(entries, top, discount, seed + turn))
-        tables[:] = 0
-        for r in sampled.where("kind = 4").groupBy("key").agg(F.sum("value").alias("value")).collect():
-            tables[r["key"]] = r["value"]
-    kept = sampled.where("kind < 4").select("kind", "key", "value").toArrow()
-    kind, key, value = (kept.column(c).to_numpy() for c in ("kind", "key", "value"))
-    parts = []
-    for k in range(4):
-        order = np.argsort(key[kind == k])
-        parts.append((key[kind == k][order], value[kind == k][order]))
-    # the counts of words without a dish: all counts less those of the named words, one number a count
-    sizes = Counter({r["c"]: r["count"] for r in counts.groupBy("c").count().collect()})
-    sizes.subtract(Counter(lexicon.count[w] for w in lexicon.dish))
-    rest = _rest([(c, n) for c, n in sizes.items() if n > 0], _discount(total["a"], total["b"]), rng)
-    return Model(counts, total["n"] or 0, v, lexicon, Contexts(top, *parts), rest)
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    lexicon = _lexicon(counts, frequent)
+    pairs = stage(_pairs(docs, content, lexicon), "lm_pairs")
+    seen = pairs.agg(F.count_if(F.expr("n = 1")).alias("a"), F.count_if(F.expr("n = 2")).alias("b")).first()
+    discount, v = _discount(seen["a"], seen["b"]), total["v"]
+    first = stage(_sides(pairs, F.lit(1.0)), "lm_sides")
+    once = pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t"))
+    one = F.lit(1).cast("long")
+    state = pairs.where("n > 1").select("u", "w", "n", one.alias("t"), (one - 1).alias("s"))
+    totals, old = _totals(first, len(lexicon), v, seed), None
+    for turn in range(BURN_IN + SAMPLES):
+        state = stage(_sampled(state, totals, discount, turn >= BURN_IN, seed + turn), "lm_state")
+        last = turn == BURN_IN + SAMPLES - 1
+        mean = F.col("s") / SAMPLES if last else F.col("t").cast("double")
+        more = _sides(state, mean - 1).select("id", F.col("t").alias("dt"), F.col("m").alias("dm"))
+        none = F.lit(0.0)
+        sides = stage(first.join(more, "id", "left").select(
+            "id", (F.col("t") + F.coalesce("dt", none)).alias("t"), (F.col("m") + F.coalesce("dm", none)).alias("m")), "lm_sides")
+        totals = _totals(sides, len(lexicon), v, seed + turn + 1)
+        for done in old or ():
+            drop_stage(done)
+        old = (state, sides)
+    sampled = state.select("u", "w", "n", (F.col("s") / SAMPLES).alias("t"))
+    return Model(counts, once.unionByName(sampled), total["n"] or 0, v, lexicon, totals, discount, frequent)
+
+
+def terms(model: Model, pairs: DataFrame) -> DataFrame:
+    """key, term of ``pairs``: log10 of the factor by which having been seen lifts a pair's probability."""
+    ranked, parent, discount = (model.totals.t, model.totals.m), model.totals.parent, model.discount
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, n, tu, mw = _filled(batch, ranked)
+            lift = (n - discount * batch.column("t").to_numpy()) / ((STRENGTH + discount * tu) * parent.probability(mw))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(u, w)), pa.array(np.log10(1 + lift))], names=["key", "term"])
+
+    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double")
+
+
+def _word_terms(model: Model) -> DataFrame:
+    """key, word, c, term of the training words without a rank: as a token and as the context of the token after it."""
+    parent, discount = model.totals.parent, model.discount
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t, m = (batch.column(x).to_numpy() for x in ("c", "t", "m"))
+            term = np.log10(parent.probability(m)) + np.log10((STRENGTH + discount * t) / (STRENGTH + c))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "word", "c")), pa.array(term)],
+                                             names=["key", "word", "c", "term"])
+
+    rare = model.totals.rare.select(F.col("id").alias("key"), "t", "m")
+    return model.words.withColumn("key", rare_number("word")).join(rare, "key").mapInArrow(
+        run, "key long, word binary, c long, term double")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; null texts count as empty.
 
-    Frequent words are scored where the text is read; the others, once a text and word, meet the word counts in a join,
-    where no single word can be frequent. Scores are log10 probabilities of the whole text with its end.
+    Words and pairs that tasks hold are scored where the text is read. The others, once a text, meet the counts and terms
+    in one join, where no single word or pair can be frequent. Scores are log10 probabilities of whole texts with their end.
     """
-    lexicon, contexts, rest = model.lexicon, model.contexts, model.rest
-    whole = float(model.tokens + model.distinct + 1)
+    whole, lexicon, parent = float(model.tokens + model.distinct + 1), model.lexicon, model.totals.parent
+    floor = _floor(model.pairs.select(F.col("n").alias("c")), model.frequent)
+    held = model.pairs.where(F.col("n") >= floor) if floor is not None else model.pairs.limit(0)
+    top = terms(model, held).toArrow()
+    order = np.argsort(top.column("key").to_numpy())
+    top_key, top_term = (top.column(c).to_numpy()[order] for c in ("key", "term"))
+    count = np.fromiter(lexicon.values(), np.int64, len(lexicon))
+    word_term = np.log10(parent.probability(model.totals.m)) + np.log10(model.weight(model.totals.t, count))
+    # a word as a context counts where it stands; the end of a text is the context of the next one's first word
+    base_term = np.log10((count + 1) / whole)
+    unknown = float(np.log10(parent.probability(np.zeros(1)))[0])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = lexicon.reader()
-        base = np.log10((reader.count + 1) / whole)
-        extra = np.where(reader.dish > 0, 0.0, np.log10(rest.probability(reader.count)))
-        base[-1] = extra[-1] = 0.0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: list[tuple] = []
-                for r, i, t in zip(part.column("r").to_pylist(), part.column("i").to_pylist(), part.column("text")):
-                    words = _words(t.as_py())
-                    number, before = reader.read(words)
-                    p = np.log10(contexts.probability(reader.dish[number], before)).sum() + extra[number].sum()
-                    new = np.nonzero(number == reader.other)[0].tolist()
-                    rows += [(r, None, w, n, 0, 0, 0.0, 0.0)
-                             for w, n in Counter([words[k] if k < len(words) else b"" for k in new]).items()]
-                    # no word holds a blank, so the row of sums meets no word, and each lies elsewhere
-                    rows.append((r, i, b" %d" % r, 0, len(number), len(number) - len(new), float(base[number].sum()), float(p)))
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                                 names=["r", "i", "word", "n", "tokens", "seen", "base0", "p0"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(lexicon)
         for batch in batches:
-            n, c = batch.column("n").to_numpy(), batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("r"), batch.column("i"), batch.column("tokens"),
-                pa.array(batch.column("seen").to_numpy() + np.where(c > 0, n, 0)),
-                pa.array(batch.column("base0").to_numpy() + n * np.log10((c + 1) / whole)),
-                pa.array(batch.column("p0").to_numpy() + n * np.log10(rest.probability(c)))],
-                names=["r", "i", "tokens", "seen", "base", "p"])
+            block, size = [], 0
+            for r, i, t in zip(batch.column("r").to_pylist(), batch.column("i").to_pylist(), batch.column("text")):
+                words = _words(t.as_py())
+                block.append((r, i, words))
+                size += len(words)
+                if size > _BLOCK // 8:
+                    yield out(reader, block)
+                    block, size = [], 0
+            if block:
+                yield out(reader, block)
+
+    def out(reader: Reader, block: list[tuple]) -> pa.RecordBatch:
+        line = [w for _, _, words in block for w in (*words, b"")]
+        length = np.array([len(words) + 1 for _, _, words in block])
+        owner = np.repeat(np.arange(len(block)), length)
+        r = np.array([x for x, _, _ in block], np.int64)
+        u, w, rare = reader.read(line)
+        known = w < _RARE
+        p, base = np.zeros(len(w)), np.zeros(len(w))
+        p[known], base[known] = word_term[w[known]], base_term[w[known]]
+        key = pair_key(u, w)
+        if len(top_key):
+            at = np.minimum(np.searchsorted(top_key, key), len(top_key) - 1)
+            hit = top_key[at] == key
+            p[hit] += top_term[at[hit]]
+            miss = np.nonzero(~hit)[0]
+        else:
+            miss = np.arange(len(key))
+        miss = miss[np.lexsort((key[miss], owner[miss]))]
+        o, k = owner[miss], key[miss]
+        first = np.nonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])))[0] if len(o) else miss
+        words = Counter((int(owner[x]), line[x], int(w[x])) for x in rare)
+        n = len(block)
+        sums = [np.bincount(owner, x, n) for x in (known, base, p)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([r[o[first]], r[[x for x, _, _ in words]] if words else r[:0], r])),
+            pa.array(np.concatenate([k[first], np.array([x for _, _, x in words], np.int64), pair_key(r, r)])),
+            pa.array([*repeat(_PAIR, len(first)), *(x for _, x, _ in words), *repeat(_SUM, n)], pa.binary()),
+            pa.array(np.concatenate([np.diff(np.append(first, len(o))), np.array(list(words.values()), np.int64), np.zeros(n, np.int64)])),
+            pa.array([*repeat(None, len(first) + len(words)), *(
+                {"i": i, "tokens": a, "seen": int(b), "base": c, "p": d}
+                for (_, i, _), a, b, c, d in zip(block, length.tolist(), *(x.tolist() for x in sums)))], _SUMS)],
+            names=["r", "key", "word", "n", "sums"])
 
     src = docs.select(F.monotonically_increasing_id().alias("r"), F.col(doc_id).cast("long").alias("i"),
                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = src.mapInArrow(split, "r long, i long, word binary, n long, tokens long, seen long, base0 double, p0 double")
-    met = rows.join(model.words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    done = met.mapInArrow(finish, "r long, i long, tokens long, seen long, base double, p double")
-    out = done.groupBy("r").agg(F.max("i").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("seen").alias("n_known"),
-                                F.sum("base").alias("base_score"), F.sum("p").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = src.mapInArrow(split, "r long, key long, word binary, n long, "
+                                 "sums struct<i: long, tokens: long, seen: long, base: double, p: double>")
+    others = model.pairs if floor is None else model.pairs.where(F.col("n") < floor)
+    table = terms(model, others).select("key", F.lit(_PAIR).alias("word"), F.lit(0).cast("long").alias("c"), "term")
+    met = rows.join(table.unionByName(_word_terms(model)), ["key", "word"], "left")
+    n, c = F.col("n"), F.coalesce("c", F.lit(0).cast("long"))
+    is_word = (F.col("word") != F.lit(_PAIR)) & (F.col("word") != F.lit(_SUM))
+    zero = F.lit(0.0)
+    out_rows = met.groupBy("r").agg(
+        F.max("sums.i").alias("doc_id"), F.max("sums.tokens").alias("n_tokens"),
+        (F.max("sums.seen") + F.coalesce(F.sum(F.when(is_word & (c > 0), n)), F.lit(0).cast("long"))).alias("n_known"),
+        (F.max("sums.base") + F.sum(F.when(is_word, n * F.log10((c + 1) / F.lit(whole))).otherwise(zero))).alias("base_score"),
+        (F.max("sums.p") + F.sum(n * F.coalesce("term", F.when(is_word, F.lit(unknown)).otherwise(zero)))).alias("score"))
+    return out_rows.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_SUMS = pa.struct([("i", pa.int64()), ("tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("p", pa.float64())])
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

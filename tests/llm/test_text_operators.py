@@ -389,16 +389,56 @@ def test_language_model(spark, sf_dir, texts):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert got[i]["score"] < 0
-    # better than the base on texts it has not seen, and a distribution after every context
+    # better than the base on texts it has not seen
     unseen = [got[i] for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2]
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
-    dishes = np.arange(len(model.lexicon.dish) + 1)
-    for before in (b"the", b"", b"zzz"):
-        own = model.lexicon.dish.get(before, 0)
-        packed = lm.ending(before) << lm._CONTEXT_BITS | (own if own <= model.lexicon.contexts else 0)
-        assert model.contexts.probability(dishes, np.full(len(dishes), packed)).sum() == pytest.approx(1)
-    rest = model.rest
-    assert (rest.probability(rest.count) * rest.words).sum() + rest.probability(np.array([0]))[0] == pytest.approx(1)
+
+
+def probabilities(model):
+    """Probability of every word after every context from the model's tables, each number looked up by itself."""
+    numbers = {w: n for n, w in enumerate(model.lexicon)}
+    words = {bytes(r["word"]): r["c"] for r in model.words.collect()}
+    for w in words:
+        numbers.setdefault(w, lm._RARE | xxhash.xxh64_intdigest(w, 42) & lm._RARE - 1)
+    t, m = dict(enumerate(model.totals.t)), dict(enumerate(model.totals.m))
+    for r in model.totals.rare.collect():
+        t[r["id"]], m[r["id"]] = r["t"], r["m"]
+    pairs = {(r["u"], r["w"]): (r["n"], r["t"]) for r in model.pairs.collect()}
+    p0 = {w: model.totals.parent.probability(np.array([float(m[numbers[w]])]))[0] for w in words}
+    unknown = model.totals.parent.probability(np.zeros(1))[0]
+
+    def of(u, w):
+        top = p0.get(w, unknown)
+        if u not in words:
+            return top
+        n, k = pairs.get((numbers[u], numbers.get(w)), (0, 0))
+        d = model.discount
+        return (n - d * k + (lm.STRENGTH + d * t[numbers[u]]) * top) / (lm.STRENGTH + words[u])
+
+    return words, of
+
+
+@pytest.mark.parametrize("frequent", [3, 1 << 17])
+def test_language_model_probabilities(spark, frequent):
+    """Every context gives a distribution, and scores are those of single look-ups, however many words tasks hold."""
+    rng = random.Random(frequent)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(60)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs.where("doc_id < 100"), frequent=frequent)
+    words, of = probabilities(model)
+    assert len(model.lexicon) <= frequent + 1
+    for u in [*list(words)[:20], b"never seen"]:
+        assert sum(of(u, w) for w in words) + of(u, b"never seen") == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    for i, text in rows:
+        line = [b"", *text.encode().split(), b""]
+        assert got[i] == pytest.approx(sum(math.log10(of(u, w)) for u, w in zip(line, line[1:])), rel=1e-9)
+    # what the model holds are all pairs of the training texts
+    pairs = collections.Counter()
+    for i, text in rows[:100]:
+        line = [b"", *text.encode().split(), b""]
+        pairs.update(zip(line, line[1:]))
+    assert sorted(r["n"] for r in model.pairs.collect()) == sorted(pairs.values())
 
 
 def test_language_model_empty_and_join(spark):
@@ -407,26 +447,44 @@ def test_language_model_empty_and_join(spark):
     assert {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in got} == {1: (3, 0), 2: (1, 0)}
     rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(60))) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    few = lm.score(docs, lm.fit(docs, dishes=8, contexts=2, frequent=10)).collect()
-    model = lm.fit(docs, dishes=8, contexts=2)
+    few = lm.score(docs, lm.fit(docs, frequent=10)).collect()
+    model = lm.fit(docs)
     many = lm.score(docs, model).collect()
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in few} == {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in many}
     assert lm.score(empty(spark), model).count() == 0
 
 
-def test_seating_means():
-    """Mean tables of one dish against the exact recursion."""
-    fresh, d, n = 1.7, 0.4, 12
-    p = {1: 1.0}
+def seatings(n, others, p, d):
+    """Exact probabilities of the numbers of tables of a dish, from all ways to seat its customers one by one."""
+    ways = {1: lm.STRENGTH + d * others}
     for c in range(1, n):
-        q = collections.defaultdict(float)
-        for t, x in p.items():
-            new = fresh / (fresh + c - d * t)
-            q[t + 1] += x * new
-            q[t] += x * (1 - new)
-        p = q
-    got = lm.seat(np.full(40_000, n), np.full(40_000, fresh), d, np.random.default_rng(1)).mean()
-    assert got == pytest.approx(sum(t * x for t, x in p.items()), abs=0.03)
+        more = collections.defaultdict(float)
+        for t, x in ways.items():
+            more[t] += x * (c - d * t)
+            more[t + 1] += x * (lm.STRENGTH + d * (others + t)) * p
+        total = sum(more.values())
+        ways = {t: x / total for t, x in more.items()}
+    return ways
+
+
+@pytest.mark.parametrize("n,others,p", [(2, 5, 0.1), (7, 40, 0.02), (12, 3, 0.4), (150, 900, 0.01)])
+def test_tables_follow_their_conditional(n, others, p):
+    draws, d = 40_000, 0.6
+    got = lm.Seating(d, np.random.default_rng(1)).draw(np.full(draws, n), np.full(draws, float(others)), np.full(draws, p))
+    share = collections.Counter(got.tolist())
+    want = seatings(n, others, p, d)
+    assert set(share) <= set(want)
+    for t, x in want.items():
+        assert share[t] / draws == pytest.approx(x, abs=0.015)
+
+
+def test_tables_of_many_customers(monkeypatch):
+    """Seatings continued beyond the tabulated numbers have the mean of the tabulated ones."""
+    n, others, p, d = 400, 300.0, 0.02, 0.6
+    exact = sum(t * x for t, x in seatings(n, others, p, d).items())
+    monkeypatch.setattr(lm, "EXACT", 128)
+    got = lm.Seating(d, np.random.default_rng(2)).draw(np.full(4000, n), np.full(4000, others), np.full(4000, p))
+    assert got.mean() == pytest.approx(exact, rel=0.01)
 
 
 # --------------------------------------------------------------------------- personal data
