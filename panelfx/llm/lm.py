@@ -7,7 +7,7 @@ over the outcomes of add-one smoothing, and what the model holds grows with the
 
 Seatings are sampled by Gibbs, a dish at a time: given the parent's probability and the other tables of its restaurant,
 the number of tables of a dish is drawn from its exact conditional (generalised Stirling numbers) up to ``EXACT``
-customers; beyond, seatings are continued customer by customer (in blocks of a 256th) and one is chosen by its weight.
+customers, and from a normal distribution at the saddle point of these numbers beyond.
 Pairs seen once have one table for certain, and only the others are sampled. Tables are customers of the parent.
 Probabilities are averaged over samples through the mean tables of dishes, contexts and words.
 
@@ -76,8 +76,8 @@ class Seating:
             for rows in _blocks(np.nonzero((customers > low) & (customers <= high))[0], (1 << 20) // high):
                 out[rows] = self._tabled(customers[rows], others[rows], p[rows], high)
             low = high
-        for rows in _blocks(np.nonzero(customers > EXACT)[0], 128):
-            out[rows] = self._continued(customers[rows], others[rows], p[rows])
+        for rows in _blocks(np.nonzero(customers > EXACT)[0], 2048):
+            out[rows] = self._many(customers[rows], others[rows], p[rows])
         return out
 
     def _tabled(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray, most: int) -> np.ndarray:
@@ -86,23 +86,30 @@ class Seating:
         weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
         return 1 + (weight < self.rng.random((len(p), 1)) * weight[:, -1:]).sum(1)
 
-    def _continued(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray, tries: int = 16) -> np.ndarray:
-        many, others, p = (np.repeat(x, tries) for x in (customers, others, p))
-        tables = self._tabled(np.full(len(many), EXACT), others, p, EXACT).astype(float)
-        weight, seated = np.zeros(len(many)), EXACT
-        live = np.arange(len(many))
-        while len(live):
-            size = np.minimum(max(1, seated // 256), many[live] - seated)
-            new = (STRENGTH + self.discount * (others[live] + tables[live])) * p[live]
-            total = new + seated - self.discount * tables[live]
-            # the odds of a block are those at its start; the weight is what the draws leave out
-            weight[live] += size * np.log(total / seated)
-            tables[live] += self.rng.binomial(size, new / total)
-            seated += max(1, seated // 256)
-            live = live[many[live] > seated]
-        gumbel = weight - np.log(-np.log(self.rng.random(len(weight))))
-        best = gumbel.reshape(-1, tries).argmax(1)
-        return tables.reshape(-1, tries)[np.arange(len(customers)), best].astype(np.int64)
+    def _many(self, customers: np.ndarray, others: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Beyond the tabulated numbers: few tables hardly depend on the customers, many have a normal distribution
+        around the saddle point of the numbers' generating function."""
+        d = self.discount
+
+        def slope(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Tables whose saddle point is 1 - exp(-x), and the slope of their log weight there."""
+            grown = -np.expm1(-d * x) / d
+            t = customers * grown / (-np.expm1(-x) * np.exp((1 - d) * x))
+            return t, np.log(grown) + np.log((STRENGTH + d * (others + t)) * p / t)
+
+        # the slope rises with x, while the tables fall
+        low, high = np.full(len(p), 1e-9), np.full(len(p), 700.0)
+        for _ in range(60):
+            x = (low + high) / 2
+            up = slope(x)[1] < 0
+            low, high = np.where(up, x, low), np.where(up, high, x)
+        (t0, g0), (t1, g1) = slope(x * 0.999), slope(x * 1.001)
+        t = slope(x)[0]
+        spread = np.sqrt(np.maximum((t0 - t1) / np.maximum(g1 - g0, 1e-300), 0))
+        out = np.clip(np.rint(t + 0.5 + spread * self.rng.standard_normal(len(t))), 1, customers).astype(np.int64)
+        few = np.nonzero(t < 12)[0]
+        out[few] = self._tabled(np.full(len(few), EXACT), others[few], p[few], EXACT)
+        return out
 
 
 def _blocks(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -241,11 +248,14 @@ class Parent:
 
 
 def _parent(sizes: list[tuple[float, int]], distinct: int, seed: int) -> Parent:
-    """Sample the restaurant of single words. Its base is uniform, so words with equal customers are seated alike: each
-    number of customers is seated several times and stands for all its words. ``sizes`` has the words of each number."""
-    rng, draws = np.random.default_rng(seed), 16
+    """Sample the restaurant of single words. Its base is uniform, so words with equal customers are seated alike: a
+    number of customers is seated several times and stands for all its words. Beyond ``EXACT``, mean tables are those
+    of a grid of sixteenths of a doubling and lie between them elsewhere. ``sizes`` has the words of each number."""
+    rng, draws = np.random.default_rng(seed), 4
     m, words = (np.array(x, float) for x in zip(*sizes)) if sizes else (np.zeros(0), np.zeros(0))
-    at = np.unique(np.concatenate([np.floor(m), np.ceil(m)])).astype(np.int64)
+    most, small = m.max(initial=0), m[m <= EXACT]
+    grid = EXACT * 2 ** (np.arange(16 * np.log2(most / EXACT) + 2) / 16) if most > EXACT else m[:0]
+    at = np.unique(np.ceil(np.concatenate([np.floor(small), small, grid]))).astype(np.int64)
     ones, twos = (int(words[np.round(m) == k].sum()) for k in (1, 2))
     discount = _discount(ones, twos)
     mean, seats = np.minimum(at, 1).astype(float), Seating(discount, rng)

@@ -478,13 +478,17 @@ def test_tables_follow_their_conditional(n, others, p):
         assert share[t] / draws == pytest.approx(x, abs=0.015)
 
 
-def test_tables_of_many_customers(monkeypatch):
-    """Seatings continued beyond the tabulated numbers have the mean of the tabulated ones."""
-    n, others, p, d = 400, 300.0, 0.02, 0.6
-    exact = sum(t * x for t, x in seatings(n, others, p, d).items())
-    monkeypatch.setattr(lm, "EXACT", 128)
+@pytest.mark.parametrize("n,others,p", [(400, 300.0, 0.02), (700, 50.0, 1e-5), (1500, 4000.0, 0.05), (900, 10.0, 0.9)])
+def test_tables_of_many_customers(monkeypatch, n, others, p):
+    """Draws beyond the tabulated numbers against the exact mean and spread; a skewed law (the last) is met least well."""
+    d = 0.6
+    want = seatings(n, others, p, d)
+    mean = sum(t * x for t, x in want.items())
+    spread = math.sqrt(sum((t - mean) ** 2 * x for t, x in want.items()))
+    monkeypatch.setattr(lm, "EXACT", 256)
     got = lm.Seating(d, np.random.default_rng(2)).draw(np.full(4000, n), np.full(4000, others), np.full(4000, p))
-    assert got.mean() == pytest.approx(exact, rel=0.01)
+    assert got.mean() == pytest.approx(mean, abs=0.3 * spread + 0.01)
+    assert got.std() == pytest.approx(spread, rel=0.1, abs=0.05)
 
 
 # --------------------------------------------------------------------------- personal data
