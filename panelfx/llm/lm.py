@@ -201,7 +201,7 @@ def _pairs(docs: DataFrame, text: Column, lexicon: dict[bytes, int]) -> DataFram
 
         def out() -> pa.RecordBatch:
             u, w = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, u))
+            order = np.argsort(pair_key(u, w))
             u, w = u[order], w[order]
             first = np.nonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))[0]
             return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(u))))],
@@ -222,6 +222,11 @@ def _pairs(docs: DataFrame, text: Column, lexicon: dict[bytes, int]) -> DataFram
     return src.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
+def _let_go(df: DataFrame) -> None:
+    """Ask Spark to remove the shuffle files of plans that nothing refers to any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
     """id, t, m: tables of every word's restaurant as a context, and its customers in the restaurant of single words."""
     zero = F.lit(0.0)
@@ -355,6 +360,7 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     lexicon = _lexicon(counts, frequent)
     pairs = stage(_pairs(docs, content, lexicon), "lm_pairs")
+    _let_go(pairs)
     seen = pairs.agg(F.count_if(F.expr("n = 1")).alias("a"), F.count_if(F.expr("n = 2")).alias("b")).first()
     discount, v = _discount(seen["a"], seen["b"]), total["v"]
     first = stage(_sides(pairs, F.lit(1.0)), "lm_sides")
@@ -373,6 +379,7 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int
         totals = _totals(sides, len(lexicon), v, seed + turn + 1)
         for done in old or ():
             drop_stage(done)
+        _let_go(state)
         old = (state, sides)
     sampled = state.select("u", "w", "n", (F.col("s") / SAMPLES).alias("t"))
     return Model(counts, once.unionByName(sampled), total["n"] or 0, v, lexicon, totals, discount, frequent)
@@ -456,7 +463,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             miss = np.nonzero(~hit)[0]
         else:
             miss = np.arange(len(key))
-        miss = miss[np.lexsort((key[miss], owner[miss]))]
+        miss = miss[np.argsort(pair_key(owner[miss], key[miss]))]
         o, k = owner[miss], key[miss]
         first = np.nonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])))[0] if len(o) else miss
         words = Counter((int(owner[x]), line[x], int(w[x])) for x in rare)
