@@ -7,6 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that one task of ``profile`` groups, about: its hash tables hold every key of the task.
+TASK_ROWS = 1 << 18
+
 
 def _levels(df: DataFrame, column: str, most: int) -> tuple[int, ...]:
     rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
@@ -46,8 +49,14 @@ class PanelSpec:
         return out
 
     def profile(self, df: DataFrame) -> DataFrame:
-        """One row of facts about the panel: sizes, duplicate keys, roles that vary in a unit, balance."""
-        per_key = df.groupBy(self.unit, self.time).agg(
+        """One row of facts about the panel: sizes, duplicate keys, roles that vary in a unit, balance.
+
+        Keys of a panel hardly repeat, so adding up before the shuffle would only hold all keys of a task. Rows are
+        counted and dealt by unit first, to as many tasks as keep the keys of each few.
+        """
+        columns = dict.fromkeys(c for c in (self.unit, self.time, self.cohort, self.cluster) if c)
+        rows = df.select(*columns).repartition(1 + df.count() // TASK_ROWS, self.unit)
+        per_key = rows.groupBy(self.unit, self.time).agg(
             F.count(F.lit(1)).alias("n"),
             *self._constants(first=True),
         )

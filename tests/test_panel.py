@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelfx import PanelSpec
+from panelfx import PanelSpec, spec
 from panelfx.functions.columns import digest, hash_rank
 from panelfx.operators import panel as pn
 from panelfx.plans import stage as stg
@@ -72,6 +72,18 @@ def test_profile_finds_faults(spark):
             sp.check(spark.createDataFrame(bad, schema))
 
 
+def test_profile_holds_few_keys_in_a_task(spark, monkeypatch):
+    """Tasks grow in number with the rows, and no task groups keys before the rows are dealt by unit."""
+    monkeypatch.setattr(spec, "TASK_ROWS", 100)
+    rows = [(u if u else None, t, 1.0, 0, 3) for u in range(125) for t in range(8)]
+    df = spark.createDataFrame(rows + rows[:3], "u int, t int, y double, c int, g int").coalesce(1)
+    got = PanelSpec(unit="u", time="t", y="y", cluster="c", cohort="g").profile(df)
+    dealt = got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(u")
+    assert len(dealt) == 2 and ", 11), REPARTITION_BY_NUM" in dealt[1] and "Aggregate" not in dealt[1]
+    assert got.first().asDict() == {"n_units": 125, "n_times": 8, "n_rows": 1003, "duplicate_keys": 3, "cohort_varies": 0,
+                                    "cluster_varies": 0, "balanced": True}
+
+
 def test_stage_writes_once_and_reads_back(spark):
     out = stg.stage(spark.range(5).withColumn("x", F.rand()), "x")
     assert out.collect() == out.collect() and out.count() == 5
