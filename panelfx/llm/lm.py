@@ -11,8 +11,13 @@ customers, and from a normal distribution at the saddle point of these numbers b
 Pairs seen once have one table for certain, and only the others are sampled. Tables are customers of the parent.
 Probabilities are averaged over samples through the mean tables of dishes, contexts and words.
 
+Pairs are counted and seated in cells. A cell is a row whose columns hold sorted arrays: the places of its pairs seen once,
+and places, customers and tables of the others. Cells are as many as the tokens ask for. A pair of a word with a rank and
+one without, seen once, lies in the cell of the latter, where that word's totals are sent; the few others that hold a word
+without a rank are rows of their own and meet totals in joins.
+
 A probability is the context's share of its parent, times the parent's probability, times a factor of the pair that is
-one for pairs never seen. So the score of a text is a sum over its words and pairs, whose terms come from a join.
+one for pairs never seen. So the score of a text is a sum over its words and pairs; pairs that tasks do not hold meet their cell.
 """
 
 from __future__ import annotations
@@ -20,7 +25,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,14 @@ STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 2
 #: Customers of a dish up to which its tables are drawn from tabulated probabilities.
 EXACT = 512
-_HELD = 400_000
-_BLOCK = 1 << 20
+_HELD = 300_000
+#: Tokens, and texts at most, whose requests go to the cells together.
+_BLOCK, _TEXTS = 1 << 19, 1 << 16
+#: Tokens of the training texts for which there is one cell.
+CELL = 1 << 21
 #: Numbers of words that have no rank: this bit and 62 bits of XXH64.
 _RARE = 1 << 62
-_PAIR, _SUM = b" ", b"  "
+_PAIR = b" "
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -141,10 +151,11 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _floor(sizes: DataFrame, most: int) -> int | None:
-    """The least ``c`` so that at most ``most`` rows reach it; sizes are added up by sixteenths of a doubling."""
-    step = F.floor(F.log2("c") * 16)
-    steps = sizes.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+def _floor(sizes: DataFrame, most: int, of: Column | None = None) -> int | None:
+    """The least ``c`` so that at most ``most`` rows reach it, a row standing for ``of`` rows; sizes are added up by
+    sixteenths of a doubling."""
+    step, of = F.floor(F.log2("c") * 16), F.lit(1) if of is None else of
+    steps = sizes.groupBy(step.alias("s")).agg(F.sum(of).alias("n"), F.min("c").alias("c")).collect()
     floor, total = None, 0
     for r in sorted(steps, key=lambda r: -r["s"]):
         total += r["n"]
@@ -192,8 +203,84 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(31)).view(np.int64)
 
 
-def _pairs(docs: DataFrame, text: Column, lexicon: dict[bytes, int]) -> DataFrame:
-    """u, w, n: how often a word follows a context. Tasks add up in bounded arrays."""
+@dataclass(frozen=True)
+class Grid:
+    """Deals pairs of words with a rank to cells. A pair's place in its cell fits 32 bits."""
+    ranked: int
+    cells: int
+
+    @classmethod
+    def of(cls, ranked: int, tokens: int) -> "Grid":
+        ranked = max(ranked, 1)
+        cells = max(tokens // CELL, ranked * ranked >> 32) + 1
+        while gcd(cells, ranked) > 1:  # so that the pairs of one context, or of one word, lie in all cells
+            cells += 1
+        return cls(ranked, cells)
+
+    def deal(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cell and place in one number, the cell in the upper half."""
+        place, cell = np.divmod(u * self.ranked + w, self.cells)
+        return cell << 32 | place
+
+    def pairs(self, cell: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.divmod(cell + place.astype(np.int64) * self.cells, self.ranked)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The steps of a column of integers, their lowest bytes first, then the next: small steps leave zeros to the codec."""
+    step = np.diff(x, prepend=x.dtype.type(0))
+    return step.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _array(packed: bytes | None, kind: type) -> np.ndarray:
+    """What was packed."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(packed or b"", np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
+def _joined(packed: list[bytes | None], kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in packed if x)])
+
+
+def _split(cell: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """The parts of a column for every cell of a sorted column of cells."""
+    return np.split(x, _runs(cell)[1:]) if len(cell) else []
+
+
+def _pieces(cell: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """Every such cell, with its part of the arrays, packed."""
+    return ((int(c[0]), *map(_pack, x)) for c, *x in zip(_split(cell, cell), *(_split(cell, a) for a in arrays)))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted columns."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))
+    return np.nonzero(new)[0]
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = zip(*rows) if rows else ([] for _ in names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], names=names)
+
+
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def _home(u: np.ndarray, w: np.ndarray, grid: Grid) -> np.ndarray:
+    """The cell of pairs that hold a word without a rank: that of the word, the context's if both have none."""
+    return np.where(u >= _RARE, u, w) % grid.cells
+
+
+def _counted(docs: DataFrame, text: Column, lexicon: dict[bytes, int], grid: Grid) -> DataFrame:
+    """cell, once, q, n, h, o, u, w, un: places of pairs seen once; places and numbers of pairs seen more often; pairs seen
+    once of a word h without a rank and another that has one (o: twice the rank, and one more if h is the context);
+    words and numbers of the other pairs. Tasks add up in bounded arrays, then every cell adds up its parts."""
+    sent = "cell long, q binary, n binary, u binary, w binary, un binary"
+    made = "cell long, once binary, q binary, n binary, h binary, o binary, u binary, w binary, un binary"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         held: list[tuple] = []
@@ -201,25 +288,106 @@ def _pairs(docs: DataFrame, text: Column, lexicon: dict[bytes, int]) -> DataFram
 
         def out() -> pa.RecordBatch:
             u, w = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(pair_key(u, w))
+            rare = (u >= _RARE) | (w >= _RARE)
+            key = np.sort(grid.deal(u[~rare], w[~rare]))
+            first = _runs(key)
+            n, key = np.diff(np.append(first, len(key))), key[first]
+            rows = [(c, q, k, None, None, None) for c, q, k in _pieces(key >> 32, key.astype(np.uint32), n.astype(np.int64))]
+            u, w = u[rare], w[rare]
+            order = np.lexsort((w, u, _home(u, w, grid)))
             u, w = u[order], w[order]
-            first = np.nonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))[0]
-            return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(u))))],
-                                              names=["u", "w", "n"])
+            first = _runs(u, w)
+            n, u, w = np.diff(np.append(first, len(u))), u[first], w[first]
+            rows += [(c, None, None, *x) for c, *x in _pieces(_home(u, w, grid), u, w, n.astype(np.int64))]
+            return _table(rows, sent)
 
         for batch in batches:
             for t in batch.column("text"):
                 u, w, _ = reader.read([*_words(t.as_py()), b""])
                 held.append((u, w))
                 size += len(u)
-                if size > 8 * _HELD:
+                if size > 1 << 20:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
+        held = []
+        pa.default_memory_pool().release_unused()
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        q, n, u, w, un = (_joined(part.column(c).to_pylist(), np.uint32 if c == "q" else np.int64) for c in ("q", "n", "u", "w", "un"))
+        order = np.argsort(q, kind="stable")
+        q, n = q[order], n[order]
+        first = _runs(q)
+        q, n = q[first], np.add.reduceat(n, first) if len(n) else n
+        order = np.lexsort((w, u))
+        u, w, un = u[order], w[order], un[order]
+        first = _runs(u, w)
+        u, w, un = u[first], w[first], np.add.reduceat(un, first) if len(un) else un
+        near = (un == 1) & ((u < _RARE) | (w < _RARE))
+        h, o = np.maximum(u, w)[near], 2 * np.minimum(u, w)[near] + (u >= _RARE)[near]
+        order, far = np.lexsort((o, h)), ~near
+        row = (key[0].as_py(), *map(_pack, (q[n == 1], q[n > 1], n[n > 1], h[order], o[order], u[far], w[far], un[far])))
+        return pa.Table.from_batches([_table([row], made)])
 
     src = docs.select(text.cast("binary").alias("text"))
-    return src.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(run, sent).groupBy("cell").applyInArrow(add, made)
+
+
+def _near(h: bytes | None, o: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of the pairs of columns h and o."""
+    h, o = _array(h, np.int64), _array(o, np.int64)
+    return np.where(o & 1, h, o >> 1), np.where(o & 1, o >> 1, h)
+
+
+def _rare_pairs(cells: DataFrame) -> DataFrame:
+    """u, w, n of the pairs that are rows of their own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("u", "w", "un"))):
+                yield pa.RecordBatch.from_arrays([pa.array(_array(x, np.int64)) for x in row], names=["u", "w", "n"])
+
+    return cells.select("u", "w", "un").where(F.octet_length("u") > 0).mapInArrow(run, "u long, w long, n long")
+
+
+def _tally(cells: DataFrame, rare: DataFrame) -> DataFrame:
+    """c, k: how many pairs were seen how often."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for once, h, n in zip(*(batch.column(c).to_pylist() for c in ("once", "h", "n"))):
+                c, k = np.unique(_array(n, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(1, c)), pa.array(np.append(len(once) // 4 + len(h) // 8, k))], names=["c", "k"])
+
+    one = F.lit(1).cast("long")
+    both = cells.select("once", "h", "n").mapInArrow(run, "c long, k long").unionByName(rare.select(F.col("n").alias("c"), one.alias("k")))
+    return both.groupBy("c").agg(F.sum("k").alias("k")).where("k > 0")
+
+
+def _unpacked(cell: int, once: bytes | None, h: bytes | None, o: bytes | None, q: bytes | None, n: bytes | None, s: bytes | None,
+              grid: Grid, least: int = 1) -> tuple[np.ndarray, ...]:
+    """u, w, n, t of the pairs of a cell that were seen ``least`` times or more."""
+    n, q = _array(n, np.int64), _array(q, np.uint32)
+    more = n >= least
+    alone = _array(once if least <= 1 else None, np.uint32)
+    near = _near(h, o) if least <= 1 else (n[:0], n[:0])
+    u, w = (np.append(*x) for x in zip(grid.pairs(cell, np.append(alone, q[more])), near))
+    n = np.concatenate([np.ones(len(alone), np.int64), n[more], np.ones(len(near[0]), np.int64)])
+    t = n.astype(float)
+    t[n > 1] = _array(s, np.int64)[more] / SAMPLES
+    return u, w, n, t
+
+
+_CELL = ("cell", "once", "h", "o", "q", "n", "s")
+
+
+def _cell_pairs(cells: DataFrame, grid: Grid) -> DataFrame:
+    """u, w, n, t of the pairs of cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in _CELL)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(*row, grid)], names=["u", "w", "n", "t"])
+
+    return cells.mapInArrow(run, "u long, w long, n long, t double")
 
 
 def _let_go(df: DataFrame) -> None:
@@ -230,9 +398,36 @@ def _let_go(df: DataFrame) -> None:
 def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
     """id, t, m: tables of every word's restaurant as a context, and its customers in the restaurant of single words."""
     zero = F.lit(0.0)
-    both = pairs.select(F.col("u").alias("id"), tables.alias("t"), zero.alias("m")).unionByName(
+    return pairs.select(F.col("u").alias("id"), tables.alias("t"), zero.alias("m")).unionByName(
         pairs.select(F.col("w").alias("id"), zero.alias("t"), tables.alias("m")))
-    return both.groupBy("id").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
+
+
+def _cell_sides(cells: DataFrame, grid: Grid, per: int = 1) -> DataFrame:
+    """The same of cells (cell, q, t, h, o), added up by task: one table for a pair without ``t``, else ``t / per`` less one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, m = np.zeros(grid.ranked), np.zeros(grid.ranked)
+        for batch in batches:
+            for cell, q, tables, h, o in zip(*(batch.column(c).to_pylist() for c in ("cell", "q", "t", "h", "o"))):
+                u, w = grid.pairs(cell, _array(q, np.uint32))
+                x = np.ones(len(u)) if tables is None else _array(tables, np.int64) / per - 1
+                t += np.bincount(u, x, grid.ranked)
+                m += np.bincount(w, x, grid.ranked)
+                h, o = _array(h, np.int64), _array(o, np.int64)
+                t += np.bincount(o[o & 1 == 0] >> 1, minlength=grid.ranked)
+                m += np.bincount(o[o & 1 == 1] >> 1, minlength=grid.ranked)
+                first = _runs(h)  # sorted, and no word has two cells
+                after = np.append(0, np.cumsum(o & 1))
+                context = after[np.append(first[1:], len(h))] - after[first] if len(h) else first
+                alone = np.diff(np.append(first, len(h))) - context
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(context.astype(float)), pa.array(alone.astype(float))], names=["id", "t", "m"])
+        some = np.nonzero((t != 0) | (m != 0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(t[some]), pa.array(m[some])], names=["id", "t", "m"])
+
+    return cells.select("cell", "q", "t", "h", "o").mapInArrow(run, "id long, t double, m double")
+
+
+def _added(*sides: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, sides).groupBy("id").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
 
 
 @dataclass(frozen=True)
@@ -336,11 +531,33 @@ def _sampled(state: DataFrame, totals: Totals, discount: float, keep: bool, seed
     return _attached(state, totals).mapInArrow(run, "u long, w long, n long, t long, s long")
 
 
+def _cells_sampled(state: DataFrame, totals: Totals, grid: Grid, discount: float, keep: bool, seed: int) -> DataFrame:
+    """The same step for every cell of ``state`` (cell, q, n, t, s)."""
+    t_all, m_all, parent = totals.t, totals.m, totals.parent
+    schema = "cell long, q binary, n binary, t binary, s binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, q, *rest in zip(*(batch.column(c).to_pylist() for c in ("cell", "q", "n", "t", "s"))):
+                n, t, s = (_array(x, np.int64) for x in rest)
+                u, w = grid.pairs(cell, _array(q, np.uint32))
+                t, s = t if len(t) else np.ones(len(n), np.int64), s if len(s) else np.zeros(len(n), np.int64)
+                # draws follow the cell, so that a lost task draws the same again
+                drawn = Seating(discount, np.random.default_rng([seed, cell])).draw(n, np.maximum(t_all[u] - t, 0), parent.probability(m_all[w]))
+                yield _table([(cell, q, rest[0], _pack(drawn), _pack(s + drawn if keep else s))], schema)
+
+    return state.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Counts of all training words, customers and mean tables (u, w, n, t) of all pairs, and the totals of words."""
+    """Counts of all training words, all pairs with their customers and mean tables, and the totals of words. Pairs lie
+    in ``cells`` (cell, once, h, o, q, n, s), those that are rows of their own in ``rare`` (u, w, n, t)."""
     words: DataFrame
-    pairs: DataFrame
+    cells: DataFrame
+    rare: DataFrame
+    grid: Grid
+    tally: DataFrame
     tokens: int
     distinct: int
     lexicon: dict[bytes, int]
@@ -348,9 +565,14 @@ class Model:
     discount: float
     frequent: int
 
+    @property
+    def pairs(self) -> DataFrame:
+        """u, w, n, t of all pairs."""
+        return _cell_pairs(self.cells, self.grid).unionByName(self.rare)
+
     def weight(self, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
         """The share of its parent in a context."""
-        return (STRENGTH + self.discount * tables) / (STRENGTH + customers)
+        return _share(tables, customers, self.discount)
 
 
 def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int = 7) -> Model:
@@ -359,145 +581,247 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int
     counts = reliable(word_counts(docs, content).where("c > 0"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     lexicon = _lexicon(counts, frequent)
-    pairs = stage(_pairs(docs, content, lexicon), "lm_pairs")
-    _let_go(pairs)
-    seen = pairs.agg(F.count_if(F.expr("n = 1")).alias("a"), F.count_if(F.expr("n = 2")).alias("b")).first()
-    discount, v = _discount(seen["a"], seen["b"]), total["v"]
-    first = stage(_sides(pairs, F.lit(1.0)), "lm_sides")
-    once = pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t"))
+    grid = Grid.of(len(lexicon), total["n"] or 0)
+    cells = stage(_counted(docs, content, lexicon, grid), "lm_cells")
+    _let_go(cells)
+    pairs = stage(_rare_pairs(cells), "lm_pairs")
+    tally = stage(_tally(cells, pairs), "lm_tally")
+    seen = {r["c"]: r["k"] for r in tally.where("c <= 2").collect()}
+    discount, v = _discount(seen.get(1, 0), seen.get(2, 0)), total["v"]
+    void = F.lit(None).cast("binary")
+    first = stage(_added(_cell_sides(cells.select("cell", F.col("once").alias("q"), void.alias("t"), "h", "o"), grid),
+                         _cell_sides(cells.select("cell", "q", *(void.alias(c) for c in "tho")), grid), _sides(pairs, F.lit(1.0))), "lm_sides")
     one = F.lit(1).cast("long")
     state = pairs.where("n > 1").select("u", "w", "n", one.alias("t"), (one - 1).alias("s"))
+    packed = cells.where(F.octet_length("q") > 0).select("cell", "q", "n", void.alias("t"), void.alias("s"))
     totals, old = _totals(first, len(lexicon), v, seed), None
     for turn in range(BURN_IN + SAMPLES):
-        state = stage(_sampled(state, totals, discount, turn >= BURN_IN, seed + turn), "lm_state")
-        last = turn == BURN_IN + SAMPLES - 1
+        keep, last = turn >= BURN_IN, turn == BURN_IN + SAMPLES - 1
+        state = stage(_sampled(state, totals, discount, keep, seed + turn), "lm_state")
+        packed = stage(_cells_sampled(packed, totals, grid, discount, keep, seed + turn), "lm_packed")
         mean = F.col("s") / SAMPLES if last else F.col("t").cast("double")
-        more = _sides(state, mean - 1).select("id", F.col("t").alias("dt"), F.col("m").alias("dm"))
-        none = F.lit(0.0)
-        sides = stage(first.join(more, "id", "left").select(
-            "id", (F.col("t") + F.coalesce("dt", none)).alias("t"), (F.col("m") + F.coalesce("dm", none)).alias("m")), "lm_sides")
+        tables = packed.select("cell", "q", F.col("s" if last else "t").alias("t"), void.alias("h"), void.alias("o"))
+        sides = stage(_added(first, _cell_sides(tables, grid, SAMPLES if last else 1), _sides(state, mean - 1)), "lm_sides")
         totals = _totals(sides, len(lexicon), v, seed + turn + 1)
         for done in old or ():
             drop_stage(done)
         _let_go(state)
-        old = (state, sides)
-    sampled = state.select("u", "w", "n", (F.col("s") / SAMPLES).alias("t"))
-    return Model(counts, once.unionByName(sampled), total["n"] or 0, v, lexicon, totals, discount, frequent)
+        old = (state, packed, sides)
+    drop_stage(first)
+    once = cells.select("cell", "once", "h", "o", *(void.alias(c) for c in "qns"))
+    held = once.unionByName(packed.select("cell", *(void.alias(c) for c in ("once", "h", "o")), "q", "n", "s"))
+    rare = pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t")).unionByName(
+        state.select("u", "w", "n", (F.col("s") / SAMPLES).alias("t")))
+    return Model(counts, held, rare, grid, tally, total["n"] or 0, v, lexicon, totals, discount, frequent)
+
+
+def _share(tables: np.ndarray, customers: np.ndarray, discount: float) -> np.ndarray:
+    return (STRENGTH + discount * tables) / (STRENGTH + customers)
+
+
+def _term(n: np.ndarray, t: np.ndarray, tu: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
+    return np.log10(1 + (n - discount * t) / ((STRENGTH + discount * tu) * p))
 
 
 def terms(model: Model, pairs: DataFrame) -> DataFrame:
-    """key, term of ``pairs``: log10 of the factor by which having been seen lifts a pair's probability."""
-    ranked, parent, discount = (model.totals.t, model.totals.m), model.totals.parent, model.discount
+    """key, term, cell of ``pairs``: log10 of the factor by which having been seen lifts a pair's probability."""
+    ranked, parent, discount, grid = (model.totals.t, model.totals.m), model.totals.parent, model.discount, model.grid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, w, n, tu, mw = _filled(batch, ranked)
-            lift = (n - discount * batch.column("t").to_numpy()) / ((STRENGTH + discount * tu) * parent.probability(mw))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(u, w)), pa.array(np.log10(1 + lift))], names=["key", "term"])
+            term = _term(n, batch.column("t").to_numpy(), tu, parent.probability(mw), discount)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(u, w), term, _home(u, w, grid))], names=["key", "term", "cell"])
 
-    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double")
+    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double, cell long")
 
 
-def _word_terms(model: Model) -> DataFrame:
-    """key, word, c, term of the training words without a rank: as a token and as the context of the token after it."""
-    parent, discount = model.totals.parent, model.discount
+def _top_terms(model: Model, floor: int | None) -> DataFrame:
+    """key, term of the pairs with a number of ``floor`` or more. Of a cell's pairs without a rank there is none, or the
+    corpus is so small that all pairs are held; those are left to their cells."""
+    t, m, parent, discount, grid = model.totals.t, model.totals.m, model.totals.parent, model.discount, model.grid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, t, m = (batch.column(x).to_numpy() for x in ("c", "t", "m"))
-            term = np.log10(parent.probability(m)) + np.log10((STRENGTH + discount * t) / (STRENGTH + c))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "word", "c")), pa.array(term)],
-                                             names=["key", "word", "c", "term"])
+            for cell, once, q, n, s in zip(*(batch.column(c).to_pylist() for c in ("cell", "once", "q", "n", "s"))):
+                u, w, n, tables = _unpacked(cell, once, None, None, q, n, s, grid, floor)
+                term = _term(n, tables, t[u], parent.probability(m[w]), discount)
+                yield pa.RecordBatch.from_arrays([pa.array(pair_key(u, w)), pa.array(term)], names=["key", "term"])
 
-    rare = model.totals.rare.select(F.col("id").alias("key"), "t", "m")
-    return model.words.withColumn("key", rare_number("word")).join(rare, "key").mapInArrow(
-        run, "key long, word binary, c long, term double")
+    often = F.col("n") >= floor if floor is not None else F.lit(False)
+    cells = model.cells if floor is not None else model.cells.limit(0)
+    return cells.mapInArrow(run, "key long, term double").unionByName(terms(model, model.rare.where(often)).select("key", "term"))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; null texts count as empty.
 
-    Words and pairs that tasks hold are scored where the text is read. The others, once a text, meet the counts and terms
-    in one join, where no single word or pair can be frequent. Scores are log10 probabilities of whole texts with their end.
+    Words and pairs that tasks hold are scored where the text is read. The others go to their cells by blocks of texts, no
+    pair among them being frequent; every cell sends a block the sums of its texts.
     """
     whole, lexicon, parent = float(model.tokens + model.distinct + 1), model.lexicon, model.totals.parent
-    floor = _floor(model.pairs.select(F.col("n").alias("c")), model.frequent)
-    held = model.pairs.where(F.col("n") >= floor) if floor is not None else model.pairs.limit(0)
-    top = terms(model, held).toArrow()
+    grid, discount = model.grid, model.discount
+    floor = _floor(model.tally, model.frequent, F.col("k"))
+    top = _top_terms(model, floor).toArrow()
     order = np.argsort(top.column("key").to_numpy())
+    bits = (1 << 21) - 1
     top_key, top_term = (top.column(c).to_numpy()[order] for c in ("key", "term"))
+    may = np.zeros(bits + 1, bool)
+    may[top_key & bits] = True
     count = np.fromiter(lexicon.values(), np.int64, len(lexicon))
     word_term = np.log10(parent.probability(model.totals.m)) + np.log10(model.weight(model.totals.t, count))
     # a word as a context counts where it stands; the end of a text is the context of the next one's first word
     base_term = np.log10((count + 1) / whole)
     unknown = float(np.log10(parent.probability(np.zeros(1)))[0])
 
+    sent = ("cell long, block long, d binary, q binary, key binary, word binary, at binary, "
+            "ids array<long>, tokens binary, seen binary, base binary, p binary")
+    back = "block long, cell long, d binary, ids array<long>, tokens binary, seen binary, base binary, p binary"
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
+        block, size = [], 0
         for batch in batches:
-            block, size = [], 0
             for r, i, t in zip(batch.column("r").to_pylist(), batch.column("i").to_pylist(), batch.column("text")):
                 words = _words(t.as_py())
                 block.append((r, i, words))
                 size += len(words)
-                if size > _BLOCK // 8:
+                if size > _BLOCK or len(block) == _TEXTS:
                     yield out(reader, block)
                     block, size = [], 0
-            if block:
-                yield out(reader, block)
+        if block:
+            yield out(reader, block)
 
     def out(reader: Reader, block: list[tuple]) -> pa.RecordBatch:
         line = [w for _, _, words in block for w in (*words, b"")]
         length = np.array([len(words) + 1 for _, _, words in block])
         owner = np.repeat(np.arange(len(block)), length)
-        r = np.array([x for x, _, _ in block], np.int64)
         u, w, rare = reader.read(line)
         known = w < _RARE
         p, base = np.zeros(len(w)), np.zeros(len(w))
         p[known], base[known] = word_term[w[known]], base_term[w[known]]
         key = pair_key(u, w)
+        miss = np.ones(len(key), bool)
         if len(top_key):
-            at = np.minimum(np.searchsorted(top_key, key), len(top_key) - 1)
-            hit = top_key[at] == key
-            p[hit] += top_term[at[hit]]
-            miss = np.nonzero(~hit)[0]
-        else:
-            miss = np.arange(len(key))
-        miss = miss[np.argsort(pair_key(owner[miss], key[miss]))]
-        o, k = owner[miss], key[miss]
-        first = np.nonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])))[0] if len(o) else miss
-        words = Counter((int(owner[x]), line[x], int(w[x])) for x in rare)
+            some = np.nonzero(may[key & bits])[0]
+            at = np.minimum(np.searchsorted(top_key, key[some]), len(top_key) - 1)
+            hit = top_key[at] == key[some]
+            p[some[hit]] += top_term[at[hit]]
+            miss[some[hit]] = False
+        ranked, name, d = known & (u < _RARE), block[0][0], owner.astype(np.uint16)
+        ask = np.nonzero(miss & ranked)[0]
+        dealt = grid.deal(u[ask], w[ask])
+        order = np.argsort((dealt >> 32).astype(np.uint16 if grid.cells < 1 << 16 else np.int64), kind="stable")
+        dealt, ask = dealt[order], ask[order]
+        none = (None,) * 8
+        rows = [(c, name, d, q.tobytes(), *none) for (c, d), q in zip(_pieces(dealt >> 32, d[ask]), _split(dealt >> 32, dealt.astype(np.uint32)))]
+        ask = np.nonzero(miss & ~ranked)[0]
+        ask = ask[np.argsort(_home(u[ask], w[ask], grid), kind="stable")]
+        home = _home(u[ask], w[ask], grid)
+        rows += [(c, name, d, None, k.tobytes(), *none[1:]) for (c, d), k in zip(_pieces(home, d[ask]), _split(home, key[ask]))]
+        rare = np.array(rare, np.int64)
+        rare = rare[np.argsort(w[rare] % grid.cells, kind="stable")]
+        home = w[rare] % grid.cells
+        for (c, e), at in zip(_pieces(home, d[rare]), _split(home, rare)):
+            words = [line[x] for x in at.tolist()]
+            number = {x: k for k, x in enumerate(dict.fromkeys(words))}
+            rows.append((c, name, e, None, None, b" ".join(number), _pack(np.array([number[x] for x in words], np.int64)), *none[3:]))
         n = len(block)
-        sums = [np.bincount(owner, x, n) for x in (known, base, p)]
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([r[o[first]], r[[x for x, _, _ in words]] if words else r[:0], r])),
-            pa.array(np.concatenate([k[first], np.array([x for _, _, x in words], np.int64), pair_key(r, r)])),
-            pa.array([*repeat(_PAIR, len(first)), *(x for _, x, _ in words), *repeat(_SUM, n)], pa.binary()),
-            pa.array(np.concatenate([np.diff(np.append(first, len(o))), np.array(list(words.values()), np.int64), np.zeros(n, np.int64)])),
-            pa.array([*repeat(None, len(first) + len(words)), *(
-                {"i": i, "tokens": a, "seen": int(b), "base": c, "p": d}
-                for (_, i, _), a, b, c, d in zip(block, length.tolist(), *(x.tolist() for x in sums)))], _SUMS)],
-            names=["r", "key", "word", "n", "sums"])
+        sums = (length, *(np.bincount(owner, x, n) for x in (known, base, p)))
+        rows.append((-1 - name, name, *none[:5], [i for _, i, _ in block], *(x.astype(float).tobytes() for x in sums)))
+        return _table(rows, sent)
+
+    ranked_t, ranked_m = model.totals.t, model.totals.m
+
+    def meet(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        cell, rows = key[0].as_py(), []
+        once, q, n, s = (_joined(known.column(c).drop_null().to_pylist(), k) for c, k in (
+            ("once", np.uint32), ("q", np.uint32), ("n", np.int64), ("s", np.int64)))
+        places = np.append(once, q)
+        u, w = grid.pairs(cell, places)
+        ones = np.ones(len(once))
+        place_terms = _term(np.append(ones, n), np.append(ones, s / SAMPLES), ranked_t[u], parent.probability(ranked_m[w]), discount)
+        order = np.argsort(places, kind="stable")
+        places, place_terms = places[order], place_terms[order]
+        # totals of the cell's words without a rank, and the pairs they are in
+        of = {c: known.column(c).combine_chunks() for c in ("id", "t", "m", "key", "term", "word", "c")}
+        some = of["id"].is_valid()
+        ids, t, m = (of[c].filter(some).to_numpy(zero_copy_only=False) for c in ("id", "t", "m"))
+        order = np.argsort(ids)
+        ids, t, m = (np.append(x[order], 0) for x in (ids, t, m))
+        near = [_near(a, b) for a, b in zip(*(known.column(c).drop_null().to_pylist() for c in "ho")) if a]
+        u, w = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*near) if near else ((), ())))
+        at = np.searchsorted(ids[:-1], np.maximum(u, w))
+        own = u >= _RARE
+        tu, mw = t[at], m[at]
+        tu[~own], mw[own] = ranked_t[u[~own]], ranked_m[w[own]]
+        one = np.ones(len(u))
+        pair_terms = np.append(_term(one, one, tu, parent.probability(mw), discount), of["term"].drop_null().to_numpy(zero_copy_only=False))
+        pair_keys = np.append(pair_key(u, w), of["key"].drop_null().to_numpy(zero_copy_only=False))
+        order = np.argsort(pair_keys)
+        pair_keys, pair_terms = pair_keys[order], pair_terms[order]
+        words, counts = of["word"].drop_null().to_pylist(), of["c"].drop_null().to_numpy(zero_copy_only=False)
+        number = np.array([_RARE | xxhash.xxh64_intdigest(x, 42) & _RARE - 1 for x in words], np.int64)
+        at = np.searchsorted(ids[:-1], number)
+        word_terms = np.log10(parent.probability(m[at])) + np.log10(_share(t[at], counts, discount))
+        word = dict(zip(words, zip(counts.tolist(), word_terms.tolist())))
+
+        def found(some: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(some):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            at = np.minimum(np.searchsorted(some, want), len(some) - 1)
+            which = np.nonzero(some[at] == want)[0]
+            return which, at[which]
+
+        def send(block: int, d: np.ndarray, *values: np.ndarray) -> None:
+            here = np.nonzero(np.bincount(d))[0]
+            seen, base, p = (np.bincount(d, x)[here].tobytes() if x is not None else None for x in values)
+            rows.append((block, cell, _pack(here.astype(np.uint16)), None, None, seen, base, p))
+
+        for a in range(asked.num_rows):
+            r = {c: asked.column(c)[a].as_py() for c in asked.column_names}
+            block = r["block"]
+            if r["ids"] is not None:
+                rows.append((block, cell, None, *(r[c] for c in ("ids", "tokens", "seen", "base", "p"))))
+            elif r["q"] is not None:
+                which, at = found(places, np.frombuffer(r["q"], np.uint32))
+                if len(which):
+                    send(block, _array(r["d"], np.uint16)[which], None, None, place_terms[at])
+            elif r["key"] is not None:
+                which, at = found(pair_keys, np.frombuffer(r["key"], np.int64))
+                if len(which):
+                    send(block, _array(r["d"], np.uint16)[which], None, None, pair_terms[at])
+            else:
+                c, x = (np.array(v, float)[_array(r["at"], np.int64)] for v in zip(*(word.get(w, (0, unknown)) for w in r["word"].split(b" "))))
+                send(block, _array(r["d"], np.uint16), c > 0, np.log10((c + 1) / whole), x)
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches([_table(rows, back)])
+
+    def close(key: tuple, part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: r["cell"])
+        ids = next(r["ids"] for r in rows if r["ids"] is not None)
+        tokens, *sums = (np.zeros(len(ids)) for _ in range(4))
+        for r in rows:
+            d = slice(None) if r["d"] is None else _array(r["d"], np.uint16)
+            if r["tokens"] is not None:
+                tokens = np.frombuffer(r["tokens"], float)
+            for x, c in zip(sums, ("seen", "base", "p")):
+                if r[c] is not None:
+                    x[d] += np.frombuffer(r[c], float)
+        seen, base, p = sums
+        return pa.table([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.rint(seen).astype(np.int64)),
+                         pa.array(base), pa.array(p)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     src = docs.select(F.monotonically_increasing_id().alias("r"), F.col(doc_id).cast("long").alias("i"),
                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = src.mapInArrow(split, "r long, key long, word binary, n long, "
-                                 "sums struct<i: long, tokens: long, seen: long, base: double, p: double>")
-    others = model.pairs if floor is None else model.pairs.where(F.col("n") < floor)
-    table = terms(model, others).select("key", F.lit(_PAIR).alias("word"), F.lit(0).cast("long").alias("c"), "term")
-    met = rows.join(table.unionByName(_word_terms(model)), ["key", "word"], "left")
-    n, c = F.col("n"), F.coalesce("c", F.lit(0).cast("long"))
-    is_word = (F.col("word") != F.lit(_PAIR)) & (F.col("word") != F.lit(_SUM))
-    zero = F.lit(0.0)
-    out_rows = met.groupBy("r").agg(
-        F.max("sums.i").alias("doc_id"), F.max("sums.tokens").alias("n_tokens"),
-        (F.max("sums.seen") + F.coalesce(F.sum(F.when(is_word & (c > 0), n)), F.lit(0).cast("long"))).alias("n_known"),
-        (F.max("sums.base") + F.sum(F.when(is_word, n * F.log10((c + 1) / F.lit(whole))).otherwise(zero))).alias("base_score"),
-        (F.max("sums.p") + F.sum(n * F.coalesce("term", F.when(is_word, F.lit(unknown)).otherwise(zero)))).alias("score"))
-    return out_rows.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-_SUMS = pa.struct([("i", pa.int64()), ("tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("p", pa.float64())])
+    cell = lambda number: F.pmod(number, F.lit(grid.cells)).cast("long").alias("cell")
+    counts = model.words.select(cell(rare_number("word")), "word", "c")
+    # no word with a rank is asked for
+    known = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (
+        model.cells, terms(model, model.rare), counts, model.totals.rare.select(cell(F.col("id")), "id", "t", "m")))
+    met = src.mapInArrow(split, sent).groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(meet, back)
+    scored = met.groupBy("block").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
