@@ -624,19 +624,19 @@ def _term(n: np.ndarray, t: np.ndarray, tu: np.ndarray, p: np.ndarray, discount:
 
 
 def terms(model: Model, pairs: DataFrame) -> DataFrame:
-    """key, term, cell of ``pairs``: log10 of the factor by which having been seen lifts a pair's probability."""
+    """key, term, seen, cell of ``pairs``: log10 of the factor by which having been seen lifts a pair's probability."""
     ranked, parent, discount, grid = (model.totals.t, model.totals.m), model.totals.parent, model.discount, model.grid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, w, n, tu, mw = _filled(batch, ranked)
             term = _term(n, batch.column("t").to_numpy(), tu, parent.probability(mw), discount)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(u, w), term, _home(u, w, grid))], names=["key", "term", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(u, w), term, n, _home(u, w, grid))], names=["key", "term", "seen", "cell"])
 
-    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double, cell long")
+    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double, seen long, cell long")
 
 
-def _top_terms(model: Model, floor: int | None) -> DataFrame:
+def _top_terms(model: Model, far: DataFrame, floor: int | None) -> DataFrame:
     """key, term of the pairs with a number of ``floor`` or more. Of a cell's pairs without a rank there is none, or the
     corpus is so small that all pairs are held; those are left to their cells."""
     t, m, parent, discount, grid = model.totals.t, model.totals.m, model.totals.parent, model.discount, model.grid
@@ -648,9 +648,9 @@ def _top_terms(model: Model, floor: int | None) -> DataFrame:
                 term = _term(n, tables, t[u], parent.probability(m[w]), discount)
                 yield pa.RecordBatch.from_arrays([pa.array(pair_key(u, w)), pa.array(term)], names=["key", "term"])
 
-    often = F.col("n") >= floor if floor is not None else F.lit(False)
+    often = F.col("seen") >= floor if floor is not None else F.lit(False)
     cells = model.cells if floor is not None else model.cells.limit(0)
-    return cells.mapInArrow(run, "key long, term double").unionByName(terms(model, model.rare.where(often)).select("key", "term"))
+    return cells.mapInArrow(run, "key long, term double").unionByName(far.where(often).select("key", "term"))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -662,7 +662,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     whole, lexicon, parent = float(model.tokens + model.distinct + 1), model.lexicon, model.totals.parent
     grid, discount = model.grid, model.discount
     floor = _floor(model.tally, model.frequent, F.col("k"))
-    top = _top_terms(model, floor).toArrow()
+    # written before the texts are dealt, so that the shuffle files of its joins are gone by then
+    far = stage(terms(model, model.rare), "lm_terms")
+    top = _top_terms(model, far, floor).toArrow()
+    _let_go(docs)
     order = np.argsort(top.column("key").to_numpy())
     bits = (1 << 21) - 1
     top_key, top_term = (top.column(c).to_numpy()[order] for c in ("key", "term"))
@@ -818,7 +821,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     counts = model.words.select(cell(rare_number("word")), "word", "c")
     # no word with a rank is asked for
     known = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (
-        model.cells, terms(model, model.rare), counts, model.totals.rare.select(cell(F.col("id")), "id", "t", "m")))
+        model.cells, far.drop("seen"), counts, model.totals.rare.select(cell(F.col("id")), "id", "t", "m")))
     met = src.mapInArrow(split, sent).groupBy("cell").cogroup(known.groupBy("cell")).applyInArrow(meet, back)
     scored = met.groupBy("block").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

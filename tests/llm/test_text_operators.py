@@ -441,6 +441,38 @@ def test_language_model_probabilities(spark, frequent):
     assert sorted(r["n"] for r in model.pairs.collect()) == sorted(pairs.values())
 
 
+@pytest.mark.parametrize("frequent", [3, 20, 1 << 17])
+def test_language_model_in_many_cells(spark, monkeypatch, frequent):
+    """Pairs are rows of a few cells, not rows of their own, and scores are those of single look-ups in them."""
+    monkeypatch.setattr(lm, "CELL", 200)
+    monkeypatch.setattr(lm, "_BLOCK", 100)
+    rng = random.Random(frequent)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(60)))) for i in range(120)] + [(200, None), (None, "w1 w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm.fit(docs.where("doc_id < 100"), frequent=frequent)
+    pairs = model.pairs.count()
+    assert 5 <= model.grid.cells < model.cells.count() <= 2 * model.grid.cells < pairs
+    # the most frequent pairs that tasks hold are few here, so that the others meet their cells
+    monkeypatch.setattr(lm, "_top_terms", lambda model, far, floor, top=lm._top_terms: top(model, far, 4))
+    _, of = probabilities(model)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        line = [b"", *(text or "").encode().split(), b""]
+        assert got[i] == pytest.approx(sum(math.log10(of(u, w)) for u, w in zip(line, line[1:])), rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32, np.int64])
+def test_packed_columns(kind):
+    rng = np.random.default_rng(1)
+    top = np.iinfo(kind).max
+    for n in (0, 1, 2, 1000):
+        x = rng.integers(0, top, n, kind, endpoint=True)
+        for column in (x, np.sort(x)):
+            back = lm._array(lm._pack(column), kind)
+            assert back.dtype == kind and (back == column).all()
+
+
 def test_language_model_empty_and_join(spark):
     nothing = lm.fit(empty(spark))
     got = lm.score(odd(spark, [(1, "a b"), (2, None)]), nothing).collect()
