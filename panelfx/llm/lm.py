@@ -31,6 +31,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,18 +45,53 @@ STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 2
 #: Customers of a dish up to which its tables are drawn from tabulated probabilities.
 EXACT = 512
-_HELD = 300_000
-#: Tokens, and texts at most, whose requests go to the cells together.
-_BLOCK, _TEXTS = 1 << 19, 1 << 16
+#: Bytes of texts whose words are counted together.
+_HELD = 1 << 25
+#: Bytes, and texts at most, that are read at once, and whose requests go to the cells together.
+_BLOCK, _TEXTS = 1 << 22, 1 << 16
 #: Tokens of the training texts for which there is one cell.
 CELL = 1 << 21
 #: Numbers of words that have no rank: this bit and 62 bits of XXH64.
 _RARE = 1 << 62
-_PAIR = b" "
-
-
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows in tables of up to ``size`` bytes of texts, or with one text that goes beyond, and at most ``_TEXTS`` rows."""
+    held, held_bytes, held_rows = [], 0, 0
+    for batch in batches:
+        ends = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, ends[at] + size - held_bytes, "right")) - 1
+            stop = min(max(fits, at + 1), at + _TEXTS - held_rows, batch.num_rows)
+            held.append(batch.slice(at, stop - at))
+            held_bytes, held_rows, at = held_bytes + int(ends[stop] - ends[at]), held_rows + stop - at, stop
+            if held_bytes >= size or held_rows == _TEXTS or at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, held_bytes, held_rows = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tokens(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts without nulls in lower case, each text closed by an empty word, and the number of tokens of each."""
+    texts = pa.concat_arrays(texts.chunks).cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    solid = ~_BLANK[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begin = ends[:-1][ends[:-1] < len(data)]
+    first[begin] = solid[begin]
+    before = np.searchsorted(np.nonzero(first)[0], ends)  # words that begin before a text does
+    letters = _LOWER[data[solid]]
+    at = np.append(np.nonzero(first[solid])[0], len(letters)).astype(np.int32)
+    at = np.append(np.insert(at[:-1], before[1:], at[before[1:]]), at[-1])
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)]), np.diff(before) + 1
 
 
 def _stirling(most: int, discount: float) -> np.ndarray:
@@ -127,21 +163,14 @@ def _blocks(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def word_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """word, c: how often each word occurs; the empty word counts the texts. Tasks add up, in bounded dictionaries."""
+    """word, c: how often each word occurs; the empty word counts the texts. Tasks add up, in blocks of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for t in batch.column("text"):
-                held.update(_words(t.as_py()))
-                held[b""] += 1
-                if len(held) > _HELD:
-                    yield out(held)
-                    held = Counter()
-        yield out(held)
-
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
-                                          names=["word", "c"])
+        for part in _parts(batches, _HELD):
+            # a block's texts are cut into words by parts, which bounds what is held beside the words
+            tokens = pa.chunked_array([_tokens(p.column("text"))[0] for p in _parts(iter(part.to_batches()), _BLOCK)])
+            found = pc.value_counts(tokens)
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
+        pa.default_memory_pool().release_unused()
 
     src = docs.select(text.cast("binary").alias("text"))
     return src.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -174,20 +203,27 @@ def _lexicon(words: DataFrame, frequent: int) -> dict[bytes, int]:
     return dict([*end, *sorted(rows, key=lambda x: (-x[1], x[0]))])
 
 
+def _rare_numbers(words: list[bytes]) -> np.ndarray:
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+    return (hashes & np.uint64(_RARE - 1) | np.uint64(_RARE)).view(np.int64)
+
+
 class Reader:
     """Turns texts into numbers of words."""
 
     def __init__(self, lexicon: dict[bytes, int]) -> None:
-        self.number = {w: n for n, w in enumerate(lexicon)}
+        self.words = pa.array(list(lexicon), pa.binary())
 
-    def read(self, line: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Contexts and words of texts that are each closed by the empty word; places of the words without a rank."""
-        number = np.fromiter(map(self.number.get, line, repeat(_RARE)), np.int64, len(line))
-        rare = np.nonzero(number == _RARE)[0].tolist()
-        if rare:
-            number[rare] = [_RARE | xxhash.xxh64_intdigest(line[k], 42) & _RARE - 1 for k in rare]
-        first = self.number.get(b"", _RARE | xxhash.xxh64_intdigest(b"", 42) & _RARE - 1)
-        return np.append(first, number[:-1]), number, rare
+    def read(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Contexts and words of texts that are each closed by the empty word; places of the words without a rank, and these."""
+        number = pc.fill_null(pc.index_in(tokens, self.words), -1).to_numpy().astype(np.int64)
+        rare = np.nonzero(number < 0)[0]
+        _, ends, letters = tokens.buffers()
+        ends, letters = np.frombuffer(ends, np.int32), letters.to_pybytes()
+        words = [letters[a:b] for a, b in zip(ends[rare].tolist(), ends[rare + 1].tolist())]
+        number[rare] = _rare_numbers(words)
+        # the last of the tokens ends a text, and a text begins after such an end
+        return np.append(number[-1:], number[:-1]), number, rare, words
 
 
 def rare_number(word: str) -> Column:
@@ -301,14 +337,13 @@ def _counted(docs: DataFrame, text: Column, lexicon: dict[bytes, int], grid: Gri
             rows += [(c, None, None, *x) for c, *x in _pieces(_home(u, w, grid), u, w, n.astype(np.int64))]
             return _table(rows, sent)
 
-        for batch in batches:
-            for t in batch.column("text"):
-                u, w, _ = reader.read([*_words(t.as_py()), b""])
-                held.append((u, w))
-                size += len(u)
-                if size > 1 << 20:
-                    yield out()
-                    held, size = [], 0
+        for part in _parts(batches, _BLOCK):
+            u, w, *_ = reader.read(_tokens(part.column("text"))[0])
+            held.append((u, w))
+            size += len(u)
+            if size > 1 << 20:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
         held = []
@@ -426,8 +461,9 @@ def _cell_sides(cells: DataFrame, grid: Grid, per: int = 1) -> DataFrame:
     return cells.select("cell", "q", "t", "h", "o").mapInArrow(run, "id long, t double, m double")
 
 
-def _added(*sides: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, sides).groupBy("id").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
+def _added(*sides: DataFrame, **more: Column) -> DataFrame:
+    totals = (F.sum("t").alias("t"), F.sum("m").alias("m"), *(c.alias(name) for name, c in more.items()))
+    return reduce(DataFrame.unionByName, sides).groupBy("id").agg(*totals)
 
 
 @dataclass(frozen=True)
@@ -470,34 +506,44 @@ def _parent(sizes: list[tuple[float, int]], distinct: int, seed: int) -> Parent:
 
 @dataclass(frozen=True)
 class Totals:
-    """Tables and parent's customers by word: arrays for the words with a rank, rows id, t, m for the others."""
+    """Tables and parent's customers by word: arrays for the words with a rank, rows id, t, m for the others. Those of
+    ``still`` are in no pair seen more than once, so sampling does not change them; ``moved`` has the rest."""
     t: np.ndarray
     m: np.ndarray
-    rare: DataFrame
+    moved: DataFrame
+    still: DataFrame
     parent: Parent
 
+    @property
+    def rare(self) -> DataFrame:
+        return self.moved.unionByName(self.still)
+
 
-def _totals(sides: DataFrame, ranked: int, distinct: int, seed: int) -> Totals:
+def _sizes(sides: DataFrame) -> Counter:
+    """How many words have how many customers."""
+    return Counter({r["m"]: r["n"] for r in sides.where("m > 0").groupBy("m").agg(F.count("*").alias("n")).collect()})
+
+
+def _totals(sides: DataFrame, still: DataFrame, still_sizes: Counter, ranked: int, distinct: int, seed: int) -> Totals:
+    """Totals of ``sides``, which has all words but those of ``still``."""
     t, m = np.zeros(ranked), np.zeros(ranked)
     # at most one row a ranked word
     for r in sides.where(F.col("id") < _RARE).collect():
         t[r["id"]], m[r["id"]] = r["t"], r["m"]
-    sizes = [(r["m"], r["n"]) for r in sides.where("m > 0").groupBy("m").agg(F.count("*").alias("n")).collect()]
-    return Totals(t, m, sides.where(F.col("id") >= _RARE), _parent(sorted(sizes), distinct, seed))
+    sizes = _sizes(sides) + still_sizes
+    return Totals(t, m, sides.where(F.col("id") >= _RARE), still, _parent(sorted(sizes.items()), distinct, seed))
 
 
-def _attached(pairs: DataFrame, totals: Totals) -> DataFrame:
-    """``pairs`` with the context's tables tu and the word's customers mw, NULL where a word has a rank."""
-    null = F.lit(None).cast("double")
-    rare = (F.col("u") >= _RARE) | (F.col("w") >= _RARE)
-    rows = pairs.where(rare)
-    for word, value, name in (("u", "t", "tu"), ("w", "m", "mw")):
-        # words with a rank meet nothing, and each pair of them lies elsewhere
-        away = F.lit(-1) - F.xxhash64("u", "w").bitwiseAND(F.lit(_RARE - 1))
-        key = F.when(F.col(word) >= _RARE, F.col(word)).otherwise(away)
-        rows = rows.withColumn("at", key).join(
-            totals.rare.select(F.col("id").alias("at"), F.col(value).alias(name)), "at", "left").drop("at")
-    return pairs.where(~rare).withColumns({"tu": null, "mw": null}).unionByName(rows)
+def _attached(pairs: DataFrame, rare: DataFrame) -> DataFrame:
+    """``pairs`` with the context's tables tu and the word's customers mw of ``rare``, NULL where a word has a rank."""
+    null, u, w = F.lit(None).cast("double"), F.col("u") >= _RARE, F.col("w") >= _RARE
+    t, m = (rare.select(F.col("id").alias(at), F.col(value).alias(name)) for at, value, name in (("u", "t", "tu"), ("w", "m", "mw")))
+    # a pair of one word without a rank meets that word only, which has the greater number
+    both = rare.select("id", F.col("t").alias("tu"), F.col("m").alias("mw"))
+    one = pairs.where(u != w).withColumn("id", F.greatest("u", "w")).join(both, "id", "left").drop("id")
+    one = one.withColumns({"tu": F.when(u, F.col("tu")), "mw": F.when(w, F.col("mw"))})
+    two = pairs.where(u & w).join(t, "u", "left").join(m, "w", "left").select(one.columns)
+    return pairs.where(~(u | w)).withColumns({"tu": null, "mw": null}).unionByName(one).unionByName(two)
 
 
 def _filled(batch: pa.RecordBatch, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -528,7 +574,8 @@ def _sampled(state: DataFrame, totals: Totals, discount: float, keep: bool, seed
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, n, drawn, s + drawn if keep else s)],
                                              names=["u", "w", "n", "t", "s"])
 
-    return _attached(state, totals).mapInArrow(run, "u long, w long, n long, t long, s long")
+    # pairs seen more than once, so of words that move
+    return _attached(state, totals.moved).mapInArrow(run, "u long, w long, n long, t long, s long")
 
 
 def _cells_sampled(state: DataFrame, totals: Totals, grid: Grid, discount: float, keep: bool, seed: int) -> DataFrame:
@@ -589,12 +636,17 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int
     seen = {r["c"]: r["k"] for r in tally.where("c <= 2").collect()}
     discount, v = _discount(seen.get(1, 0), seen.get(2, 0)), total["v"]
     void = F.lit(None).cast("binary")
-    first = stage(_added(_cell_sides(cells.select("cell", F.col("once").alias("q"), void.alias("t"), "h", "o"), grid),
-                         _cell_sides(cells.select("cell", "q", *(void.alias(c) for c in "tho")), grid), _sides(pairs, F.lit(1.0))), "lm_sides")
+    # words without a rank move only in pairs that are rows and seen more than once
+    sides = [_cell_sides(cells.select("cell", F.col("once").alias("q"), void.alias("t"), "h", "o"), grid),
+             _cell_sides(cells.select("cell", "q", *(void.alias(c) for c in "tho")), grid), _sides(pairs.where("n = 1"), F.lit(1.0))]
+    sides = [s.withColumn("moves", F.col("id") < _RARE) for s in sides] + [_sides(pairs.where("n > 1"), F.lit(1.0)).withColumn("moves", F.lit(True))]
+    begun = stage(_added(*sides, moves=F.max("moves")), "lm_sides")
+    first, still = stage(begun.where("moves").drop("moves"), "lm_moved"), begun.where("NOT moves").drop("moves")
+    still_sizes = _sizes(still)
     one = F.lit(1).cast("long")
     state = pairs.where("n > 1").select("u", "w", "n", one.alias("t"), (one - 1).alias("s"))
     packed = cells.where(F.octet_length("q") > 0).select("cell", "q", "n", void.alias("t"), void.alias("s"))
-    totals, old = _totals(first, len(lexicon), v, seed), None
+    totals, old = _totals(first, still, still_sizes, len(lexicon), v, seed), None
     for turn in range(BURN_IN + SAMPLES):
         keep, last = turn >= BURN_IN, turn == BURN_IN + SAMPLES - 1
         state = stage(_sampled(state, totals, discount, keep, seed + turn), "lm_state")
@@ -602,7 +654,7 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int
         mean = F.col("s") / SAMPLES if last else F.col("t").cast("double")
         tables = packed.select("cell", "q", F.col("s" if last else "t").alias("t"), void.alias("h"), void.alias("o"))
         sides = stage(_added(first, _cell_sides(tables, grid, SAMPLES if last else 1), _sides(state, mean - 1)), "lm_sides")
-        totals = _totals(sides, len(lexicon), v, seed + turn + 1)
+        totals = _totals(sides, still, still_sizes, len(lexicon), v, seed + turn + 1)
         for done in old or ():
             drop_stage(done)
         _let_go(state)
@@ -633,7 +685,10 @@ def terms(model: Model, pairs: DataFrame) -> DataFrame:
             term = _term(n, batch.column("t").to_numpy(), tu, parent.probability(mw), discount)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(u, w), term, n, _home(u, w, grid))], names=["key", "term", "seen", "cell"])
 
-    return _attached(pairs, model.totals).mapInArrow(run, "key long, term double, seen long, cell long")
+    # only pairs seen once can hold words that do not move
+    often = F.col("n") > 1
+    attached = _attached(pairs.where(often), model.totals.moved).unionByName(_attached(pairs.where(~often), model.totals.rare))
+    return attached.mapInArrow(run, "key long, term double, seen long, cell long")
 
 
 def _top_terms(model: Model, far: DataFrame, floor: int | None) -> DataFrame:
@@ -683,23 +738,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
-        block, size = [], 0
-        for batch in batches:
-            for r, i, t in zip(batch.column("r").to_pylist(), batch.column("i").to_pylist(), batch.column("text")):
-                words = _words(t.as_py())
-                block.append((r, i, words))
-                size += len(words)
-                if size > _BLOCK or len(block) == _TEXTS:
-                    yield out(reader, block)
-                    block, size = [], 0
-        if block:
-            yield out(reader, block)
-
-    def out(reader: Reader, block: list[tuple]) -> pa.RecordBatch:
-        line = [w for _, _, words in block for w in (*words, b"")]
-        length = np.array([len(words) + 1 for _, _, words in block])
-        owner = np.repeat(np.arange(len(block)), length)
-        u, w, rare = reader.read(line)
+        for part in _parts(batches, _BLOCK):
+            yield out(reader, part)
+
+    def out(reader: Reader, part: pa.Table) -> pa.RecordBatch:
+        tokens, length = _tokens(part.column("text"))
+        n, name = len(length), part.column("r")[0].as_py()
+        owner = np.repeat(np.arange(n), length)
+        u, w, rare, words = reader.read(tokens)
         known = w < _RARE
         p, base = np.zeros(len(w)), np.zeros(len(w))
         p[known], base[known] = word_term[w[known]], base_term[w[known]]
@@ -711,7 +757,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             hit = top_key[at] == key[some]
             p[some[hit]] += top_term[at[hit]]
             miss[some[hit]] = False
-        ranked, name, d = known & (u < _RARE), block[0][0], owner.astype(np.uint16)
+        ranked, d = known & (u < _RARE), owner.astype(np.uint16)
         ask = np.nonzero(miss & ranked)[0]
         dealt = grid.deal(u[ask], w[ask])
         order = np.argsort((dealt >> 32).astype(np.uint16 if grid.cells < 1 << 16 else np.int64), kind="stable")
@@ -722,16 +768,15 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         ask = ask[np.argsort(_home(u[ask], w[ask], grid), kind="stable")]
         home = _home(u[ask], w[ask], grid)
         rows += [(c, name, d, None, k.tobytes(), *none[1:]) for (c, d), k in zip(_pieces(home, d[ask]), _split(home, key[ask]))]
-        rare = np.array(rare, np.int64)
-        rare = rare[np.argsort(w[rare] % grid.cells, kind="stable")]
+        order = np.argsort(w[rare] % grid.cells, kind="stable")
+        rare = rare[order]
         home = w[rare] % grid.cells
-        for (c, e), at in zip(_pieces(home, d[rare]), _split(home, rare)):
-            words = [line[x] for x in at.tolist()]
-            number = {x: k for k, x in enumerate(dict.fromkeys(words))}
-            rows.append((c, name, e, None, None, b" ".join(number), _pack(np.array([number[x] for x in words], np.int64)), *none[3:]))
-        n = len(block)
+        for (c, e), at in zip(_pieces(home, d[rare]), _split(home, order)):
+            here = [words[x] for x in at.tolist()]
+            number = {x: k for k, x in enumerate(dict.fromkeys(here))}
+            rows.append((c, name, e, None, None, b" ".join(number), _pack(np.array([number[x] for x in here], np.int64)), *none[3:]))
         sums = (length, *(np.bincount(owner, x, n) for x in (known, base, p)))
-        rows.append((-1 - name, name, *none[:5], [i for _, i, _ in block], *(x.astype(float).tobytes() for x in sums)))
+        rows.append((-1 - name, name, *none[:5], part.column("i").to_pylist(), *(x.astype(float).tobytes() for x in sums)))
         return _table(rows, sent)
 
     ranked_t, ranked_m = model.totals.t, model.totals.m
@@ -764,7 +809,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         order = np.argsort(pair_keys)
         pair_keys, pair_terms = pair_keys[order], pair_terms[order]
         words, counts = of["word"].drop_null().to_pylist(), of["c"].drop_null().to_numpy(zero_copy_only=False)
-        number = np.array([_RARE | xxhash.xxh64_intdigest(x, 42) & _RARE - 1 for x in words], np.int64)
+        number = _rare_numbers(words)
         at = np.searchsorted(ids[:-1], number)
         word_terms = np.log10(parent.probability(m[at])) + np.log10(_share(t[at], counts, discount))
         word = dict(zip(words, zip(counts.tolist(), word_terms.tolist())))

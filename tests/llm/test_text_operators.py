@@ -7,6 +7,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -473,6 +475,42 @@ def test_packed_columns(kind):
             assert back.dtype == kind and (back == column).all()
 
 
+def test_words_of_blocks():
+    """Texts cut into words by blocks have the words of each text alone, whatever bytes they hold and wherever blocks end."""
+    rng = random.Random(4)
+    texts = [b"", b" ", b"A", b" a", b"B\xff ", b"\x0bX\x1cY\x85 \xc3\x84", b"", b"c" * 40, b"\n\n"]
+    texts += [bytes(rng.choice(b"aZz \t\n\x0b\x0c\r\x00\x1f\x85\xa0") for _ in range(rng.randrange(30))) for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at:at + 40], pa.binary())], names=["text"]) for at in range(0, len(texts), 40)]
+    for size in (1, 25, 1 << 20):
+        words, lengths, blocks = [], [], 0
+        for part in lm._parts(iter(batches), size):
+            tokens, length = lm._tokens(part.column("text"))
+            assert part.num_rows == 1 or pc.sum(pc.binary_length(part.column("text"))).as_py() <= size + len(texts[7])
+            words, lengths, blocks = words + tokens.to_pylist(), lengths + length.tolist(), blocks + 1
+        assert words == [w for t in texts for w in [*t.lower().split(), b""]]
+        assert lengths == [len(t.split()) + 1 for t in texts] and (blocks == 1) == (size == 1 << 20)
+
+
+@pytest.mark.parametrize("frequent", [3, 20])
+def test_language_model_samples_what_moves(spark, frequent):
+    """Sampling keeps to the words of pairs seen more than once; totals of all words are those of all pairs."""
+    rng = random.Random(frequent)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(60)))) for i in range(120)]
+    model = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent)
+    pairs = [(r["u"], r["w"], r["n"], r["t"]) for r in model.pairs.collect()]
+    t, m = collections.Counter(), collections.Counter()
+    for u, w, _, k in pairs:
+        t[u] += k
+        m[w] += k
+    moved, still = (x.collect() for x in (model.totals.moved, model.totals.still))
+    assert {r["id"] for r in moved} == {x for u, w, n, _ in pairs if n > 1 for x in (u, w) if x >= lm._RARE}
+    assert len(still) > len(moved) > 0
+    got = {r["id"]: (r["t"], r["m"]) for r in moved + still}
+    assert got == {x: (t[x], m[x]) for x in {*t, *m} if x >= lm._RARE} and len(got) == len(moved) + len(still)
+    assert model.totals.t.tolist() == [t[x] for x in range(len(model.lexicon))]
+    assert model.totals.m.tolist() == [m[x] for x in range(len(model.lexicon))]
+
+
 def test_language_model_empty_and_join(spark):
     nothing = lm.fit(empty(spark))
     got = lm.score(odd(spark, [(1, "a b"), (2, None)]), nothing).collect()
