@@ -36,7 +36,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.stage import drop_stage, stage
-from .components import reliable
 
 #: Words whose numbers, and pairs whose terms, every task holds: the most frequent ones, words of at most LONGEST bytes.
 #: All others take the joins, with equal results.
@@ -534,12 +533,13 @@ def _totals(sides: DataFrame, still: DataFrame, still_sizes: Counter, ranked: in
     return Totals(t, m, sides.where(F.col("id") >= _RARE), still, _parent(sorted(sizes.items()), distinct, seed))
 
 
-def _attached(pairs: DataFrame, rare: DataFrame) -> DataFrame:
-    """``pairs`` with the context's tables tu and the word's customers mw of ``rare``, NULL where a word has a rank."""
+def _attached(pairs: DataFrame, moved: DataFrame, rare: DataFrame) -> DataFrame:
+    """``pairs`` with the context's tables tu and the word's customers mw, NULL where a word has a rank: of ``moved`` for a
+    pair of one word without a rank, which is a row only if seen more than once, and of ``rare`` for a pair of two."""
     null, u, w = F.lit(None).cast("double"), F.col("u") >= _RARE, F.col("w") >= _RARE
     t, m = (rare.select(F.col("id").alias(at), F.col(value).alias(name)) for at, value, name in (("u", "t", "tu"), ("w", "m", "mw")))
     # a pair of one word without a rank meets that word only, which has the greater number
-    both = rare.select("id", F.col("t").alias("tu"), F.col("m").alias("mw"))
+    both = moved.select("id", F.col("t").alias("tu"), F.col("m").alias("mw"))
     one = pairs.where(u != w).withColumn("id", F.greatest("u", "w")).join(both, "id", "left").drop("id")
     one = one.withColumns({"tu": F.when(u, F.col("tu")), "mw": F.when(w, F.col("mw"))})
     two = pairs.where(u & w).join(t, "u", "left").join(m, "w", "left").select(one.columns)
@@ -575,7 +575,7 @@ def _sampled(state: DataFrame, totals: Totals, discount: float, keep: bool, seed
                                              names=["u", "w", "n", "t", "s"])
 
     # pairs seen more than once, so of words that move
-    return _attached(state, totals.moved).mapInArrow(run, "u long, w long, n long, t long, s long")
+    return _attached(state, totals.moved, totals.moved).mapInArrow(run, "u long, w long, n long, t long, s long")
 
 
 def _cells_sampled(state: DataFrame, totals: Totals, grid: Grid, discount: float, keep: bool, seed: int) -> DataFrame:
@@ -625,7 +625,7 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, seed: int = 7) -> Model:
     """Learn from every whole text; nulls count as empty. An empty table gives a model that knows no word."""
     content = F.coalesce(F.col(text), F.lit(""))
-    counts = reliable(word_counts(docs, content).where("c > 0"))
+    counts = stage(word_counts(docs, content).where("c > 0"), "lm_words")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     lexicon = _lexicon(counts, frequent)
     grid = Grid.of(len(lexicon), total["n"] or 0)
@@ -685,10 +685,7 @@ def terms(model: Model, pairs: DataFrame) -> DataFrame:
             term = _term(n, batch.column("t").to_numpy(), tu, parent.probability(mw), discount)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(u, w), term, n, _home(u, w, grid))], names=["key", "term", "seen", "cell"])
 
-    # only pairs seen once can hold words that do not move
-    often = F.col("n") > 1
-    attached = _attached(pairs.where(often), model.totals.moved).unionByName(_attached(pairs.where(~often), model.totals.rare))
-    return attached.mapInArrow(run, "key long, term double, seen long, cell long")
+    return _attached(pairs, model.totals.moved, model.totals.rare).mapInArrow(run, "key long, term double, seen long, cell long")
 
 
 def _top_terms(model: Model, far: DataFrame, floor: int | None) -> DataFrame:
