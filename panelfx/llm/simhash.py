@@ -79,6 +79,9 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
     With ``distance`` + 1 segments a chain's first segment has no difference and its first two at most one. Either side
     can bridge that bit; only the fingerprint that has a zero there does, so each candidate is met once per chain.
+
+    Both sides hold many rows a fingerprint, which the optimizer sizes as one. So their join is a merge at any size; a
+    side that is broadcast by that estimate can be a hundred times the session's threshold.
     """
     parts = _segments(distance + 1)
     m = len(parts)
@@ -104,7 +107,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             if n > 2:
                 ok = ok & (total <= n * distance // m)
         chain = chain & ((F.col("i") != i) | ok)
-    return index.join(probe, "key").where(chain & near).select("a", "b")
+    return index.hint("merge").join(probe.hint("merge"), "key").where(chain & near).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4,

@@ -92,6 +92,14 @@ def test_links_miss_no_pair(spark):
     assert got == want
 
 
+def test_links_send_no_side_to_the_driver(spark):
+    """A fingerprint has up to 69 probe rows, sized as one: the small table stays under the broadcast threshold, its probes need not."""
+    found = simhash.links(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_copies_odd(spark):
     got = [tuple(r) for r in simhash.near_duplicates(odd(spark)).collect()]
     by = collections.defaultdict(set)
