@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.stage import stage
 from .common import keyed
 from .components import reliable
 
@@ -193,17 +194,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     with a null id take no part, rows with equal ids count as one text holding all their shingles: where one of them
     holds a signature hash, the others are read again for the rest of the item.
     """
-    shingles = reliable(items_table(items, item_id, item_text, width))
-    signed = reliable(signatures(shingles, containment))
+    # files, since the optimizer knows their size; it sizes a checkpoint by what it was made from, and a text is many shingles
+    shingles = stage(items_table(items, item_id, item_text, width), "shingles")
+    signed = stage(signatures(shingles, containment), "signed")
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
     src = keyed(docs, doc_id, text).toDF("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     first, every = _positions(signed), _positions(shingles)
-    own = reliable(_hits(src, widths, first, every))
+    own = stage(_hits(src, widths, first, every), "hits")
     several = src.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     met = reliable(own.where("signed").select("doc_id").distinct().join(several, "doc_id", "left_semi"))
     hits = own
     if not met.isEmpty():
-        hits = own.unionByName(reliable(_hits(src.join(met, "doc_id", "left_semi"), widths, first, every, alone=False)))
+        hits = own.unionByName(stage(_hits(src.join(met, "doc_id", "left_semi"), widths, first, every, alone=False), "hits"))
     candidates = hits.where("signed").select("doc_id", "hash").distinct().join(signed, "hash")
     candidates = candidates.select("doc_id", "item_id", "n_item").distinct()
     shared = hits.select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle"), "shingle")

@@ -124,6 +124,23 @@ def plain_shingles(text):
     return {" ".join(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set()
 
 
+def test_containment_joins_tables_of_known_size(spark, tmp_path):
+    """One long item is thousands of shingles, so tables of shingles above the threshold must not be broadcast as if they were items."""
+    rows = [(i, " ".join(f"w{i}x{n}" for n in range(4000))) for i in range(40)]
+    spark.createDataFrame(rows, "id long, text string").coalesce(2).write.parquet(f"file://{tmp_path}/texts")
+    docs = spark.read.parquet(f"file://{tmp_path}/texts").withColumnRenamed("id", "doc_id")
+    items = docs.select((F.col("doc_id") + 900).alias("item_id"), "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        found = decontaminate.contaminated(docs, items)
+        assert sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in found.collect()) == [(i, 900 + i, 3996, 3996) for i, _ in rows]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"SortMergeJoin [^\n]*shingle", plan) and not re.search(r"BroadcastHashJoin [^\n]*shingle", plan)
+
+
 def test_containment(spark, texts):
     rng = random.Random(1)
     items = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 9, 14, 40, 90, 300])]
